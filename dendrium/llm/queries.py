@@ -5,6 +5,8 @@ from __future__ import annotations
 from dendrium.llm.language import op3_language_id
 from dendrium.llm.mixing import OP10_SQL, op10_mix_sources
 from dendrium.llm.packing import op2_pack_binary
+from dendrium.llm.quality_classifier import op9_quality_trees
+from dendrium.llm.quality_rules import op5_mcd_outliers
 from dendrium.llm.sharding import op6_hash_tree_shards
 from dendrium.llm.url_filter import OP1_SQL, op1_url_filters
 
@@ -12,7 +14,9 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_pack_binary": op2_pack_binary,
     "op3_language_id": op3_language_id,
+    "op5_mcd_outliers": op5_mcd_outliers,
     "op6_hash_tree_shards": op6_hash_tree_shards,
+    "op9_quality_trees": op9_quality_trees,
     "op10_mix_sources": op10_mix_sources,
 }
 ORACLES = {"op1_url_filters": OP1_SQL, "op10_mix_sources": OP10_SQL}
