@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dendrium.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from dendrium.llm.language import op3_language_id
 from dendrium.llm.mixing import OP10_SQL, op10_mix_sources
 from dendrium.llm.packing import op2_pack_binary
@@ -16,7 +17,8 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_mcd_outliers": op5_mcd_outliers,
     "op6_hash_tree_shards": op6_hash_tree_shards,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_quality_trees": op9_quality_trees,
     "op10_mix_sources": op10_mix_sources,
 }
-ORACLES = {"op1_url_filters": OP1_SQL, "op10_mix_sources": OP10_SQL}
+ORACLES = {"op1_url_filters": OP1_SQL, "op7_jaccard_join": OP7_SQL, "op10_mix_sources": OP10_SQL}
