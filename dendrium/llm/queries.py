@@ -5,6 +5,7 @@ from __future__ import annotations
 from dendrium.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from dendrium.llm.language import op3_language_id
 from dendrium.llm.mixing import OP10_SQL, op10_mix_sources
+from dendrium.llm.neighbours import op8_nn_descent
 from dendrium.llm.packing import op2_pack_binary
 from dendrium.llm.quality_classifier import op9_quality_trees
 from dendrium.llm.quality_rules import op5_mcd_outliers
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_mcd_outliers": op5_mcd_outliers,
     "op6_hash_tree_shards": op6_hash_tree_shards,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_nn_descent": op8_nn_descent,
     "op9_quality_trees": op9_quality_trees,
     "op10_mix_sources": op10_mix_sources,
 }
