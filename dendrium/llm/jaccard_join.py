@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrium.llm.common import release, table, written
+from dendrium.llm.common import WORD, release, table, written
 from dendrium.llm.components import components
 from dendrium.llm.packing import slices
 from dendrium.llm.reduce import added, bitmap, parts_of
@@ -226,6 +226,25 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return linked.union(facts.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, without those of a class (see join) but the one with its smallest doc_id.
+
+    Of rows that share that id, the first by a hash of the text stays, and one of equal rows. Rows without words or
+    without an id all stay. Only ids and hashes are shuffled for this; texts meet the ids to drop in a join.
+    """
+    classes = join(docs, words, percent).where("n_shingles > 0")
+    goes = written(classes.where("doc_id != component_id").select(F.col("doc_id").alias("_goes")).distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    rows = rows.withColumn("_id", F.col("_doc.doc_id").cast("long"))
+    kept = rows.join(goes, F.col("_id") == F.col("_goes"), "left_anti")
+    again = docs.groupBy("doc_id").count().where("count > 1").where(F.col("doc_id").isNotNull())
+    if again.isEmpty():
+        return kept.select("_doc.*")
+    worded = F.col("_id").isNotNull() & F.coalesce(F.col("_doc.text").rlike(WORD), F.lit(False))
+    one = kept.where(worded).groupBy("_id").agg(F.min_by("_doc", F.xxhash64("_doc.text")).alias("_doc"))
+    return kept.where(~worded).select("_doc.*").union(one.select("_doc.*"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"), words=3, percent=90)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dendrium.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from dendrium.llm.language import op3_language_id
+from dendrium.llm.licenses import op4_license_scan
 from dendrium.llm.mixing import OP10_SQL, op10_mix_sources
 from dendrium.llm.neighbours import op8_nn_descent
 from dendrium.llm.packing import op2_pack_binary
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_pack_binary": op2_pack_binary,
     "op3_language_id": op3_language_id,
+    "op4_license_scan": op4_license_scan,
     "op5_mcd_outliers": op5_mcd_outliers,
     "op6_hash_tree_shards": op6_hash_tree_shards,
     "op7_jaccard_join": op7_jaccard_join,
