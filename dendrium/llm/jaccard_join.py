@@ -6,10 +6,11 @@
    share at least `need` shingles, so the first n - ceil(t n) + k and m - ceil(t m) + k of them share k. Each node
    chooses its own k: a longer prefix costs more postings, but a candidate must share more of it before it is
    verified; k is where the estimated cost of postings and verifications is least.
-3. Postings of shingles that two nodes share meet in joins. First, each node meets the smallest node of each of its
-   shingles; the best partners are verified, and what links is contracted. Then only nodes of different components
+3. Postings of shingles that two nodes share meet in joins. First, each node meets one node that
+   stands for each of its shingles; the best partners are verified, and what links is contracted; so once more. Then only nodes of different components
    meet: components that share a shingle are paired, and their members after that, so that a group of near copies
-   is never expanded into its pairs. A pair is verified if it shares as many prefix shingles as similar sets must:
+   is never expanded into its pairs. The postings of a shingle with many components are dealt out by classes of
+   set sizes first, where nodes with fewer shared shingles than partners of that size ask for drop out. A pair is verified if it shares as many prefix shingles as similar sets must:
    with c shared, the sets share at most c + ceil(t n) - k in all, n and k of the node whose prefix ends first.
 4. Verified links are closed into components.
 
@@ -36,6 +37,8 @@ LONGEST = 8
 #: Cost of a verification in postings, for choosing k.
 VERIFY_COST = 30.0
 SLICE_BYTES = 4_000_000
+#: Components beyond which a shingle's postings are dealt out by size, and the ratio of those classes.
+CROWDED, CLASS_RATIO = 32, 1.03
 
 
 @dataclass(frozen=True)
@@ -166,29 +169,88 @@ def _sizes_fit(rule: Rule) -> Column:
     return (100 * F.col("n") >= rule.percent * F.col("m")) & (100 * F.col("m") >= rule.percent * F.col("n"))
 
 
-def _first_pairs(postings: DataFrame, rule: Rule) -> DataFrame:
-    """For each node, the two that share most of its shingles among those that are the smallest of a shingle."""
-    low = postings.groupBy("token").agg(F.min(F.struct("node", "n")).alias("low"))
-    met = postings.join(low, "token").select(F.col("node").alias("a"), "n", F.col("low.node").alias("b"), F.col("low.n").alias("m"))
-    counted = met.where((F.col("a") != F.col("b")) & _sizes_fit(rule)).groupBy("a", "b").agg(F.count("*").alias("c"))
+def _must(rule: Rule, n: Column, m: Column, k: Column, l: Column) -> Column:
+    """How many prefix shingles linked nodes of sizes n and m share at least."""
+    ceil = lambda x: F.ceil(x * rule.percent / F.lit(100) - 1e-9)
+    return F.greatest(F.least(k, l), rule.need(n, m) - F.greatest(ceil(n) - k, ceil(m) - l))
+
+
+def _may_link(rule: Rule) -> Column:
+    """For a pair with n, k, cnt and m, l, cnt2: whether both have as many shared shingles as they must share."""
+    must = _must(rule, F.col("n"), F.col("m"), F.col("k"), F.col("l"))
+    return _sizes_fit(rule) & (F.least("cnt", "cnt2") >= must)
+
+
+def _counted(postings: DataFrame) -> DataFrame:
+    """Adds cnt, how many postings a node has."""
+    return postings.join(postings.groupBy("node").agg(F.count("*").alias("cnt")), "node")
+
+
+def _first_pairs(postings: DataFrame, rule: Rule, labels: DataFrame | None = None) -> DataFrame:
+    """For each node, the two that share most of its shingles among those chosen to stand for a shingle: the nodes with
+    most shared shingles, as they are in the middle of their group, or, with labels, any, and of other components."""
+    known = postings.withColumn("comp", F.col("node"))
+    if labels is not None:
+        known = postings.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    order = F.col("cnt") if labels is None else F.xxhash64("node")
+    low = known.groupBy("token").agg(F.max(F.struct(order.alias("order"), "node", "n", "k", "cnt", "comp")).alias("low"))
+    met = known.join(low, "token").where(F.col("comp") != F.col("low.comp")).select(
+        F.col("node").alias("a"), "n", "k", "cnt", F.col("low.node").alias("b"), F.col("low.n").alias("m"), F.col("low.k").alias("l"), F.col("low.cnt").alias("cnt2")
+    )
+    counted = met.where(_may_link(rule)).groupBy("a", "b").agg(F.count("*").alias("c"))
     best = counted.groupBy("a").agg(F.max(F.struct("c", "b")).alias("one"), F.max_by(F.struct("b"), F.struct(F.col("c"), -F.col("b"))).alias("two"))
     return best.select("a", F.explode(F.array_distinct(F.array(F.col("one.b"), F.col("two.b")))).alias("b"))
 
 
+def _by_class(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Deals the postings of a crowded shingle out by classes of sizes: one row for each class that a partner may have, but
+    not if the node has fewer shared shingles than any partner of that class asks for. A pair meets in one (lo, hi)."""
+    t, step = rule.percent / 100, float(np.log(CLASS_RATIO))
+    own = F.floor(F.log(F.col("n")) / step).cast("int")
+    reach = int(np.ceil(-np.log(t) / step)) + 1
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+
+    def least_must(j: Column) -> Column:
+        small, large = F.greatest(n * t, F.exp(j * step) * 0.999), F.least(n / t, F.exp((j + 1) * step) * 1.001)
+        first, second = t / (1 + t) * (n + small) - t * n + k, t / (1 + t) * (n + large) - t * large + 1
+        return F.when(small > large + 1e-6, F.lit(1e18)).otherwise(F.least(first, second) - 1)  # 1 for what ceil() adds
+
+    fits = F.filter(F.sequence(own - reach, own + reach), lambda j: F.col("cnt") >= least_must(j))
+    return rows.withColumn("own", own).withColumn("j", F.explode(fits)).withColumns({"lo": F.least("own", "j"), "hi": F.greatest("own", "j")}).drop("own", "j")
+
+
 def _cross_pairs(postings: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     """The pairs of nodes in different components that share as many prefix shingles as linked ones must."""
-    known = postings.join(labels, "node", "left").select("token", "node", "n", "k", F.coalesce("comp", "node").alias("comp"))
-    mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-    known = written(known.join(mixed, "token"))
-    groups = known.select("token", "comp").distinct()
-    met = groups.join(groups.select("token", F.col("comp").alias("other")), "token").where("comp < other")
-    left = known.select("token", "comp", F.col("node").alias("a"), "n", "k")
-    right = known.select("token", F.col("comp").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("k").alias("l"))
-    pairs = met.join(left, ["token", "comp"]).join(right, ["token", "other"]).where(_sizes_fit(rule))
-    n, m = F.col("n"), F.col("m")
-    ceil = lambda x: F.ceil(x * rule.percent / F.lit(100) - 1e-9)
-    must = F.greatest(F.least(F.col("k"), F.col("l")), rule.need(n, m) - F.greatest(ceil(n) - F.col("k"), ceil(m) - F.col("l")))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("k").alias("k"), F.first("l").alias("l")).where(F.col("c") >= must).select("a", "b")
+    known = postings.drop("cnt").join(labels, "node", "left").select("token", "node", "n", "k", F.coalesce("comp", "node").alias("comp"))
+    known = written(known)
+    mixed = known.select("token", "comp").distinct().groupBy("token").agg(F.count("*").alias("comps")).where("comps > 1")
+    known, old = written(_counted(known.join(mixed, "token"))), known
+    release(old)
+    crowded = F.col("comps") > CROWDED
+    plain = known.where(~crowded).withColumns({"lo": F.lit(-1), "hi": F.lit(-1)})
+    known, old = written(plain.unionByName(_by_class(known.where(crowded), rule)).drop("comps")), known
+    release(old)
+    key = ["token", "lo", "hi"]
+    groups = known.groupBy(*key, "comp").agg(F.max("cnt").alias("cnt"), F.min("n").alias("n"), F.max("n").alias("most"), F.max("k").alias("k"), F.count("*").alias("members"))
+    names = {"comp": "other", "cnt": "cnt2", "n": "m", "most": "most2", "k": "l", "members": "members2"}
+    near = (100 * F.col("most2") >= rule.percent * F.col("n")) & (100 * F.col("most") >= rule.percent * F.col("m"))
+    alone = (F.col("members") == 1) & (F.col("members2") == 1)
+    met = groups.join(groups.withColumnsRenamed(names), key).where((F.col("comp") < F.col("other")) & near & (~alone | _may_link(rule))).select(*key, "comp", "other")
+    left = known.select(*key, "comp", F.col("node").alias("a"), "n", "k", "cnt")
+    right = known.select(*key, F.col("comp").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("k").alias("l"), F.col("cnt").alias("cnt2"))
+    pairs = met.join(left, [*key, "comp"]).join(right, [*key, "other"]).where(_may_link(rule))
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in "nmkl"])
+    return counted.where(F.col("c") >= _must(rule, F.col("n"), F.col("m"), F.col("k"), F.col("l"))).select("a", "b")
+
+
+def _links(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs that link, verified on the whole sets of the nodes that are in a pair."""
+    pairs = written(pairs)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _sets(docs, rule, bitmap(nodes, F.col("node"), nodes.count()))
+    out = written(_verified(pairs, sets, rule))
+    release(pairs), release(sets)
+    return out
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -211,12 +273,12 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     shared = written(shared)
     postings = written(_postings(prefixes, bitmap(shared, F.col("token"), shared.count())).join(shared, "token"))
     release(prefixes), release(shared)
-    nodes = postings.select("node").distinct()
-    sets = _sets(docs, rule, bitmap(nodes, F.col("node"), nodes.count()))
-    first = written(_verified(written(_first_pairs(postings, rule)), sets, rule))
-    labels = components(first)
-    links = written(first.union(_verified(written(_cross_pairs(postings, labels, rule)), sets, rule)))
-    release(postings), release(sets), release(first)
+    postings, old = written(_counted(postings)), postings
+    release(old)
+    links = _links(docs, _first_pairs(postings, rule), rule)
+    links = links.union(_links(docs, _first_pairs(postings, rule, components(links)), rule))
+    links = links.union(_links(docs, _cross_pairs(postings, components(links), rule), rule))
+    release(postings)
     comps = components(links)
     smallest = facts.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     named = written(smallest.join(comps, "node", "left").select("node", "low", F.coalesce("comp", "node").alias("comp")))
