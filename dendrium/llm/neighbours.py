@@ -89,8 +89,11 @@ def _local_join(rows: DataFrame, group: str, take: int) -> DataFrame:
 
 
 def _merged(taken: DataFrame, k: int) -> DataFrame:
-    """The k nearest of all that each node took."""
-    return taken.groupBy("node").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near"))), asc=False), 1, k).alias("near"))
+    """The k nearest of all that each node took. (array_distinct compares all pairs of structs; equal ones are neighbours
+    once they are sorted.)"""
+    every = taken.groupBy("node").agg(F.sort_array(F.flatten(F.collect_list("near")), asc=False).alias("every"))
+    new = F.filter("every", lambda e, i: (i == 0) | (F.get(F.col("every"), i - 1) != e))
+    return every.select("node", F.slice(new, 1, k).alias("near"))
 
 
 def _around(graph: DataFrame, k: int) -> DataFrame:
