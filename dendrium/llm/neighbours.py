@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 
 from dendrium.llm.common import release, table, written
 
-K, TAKEN, ROUNDS, TREES, GROUP = 24, 12, 3, 2, 256
-BEAM, EXPANDED, HOPS, MEASURED = 512, 256, 4, 48
+K, TAKEN, ROUNDS, TREES, GROUP = 24, 12, 4, 2, 256
+BEAM, EXPANDED, HOPS, MEASURED = 640, 320, 5, 48
 SEED = 20240229
 
 
