@@ -186,12 +186,12 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that judge() keeps."""
+    """The rows of docs, with all their columns, that judge() keeps. Rows are written once beside their statistics: the
+    steps read the statistics alone, and neither texts nor plans are gone through again."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     rows = rows.select("doc", F.col("doc.lang").alias("lang"), F.col("doc.source").alias("source"))
-    full = with_vector(with_statistics(rows, F.col("doc.text")))
-    narrow = written(full.select("lang", "source", *Z, "usable"))
-    return _judged(full, estimate(narrow)).where("kept").select("doc.*")
+    full = written(with_vector(with_statistics(rows, F.col("doc.text"))).select("doc", "lang", "source", *Z, "usable"))
+    return _judged(full, estimate(full.drop("doc"))).where("kept").select("doc.*")
 
 
 def op5_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
