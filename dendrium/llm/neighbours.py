@@ -1,18 +1,22 @@
 """Approximate nearest neighbours: an NN-descent graph, searched greedily.
 
 Equal vectors are one node (with its smallest ids, as many as an answer can hold). A first graph joins nodes that
-share a random-hyperplane code, in groups of bounded size. NN-descent then improves it by joins: every node's
-neighbours, and the best of those whose neighbour it is, meet with their vectors, each takes the nearest it met,
-and all that a node took is merged into its K nearest. Vectors travel as 8-bit integers with one common scale, so
-inner products are exact integers and equal however they are formed.
-
-A query starts from its own node and expands the best nodes of its beam that are not expanded yet, for a few
-hops; a hop is one join of the frontier with the adjacency (neighbours' ids and vectors in one row). The nearest
-nodes of the beam are measured again in double precision on the original vectors.
+share a random-hyperplane code; the nodes of a crowded code are halved by further hyperplanes, each through the middle
+of its group, until no group is crowded. NN-descent then improves the graph by joins: every node's neighbours, and the
+best of those whose neighbour it is, meet with their vectors, each takes the nearest it met, and all that a node took is
+merged into its K nearest. Rounds go on until fewer than SETTLED of all neighbour entries change. Vectors travel as
+16-bit integers with one common scale, so squared distances are exact integers and equal however they are formed.
+
+A query starts from its own node and expands the best nodes of its beam that are not expanded yet, until all of its beam
+are expanded; a hop is one join of the frontier with the adjacency (neighbours' ids and vectors in one row). Every node
+of the beam that the rounding to 16 bits leaves a chance to be among the answers is measured again in double precision
+on the original vectors.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +24,8 @@ from pyspark.sql.window import Window
 
 from dendrium.llm.common import release, table, written
 
-K, TAKEN, ROUNDS, TREES, GROUP = 24, 12, 4, 2, 256
-BEAM, EXPANDED, HOPS, MEASURED = 640, 320, 5, 48
+K, TAKEN, TREES, GROUP, SETTLED = 24, 12, 2, 256, 0.001
+BEAM, EXPANDED = 640, 320
 SEED = 20240229
 
 
@@ -52,12 +56,13 @@ def _grouped(batches, key: str):
 
 
 def _binary(column, width: int) -> np.ndarray:
-    """A binary column of equally long values as rows of int8."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, width)
+    """A binary column of equally long values as rows of int16; width counts bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, width // 2)
 
 
 def _local_join(rows: DataFrame, group: str, take: int) -> DataFrame:
-    """For (group, node, vec): in each group, each node takes the nearest others: (node, near array of (score, id))."""
+    """For (group, node, vec): in each group, each node takes the nearest others: (node, near array of (score, id)); the
+    score is the negative squared distance."""
     rows = rows.repartition(F.col(group)).sortWithinPartitions(group)
 
     def run(batches):
@@ -65,7 +70,8 @@ def _local_join(rows: DataFrame, group: str, take: int) -> DataFrame:
 
         for batch in _grouped(batches, group):
             keys, nodes = batch.column(group).to_numpy(), batch.column("node").to_numpy()
-            vec = _binary(batch.column("vec"), len(batch.column("vec")[0].as_py())).astype(np.float32)
+            vec = _binary(batch.column("vec"), len(batch.column("vec")[0].as_py())).astype(np.float64)
+            square = (vec * vec).sum(axis=1)
             edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
             out_node, out_n, out_id, out_score = [], [], [], []
             for a, b in zip(edges, edges[1:], strict=False):
@@ -73,7 +79,7 @@ def _local_join(rows: DataFrame, group: str, take: int) -> DataFrame:
                 m = min(take, n - 1)
                 if m < 1:
                     continue
-                s = vec[a:b] @ vec[a:b].T  # exact: integers below 2**24
+                s = 2 * (vec[a:b] @ vec[a:b].T) - square[a:b, None] - square[a:b]  # exact: integers below 2**53
                 np.fill_diagonal(s, -np.inf)
                 best = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < n - 1 else np.array([[j for j in range(n) if j != i] for i in range(n)])
                 out_node.append(nodes[a:b])
@@ -81,11 +87,11 @@ def _local_join(rows: DataFrame, group: str, take: int) -> DataFrame:
                 out_id.append(nodes[a:b][best].reshape(-1))
                 out_score.append(np.take_along_axis(s, best, 1).reshape(-1))
             if out_node:
-                near = pa.StructArray.from_arrays([pa.array(np.concatenate(out_score).astype(np.int32)), pa.array(np.concatenate(out_id))], names=["score", "id"])
+                near = pa.StructArray.from_arrays([pa.array(np.concatenate(out_score).astype(np.int64)), pa.array(np.concatenate(out_id))], names=["score", "id"])
                 ends = np.concatenate(([0], np.cumsum(np.concatenate(out_n)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_node)), pa.ListArray.from_arrays(pa.array(ends), near)], names=["node", "near"])
 
-    return rows.mapInArrow(run, "node long, near array<struct<score:int,id:long>>")
+    return rows.mapInArrow(run, "node long, near array<struct<score:long,id:long>>")
 
 
 def _merged(taken: DataFrame, k: int) -> DataFrame:
@@ -114,12 +120,43 @@ def nodes_of(vectors: DataFrame, answers: int) -> DataFrame:
     return few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("members")).select(F.col("members")[0].alias("node"), "members", "embedding")
 
 
-def build(nodes: DataFrame, rounds: int = ROUNDS, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """The 8-bit vectors (node, vec) and the graph (node, near) of nodes, both written."""
+def _uncrowded(coded: DataFrame, units: DataFrame, d: int) -> DataFrame:
+    """For (node, codes) and (node, x): (leaf, node), groups of GROUP nodes at most for each tree. Each level halves all
+    crowded groups at the mean of their projections on a new direction, another for each tree, so dense groups are split
+    like wide ones and the trees cut them in different places; only nodes that double precision cannot tell apart are dealt by hash."""
+    directions = np.random.default_rng(SEED + 1)
+    rows = coded.select("node", F.posexplode("codes").alias("tree", "code")).select("node", "tree", F.xxhash64("tree", "code").alias("leaf"))
+    parts = []
+    while True:
+        sized = written(rows.join(rows.groupBy("leaf").agg(F.count("*").alias("n")), "leaf"))
+        parts.append(sized.where(F.col("n") <= GROUP).select("leaf", "node"))
+        crowded = sized.where(F.col("n") > GROUP)
+        if crowded.isEmpty():
+            return reduce(DataFrame.union, parts)
+        ways = [F.array(*[F.lit(float(v)) for v in w]) for w in directions.standard_normal((TREES, d))]
+        at = written(crowded.join(units, "node").select("node", "tree", "leaf", "n", _dot(F.col("x"), F.get(F.array(*ways), F.col("tree"))).alias("at")))
+        middle = at.groupBy("leaf").agg(F.avg("at").alias("mid"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+        halved = at.join(F.broadcast(middle), "leaf")
+        apart = (F.col("lo") <= F.col("mid")) & (F.col("mid") < F.col("hi"))
+        parts.append(halved.where(~apart).select(F.xxhash64("leaf", F.pmod(F.xxhash64("node", "leaf"), F.ceil(F.col("n") / GROUP))).alias("leaf"), "node"))
+        rows = written(halved.where(apart).select("node", "tree", F.xxhash64("leaf", F.col("at") > F.col("mid")).alias("leaf")))
+
+
+def _changed(new: DataFrame, old: DataFrame) -> float:
+    """The share of neighbour entries of new that old does not have."""
+    ids = lambda near: F.transform(near, lambda e: e["id"])
+    both = new.join(old.select("node", F.col("near").alias("was")), "node", "left")
+    added = F.size(F.array_except(ids(F.col("near")), F.coalesce(ids(F.col("was")), F.array().cast("array<long>"))))
+    sums = both.agg(F.sum(added).alias("added"), F.sum(F.size("near")).alias("all")).first()
+    return (sums.added or 0) / (sums["all"] or 1)
+
+
+def build(nodes: DataFrame, k: int = K, settled: float = SETTLED) -> tuple[DataFrame, DataFrame]:
+    """The 16-bit vectors (node, vec) and the graph (node, near) of nodes, both written."""
     spark = nodes.sparkSession
     unit = F.transform("embedding", lambda x: x / F.sqrt(_dot(F.col("embedding"), F.col("embedding"))))
     first = nodes.select(F.max(F.array_max(F.transform(unit, lambda x: F.abs(x)))).alias("top"), F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    scale, n, d = 127.0 / (first.top or 1.0), first.n, first.d or 1
+    scale, n, d = 32767.0 / (first.top or 1.0), first.n, first.d or 1
     bits = max(0, int(np.ceil(np.log2(max(1, n) / GROUP))))
     planes = spark.sparkContext.broadcast(np.random.default_rng(SEED).standard_normal((d, TREES * max(1, bits))))
 
@@ -131,20 +168,21 @@ def build(nodes: DataFrame, rounds: int = ROUNDS, k: int = K) -> tuple[DataFrame
             x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
             sides = (x @ planes.value > 0).astype(np.int64).reshape(len(x), TREES, max(1, bits))
             codes = (sides << np.arange(max(1, bits))).sum(axis=2) if bits else np.zeros((len(x), TREES), np.int64)
-            vec = np.clip(np.round(x * scale), -127, 127).astype(np.int8)
+            vec = np.clip(np.round(x * scale), -32767, 32767).astype(np.int16)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([v.tobytes() for v in vec], pa.binary()), pa.array(list(codes), pa.list_(pa.int64()))], names=["node", "vec", "codes"])
 
     coded = written(nodes.select("node", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "node long, vec binary, codes array<long>"))
     vectors = coded.select("node", "vec")
-    trees = coded.select("node", "vec", F.posexplode("codes").alias("tree", "code"))
-    sizes = trees.groupBy("tree", "code").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("cuts"))
-    leaf = F.xxhash64("tree", "code", F.pmod(F.xxhash64("node", "tree"), F.col("cuts")))
-    graph = written(_merged(_local_join(trees.join(sizes, ["tree", "code"]).select(leaf.alias("leaf"), "node", "vec"), "leaf", k), k))
-    for _ in range(rounds):
+    leaves = _uncrowded(coded.select("node", "codes"), nodes.select("node", F.col("embedding").cast("array<double>").alias("embedding")).select("node", unit.alias("x")), d)
+    graph = written(_merged(_local_join(leaves.join(vectors, "node").select("leaf", "node", "vec"), "leaf", k), k))
+    while True:
         met = _around(graph, k).join(vectors, "node")
         new = written(_merged(_local_join(met.select("v", "node", "vec"), "v", TAKEN).union(graph), k))
+        changed = _changed(new, graph)
         release(graph)
         graph = new
+        if changed < settled:
+            break
     return vectors, graph
 
 
@@ -162,26 +200,27 @@ def _measure(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
                 width = len(part.column("vec")[0].as_py())
                 ids = part.column("ids")
                 n = np.diff(np.asarray(ids.offsets))
-                near = _binary(part.column("vecs"), width).astype(np.float32)
-                mine = np.repeat(_binary(part.column("vec"), width).astype(np.float32), n, axis=0)
-                score = np.einsum("ij,ij->i", near, mine).astype(np.int32)
+                near = _binary(part.column("vecs"), width).astype(np.float64)
+                near -= np.repeat(_binary(part.column("vec"), width).astype(np.float64), n, axis=0)
+                score = -np.einsum("ij,ij->i", near, near).astype(np.int64)
                 found = pa.StructArray.from_arrays([pa.array(score), ids.flatten()], names=["score", "id"])
                 yield pa.RecordBatch.from_arrays([part.column("q"), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), found)], names=["q", "near"])
 
-    return rows.mapInArrow(run, "q long, near array<struct<score:int,id:long>>")
+    return rows.mapInArrow(run, "q long, near array<struct<score:long,id:long>>")
 
 
-def search(vectors: DataFrame, graph: DataFrame, starts: DataFrame, hops: int = HOPS, beam: int = BEAM, expanded: int = EXPANDED, k: int = K) -> DataFrame:
-    """For starts (q): (q, ids), the nodes of the final beam, nearest first; q itself is not among them."""
+def search(vectors: DataFrame, graph: DataFrame, starts: DataFrame, answers: int, beam: int = BEAM, expanded: int = EXPANDED, k: int = K) -> DataFrame:
+    """For starts (q): (q, ids), the nodes of the final beam that can be among the nearest `answers`; q itself is not
+    among them. Rounding moves a distance by sqrt(dimensions) at most, in units of the scale."""
     nearby = _adjacency(graph, vectors, k).repartition(F.col("v")).persist()
     asked = written(starts.join(vectors, starts.q == vectors.node).select("q", "vec"))
-    state = asked.select("q", "vec", F.array().cast("array<struct<score:int,id:long>>").alias("beam"), F.array().cast("array<long>").alias("done"), F.array("q").alias("next"))
-    for _ in range(hops):
+    state = asked.select("q", "vec", F.array().cast("array<struct<score:long,id:long>>").alias("beam"), F.array().cast("array<long>").alias("done"), F.array("q").alias("next"))
+    while True:
         met = state.select("q", "vec", F.explode("next").alias("v")).join(nearby, "v")
         found = _measure(met.select("q", "vec", "ids", "vecs")).union(state.select("q", F.col("beam").alias("near")))
         best = _merged(found.withColumnRenamed("q", "node"), beam + 1).select(F.col("node").alias("q"), F.filter("near", lambda e: e["id"] != F.col("node")).alias("beam"))
@@ -192,9 +231,14 @@ def search(vectors: DataFrame, graph: DataFrame, starts: DataFrame, hops: int =
         )
         release(state)
         state = new
+        if state.where(F.size("next") > 0).isEmpty():
+            break
     nearby.unpersist()
     release(asked)
-    return state.select("q", F.transform("beam", lambda e: e["id"]).alias("ids"))
+    distance = lambda e: F.sqrt(-e["score"])
+    last = distance(F.get(F.col("beam"), F.least(F.lit(answers), F.size("beam")) - 1))
+    within = last + 2 * F.sqrt(F.length("vec") / 2) + 1
+    return state.select("q", F.transform(F.filter("beam", lambda e: distance(e) <= within), lambda e: e["id"]).alias("ids"))
 
 
 def nearest(embeddings: DataFrame, every: int, answers: int = 5) -> DataFrame:
@@ -211,8 +255,8 @@ def nearest(embeddings: DataFrame, every: int, answers: int = 5) -> DataFrame:
     queries = rows.where((F.col("vec_id") % every == 0) & usable(F.col("embedding"))).select(F.col("vec_id").alias("query_id"), "embedding")
     asked = written(queries.join(nodes.select("node", "embedding"), "embedding").select("query_id", F.col("node").alias("q")))
     starts = asked.select("q").distinct()
-    found = search(vectors, graph, starts)
-    pairs = found.select("q", F.explode(F.concat(F.array("q"), F.slice("ids", 1, MEASURED))).alias("node"))
+    found = search(vectors, graph, starts, answers)
+    pairs = found.select("q", F.explode(F.concat(F.array("q"), "ids")).alias("node"))
     exact = nodes.select("node", "members", F.col("embedding").cast("array<double>").alias("x"))
     mine = exact.select(F.col("node").alias("q"), F.col("x").alias("y"))
     score = _dot(F.col("x"), F.col("y")) / (F.sqrt(_dot(F.col("x"), F.col("x"))) * F.sqrt(_dot(F.col("y"), F.col("y"))))

@@ -330,6 +330,23 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), every=50).count() == 0
 
 
+def test_neighbours_in_a_dense_cluster(spark):
+    """2,000 near copies of one vector, far closer to each other than 8-bit values can tell, fall into one crowded code."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal(16) + 1e-3 * rng.standard_normal((2000, 16)), rng.standard_normal((500, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in neighbours.nearest(df, every=50).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, answers in got.items():
+        far = ((u - u[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits += len(answers & set(np.argsort(far)[:5].tolist()))
+    assert len(got) == 50 and hits >= 0.9 * 5 * 50
+
+
 # --- 9
 
 
