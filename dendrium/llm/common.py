@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for cut lineage; a local one is set only where none is named, as in tests."""
+    """The cluster's shared folder for cut lineage. Where none is named, a session in one process, as in tests, gets a
+    folder of its own; on a cluster that would lose data, so it is an error there."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="dendrium-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")

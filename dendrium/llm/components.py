@@ -2,38 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from dendrium.llm.common import release, written
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """For links (a, b): a table (node, comp) of all their nodes, comp being the smallest node that can be reached.
 
     Each round a node takes the smallest label among its own and its neighbours', then the label of that label. Labels
-    are summed up map-side; every round is a written table, so a lost executor costs one round at most.
+    are summed up map-side; every round is a written table, so a lost executor costs one round at most. Labels only fall,
+    so the rounds end.
     """
     both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a != b").distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
-    for _ in range(most_rounds):
-        seen = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("near")), "b").select(F.col("a").alias("node"), F.col("near").alias("comp"))
-        low = written(seen.union(labels).groupBy("node").agg(F.min("comp").alias("comp")))
+    while True:
+        seen = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("near")), "b").select(F.col("a").alias("node"), F.col("near").alias("comp"), F.lit(None).cast("long").alias("was"))
+        low = seen.union(labels.select("node", "comp", F.col("comp").alias("was"))).groupBy("node").agg(F.min("comp").alias("comp"), F.max("was").alias("was"))
         jump = low.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = written(
-            low.join(jump, "comp", "left").select("node", F.least(F.coalesce("far", "comp"), "comp").alias("comp"))
-            .join(labels.select("node", F.col("comp").alias("was")), "node").select("node", "comp", (F.col("comp") != F.col("was")).alias("moved"))
-        )
-        release(low), release(labels)
+        moved = Observation()
+        new = low.join(jump, "comp", "left").select("node", F.least(F.coalesce("far", "comp"), "comp").alias("comp"), "was")
+        new = written(new.observe(moved, F.max(F.col("comp") != F.col("was")).alias("any")).select("node", "comp"))
+        release(labels)
         labels = new
-        if new.where("moved").isEmpty():
+        if not moved.get["any"]:
             release(both)
-            return labels.select("node", "comp")
-        labels = _as_labels(new)
-    raise RuntimeError("components did not settle")
-
-
-def _as_labels(table: DataFrame) -> DataFrame:
-    out = table.select("node", "comp")
-    out._dendrium_path = table._dendrium_path
-    return out
+            return labels

@@ -1,18 +1,25 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, down to the classes of linked documents.
 
-1. Every text becomes its set of shingle hashes. Documents with equal sets are one node (64 bits of a sum over the
+1. Every text becomes its set of shingle hashes. Documents with equal sets are one node (64 bits of two sums over the
    set); a histogram of hash buckets over all sets, of fixed size, estimates how frequent a shingle is.
 2. A node's shingles are ordered by that estimate, rarest first. Two sets of sizes n and m that are similar enough
    share at least `need` shingles, so the first n - ceil(t n) + k and m - ceil(t m) + k of them share k. Each node
    chooses its own k: a longer prefix costs more postings, but a candidate must share more of it before it is
    verified; k is where the estimated cost of postings and verifications is least.
-3. Postings of shingles that two nodes share meet in joins. First, each node meets one node that
-   stands for each of its shingles; the best partners are verified, and what links is contracted; so once more. Then only nodes of different components
-   meet: components that share a shingle are paired, and their members after that, so that a group of near copies
-   is never expanded into its pairs. The postings of a shingle with many components are dealt out by classes of
-   set sizes first, where nodes with fewer shared shingles than partners of that size ask for drop out. A pair is verified if it shares as many prefix shingles as similar sets must:
-   with c shared, the sets share at most c + ceil(t n) - k in all, n and k of the node whose prefix ends first.
-4. Verified links are closed into components.
+3. Groups of near copies are not expanded into pairs. Of the nodes in whose prefixes a shingle lies, the one with most
+   shared shingles stands for it; each node is compared with the two that stand for most of its shingles. Who links is
+   contracted, and who is merely near (NEAR) becomes a member of that node's star. Each node then meets nodes that
+   stand for its shingles in other components, once, and what links is contracted as well.
+4. Within a star, members are compared by their differences from its middle R: a member lacks a of R's shingles and has
+   b others. X and Y link if their differences share at least (a + b + a' + b' - h (n + m)) / 2, h = (1 - t) / (1 + t).
+   Members that link with R are one component. For another member Y, let X and Y share none of the shingles that R
+   lacks; then 2 min(a, a') >= a + b + a' + b' - h (n + m) > a (1 + h) + b (1 - h), hence a > b. So pairs meet on shingles
+   that R lacks, which are few and rare, and only members with a > b meet on shingles that they lack as well.
+5. Nodes of different stars meet on prefix shingles: stars first, members only of stars whose middles are near
+   enough (by the triangle inequality of set differences). The postings of a shingle with many stars are dealt out by
+   classes of set sizes first. A pair is verified if it shares as many prefix shingles as similar sets must: with c
+   shared, the sets share at most c + ceil(t n) - k in all, n and k of the node whose prefix ends first.
+6. Verified links are closed into components.
 
 No cap anywhere: the histogram only sets an order, which is right whatever it is, and bitmaps only drop what
 cannot match. Shingles and nodes are compared as 64-bit hashes.
@@ -23,10 +30,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from dendrium.llm.common import WORD, release, table, written
+from dendrium.llm.common import release, table, written
 from dendrium.llm.components import components
 from dendrium.llm.packing import slices
 from dendrium.llm.reduce import added, bitmap, parts_of
@@ -36,9 +43,11 @@ BUCKETS = 1 << 20
 LONGEST = 8
 #: Cost of a verification in postings, for choosing k.
 VERIFY_COST = 30.0
-SLICE_BYTES = 4_000_000
-#: Components beyond which a shingle's postings are dealt out by size, and the ratio of those classes.
+SLICE_BYTES = 1_000_000
+#: Stars beyond which a shingle's postings are dealt out by size, and the ratio of those classes.
 CROWDED, CLASS_RATIO = 32, 1.03
+#: Similarity with its middle, in percent, that makes a node a member of a star, and comparisons with one set in a task.
+NEAR, FAN = 50, 400
 
 
 @dataclass(frozen=True)
@@ -48,6 +57,11 @@ class Rule:
     words: int
     percent: int
 
+    @property
+    def slack(self) -> float:
+        """Sets of n and m shingles link if they differ in slack * (n + m) at most."""
+        return (100 - self.percent) / (100 + self.percent)
+
     def least(self, n):
         """ceil(t * n): what a set of n shares at least with a similar one."""
         return -((-self.percent * n) // 100)
@@ -78,7 +92,8 @@ def prefix(s: np.ndarray, estimate: np.ndarray, usual: float, rule: Rule) -> tup
 
 
 def _facts(docs: DataFrame, rule: Rule) -> DataFrame:
-    """A row (doc_id, n, node) for each document, and rows (part, counts) of the tasks' histograms."""
+    """A row (doc_id, key, n, node) for each document, and rows (part, counts) of the tasks' histograms."""
+    names = ["doc_id", "key", "n", "node", "part", "counts"]
 
     def run(batches):
         import pyarrow as pa
@@ -87,18 +102,17 @@ def _facts(docs: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             for piece in slices(batch, "text", SLICE_BYTES):
                 sets = shingle_sets(piece.column("text"), rule.words)
-                if any(len(s) for s in sets):
-                    total += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                for s in sets:
+                    np.add.at(total, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
                 n = pa.array([len(s) for s in sets], pa.int64())
                 node = pa.array([node_of(s) for s in sets], pa.int64())
                 none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), n, node, *none], names=["doc_id", "n", "node", "part", "counts"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), n, node, *none], names=names)
         parts = parts_of(total)
-        k = parts.num_rows
-        if k:
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), *parts.columns], names=["doc_id", "n", "node", "part", "counts"])
+        if k := parts.num_rows:
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, *parts.columns], names=names)
 
-    return written(docs.mapInArrow(run, "doc_id long, n long, node long, part int, counts binary"))
+    return written(docs.mapInArrow(run, "doc_id long, key long, n long, node long, part int, counts binary"))
 
 
 def _prefixes(docs: DataFrame, rule: Rule, histogram: np.ndarray) -> DataFrame:
@@ -116,12 +130,14 @@ def _prefixes(docs: DataFrame, rule: Rule, histogram: np.ndarray) -> DataFrame:
                 columns = [pa.array([node_of(s) for s, _, _ in rows], pa.int64()), pa.array([len(s) for s, _, _ in rows], pa.int32()), pa.array([k for _, _, k in rows], pa.int32()), tokens]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "k", "tokens"])
 
-    return written(docs.mapInArrow(run, "node long, n int, k int, tokens array<long>"))
+    return written(docs.select("text").mapInArrow(run, "node long, n int, k int, tokens array<long>"))
 
 
-def _postings(prefixes: DataFrame, shared) -> DataFrame:
-    """A row (token, node, n, k) for each prefix shingle that may be shared."""
-    shipped = prefixes.sparkSession.sparkContext.broadcast(shared)
+def _postings(prefixes: DataFrame) -> DataFrame:
+    """A row (token, node, n, k, cnt) for each prefix shingle that several nodes have; cnt counts a node's."""
+    tokens = prefixes.select(F.explode("tokens").alias("token"), "node")
+    shared = written(tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token"))
+    shipped = prefixes.sparkSession.sparkContext.broadcast(bitmap(shared, F.col("token"), shared.count()))
 
     def run(batches):
         import pyarrow as pa
@@ -134,12 +150,15 @@ def _postings(prefixes: DataFrame, shared) -> DataFrame:
             row = pa.array(np.asarray(pc.list_parent_indices(tokens))[ok])
             yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), *(batch.column(c).take(row) for c in ("node", "n", "k"))], names=["token", "node", "n", "k"])
 
-    return prefixes.mapInArrow(run, "token long, node long, n int, k int").distinct()
+    plain = written(prefixes.mapInArrow(run, "token long, node long, n int, k int").distinct().join(shared, "token"))
+    out = written(plain.join(plain.groupBy("node").agg(F.count("*").alias("cnt")), "node").select("token", "node", "n", "k", "cnt"))
+    release(plain), release(shared)
+    return out
 
 
-def _sets(docs: DataFrame, rule: Rule, wanted) -> DataFrame:
-    """A row (node, tokens) for each node that may be wanted; tokens is its whole set."""
-    shipped = docs.sparkSession.sparkContext.broadcast(wanted)
+def _sets(docs: DataFrame, rule: Rule, wanted: DataFrame) -> DataFrame:
+    """A row (node, tokens) for each wanted node, and perhaps for some more; tokens is its whole set."""
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, F.col("node"), wanted.count()))
 
     def run(batches):
         import pyarrow as pa
@@ -157,12 +176,33 @@ def _sets(docs: DataFrame, rule: Rule, wanted) -> DataFrame:
     return written(rows.groupBy("node").agg(F.first("tokens").alias("tokens")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that link."""
-    left, right = (sets.select(F.col("node").alias(x), F.col("tokens").alias(f"{x}_set")) for x in "ab")
-    both = pairs.select("a", "b").join(right, "b").join(left, "a")
-    shared, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
-    return both.where(100 * shared >= rule.percent * (total - shared)).select("a", "b")
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds a_set and b_set to written pairs (a, b). A node that many are compared with (as b) has its set copied, once for each
+    FAN of them, so that it is no hot key."""
+    copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / FAN).cast("int").alias("copies"))
+    many = copies.where("copies > 1")
+    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("a_set"))
+    right = sets.withColumnRenamed("node", "b").join(copies, "b").select("b", F.col("tokens").alias("b_set"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    dealt = pairs.join(many, "b", "left").withColumn("copy", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    return dealt.join(left, "a").join(right, ["b", "copy"]).drop("copy")
+
+
+def _with_shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds shared, the size of the intersection, and both, that of the sets together, to written pairs (a, b)."""
+    out = _compared(pairs, sets).withColumns({"shared": F.size(F.array_intersect("a_set", "b_set")), "both": F.size("a_set") + F.size("b_set")})
+    return out.drop("a_set", "b_set")
+
+
+def _link(rule: Rule) -> Column:
+    return 100 * F.col("shared") >= rule.percent * (F.col("both") - F.col("shared"))
+
+
+def _links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that link, written."""
+    pairs = written(pairs.select("a", "b"))
+    out = written(_with_shared(pairs, sets).where(_link(rule)).select("a", "b"))
+    release(pairs)
+    return out
 
 
 def _sizes_fit(rule: Rule) -> Column:
@@ -181,25 +221,94 @@ def _may_link(rule: Rule) -> Column:
     return _sizes_fit(rule) & (F.least("cnt", "cnt2") >= must)
 
 
-def _counted(postings: DataFrame) -> DataFrame:
-    """Adds cnt, how many postings a node has."""
-    return postings.join(postings.groupBy("node").agg(F.count("*").alias("cnt")), "node")
+def _first_pairs(postings: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): each node and the two that stand for most of its shingles. A shingle's node is the one with most shared
+    shingles (cnt, then node), as those in the middle of a group have; so b is above a in that order."""
+    low = postings.groupBy("token").agg(F.max(F.struct("cnt", "node", "n", "k")).alias("low"))
+    met = postings.join(low, "token").where(F.col("node") != F.col("low.node")).select(
+        F.col("node").alias("a"), "n", "k", "cnt", F.col("low.node").alias("b"), F.col("low.n").alias("m"), F.col("low.k").alias("l"), F.col("low.cnt").alias("cnt2")
+    )
+    counted = met.where(_may_link(rule)).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("cnt2").alias("cnt2"))
+    best = counted.groupBy("a").agg(F.max(F.struct("c", "cnt2", "b")).alias("one"), F.max(F.struct("c", F.bitwise_not("b").alias("b"))).alias("two"))
+    return best.select("a", F.explode(F.array_distinct(F.array(F.col("one.b"), F.bitwise_not("two.b")))).alias("b"))
+
+
+def _stars(near: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """For written (a, b, shared, both): members (node, star, n, lacks, has) with their differences from the middle of their
+    star; lacks and has are arrays. Nodes that are near nobody above them are middles, and not among the members."""
+    jaccard = 100 * F.col("shared") >= NEAR * (F.col("both") - F.col("shared"))
+    up = near.where(jaccard).groupBy("a").agg(F.max(F.struct((F.col("shared") / (F.col("both") - F.col("shared"))).alias("j"), "b")).alias("best"))
+    at = written(up.select(F.col("a").alias("node"), F.col("best.b").alias("star")))
+    while True:  # b is above a, so paths end; each round halves them
+        over = at.select(F.col("node").alias("star"), F.col("star").alias("over"))
+        moved = Observation()
+        new = at.join(over, "star", "left").observe(moved, F.max(F.col("over").isNotNull()).alias("any"))
+        new = written(new.select("node", F.coalesce("over", "star").alias("star")))
+        release(at)
+        at = new
+        if not moved.get["any"]:
+            break
+    pairs = written(at.select(F.col("node").alias("a"), F.col("star").alias("b")))
+    release(at)
+    both = _compared(pairs, sets).select(
+        F.col("a").alias("node"), F.col("b").alias("star"), F.size("a_set").alias("n"), F.size("b_set").alias("size"),
+        F.array_except("b_set", "a_set").alias("lacks"), F.array_except("a_set", "b_set").alias("has"),
+    )
+    shared, union = F.col("n") - F.size("has"), F.col("size") + F.size("has")
+    out = written(both.where(100 * shared >= NEAR * union).withColumn("border", 100 * shared < rule.percent * union))
+    release(pairs)
+    return out
 
 
-def _first_pairs(postings: DataFrame, rule: Rule, labels: DataFrame | None = None) -> DataFrame:
-    """For each node, the two that share most of its shingles among those chosen to stand for a shingle: the nodes with
-    most shared shingles, as they are in the middle of their group, or, with labels, any, and of other components."""
-    known = postings.withColumn("comp", F.col("node"))
-    if labels is not None:
-        known = postings.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    order = F.col("cnt") if labels is None else F.xxhash64("node")
-    low = known.groupBy("token").agg(F.max(F.struct(order.alias("order"), "node", "n", "k", "cnt", "comp")).alias("low"))
-    met = known.join(low, "token").where(F.col("comp") != F.col("low.comp")).select(
-        F.col("node").alias("a"), "n", "k", "cnt", F.col("low.node").alias("b"), F.col("low.n").alias("m"), F.col("low.k").alias("l"), F.col("low.cnt").alias("cnt2")
-    )
-    counted = met.where(_may_link(rule)).groupBy("a", "b").agg(F.count("*").alias("c"))
-    best = counted.groupBy("a").agg(F.max(F.struct("c", "b")).alias("one"), F.max_by(F.struct("b"), F.struct(F.col("c"), -F.col("b"))).alias("two"))
-    return best.select("a", F.explode(F.array_distinct(F.array(F.col("one.b"), F.col("two.b")))).alias("b"))
+def _differ(x: str = "") -> tuple[Column, Column, Column]:
+    return F.col(f"a{x}"), F.col(f"b{x}"), F.col(f"n{x}")
+
+
+def _may_link_in_star(rule: Rule, shared_has: Column | None = None) -> Column:
+    """For members with a, b, n and a2, b2, n2: whether they can share enough of their differences."""
+    (a, b, n), (a2, b2, n2) = _differ(), _differ("2")
+    most = F.least(a, a2) + (F.least(b, b2) if shared_has is None else shared_has)
+    return 2 * most >= a + b + a2 + b2 - rule.slack * (n + n2) - 1e-6
+
+
+def _star_pairs(members: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of members of one star that may link and are in different components."""
+    sized = members.select("node", "star", "n", "border", F.size("lacks").alias("a"), F.size("has").alias("b"), "lacks", "has")
+    known = written(sized.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    narrow = ["star", "token", "node", "comp", "border", "n", "a", "b"]
+    has = known.select(F.explode("has").alias("token"), *[c for c in narrow if c != "token"])
+    mixed = has.groupBy("star", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("border").alias("edge")).where("lo != hi and edge").select("star", "token")
+    has = written(has.join(mixed, ["star", "token"]))
+    renamed = {c: f"{c}2" for c in narrow if c not in ("star", "token")}
+    other = F.col("comp") != F.col("comp2")
+    one = has.join(has.withColumnsRenamed(renamed), ["star", "token"]).where(other & (F.col("node") < F.col("node2")) & (F.col("border") | F.col("border2")) & _may_link_in_star(rule))
+    one = one.groupBy("node", "node2").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("a", "b", "n", "a2", "b2", "n2")])
+    pairs = one.where(_may_link_in_star(rule, F.col("c"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    h = rule.slack
+    least = F.floor((F.col("a") * (1 + h) + F.col("b") * (1 - h)) / 2 - 1e-6) + 1
+    lossy = known.where("a > b").select(F.explode(F.slice("lacks", F.lit(1), (F.col("a") - least + 1).cast("int"))).alias("token"), *[c for c in narrow if c != "token"])
+    border = known.where("border").select(F.explode("lacks").alias("token"), *[c for c in narrow if c != "token"]).withColumnsRenamed(renamed)
+    fits = other & (~F.col("border") | (F.col("a2") > F.col("b2"))) & _may_link_in_star(rule)
+    two = lossy.join(border, ["star", "token"]).where(fits).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    out = written(pairs.union(two).distinct())
+    release(has), release(known)
+    return out
+
+
+def _second_pairs(postings: DataFrame, rule: Rule, labels: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): each node and the one that most of its shingles meet among one node for each shingle, of other components.
+    Members of one star whose differences are too many do not meet."""
+    sized = members.select("node", "star", F.size("lacks").alias("a"), F.size("has").alias("b"))
+    known = postings.join(labels, "node", "left").join(sized, "node", "left").withColumns({"comp": F.coalesce("comp", "node"), "star": F.coalesce("star", "node"), "a": F.coalesce("a", F.lit(0)), "b": F.coalesce("b", F.lit(0))})
+    all_of = ["node", "n", "k", "cnt", "comp", "star", "a", "b"]
+    by = F.xxhash64("node").alias("o")
+    low = known.groupBy("token").agg(F.max(F.struct(by, *all_of)).alias("hi"), F.min(F.struct(by, *all_of)).alias("lo"))
+    one = F.when(F.col("comp") != F.col("hi.comp"), F.col("hi")).when(F.col("comp") != F.col("lo.comp"), F.col("lo"))
+    met = known.join(low, "token").withColumn("x", one).where("x is not null").drop("hi", "lo")
+    met = met.withColumns({"m": F.col("x.n"), "l": F.col("x.k"), "cnt2": F.col("x.cnt"), "n2": F.col("x.n"), "a2": F.col("x.a"), "b2": F.col("x.b")})
+    met = met.where(_may_link(rule) & ((F.col("star") != F.col("x.star")) | _may_link_in_star(rule)))
+    counted = met.groupBy("node", F.col("x.node").alias("y")).agg(F.count("*").alias("c"))
+    return counted.groupBy("node").agg(F.max(F.struct("c", "y")).alias("best")).select(F.col("node").alias("a"), F.col("best.y").alias("b"))
 
 
 def _by_class(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -219,38 +328,90 @@ def _by_class(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.withColumn("own", own).withColumn("j", F.explode(fits)).withColumns({"lo": F.least("own", "j"), "hi": F.greatest("own", "j")}).drop("own", "j")
 
 
-def _cross_pairs(postings: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs of nodes in different components that share as many prefix shingles as linked ones must."""
-    known = postings.drop("cnt").join(labels, "node", "left").select("token", "node", "n", "k", F.coalesce("comp", "node").alias("comp"))
-    known = written(known)
-    mixed = known.select("token", "comp").distinct().groupBy("token").agg(F.count("*").alias("comps")).where("comps > 1")
-    known, old = written(_counted(known.join(mixed, "token"))), known
+def _cross_pairs(postings: DataFrame, labels: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of nodes in different stars and components that share as many prefix shingles as linked ones must."""
+    sized = members.select("node", "star", (F.size("lacks") + F.size("has")).alias("d"))
+    known = postings.drop("cnt").join(labels, "node", "left").join(sized, "node", "left")
+    known = written(known.select("token", "node", "n", "k", F.coalesce("comp", "node").alias("comp"), F.coalesce("star", "node").alias("star"), F.coalesce("d", F.lit(0)).alias("d")))
+    mixed = known.groupBy("token", "star").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).groupBy("token").agg(F.count("*").alias("stars"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    known, old = written(known.join(mixed.where("stars > 1 and lo != hi").select("token", "stars"), "token")), known
+    release(old)
+    known, old = written(known.join(known.groupBy("node").agg(F.count("*").alias("cnt")), "node")), known
     release(old)
-    crowded = F.col("comps") > CROWDED
+    crowded = F.col("stars") > CROWDED
     plain = known.where(~crowded).withColumns({"lo": F.lit(-1), "hi": F.lit(-1)})
-    known, old = written(plain.unionByName(_by_class(known.where(crowded), rule)).drop("comps")), known
+    known, old = written(plain.unionByName(_by_class(known.where(crowded), rule)).drop("stars")), known
     release(old)
     key = ["token", "lo", "hi"]
-    groups = known.groupBy(*key, "comp").agg(F.max("cnt").alias("cnt"), F.min("n").alias("n"), F.max("n").alias("most"), F.max("k").alias("k"), F.count("*").alias("members"))
-    names = {"comp": "other", "cnt": "cnt2", "n": "m", "most": "most2", "k": "l", "members": "members2"}
+    groups = known.groupBy(*key, "star").agg(
+        F.max("cnt").alias("cnt"), F.min("n").alias("n"), F.max("n").alias("most"), F.max("k").alias("k"), F.max("d").alias("d"),
+        F.count("*").alias("members"), F.min("comp").alias("comp"), F.max("comp").alias("last"),
+    )
+    groups = written(groups)
+    names = {"star": "star2", "cnt": "cnt2", "n": "m", "most": "most2", "k": "l", "members": "members2", "d": "d2", "comp": "comp2", "last": "last2"}
     near = (100 * F.col("most2") >= rule.percent * F.col("n")) & (100 * F.col("most") >= rule.percent * F.col("m"))
     alone = (F.col("members") == 1) & (F.col("members2") == 1)
-    met = groups.join(groups.withColumnsRenamed(names), key).where((F.col("comp") < F.col("other")) & near & (~alone | _may_link(rule))).select(*key, "comp", "other")
-    left = known.select(*key, "comp", F.col("node").alias("a"), "n", "k", "cnt")
-    right = known.select(*key, F.col("comp").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("k").alias("l"), F.col("cnt").alias("cnt2"))
-    pairs = met.join(left, [*key, "comp"]).join(right, [*key, "other"]).where(_may_link(rule))
+    apart = (F.col("comp") != F.col("comp2")) | (F.col("comp") != F.col("last")) | (F.col("comp2") != F.col("last2"))
+    met = written(groups.join(groups.withColumnsRenamed(names), key).where((F.col("star") < F.col("star2")) & near & apart & (~alone | _may_link(rule))))
+    stars = written(met.groupBy(F.col("star").alias("a"), F.col("star2").alias("b")).agg(
+        F.max(F.col("d") + F.col("d2")).alias("ds"), F.max(F.col("most") + F.col("most2")).alias("sizes"),
+        F.count("*").alias("c"), F.max(F.greatest("members", "members2")).alias("members"), *[F.first(x).alias(x) for x in ("n", "m", "k", "l")],
+    ))
+    lone = (F.col("ds") == 0) & (F.col("members") == 1)  # only middles have no differences
+    enough = F.col("c") >= _must(rule, F.col("n"), F.col("m"), F.col("k"), F.col("l"))
+    direct = stars.where(lone & enough).select("a", "b")
+    wide = written(stars.where(~lone).select("a", "b", "ds", "sizes"))
+    apart_by = F.col("both") - 2 * F.col("shared")
+    reach = _with_shared(wide, sets).withColumn("apart", apart_by).where(F.col("apart") - F.col("ds") <= rule.slack * F.col("sizes") + 1e-6)
+    reach = written(reach.select(F.col("a").alias("star"), F.col("b").alias("star2"), "apart"))
+    pairs = met.select(*key, "star", "star2").join(reach, ["star", "star2"])
+    left = known.select(*key, "star", F.col("node").alias("a"), "n", "k", "cnt", "comp", "d")
+    right = known.select(*key, F.col("star").alias("star2"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("k").alias("l"), F.col("cnt").alias("cnt2"), F.col("comp").alias("comp2"), F.col("d").alias("d2"))
+    close = F.col("apart") - F.col("d") - F.col("d2") <= rule.slack * (F.col("n") + F.col("m")) + 1e-6
+    pairs = pairs.join(left, [*key, "star"]).join(right, [*key, "star2"]).where((F.col("comp") != F.col("comp2")) & close & _may_link(rule))
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in "nmkl"])
-    return counted.where(F.col("c") >= _must(rule, F.col("n"), F.col("m"), F.col("k"), F.col("l"))).select("a", "b")
+    out = written(direct.union(counted.where(enough).select("a", "b")))
+    for t in (known, groups, met, stars, wide, reach):
+        release(t)
+    return out
 
 
-def _links(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs that link, verified on the whole sets of the nodes that are in a pair."""
-    pairs = written(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = _sets(docs, rule, bitmap(nodes, F.col("node"), nodes.count()))
-    out = written(_verified(pairs, sets, rule))
-    release(pairs), release(sets)
-    return out
+def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Returns doc_id, key, n_shingles, component_id and keeper (the key of the row that names the component: smallest doc_id,
+    then key), a row for each row of docs (doc_id long, key long, text)."""
+    rule = Rule(words, percent)
+    facts = _facts(docs, rule)
+    parts = facts.where("part is not null")
+    histogram = added(parts.select("part", "counts"), max(1, parts.groupBy("part").count().agg(F.max("count")).first()[0] or 1), BUCKETS)
+    facts = facts.where("part is null").select("doc_id", "key", "n", "node")
+    prefixes = _prefixes(docs, rule, histogram)
+    postings = _postings(prefixes)
+    release(prefixes)
+    sets = _sets(docs, rule, postings.select("node").distinct())
+    first = written(_first_pairs(postings, rule))
+    near = written(_with_shared(first, sets))
+    release(first)
+    links = near.where(_link(rule)).select("a", "b")
+    members = _stars(near, sets, rule)
+    links = links.union(members.where(~F.col("border")).select(F.col("node").alias("a"), F.col("star").alias("b")))
+    labels = components(links)
+    links = links.union(_links(_second_pairs(postings, rule, labels, members), sets, rule))
+    release(labels)
+    labels = components(links)
+    in_star = _star_pairs(members, labels, rule)
+    links = links.union(_links(in_star.union(_cross_pairs(postings, labels, members, sets, rule)), sets, rule))
+    release(labels), release(postings), release(sets)
+    comps = components(links)
+    release(near), release(members), release(in_star)
+    first_of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    smallest = facts.where("n > 0").groupBy("node").agg(first_of)
+    named = written(smallest.join(comps, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp")))
+    names = named.groupBy("comp").agg(F.min("first").alias("first"))
+    per = written(named.select("node", "comp").join(names, "comp").select("node", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("keeper")))
+    release(named), release(comps)
+    n = F.col("n").alias("n_shingles")
+    linked = facts.where("n > 0").join(per, "node").select("doc_id", "key", n, "component_id", "keeper")
+    return linked.union(facts.where("n = 0").select("doc_id", "key", n, F.col("doc_id").alias("component_id"), F.col("key").alias("keeper")))
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -262,49 +423,31 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     count each; null ids do not name a component unless it has no other. No rows give no rows; columns besides doc_id
     and text are not looked at.
     """
-    rule = Rule(words, percent)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = _facts(docs, rule)
-    parts = facts.where("part is not null")
-    histogram = added(parts.select("part", "counts"), max(1, parts.groupBy("part").count().agg(F.max("count")).first()[0] or 1), BUCKETS)
-    facts = facts.where("part is null").select("doc_id", "n", "node")
-    prefixes = _prefixes(docs, rule, histogram)
-    shared = prefixes.select(F.explode("tokens").alias("token"), "node").groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
-    shared = written(shared)
-    postings = written(_postings(prefixes, bitmap(shared, F.col("token"), shared.count())).join(shared, "token"))
-    release(prefixes), release(shared)
-    postings, old = written(_counted(postings)), postings
-    release(old)
-    links = _links(docs, _first_pairs(postings, rule), rule)
-    links = links.union(_links(docs, _first_pairs(postings, rule, components(links)), rule))
-    links = links.union(_links(docs, _cross_pairs(postings, components(links), rule), rule))
-    release(postings)
-    comps = components(links)
-    smallest = facts.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
-    named = written(smallest.join(comps, "node", "left").select("node", "low", F.coalesce("comp", "node").alias("comp")))
-    names = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    per = written(named.join(names, "comp").select("node", "component_id"))
-    linked = facts.where("n > 0").join(per, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.union(facts.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+    return classes(rows, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, without those of a class (see join) but the one with its smallest doc_id.
+    """The rows of docs, with all their columns, without those of a class (see join) but one: that with the smallest doc_id
+    (a null one comes last), of several texts with that id the one with the smallest hash, and of equal ones any.
 
-    Of rows that share that id, the first by a hash of the text stays, and one of equal rows. Rows without words or
-    without an id all stay. Only ids and hashes are shuffled for this; texts meet the ids to drop in a join.
+    Rows without words, or with a null text, all stay. A row is known by doc_id and a hash of its text, so rows that share an id but
+    not a text are judged apart. Only ids and hashes are shuffled for this; texts meet the few keys to drop in a join.
     """
-    classes = join(docs, words, percent).where("n_shingles > 0")
-    goes = written(classes.where("doc_id != component_id").select(F.col("doc_id").alias("_goes")).distinct())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    rows = rows.withColumn("_id", F.col("_doc.doc_id").cast("long"))
-    kept = rows.join(goes, F.col("_id") == F.col("_goes"), "left_anti")
-    again = docs.groupBy("doc_id").count().where("count > 1").where(F.col("doc_id").isNotNull())
+    text = F.col("_doc.text").cast("string")
+    rows = rows.withColumns({"_id": F.col("_doc.doc_id").cast("long"), "_key": F.xxhash64(text)})
+    found = classes(rows.select(F.col("_id").alias("doc_id"), F.col("_key").alias("key"), text.alias("text")), words, percent).where("n_shingles > 0")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("keeper"))
+    goes = found.groupBy(F.coalesce("doc_id", F.lit(0)).alias("g_id"), F.col("doc_id").isNull().alias("g_none"), F.col("key").alias("g_key")).agg(F.count("*").alias("rows"), F.min(stays).alias("stays")).where("rows > 1 or not stays")
+    goes = written(goes)
+    same = (F.coalesce("_id", F.lit(0)) == F.col("g_id")) & (F.col("_id").isNull() == F.col("g_none")) & (F.col("_key") == F.col("g_key"))
+    kept = rows.join(goes, same, "left_anti").select("_doc.*")
+    again = goes.where("stays")
     if again.isEmpty():
-        return kept.select("_doc.*")
-    worded = F.col("_id").isNotNull() & F.coalesce(F.col("_doc.text").rlike(WORD), F.lit(False))
-    one = kept.where(worded).groupBy("_id").agg(F.min_by("_doc", F.xxhash64("_doc.text")).alias("_doc"))
-    return kept.where(~worded).select("_doc.*").union(one.select("_doc.*"))
+        return kept
+    one = rows.join(again, same).groupBy("g_id", "g_none", "g_key").agg(F.first("_doc").alias("_doc"))
+    return kept.union(one.select("_doc.*"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def added(parts: DataFrame, tasks: int, size: int) -> np.ndarray:
             break
         tasks = salts
     out = np.zeros((n_parts, PART), np.uint64)
-    for r in parts.toLocalIterator():
+    for r in parts.collect():
         out[r.part] += np.frombuffer(r.counts, "<u4")
     return out.reshape(-1)
 
@@ -60,8 +60,9 @@ class Bitmap:
         return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def bitmap(hashes: DataFrame, column: Column, count: int, most: int = 1 << 30) -> Bitmap:
-    """Of a column of 64-bit hashes of which there are about count: 16 bits each, at most `most` bits (128 MB)."""
+def bitmap(hashes: DataFrame, column: Column, count: int, most: int = 1 << 27) -> Bitmap:
+    """Of a column of 64-bit hashes of which there are about count: 16 bits each, at most `most` bits (16 MB). With more
+    hashes it keeps more than it should, up to everything; callers join with the hashes where that matters."""
     size = min(most, max(BIT_PART, 1 << (16 * max(1, count) - 1).bit_length()))
 
     def gather(batches):
@@ -79,6 +80,6 @@ def bitmap(hashes: DataFrame, column: Column, count: int, most: int = 1 << 30) -
     at = hashes.select(column.bitwiseAND(F.lit(size - 1)).alias("at"))
     made = at.repartition(max(1, min(size // BIT_PART, 64)), F.floor(F.col("at") / BIT_PART)).mapInArrow(gather, "part long, bits binary")
     out = np.zeros((size // BIT_PART, BIT_PART // 8), np.uint8)
-    for r in made.toLocalIterator():
+    for r in made.collect():
         out[r.part] |= np.frombuffer(r.bits, np.uint8)
     return Bitmap(out.reshape(-1))

@@ -9,6 +9,8 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Base of the rolling sum over a word's bytes, and its inverse modulo 2**64.
 _BASE = 0xA0761D6478BD642F
 _BACK = pow(_BASE, -1, 1 << 64)
+#: Bytes that are looked at together; a word may cross blocks, so memory does not grow with a text.
+BLOCK = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -31,15 +33,28 @@ def _byte_values() -> tuple[np.ndarray, np.ndarray]:
 VALUES, GAP = _byte_values()
 
 
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64, at least n of them."""
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.ones(size, np.uint64)
-        have[1:] = np.uint64(base)
-        _powers[name] = have = np.cumprod(have, dtype=np.uint64)
-    return have
+def _power(name: str, base: int) -> np.ndarray:
+    """1, base, base**2, ... modulo 2**64, for a block."""
+    if len(_powers.get(name, ())) != BLOCK:
+        have = np.full(BLOCK, base, np.uint64)
+        have[0] = 1
+        _powers[name] = np.cumprod(have, dtype=np.uint64)
+    return _powers[name]
+
+
+def _block(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and sums of the words (or parts of words) in a block; texts begin at edges."""
+    solid = ~GAP[raw]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    begins[edges] = solid[edges]  # a word ends with its text
+    start = np.flatnonzero(begins)
+    last = solid
+    last[:-1] &= ~last[1:] | begins[1:]
+    stop = np.flatnonzero(last) + 1
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(VALUES[raw] * _power("on", _BASE)[: len(raw)], out=sums[1:])
+    return start, stop, (sums[stop] - sums[start]) * _power("back", _BACK)[start]
 
 
 def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -54,20 +69,25 @@ def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
     if not total:
         return np.zeros(0, np.uint64), np.zeros(n, np.int64)
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[:total]
-    solid = ~GAP[raw]
-    begins = solid.copy()
-    begins[1:] &= ~solid[:-1]
-    edges = ends[:-1][ends[:-1] < total]
-    begins[edges] = solid[edges]  # a word ends with its text
-    start = np.flatnonzero(begins)
-    last = solid.copy()
-    last[:-1] &= ~solid[1:] | begins[1:]
-    stop = np.flatnonzero(last) + 1
-    sums = np.zeros(total + 1, np.uint64)
-    np.cumsum(VALUES[raw] * _power("on", _BASE, total)[:total], out=sums[1:])
-    h = (sums[stop] - sums[start]) * _power("back", _BACK, total)[start]
-    counts = np.bincount(np.searchsorted(ends, start, side="right"), minlength=n)
-    return mix(h + (stop - start).astype(np.uint64) * _ODD), counts
+    starts, lengths, hashes = [], [], []
+    for p in range(0, total, BLOCK):
+        q = min(p + BLOCK, total)
+        edges = ends[np.searchsorted(ends, p) : np.searchsorted(ends, q)] - p
+        start, stop, h = _block(raw[p:q], edges)
+        length = stop - start
+        crosses = p and len(start) and start[0] == 0 and not GAP[raw[p - 1]] and not (len(edges) and edges[0] == 0)
+        if crosses:  # the word goes on from the block before
+            so_far = int(lengths[-1][-1])
+            hashes[-1][-1:] += np.uint64(pow(_BASE, so_far, 1 << 64)) * h[:1]
+            lengths[-1][-1] += length[0]
+            start, length, h = start[1:], length[1:], h[1:]
+        if len(start):
+            starts.append(start + p), lengths.append(length), hashes.append(h)
+    if not starts:
+        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+    counts = np.bincount(np.searchsorted(ends, np.concatenate(starts), side="right"), minlength=n)
+    with np.errstate(over="ignore"):
+        return mix(np.concatenate(hashes) + np.concatenate(lengths).astype(np.uint64) * _ODD), counts
 
 
 def shingle_sets(texts, words: int) -> list[np.ndarray]:
