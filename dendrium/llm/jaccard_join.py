@@ -7,9 +7,9 @@
    chooses its own k: a longer prefix costs more postings, but a candidate must share more of it before it is
    verified; k is where the estimated cost of postings and verifications is least.
 3. Groups of near copies are not expanded into pairs. Of the nodes in whose prefixes a shingle lies, the one with most
-   shared shingles stands for it; each node is compared with the two that stand for most of its shingles. Who links is
-   contracted, and who is merely near (NEAR) becomes a member of that node's star. Each node then meets nodes that
-   stand for its shingles in other components, once, and what links is contracted as well.
+   shared shingles stands for it; each node is compared with the one that stands for most of its shingles. Who links is
+   contracted, and who is merely near (NEAR) becomes a member of that node's star. These nodes then meet those that
+   stand for their shingles in other components, once, and what links is contracted as well.
 4. Within a star, members are compared by their differences from its middle R: a member lacks a of R's shingles and has
    b others. X and Y link if their differences share at least (a + b + a' + b' - h (n + m)) / 2, h = (1 - t) / (1 + t).
    Members that link with R are one component. For another member Y, let X and Y share none of the shingles that R
@@ -176,6 +176,10 @@ def _sets(docs: DataFrame, rule: Rule, wanted: DataFrame) -> DataFrame:
     return written(rows.groupBy("node").agg(F.first("tokens").alias("tokens")))
 
 
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Adds a_set and b_set to written pairs (a, b). A node that many are compared with (as b) has its set copied, once for each
     FAN of them, so that it is no hot key."""
@@ -193,6 +197,14 @@ def _with_shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out.drop("a_set", "b_set")
 
 
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The written pairs (a, b) that are similar by NEAR percent, with the sizes n and size, and the arrays lacks (of b's
+    shingles) and has (others than b's) of a, written."""
+    counted = _compared(pairs, sets).withColumn("has", F.array_except("a_set", "b_set")).withColumns({"n": F.size("a_set"), "size": F.size("b_set")})
+    near = counted.where(100 * (F.col("n") - F.size("has")) >= NEAR * (F.col("size") + F.size("has")))
+    return written(near.select("a", "b", "n", "size", F.array_except("b_set", "a_set").alias("lacks"), "has"))
+
+
 def _link(rule: Rule) -> Column:
     return 100 * F.col("shared") >= rule.percent * (F.col("both") - F.col("shared"))
 
@@ -222,23 +234,20 @@ def _may_link(rule: Rule) -> Column:
 
 
 def _first_pairs(postings: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): each node and the two that stand for most of its shingles. A shingle's node is the one with most shared
+    """(a, b): each node and the one that stands for most of its shingles. A shingle's node is the one with most shared
     shingles (cnt, then node), as those in the middle of a group have; so b is above a in that order."""
     low = postings.groupBy("token").agg(F.max(F.struct("cnt", "node", "n", "k")).alias("low"))
     met = postings.join(low, "token").where(F.col("node") != F.col("low.node")).select(
         F.col("node").alias("a"), "n", "k", "cnt", F.col("low.node").alias("b"), F.col("low.n").alias("m"), F.col("low.k").alias("l"), F.col("low.cnt").alias("cnt2")
     )
     counted = met.where(_may_link(rule)).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("cnt2").alias("cnt2"))
-    best = counted.groupBy("a").agg(F.max(F.struct("c", "cnt2", "b")).alias("one"), F.max(F.struct("c", F.bitwise_not("b").alias("b"))).alias("two"))
-    return best.select("a", F.explode(F.array_distinct(F.array(F.col("one.b"), F.bitwise_not("two.b")))).alias("b"))
+    return counted.groupBy("a").agg(F.max(F.struct("c", "cnt2", "b")).alias("best")).select("a", "best.b")
 
 
 def _stars(near: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """For written (a, b, shared, both): members (node, star, n, lacks, has) with their differences from the middle of their
-    star; lacks and has are arrays. Nodes that are near nobody above them are middles, and not among the members."""
-    jaccard = 100 * F.col("shared") >= NEAR * (F.col("both") - F.col("shared"))
-    up = near.where(jaccard).groupBy("a").agg(F.max(F.struct((F.col("shared") / (F.col("both") - F.col("shared"))).alias("j"), "b")).alias("best"))
-    at = written(up.select(F.col("a").alias("node"), F.col("best.b").alias("star")))
+    """For near pairs, in which b is above a and every a has one b: members (node, star, n, lacks, has, border) with their
+    differences from the middle of their star, written. Nodes that are near nobody above them are middles, and not members."""
+    at = written(near.select(F.col("a").alias("node"), F.col("b").alias("star")))
     while True:  # b is above a, so paths end; each round halves them
         over = at.select(F.col("node").alias("star"), F.col("star").alias("over"))
         moved = Observation()
@@ -248,18 +257,20 @@ def _stars(near: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         at = new
         if not moved.get["any"]:
             break
-    pairs = written(at.select(F.col("node").alias("a"), F.col("star").alias("b")))
-    release(at)
-    both = _compared(pairs, sets).select(
-        F.col("a").alias("node"), F.col("b").alias("star"), F.size("a_set").alias("n"), F.size("b_set").alias("size"),
-        F.array_except("b_set", "a_set").alias("lacks"), F.array_except("a_set", "b_set").alias("has"),
-    )
-    shared, union = F.col("n") - F.size("has"), F.col("size") + F.size("has")
-    out = written(both.where(100 * shared >= NEAR * union).withColumn("border", 100 * shared < rule.percent * union))
-    release(pairs)
+    ends = at.select(F.col("node").alias("a"), "star")
+    same = near.join(ends, "a").where(F.col("b") == F.col("star")).drop("star")
+    other = written(near.select("a", "b").join(ends, "a").where(F.col("b") != F.col("star")).select("a", F.col("star").alias("b")))
+    far = _near(other, sets)
+    border = 100 * (F.col("n") - F.size("has")) < rule.percent * (F.col("size") + F.size("has"))
+    out = written(same.unionByName(far).select(F.col("a").alias("node"), F.col("b").alias("star"), "n", "lacks", "has", border.alias("border")))
+    release(at), release(other), release(far)
     return out
 
 
+def _linked(near: DataFrame, members: DataFrame) -> DataFrame:
+    return near.select("a", "b").union(members.where(~F.col("border")).select(F.col("node").alias("a"), F.col("star").alias("b"))).distinct()
+
+
 def _differ(x: str = "") -> tuple[Column, Column, Column]:
     return F.col(f"a{x}"), F.col(f"b{x}"), F.col(f"n{x}")
 
@@ -328,8 +339,9 @@ def _by_class(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.withColumn("own", own).withColumn("j", F.explode(fits)).withColumns({"lo": F.least("own", "j"), "hi": F.greatest("own", "j")}).drop("own", "j")
 
 
-def _cross_pairs(postings: DataFrame, labels: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of nodes in different stars and components that share as many prefix shingles as linked ones must."""
+def _cross_links(docs: DataFrame, postings: DataFrame, labels: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The links (a, b) of nodes in different stars and components: those that share as many prefix shingles as linked ones
+    must, verified. sets has the sets of all members and middles; what else is needed is made here."""
     sized = members.select("node", "star", (F.size("lacks") + F.size("has")).alias("d"))
     known = postings.drop("cnt").join(labels, "node", "left").join(sized, "node", "left")
     known = written(known.select("token", "node", "n", "k", F.coalesce("comp", "node").alias("comp"), F.coalesce("star", "node").alias("star"), F.coalesce("d", F.lit(0)).alias("d")))
@@ -359,8 +371,11 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame, members: DataFrame, set
     ))
     lone = (F.col("ds") == 0) & (F.col("members") == 1)  # only middles have no differences
     enough = F.col("c") >= _must(rule, F.col("n"), F.col("m"), F.col("k"), F.col("l"))
-    direct = stars.where(lone & enough).select("a", "b")
+    direct = written(stars.where(lone & enough).select("a", "b"))
     wide = written(stars.where(~lone).select("a", "b", "ds", "sizes"))
+    wanted = written(_nodes(direct.union(wide.select("a", "b"))).join(sets.select("node"), "node", "left_anti"))
+    more = _sets(docs, rule, wanted)
+    sets = sets.union(more.join(wanted, "node", "left_semi"))
     apart_by = F.col("both") - 2 * F.col("shared")
     reach = _with_shared(wide, sets).withColumn("apart", apart_by).where(F.col("apart") - F.col("ds") <= rule.slack * F.col("sizes") + 1e-6)
     reach = written(reach.select(F.col("a").alias("star"), F.col("b").alias("star2"), "apart"))
@@ -370,8 +385,8 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame, members: DataFrame, set
     close = F.col("apart") - F.col("d") - F.col("d2") <= rule.slack * (F.col("n") + F.col("m")) + 1e-6
     pairs = pairs.join(left, [*key, "star"]).join(right, [*key, "star2"]).where((F.col("comp") != F.col("comp2")) & close & _may_link(rule))
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in "nmkl"])
-    out = written(direct.union(counted.where(enough).select("a", "b")))
-    for t in (known, groups, met, stars, wide, reach):
+    out = _links(direct.union(counted.where(enough).select("a", "b")), sets, rule)
+    for t in (known, groups, met, stars, direct, wide, wanted, more, reach):
         release(t)
     return out
 
@@ -387,22 +402,20 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     prefixes = _prefixes(docs, rule, histogram)
     postings = _postings(prefixes)
     release(prefixes)
-    sets = _sets(docs, rule, postings.select("node").distinct())
     first = written(_first_pairs(postings, rule))
-    near = written(_with_shared(first, sets))
-    release(first)
-    links = near.where(_link(rule)).select("a", "b")
+    sets = _sets(docs, rule, _nodes(first))
+    near = _near(first, sets)
     members = _stars(near, sets, rule)
-    links = links.union(members.where(~F.col("border")).select(F.col("node").alias("a"), F.col("star").alias("b")))
+    links = written(_linked(near.where(100 * (F.col("n") - F.size("has")) >= rule.percent * (F.col("size") + F.size("has"))), members))
+    release(first), release(near)
     labels = components(links)
-    links = links.union(_links(_second_pairs(postings, rule, labels, members), sets, rule))
+    second = _second_pairs(postings.join(sets.select("node"), "node", "left_semi"), rule, labels, members)
+    links = links.union(_links(second, sets, rule))
     release(labels)
     labels = components(links)
-    in_star = _star_pairs(members, labels, rule)
-    links = links.union(_links(in_star.union(_cross_pairs(postings, labels, members, sets, rule)), sets, rule))
-    release(labels), release(postings), release(sets)
+    links = links.union(_links(_star_pairs(members, labels, rule), sets, rule)).union(_cross_links(docs, postings, labels, members, sets, rule))
+    release(labels), release(postings), release(sets), release(members)
     comps = components(links)
-    release(near), release(members), release(in_star)
     first_of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     smallest = facts.where("n > 0").groupBy("node").agg(first_of)
     named = written(smallest.join(comps, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp")))
