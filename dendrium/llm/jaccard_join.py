@@ -15,8 +15,8 @@
    Members that link with R are one component. For another member Y, let X and Y share none of the shingles that R
    lacks; then 2 min(a, a') >= a + b + a' + b' - h (n + m) > a (1 + h) + b (1 - h), hence a > b. So pairs meet on shingles
    that R lacks, which are few and rare, and only members with a > b meet on shingles that they lack as well.
-5. Nodes of different stars meet on prefix shingles: stars first, members only of stars whose middles are near
-   enough (by the triangle inequality of set differences). The postings of a shingle with many stars are dealt out by
+5. Nodes of different stars meet on prefix shingles: first the rings of stars (members about as far from their middle),
+   members only of rings whose middles are near enough (by the triangle inequality of set differences). The postings of a shingle with many stars are dealt out by
    classes of set sizes first. A pair is verified if it shares as many prefix shingles as similar sets must: with c
    shared, the sets share at most c + ceil(t n) - k in all, n and k of the node whose prefix ends first.
 6. Verified links are closed into components.
@@ -227,6 +227,14 @@ def _must(rule: Rule, n: Column, m: Column, k: Column, l: Column) -> Column:
     return F.greatest(F.least(k, l), rule.need(n, m) - F.greatest(ceil(n) - k, ceil(m) - l))
 
 
+def _must_of_groups(rule: Rule) -> Column:
+    """The same at least for any two members of groups with sizes n to most and n2 to most2, and k and k2 at least."""
+    ceil = lambda x: F.ceil(x * rule.percent / F.lit(100) - 1e-9)
+    one = rule.need(F.col("most"), F.col("n2")) - ceil(F.col("most")) + F.col("k")
+    two = rule.need(F.col("n"), F.col("most2")) - ceil(F.col("most2")) + F.col("k2")
+    return F.greatest(F.least("k", "k2"), F.least(one, two) - F.when((F.col("n") == F.col("most")) & (F.col("n2") == F.col("most2")), 0).otherwise(1))  # 1 for what ceil() adds
+
+
 def _may_link(rule: Rule) -> Column:
     """For a pair with n, k, cnt and m, l, cnt2: whether both have as many shared shingles as they must share."""
     must = _must(rule, F.col("n"), F.col("m"), F.col("k"), F.col("l"))
@@ -336,7 +344,7 @@ def _by_class(rows: DataFrame, rule: Rule) -> DataFrame:
         return F.when(small > large + 1e-6, F.lit(1e18)).otherwise(F.least(first, second) - 1)  # 1 for what ceil() adds
 
     fits = F.filter(F.sequence(own - reach, own + reach), lambda j: F.col("cnt") >= least_must(j))
-    return rows.withColumn("own", own).withColumn("j", F.explode(fits)).withColumns({"lo": F.least("own", "j"), "hi": F.greatest("own", "j")}).drop("own", "j")
+    return rows.withColumn("own", own).withColumn("j", F.explode(fits)).withColumns({"lo": F.least("own", "j"), "hi": F.greatest("own", "j")}).drop("j")
 
 
 def _cross_links(docs: DataFrame, postings: DataFrame, labels: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -351,42 +359,43 @@ def _cross_links(docs: DataFrame, postings: DataFrame, labels: DataFrame, member
     known, old = written(known.join(known.groupBy("node").agg(F.count("*").alias("cnt")), "node")), known
     release(old)
     crowded = F.col("stars") > CROWDED
-    plain = known.where(~crowded).withColumns({"lo": F.lit(-1), "hi": F.lit(-1)})
-    known, old = written(plain.unionByName(_by_class(known.where(crowded), rule)).drop("stars")), known
+    plain = known.where(~crowded).withColumns({"own": F.lit(-1), "lo": F.lit(-1), "hi": F.lit(-1)})
+    known, old = written(plain.unionByName(_by_class(known.where(crowded), rule)).drop("stars").withColumn("ring", F.floor(2 * F.sqrt("d")).cast("int"))), known
     release(old)
-    key = ["token", "lo", "hi"]
-    groups = known.groupBy(*key, "star").agg(
-        F.max("cnt").alias("cnt"), F.min("n").alias("n"), F.max("n").alias("most"), F.max("k").alias("k"), F.max("d").alias("d"),
+    key, part = ["token", "lo", "hi"], ["own", "star", "ring"]
+    groups = written(known.groupBy(*key, *part).agg(
+        F.max("cnt").alias("cnt"), F.min("n").alias("n"), F.max("n").alias("most"), F.min("k").alias("k"), F.max("d").alias("d"),
         F.count("*").alias("members"), F.min("comp").alias("comp"), F.max("comp").alias("last"),
-    )
-    groups = written(groups)
-    names = {"star": "star2", "cnt": "cnt2", "n": "m", "most": "most2", "k": "l", "members": "members2", "d": "d2", "comp": "comp2", "last": "last2"}
-    near = (100 * F.col("most2") >= rule.percent * F.col("n")) & (100 * F.col("most") >= rule.percent * F.col("m"))
-    alone = (F.col("members") == 1) & (F.col("members2") == 1)
+    ))
+    names = {c: f"{c}2" for c in groups.columns if c not in key}
+    near = (100 * F.col("most2") >= rule.percent * F.col("n")) & (100 * F.col("most") >= rule.percent * F.col("n2"))
     apart = (F.col("comp") != F.col("comp2")) | (F.col("comp") != F.col("last")) | (F.col("comp2") != F.col("last2"))
-    met = written(groups.join(groups.withColumnsRenamed(names), key).where((F.col("star") < F.col("star2")) & near & apart & (~alone | _may_link(rule))))
+    meets = (F.col("star") < F.col("star2")) & ((F.col("lo") == F.col("hi")) | (F.col("own") != F.col("own2")))
+    met = written(groups.join(groups.withColumnsRenamed(names), key).where(meets & near & apart & (F.least("cnt", "cnt2") >= _must_of_groups(rule))))
     stars = written(met.groupBy(F.col("star").alias("a"), F.col("star2").alias("b")).agg(
-        F.max(F.col("d") + F.col("d2")).alias("ds"), F.max(F.col("most") + F.col("most2")).alias("sizes"),
-        F.count("*").alias("c"), F.max(F.greatest("members", "members2")).alias("members"), *[F.first(x).alias(x) for x in ("n", "m", "k", "l")],
+        F.max(F.col("d") + F.col("d2")).alias("ds"), F.max(F.greatest("members", "members2")).alias("members"), F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("n", "n2", "k", "k2")],
+        F.max(F.col("most") + F.col("most2")).alias("sizes"),
     ))
     lone = (F.col("ds") == 0) & (F.col("members") == 1)  # only middles have no differences
-    enough = F.col("c") >= _must(rule, F.col("n"), F.col("m"), F.col("k"), F.col("l"))
-    direct = written(stars.where(lone & enough).select("a", "b"))
+    direct = written(stars.where(lone & (F.col("c") >= _must(rule, F.col("n"), F.col("n2"), F.col("k"), F.col("k2")))).select("a", "b"))
     wide = written(stars.where(~lone).select("a", "b", "ds", "sizes"))
     wanted = written(_nodes(direct.union(wide.select("a", "b"))).join(sets.select("node"), "node", "left_anti"))
     more = _sets(docs, rule, wanted)
     sets = sets.union(more.join(wanted, "node", "left_semi"))
-    apart_by = F.col("both") - 2 * F.col("shared")
-    reach = _with_shared(wide, sets).withColumn("apart", apart_by).where(F.col("apart") - F.col("ds") <= rule.slack * F.col("sizes") + 1e-6)
+    within = F.col("apart") - F.col("ds") <= rule.slack * F.col("sizes") + 1e-6
+    reach = _with_shared(wide, sets).withColumn("apart", F.col("both") - 2 * F.col("shared")).where(within)
     reach = written(reach.select(F.col("a").alias("star"), F.col("b").alias("star2"), "apart"))
-    pairs = met.select(*key, "star", "star2").join(reach, ["star", "star2"])
-    left = known.select(*key, "star", F.col("node").alias("a"), "n", "k", "cnt", "comp", "d")
-    right = known.select(*key, F.col("star").alias("star2"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("k").alias("l"), F.col("cnt").alias("cnt2"), F.col("comp").alias("comp2"), F.col("d").alias("d2"))
-    close = F.col("apart") - F.col("d") - F.col("d2") <= rule.slack * (F.col("n") + F.col("m")) + 1e-6
-    pairs = pairs.join(left, [*key, "star"]).join(right, [*key, "star2"]).where((F.col("comp") != F.col("comp2")) & close & _may_link(rule))
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in "nmkl"])
-    out = _links(direct.union(counted.where(enough).select("a", "b")), sets, rule)
-    for t in (known, groups, met, stars, direct, wide, wanted, more, reach):
+    rings = F.col("apart") - F.col("d") - F.col("d2") <= rule.slack * (F.col("most") + F.col("most2")) + 1e-6
+    part2 = [f"{c}2" for c in part]
+    chosen = written(met.join(reach, ["star", "star2"]).where(rings).select(*key, *part, *part2, "apart"))
+    fields = ["node", "n", "k", "cnt", "comp", "d"]
+    left, right = known.select(*key, *part, *fields), known.select(*key, *part, *fields).withColumnsRenamed({c: f"{c}2" for c in part + fields})
+    close = F.col("apart") - F.col("d") - F.col("d2") <= rule.slack * (F.col("n") + F.col("n2")) + 1e-6
+    must = _must(rule, F.col("n"), F.col("n2"), F.col("k"), F.col("k2"))
+    pairs = chosen.join(left, [*key, *part]).join(right, [*key, *part2]).where((F.col("comp") != F.col("comp2")) & close & (F.least("cnt", "cnt2") >= must))
+    counted = pairs.groupBy("node", "node2").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("n", "n2", "k", "k2")])
+    out = _links(direct.union(counted.where(F.col("c") >= must).select("node", "node2")), sets, rule)
+    for t in (known, groups, met, stars, direct, wide, wanted, more, reach, chosen):
         release(t)
     return out
 
