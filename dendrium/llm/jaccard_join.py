@@ -48,6 +48,8 @@ SLICE_BYTES = 1_000_000
 CROWDED, CLASS_RATIO = 32, 1.03
 #: Similarity with its middle, in percent, that makes a node a member of a star, and comparisons with one set in a task.
 NEAR, FAN = 50, 400
+#: Rows of a table of hot nodes that are broadcast.
+MANY = 100_000
 
 
 @dataclass(frozen=True)
@@ -156,8 +158,9 @@ def _postings(prefixes: DataFrame) -> DataFrame:
     return out
 
 
-def _sets(docs: DataFrame, rule: Rule, wanted: DataFrame) -> DataFrame:
-    """A row (node, tokens) for each wanted node, and perhaps for some more; tokens is its whole set."""
+def _sets(docs: DataFrame, rule: Rule, wanted: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """A row (node, tokens) for each wanted node, and perhaps for some more; tokens is its whole set. With pairs (a, b), one b
+    for an a, also b for the node as a."""
     shipped = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, F.col("node"), wanted.count()))
 
     def run(batches):
@@ -173,22 +176,37 @@ def _sets(docs: DataFrame, rule: Rule, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), tokens], names=["node", "tokens"])
 
     rows = docs.select("text").mapInArrow(run, "node long, tokens array<long>")
-    return written(rows.groupBy("node").agg(F.first("tokens").alias("tokens")))
+    rows = rows.groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return written(rows if pairs is None else rows.join(pairs.select(F.col("a").alias("node"), "b"), "node", "left"))
 
 
 def _nodes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets that a bitmap of the nodes lets through, so that only few others are shuffled."""
+    shipped = sets.sparkSession.sparkContext.broadcast(bitmap(nodes, F.col("node"), nodes.count()))
+
+    def run(batches):
+        for batch in batches:
+            found = shipped.value.has(batch.column("node").to_numpy().view(np.uint64))
+            yield batch.take(np.flatnonzero(found))
+
+    return sets.select("node", "tokens").mapInArrow(run, "node long, tokens array<long>")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, with_a: DataFrame | None = None) -> DataFrame:
     """Adds a_set and b_set to written pairs (a, b). A node that many are compared with (as b) has its set copied, once for each
-    FAN of them, so that it is no hot key."""
+    FAN of them, so that it is no hot key. with_a: the pairs with a_set, if they are at hand."""
     copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / FAN).cast("int").alias("copies"))
     many = copies.where("copies > 1")
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("a_set"))
-    right = sets.withColumnRenamed("node", "b").join(copies, "b").select("b", F.col("tokens").alias("b_set"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    dealt = pairs.join(many, "b", "left").withColumn("copy", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
-    return dealt.join(left, "a").join(right, ["b", "copy"]).drop("copy")
+    if with_a is None:
+        left = _only(sets, pairs.select(F.col("a").alias("node")).distinct()).select(F.col("node").alias("a"), F.col("tokens").alias("a_set"))
+        with_a = pairs.join(left, "a")
+    right = _only(sets, copies.select(F.col("b").alias("node"))).withColumnRenamed("node", "b").join(copies, "b").select("b", F.col("tokens").alias("b_set"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    dealt = with_a.join(F.broadcast(many) if many.count() < MANY else many, "b", "left").withColumn("copy", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    return dealt.join(right, ["b", "copy"]).drop("copy")
 
 
 def _with_shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -197,10 +215,10 @@ def _with_shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out.drop("a_set", "b_set")
 
 
-def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, sets: DataFrame, with_a: DataFrame | None = None) -> DataFrame:
     """The written pairs (a, b) that are similar by NEAR percent, with the sizes n and size, and the arrays lacks (of b's
     shingles) and has (others than b's) of a, written."""
-    counted = _compared(pairs, sets).withColumn("has", F.array_except("a_set", "b_set")).withColumns({"n": F.size("a_set"), "size": F.size("b_set")})
+    counted = _compared(pairs, sets, with_a).withColumn("has", F.array_except("a_set", "b_set")).withColumns({"n": F.size("a_set"), "size": F.size("b_set")})
     near = counted.where(100 * (F.col("n") - F.size("has")) >= NEAR * (F.col("size") + F.size("has")))
     return written(near.select("a", "b", "n", "size", F.array_except("b_set", "a_set").alias("lacks"), "has"))
 
@@ -381,7 +399,7 @@ def _cross_links(docs: DataFrame, postings: DataFrame, labels: DataFrame, member
     wide = written(stars.where(~lone).select("a", "b", "ds", "sizes"))
     wanted = written(_nodes(direct.union(wide.select("a", "b"))).join(sets.select("node"), "node", "left_anti"))
     more = _sets(docs, rule, wanted)
-    sets = sets.union(more.join(wanted, "node", "left_semi"))
+    sets = sets.select("node", "tokens").union(more.join(wanted, "node", "left_semi"))
     within = F.col("apart") - F.col("ds") <= rule.slack * F.col("sizes") + 1e-6
     reach = _with_shared(wide, sets).withColumn("apart", F.col("both") - 2 * F.col("shared")).where(within)
     reach = written(reach.select(F.col("a").alias("star"), F.col("b").alias("star2"), "apart"))
@@ -412,8 +430,8 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     postings = _postings(prefixes)
     release(prefixes)
     first = written(_first_pairs(postings, rule))
-    sets = _sets(docs, rule, _nodes(first))
-    near = _near(first, sets)
+    sets = _sets(docs, rule, _nodes(first), first)
+    near = _near(first, sets, sets.where("b is not null").select(F.col("node").alias("a"), "b", F.col("tokens").alias("a_set")))
     members = _stars(near, sets, rule)
     links = written(_linked(near.where(100 * (F.col("n") - F.size("has")) >= rule.percent * (F.col("size") + F.size("has"))), members))
     release(first), release(near)
