@@ -1,9 +1,12 @@
 """Quality rules: fixed base rules, then robust multivariate outliers.
 
 Every document has a vector of transformed statistics (word length, symbols, capitals, repeated lines, repeated
-words). For every language and source a minimum-covariance-determinant estimate is made: from medians and
-quartiles, concentration steps take the mean and covariance of the rows whose distances are among the smaller
-three quarters, and measure distances anew. A document goes if its squared Mahalanobis distance is above CUT.
+words). For every language and source a minimum-covariance-determinant estimate is made. A concentration step takes the
+mean and covariance of the rows whose distances are among the smaller three quarters, and measures distances anew; this
+lowers the determinant. Three starts (around the lower quartiles, the medians and the upper quartiles) make START_STEPS
+steps each; the one with the least determinant goes on until no group's log-determinant falls by SETTLED. Variances
+have FLOORS squared added throughout, so the determinant is that of the regularized covariance. A document goes if its
+squared Mahalanobis distance is above CUT.
 
 All of it is DataFrame functions. Texts are read once for a narrow table of statistics; the steps read only that.
 A step's estimates are one row a group, summed map-side, so a source with a third of all rows is no hot task.
@@ -15,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from dendrium.llm.common import SPACES, release, table, words_of, written
@@ -27,7 +30,7 @@ Z = ("z_length", "z_symbols", "z_upper", "z_lines", "z_repeats")
 FLOORS = (0.06, 0.05, 0.06, 0.08, 0.08)
 #: Median of chi-square with 5 degrees of freedom; squared distance beyond which a row goes (0.999999 quantile).
 MEDIAN, CUT = 4.351, 35.9
-KEPT_SHARE, STEPS, LEAST_ROWS = 0.75, 3, 60
+KEPT_SHARE, START_STEPS, SETTLED, LEAST_ROWS = 0.75, 2, 0.01, 60
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -132,6 +135,21 @@ def _moments(rows: DataFrame) -> DataFrame:
     return out.select("grp", F.array(*[f"m{i}" for i in range(p)]).alias("m"), F.array(*[f"l{i}_{j}" for i in range(p) for j in range(i + 1)]).alias("l"), F.lit(1.0).alias("c"))
 
 
+def _step(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """The estimates after one concentration step of each group, written."""
+    far = _with_estimates(rows, now)
+    cut = written(far.groupBy("grp").agg(F.percentile_approx("d2", KEPT_SHARE, 1000).alias("cut")).withColumnRenamed("grp", "c_grp"))
+    new = written(_moments(far.join(cut, F.col("grp") == F.col("c_grp")).where(F.col("d2") <= F.col("cut"))))
+    release(cut)
+    return new
+
+
+def _log_determinant(factor: Column) -> Column:
+    """Of a covariance, from its Cholesky factor."""
+    logs = [F.log(F.get(factor, F.lit(i * (i + 3) // 2))) for i in range(len(Z))]
+    return 2 * sum(logs[1:], logs[0])
+
+
 def estimate(narrow: DataFrame) -> DataFrame:
     """For narrow (lang, source, Z, usable): a row for each language and source with its estimate: m (means), l (Cholesky
     factor, row by row) and c (what squared distances are divided by); null where there are too few rows."""
@@ -140,16 +158,28 @@ def estimate(narrow: DataFrame) -> DataFrame:
     rows = narrow.where("usable").join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))).where(F.col("grp").isNotNull()).select("grp", *Z)
     quarters = rows.groupBy("grp").agg(*[F.percentile_approx(z, [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i, z in enumerate(Z)])
     spread = lambda i: F.sqrt(F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) + FLOORS[i] ** 2)
-    now = written(quarters.select(
-        "grp", F.array(*[F.col(f"p{i}")[1] for i in range(p)]).alias("m"),
-        F.array(*[spread(i) if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)]).alias("l"), F.lit(1.0).alias("c"),
-    ))
-    for _ in range(STEPS):
-        far = _with_estimates(rows, now)
-        cut = written(far.groupBy("grp").agg(F.percentile_approx("d2", KEPT_SHARE, 1000).alias("cut")).withColumnRenamed("grp", "c_grp"))
-        new = written(_moments(far.join(cut, F.col("grp") == F.col("c_grp")).where(F.col("d2") <= F.col("cut"))))
-        release(now), release(cut)
-        now = new
+    starts = F.explode(F.array(*[F.struct(F.lit(str(q)).alias("start"), F.array(*[F.col(f"p{i}")[q] for i in range(p)]).alias("m")) for q in range(3)]))
+    spreads = F.array(*[spread(i) if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)])
+    tried = written(quarters.select("grp", spreads.alias("l"), starts.alias("s")).select(F.concat("s.start", "grp").alias("grp"), F.col("s.m").alias("m"), "l", F.lit(1.0).alias("c")))
+    thrice = rows.select(F.explode(F.array(*[F.lit(str(q)) for q in range(3)])).alias("start"), "grp", *Z).select(F.concat("start", "grp").alias("grp"), *Z)
+    for _ in range(START_STEPS):
+        tried, old = _step(thrice, tried), tried
+        release(old)
+    best = tried.groupBy(F.expr("substring(grp, 2)").alias("grp")).agg(F.min(F.struct(_log_determinant(F.col("l")).alias("det"), F.col("grp").alias("start"), "m", "l", "c")).alias("e"))
+    now = written(best.select("grp", "e.m", "e.l", "e.c"))
+    release(tried)
+    while True:
+        new = _step(rows, now)
+        both = new.join(now.select(F.col("grp").alias("o_grp"), F.col("m").alias("o_m"), F.col("l").alias("o_l")), F.col("grp") == F.col("o_grp"))
+        fall = _log_determinant(F.col("o_l")) - _log_determinant(F.col("l"))
+        moved = Observation()
+        lower = both.withColumn("fall", fall).observe(moved, F.max("fall").alias("fall"))
+        kept = lambda c: F.when(F.col("fall") > 0, F.col(c)).otherwise(F.col(f"o_{c}")).alias(c)
+        least = written(lower.select("grp", kept("m"), kept("l"), "c"))
+        release(now), release(new)
+        now = least
+        if (moved.get["fall"] or 0.0) < SETTLED:
+            break
     scale = _with_estimates(rows, now).groupBy("grp").agg(F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, 1000) / MEDIAN).alias("scale"))
     last = now.drop("c").join(scale.withColumnRenamed("grp", "s_grp"), F.col("grp") == F.col("s_grp")).select("grp", "m", "l", F.col("scale").alias("c"))
     out = written(groups.join(last.withColumnRenamed("grp", "e_grp"), F.col("grp") == F.col("e_grp"), "left").drop("e_grp"))
