@@ -120,9 +120,9 @@ def constant(score: float) -> Model:
 
 
 def boost(x: np.ndarray, y: np.ndarray) -> Model:
-    """Boosted trees for labels 0 and 1. Without both, a constant: (ones + 1) / (rows + 1)."""
+    """Boosted trees for labels 0 and 1. Without both, a constant: (ones + 1) / (rows + 2), a half without labels."""
     if not len(y) or y.min() == y.max():
-        return constant((y.sum() + 1) / (len(y) + 1))
+        return constant((y.sum() + 1) / (len(y) + 2))
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.column_stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(edges)])
     n_features, inner = x.shape[1], 2**DEPTH - 1
@@ -160,13 +160,16 @@ def boost(x: np.ndarray, y: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Learns labels.quality (0 or 1; other values are ignored) from whole texts of labelled documents that are not held
-    out: at most fit_rows labels, chosen by a hash of the id."""
+    out: the fit_rows labels (of whatever number) with the smallest hash of the id, then the smallest id and label. Of
+    documents that share an id, the one with the smallest statistics counts, so reruns and repeats give one model."""
     known = labels.select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("l_id").isNotNull() & ~held_out(F.col("l_id")))
-    share = min(1.0, fit_rows / max(1, known.count()))
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64(F.lit("fit"), "l_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = known.distinct().withColumn("h", F.pmod(F.xxhash64(F.lit("fit"), "l_id"), F.lit(1_000_000_007)))
+    share = 2 * fit_rows / max(1, known.count())
+    if share < 1:  # so that few rows are sorted; twice as many as are wanted
+        known = known.where(F.col("h") < int(share * 1_000_000_007))
+    known = known.orderBy("h", "l_id", "quality").limit(fit_rows).drop("h")
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(known.limit(fit_rows)), F.col("doc_id") == F.col("l_id")).select("text", "quality")
+    sample = texts.join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).select("l_id", "text", "quality")
 
     def run(batches):
         import pyarrow as pa
@@ -174,9 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 x = statistics(part.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column("quality")], names=["x", "quality"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column("l_id"), part.column("quality")], names=["x", "l_id", "quality"])
 
-    rows = sample.mapInArrow(run, "x array<double>, quality int").limit(2 * fit_rows).collect()
+    kind = labels.schema["doc_id"].dataType.simpleString()
+    rows = sample.mapInArrow(run, f"x array<double>, l_id {kind}, quality int").groupBy("l_id", "quality").agg(F.min("x").alias("x")).collect()
     x = np.array([r.x for r in rows], float).reshape(len(rows), len(STATISTICS))
     y = np.array([r.quality for r in rows], float)
     order = np.lexsort((*x.T, y))  # the same model whatever order the rows came in

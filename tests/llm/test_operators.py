@@ -362,7 +362,7 @@ def test_quality(spark, docs, empty):
     assert all(got[i].predicted == (i < 300) for i in range(600))
     assert {r.doc_id for r in quality_classifier.keep_good(df, model).collect()} >= set(range(300))
     none = quality_classifier.fit(df, labels.limit(0))
-    assert {round(r.score, 6) for r in quality_classifier.classify(docs, none).collect()} == {1.0}
+    assert {round(r.score, 6) for r in quality_classifier.classify(docs, none).collect()} == {0.5}
     assert quality_classifier.classify(empty, model).count() == 0
 
 
