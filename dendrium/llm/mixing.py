@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from dendrium.llm.common import WORD, release, table, written
 
 PLACE_BITS, LEVEL_BITS = 52, 13
+#: Sources up to which their plan, a row each, is broadcast; with more it is joined by shuffle.
+MOST_BROADCAST = 100_000
 
 
 def place_of(doc_id: Column, text: Column) -> Column:
@@ -67,7 +69,7 @@ def plan(narrow: DataFrame, weights=(1, 2, 3), most: float = 3.0) -> list[tuple]
     while state and bits:
         bits -= LEVEL_BITS
         edges = spark.createDataFrame([(found[i][0], s[0] >> (bits + LEVEL_BITS), float(s[2] - s[1])) for i, s in state.items()], "e_source string, e_prefix long, e_left double")
-        inside = narrow.join(edges, F.col("source").eqNullSafe(F.col("e_source")) & (F.shiftright("place", bits + LEVEL_BITS) == F.col("e_prefix")))
+        inside = narrow.join(_small(edges, len(state)), F.col("source").eqNullSafe(F.col("e_source")) & (F.shiftright("place", bits + LEVEL_BITS) == F.col("e_prefix")))
         sums = inside.groupBy("source", F.shiftright("place", bits).alias("bucket")).agg(F.sum("size").alias("words"), F.max("e_left").alias("left"), F.min("place").alias("lo"), F.max("place").alias("hi"))
         upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         cut = sums.withColumn("upto", F.sum("words").over(upto)).where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left")))
@@ -104,9 +106,14 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0) -> DataFrame:
     return _with_copies(full, made, F.col("doc.source")).select("doc", "size", "source_size", "target", "copies")
 
 
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """df, of n rows, to be broadcast if they are few."""
+    return F.broadcast(df) if n <= MOST_BROADCAST else df
+
+
 def _with_copies(rows: DataFrame, made: list[tuple], source: Column) -> DataFrame:
     per = rows.sparkSession.createDataFrame(made, "p_source string, source_size long, target double, whole long, threshold long")
-    return rows.join(per, source.eqNullSafe(F.col("p_source"))).withColumn("copies", F.col("whole") + (F.col("place") < F.col("threshold")).cast("long"))
+    return rows.join(_small(per, len(made)), source.eqNullSafe(F.col("p_source"))).withColumn("copies", F.col("whole") + (F.col("place") < F.col("threshold")).cast("long"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
