@@ -76,12 +76,11 @@ def shape(word):
     return F.when(word.rlike("^[A-Z]"), "CAP").when(word.rlike("^[a-z]+$"), "LOW").when(word.rlike("^[0-9]+$"), "NUM").otherwise("OTH")
 
 
-def user_leaves(spark: SparkSession, sf_dir: str, most: int = 40) -> DataFrame:
-    """Discontinuous trees: a sentence is a user's first events in time order, a constituent is an event type, its leaves
+def user_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discontinuous trees: a sentence is all of a user's events in time order, a constituent is an event type, its leaves
     that type's positions: sentno, label, leaf."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    x = table(spark, sf_dir, "events").select(F.col("user_id").alias("sentno"), F.col("event_type").alias("label"), (F.row_number().over(w) - 1).alias("leaf"))
-    return x.where(F.col("leaf") < most)
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("sentno"), F.col("event_type").alias("label"), (F.row_number().over(w) - 1).alias("leaf"))
 
 
 def gold_and_candidate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -128,7 +127,7 @@ tokens AS (
     FROM (SELECT corpus, doc_id, lineno, list_filter(string_split_regex(line, '[ \t\r\f\x0b]+'), lambda x: x <> '') AS w FROM lines)))"""
 LEAVES_SQL = """
 leaves AS (
-  SELECT * FROM (SELECT user_id AS sentno, event_type AS label, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS leaf FROM events) WHERE leaf < 40)"""
+  SELECT user_id AS sentno, event_type AS label, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS leaf FROM events)"""
 BRACKETS_SQL = ITEMS_SQL + """,
 gold AS (SELECT sentno, 'RF-' || flag AS label, list_sort(list((ix - 1)::INT)) AS leaves FROM items GROUP BY ALL),
 cand AS (
