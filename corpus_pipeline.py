@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendrium.llm import jaccard_join, mixing, packing, quality_classifier, quality_rules
-from dendrium.llm.common import table, written
+from dendrium.llm.common import release, table, written
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces that packing makes of what the other stages keep of documents."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs, before = written(stage(spark, docs, sf_dir)), docs
+        release(before)  # nothing reads it any more; tables of the input stay
     return STAGES[-1][1](spark, docs, sf_dir)
