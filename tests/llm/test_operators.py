@@ -141,28 +141,72 @@ def test_language(spark, docs, empty):
 # --- 4
 
 
+def brute_licences(text, model):
+    """(line_no, span, family, probability, agreement) of every paragraph that counts; the bound on words is not used."""
+    lines = [re.findall("[a-z0-9]+", x.lower()) for x in (text or "").split("\n")]
+    windows = lambda w, n: {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
+    hits = []
+    for span in (1, 2, 3):
+        for i in range(len(lines) - span + 1):
+            part = lines[i : i + span]
+            if not all(part):
+                continue
+            w = sum(part, [])
+            z = model.bias + sum((model.weights[g] for n in (1, 2, 3) for g in windows(w, n) if g in model.weights), np.zeros(len(model.bias)))
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            agree = dict.fromkeys(licenses.FAMILIES, 0.0)
+            for family, template in licenses.TEMPLATES:
+                t, mine = windows(re.findall("[a-z0-9]+", template.lower()), 3), windows(w, 3)
+                if t and mine:
+                    agree[family] = max(agree[family], len(t & mine) / min(len(t), len(mine)))
+            best = max((p[k], agree[f], f) for k, f in enumerate(licenses.FAMILIES))
+            family = best[2] if best[0] >= 0.6 and best[1] >= 0.6 else "none" if p.argmax() == len(p) - 1 else "unknown"
+            if family != "none":
+                hits.append((i, span, family, best[0], best[1]))
+    sure = [h for h in hits if h[2] != "unknown"]
+    sure = [h for h in sure if not any(s[2] == h[2] and s[1] < h[1] and s[0] >= h[0] and s[0] + s[1] <= h[0] + h[1] for s in sure)]
+    covered = {j for h in sure for j in range(h[0], h[0] + h[1])}
+    return sure + [h for h in hits if h[2] == "unknown" and h[1] == 1 and h[0] not in covered]
+
+
 def test_licenses(spark, docs, empty):
+    rng = random.Random(5)
     rows = [
         (1, "some text\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, "This work is licensed under the GNU General Public License, version 3."),
         (4, "Licensed under CC BY-NC 4.0."), (5, "The driver lost a licence plate in the harbour."), (6, "nothing at all"), (7, None), (8, ""), (None, "Released under the MIT License."),
-        (9, "Released under the MIT License.\nLicensed under CC BY 4.0.\na licence for fishing"), (6, "nothing at all"), (10, "RELEASED UNDER THE MIT LICENSE"), (11, "licen"), (12, "word " * 20000 + "licence"),
+        (9, "Released under the MIT License.\nLicensed under CC BY 4.0.\nLicensed under the Eclipse Public License"), (6, "nothing at all"), (10, "RELEASED UNDER THE MIT LICENSE"), (11, "licen"),
+        (12, "word " * 20000 + "licence"), (13, "All rights reserved."), (14, "CC0 1.0 Universal"), (15, "Available under CC BY 4.0"), (13, "All rights reserved."),
+        (16, "Redistribution and use in source\nand binary forms, with or without\nmodification, are permitted"), (17, "Released under\n\nthe MIT License"),
     ]
+    for i in range(100, 160):  # notices cut into lines at random, among words of notices and of nothing
+        words = [w for _ in range(3) for w in (rng.choice(licenses.TEMPLATES)[1] if rng.random() < 0.6 else rng.choice(licenses.OTHERS + licenses.FOREIGN)).split()]
+        rows.append((i, "".join(w + rng.choice([" ", " ", " ", " ", "\n", "\n \n" if rng.random() < 0.2 else " "]) for w in words)))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit(1)).withColumn("family", F.lit(1))
     got = {r.doc_id: r for r in licenses.scan(df).collect()}
-    assert {k: v.licence for k, v in got.items()} == {
-        1: "mit", 2: "apache", 3: "gpl", 4: "cc-by-nc", 5: "unknown", 6: "none", 7: "none", 8: "none", None: "mit", 9: got[9].licence, 10: "mit", 11: "unknown", 12: "unknown",
+    assert {k: v.licence for k, v in got.items() if k is None or k < 100 and k != 9} == {
+        1: "mit", 2: "apache", 3: "gpl", 4: "cc-by-nc", 5: "none", 6: "none", 7: "none", 8: "none", None: "mit", 10: "mit", 11: "none", 12: "none", 13: "rights-reserved", 14: "public-domain", 15: "cc-by",
+        16: "bsd", 17: got[17].licence,
     }
     assert got[9].licences == ["cc-by", "mit"] and got[9].n_licence_lines == 2 and got[9].n_unknown_lines == 1
+    assert got[13].n_licence_lines == 1
     assert licenses.scan(empty).count() == 0
     assert {r.licence for r in licenses.scan(docs).collect()} == {"none"}
-    # every line's figures against a plain computation
-    weights, bias = licenses.train()
+    # every paragraph that counts, against a plain computation over all paragraphs
+    found, want = {}, {}
     for r in licenses.scan_lines(df).collect():
-        grams = licenses._grams(licenses._words(r.line))
-        z = bias + sum((weights[g] for g in grams if g in weights), np.zeros(len(bias)))
-        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-        assert abs(p[:-1].max() - r.probability) < 1e-9
-    assert all(licenses.train()[1] == bias)
+        found[r.doc_id, r.line_no, r.span, r.family] = (r.probability, r.agreement)
+    for doc_id, text in dict(rows).items():
+        want |= {(doc_id, *h[:3]): h[3:] for h in brute_licences(text, licenses.train())}
+    assert found.keys() == want.keys() and len({k[2] for k in found}) == 3
+    assert all(np.allclose(found[k], want[k], atol=1e-9) for k in want)
+
+
+def test_licences_that_training_does_not_see():
+    model = licenses.train()
+    sentences = [("apache", "Code under the Apache License, Version 2.0"), ("gpl", "Shared under the GNU General Public License"), ("mit", "Code released under the MIT License, see below"), ("none", "The old mill stood by the river."), ("none", "Prices rose again in the spring.")]
+    for family, text in sentences:
+        z = model.bias + sum((model.weights[g] for g in licenses._grams(licenses._words(text)) if g in model.weights), np.zeros(len(model.bias)))
+        assert licenses.CLASSES[z.argmax()] == family
 
 
 # --- 5
