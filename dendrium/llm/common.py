@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,33 @@ def release(df: DataFrame | None) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _give_back() -> None:
+    """Memory that is free in this process goes back to the system, as far as its allocators can do that."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """run, for mapInArrow, without what it has freed: workers are kept for later tasks, of later operators too, and
+    would hold on to the largest amount that any of them took."""
+
+    def lean_run(batches):
+        def each():
+            for batch in batches:
+                yield batch
+                del batch
+                _give_back()
+
+        yield from run(each())
+        _give_back()
+
+    return lean_run
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; other letters stay."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

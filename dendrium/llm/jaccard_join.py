@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from dendrium.llm.common import release, table, written
+from dendrium.llm.common import lean, release, table, written
 from dendrium.llm.components import components
 from dendrium.llm.packing import slices
 from dendrium.llm.reduce import added, bitmap, parts_of
@@ -114,7 +114,7 @@ def _facts(docs: DataFrame, rule: Rule) -> DataFrame:
         if k := parts.num_rows:
             yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, *parts.columns], names=names)
 
-    return written(docs.mapInArrow(run, "doc_id long, key long, n long, node long, part int, counts binary"))
+    return written(docs.mapInArrow(lean(run), "doc_id long, key long, n long, node long, part int, counts binary"))
 
 
 def _prefixes(docs: DataFrame, rule: Rule, histogram: np.ndarray) -> DataFrame:
@@ -132,7 +132,7 @@ def _prefixes(docs: DataFrame, rule: Rule, histogram: np.ndarray) -> DataFrame:
                 columns = [pa.array([node_of(s) for s, _, _ in rows], pa.int64()), pa.array([len(s) for s, _, _ in rows], pa.int32()), pa.array([k for _, _, k in rows], pa.int32()), tokens]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "k", "tokens"])
 
-    return written(docs.select("text").mapInArrow(run, "node long, n int, k int, tokens array<long>"))
+    return written(docs.select("text").mapInArrow(lean(run), "node long, n int, k int, tokens array<long>"))
 
 
 def _postings(prefixes: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def _postings(prefixes: DataFrame) -> DataFrame:
             row = pa.array(np.asarray(pc.list_parent_indices(tokens))[ok])
             yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), *(batch.column(c).take(row) for c in ("node", "n", "k"))], names=["token", "node", "n", "k"])
 
-    plain = written(prefixes.mapInArrow(run, "token long, node long, n int, k int").distinct().join(shared, "token"))
+    plain = written(prefixes.mapInArrow(lean(run), "token long, node long, n int, k int").distinct().join(shared, "token"))
     out = written(plain.join(plain.groupBy("node").agg(F.count("*").alias("cnt")), "node").select("token", "node", "n", "k", "cnt"))
     release(plain), release(shared)
     return out
@@ -175,7 +175,7 @@ def _sets(docs: DataFrame, rule: Rule, wanted: DataFrame, pairs: DataFrame | Non
                 tokens = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, chosen)]), pa.int32()), pa.array(np.concatenate(chosen).view(np.int64) if chosen else [], pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), tokens], names=["node", "tokens"])
 
-    rows = docs.select("text").mapInArrow(run, "node long, tokens array<long>")
+    rows = docs.select("text").mapInArrow(lean(run), "node long, tokens array<long>")
     rows = rows.groupBy("node").agg(F.first("tokens").alias("tokens"))
     return written(rows if pairs is None else rows.join(pairs.select(F.col("a").alias("node"), "b"), "node", "left"))
 
@@ -193,7 +193,7 @@ def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
             found = shipped.value.has(batch.column("node").to_numpy().view(np.uint64))
             yield batch.take(np.flatnonzero(found))
 
-    return sets.select("node", "tokens").mapInArrow(run, "node long, tokens array<long>")
+    return sets.select("node", "tokens").mapInArrow(lean(run), "node long, tokens array<long>")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, with_a: DataFrame | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrium.llm.common import table
+from dendrium.llm.common import lean, table
 
 END_ID = 2
 SEQUENCE = 4096
@@ -200,7 +200,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = SEQUENCE,
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(out["ids"], pa.list_(pa.int64()))] if with_ids else []), names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
     return rows.select(
         *[c for c in rows.columns if c != "ids"], F.log2("length").cast("int").alias("bucket"),
         F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if with_ids else []),

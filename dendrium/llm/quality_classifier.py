@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrium.llm.common import held_out, table
+from dendrium.llm.common import held_out, lean, table
 from dendrium.llm.packing import slices
 
 #: Bound on the labelled rows that are learned from. Fitting is the only step that may sample.
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column("l_id"), part.column("quality")], names=["x", "l_id", "quality"])
 
     kind = labels.schema["doc_id"].dataType.simpleString()
-    rows = sample.mapInArrow(run, f"x array<double>, l_id {kind}, quality int").groupBy("l_id", "quality").agg(F.min("x").alias("x")).collect()
+    rows = sample.mapInArrow(lean(run), f"x array<double>, l_id {kind}, quality int").groupBy("l_id", "quality").agg(F.min("x").alias("x")).collect()
     x = np.array([r.x for r in rows], float).reshape(len(rows), len(STATISTICS))
     y = np.array([r.quality for r in rows], float)
     order = np.lexsort((*x.T, y))  # the same model whatever order the rows came in
@@ -202,7 +202,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
@@ -216,7 +216,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, "text", SLICE_BYTES):
                 yield part.filter(pa.array(shipped.value.score(statistics(part.column("text"))) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

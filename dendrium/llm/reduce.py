@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dendrium.llm.common import lean
+
 #: Counters in a part of a histogram, bits in a part of a bitmap, and parts that one task adds up.
 PART, BIT_PART, FAN_IN = 1 << 14, 1 << 17, 1000
 
@@ -39,7 +41,7 @@ def added(parts: DataFrame, tasks: int, size: int) -> np.ndarray:
     while True:
         salts = -(-tasks // FAN_IN)
         salted = parts.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(salts)))
-        parts = salted.repartition(n_parts * salts, "part", "salt").select("part", "counts").mapInArrow(add, "part int, counts binary")
+        parts = salted.repartition(n_parts * salts, "part", "salt").select("part", "counts").mapInArrow(lean(add), "part int, counts binary")
         if salts == 1:
             break
         tasks = salts
@@ -78,7 +80,7 @@ def bitmap(hashes: DataFrame, column: Column, count: int, most: int = 1 << 27) -
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
 
     at = hashes.select(column.bitwiseAND(F.lit(size - 1)).alias("at"))
-    made = at.repartition(max(1, min(size // BIT_PART, 64)), F.floor(F.col("at") / BIT_PART)).mapInArrow(gather, "part long, bits binary")
+    made = at.repartition(max(1, min(size // BIT_PART, 64)), F.floor(F.col("at") / BIT_PART)).mapInArrow(lean(gather), "part long, bits binary")
     out = np.zeros((size // BIT_PART, BIT_PART // 8), np.uint8)
     for r in made.collect():
         out[r.part] |= np.frombuffer(r.bits, np.uint8)
