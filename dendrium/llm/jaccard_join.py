@@ -10,7 +10,9 @@
    shared shingles stands for it; each node is compared with the one that stands for most of its shingles. Who links is
    contracted, and who is merely near (NEAR) becomes a member of that node's star. These nodes then meet those that
    stand for their shingles in other components, once, and what links is contracted as well.
-4. Within a star, members are compared by their differences from its middle R: a member lacks a of R's shingles and has
+4. Stars whose middles are near become one, if all members of the smaller are near the other's middle: a lone node beside
+   a large group then meets its members by differences, and not on the shingles that all of them have.
+   Within a star, members are compared by their differences from its middle R: a member lacks a of R's shingles and has
    b others. X and Y link if their differences share at least (a + b + a' + b' - h (n + m)) / 2, h = (1 - t) / (1 + t).
    Members that link with R are one component. For another member Y, let X and Y share none of the shingles that R
    lacks; then 2 min(a, a') >= a + b + a' + b' - h (n + m) > a (1 + h) + b (1 - h), hence a > b. So pairs meet on shingles
@@ -293,6 +295,37 @@ def _stars(near: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return out
 
 
+def _merged_stars(reach: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members after whole stars have gone over to near ones with more members; those that went; and (old, home), the stars
+    that went and where to. All written.
+
+    reach has pairs of stars; of those with near middles, a middle takes the one with most members above its own (members,
+    then middle) and follows that to the end, as in _stars. A star with a member that is not near its new middle stays.
+    """
+    pairs = reach.where("near").select(F.col("star").alias("s"), F.col("star2").alias("t"))
+    edges = pairs.union(pairs.select("t", "s")).distinct()
+    held = members.groupBy("star").agg(F.count("*").alias("members"))
+    for x in ("s", "t"):
+        edges = edges.join(held.withColumnsRenamed({"star": x, "members": f"{x}_members"}), x, "left").withColumn(f"{x}_members", F.coalesce(f"{x}_members", F.lit(0)))
+    above = edges.where(F.struct(F.col("t_members").alias("m"), F.col("t").alias("x")) > F.struct(F.col("s_members").alias("m"), F.col("s").alias("x")))
+    best = written(above.groupBy(F.col("s").alias("a")).agg(F.max(F.struct("t_members", "t")).alias("best")).select("a", F.col("best.t").alias("b")))
+    near = _near(best, sets)
+    middles = _stars(near, sets, rule)
+    going = written(members.select(F.col("node").alias("a"), F.col("star").alias("old")).join(middles.select(F.col("node").alias("old"), F.col("star").alias("b")), "old"))
+    to = written(going.select("a", "b"))
+    found = _near(to, sets)
+    split = going.join(found.select("a"), "a", "left_anti").select("old").distinct()
+    homes = written(middles.select(F.col("node").alias("old"), F.col("star").alias("home")).join(split, "old", "left_anti"))
+    border = 100 * (F.col("n") - F.size("has")) < rule.percent * (F.col("size") + F.size("has"))
+    others = found.join(going.select("a", "old"), "a").join(homes, "old", "left_semi")
+    went = middles.join(homes.select(F.col("old").alias("node")), "node", "left_semi")
+    went = written(went.unionByName(others.select(F.col("a").alias("node"), F.col("b").alias("star"), "n", "lacks", "has", border.alias("border"))))
+    out = written(members.join(went.select("node"), "node", "left_anti").unionByName(went))
+    for t in (best, near, middles, going, to, found):
+        release(t)
+    return out, went, homes
+
+
 def _linked(near: DataFrame, members: DataFrame) -> DataFrame:
     return near.select("a", "b").union(members.where(~F.col("border")).select(F.col("node").alias("a"), F.col("star").alias("b"))).distinct()
 
@@ -365,9 +398,10 @@ def _by_class(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.withColumn("own", own).withColumn("j", F.explode(fits)).withColumns({"lo": F.least("own", "j"), "hi": F.greatest("own", "j")}).drop("j")
 
 
-def _cross_links(docs: DataFrame, postings: DataFrame, labels: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The links (a, b) of nodes in different stars and components: those that share as many prefix shingles as linked ones
-    must, verified. sets has the sets of all members and middles; what else is needed is made here."""
+def _other_links(docs: DataFrame, postings: DataFrame, labels: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The links (a, b) of nodes in different components. Stars with near middles are one star first; members of one star
+    meet by their differences, and nodes of different stars if they share as many prefix shingles as linked ones must;
+    both are verified. sets has the sets of all members and middles; what else is needed is made here."""
     sized = members.select("node", "star", (F.size("lacks") + F.size("has")).alias("d"))
     known = postings.drop("cnt").join(labels, "node", "left").join(sized, "node", "left")
     known = written(known.select("token", "node", "n", "k", F.coalesce("comp", "node").alias("comp"), F.coalesce("star", "node").alias("star"), F.coalesce("d", F.lit(0)).alias("d")))
@@ -402,10 +436,15 @@ def _cross_links(docs: DataFrame, postings: DataFrame, labels: DataFrame, member
     sets = sets.select("node", "tokens").union(more.join(wanted, "node", "left_semi"))
     within = F.col("apart") - F.col("ds") <= rule.slack * F.col("sizes") + 1e-6
     reach = _with_shared(wide, sets).withColumn("apart", F.col("both") - 2 * F.col("shared")).where(within)
-    reach = written(reach.select(F.col("a").alias("star"), F.col("b").alias("star2"), "apart"))
+    alike = (100 * F.col("shared") >= NEAR * (F.col("both") - F.col("shared"))).alias("near")
+    reach = written(reach.select(F.col("a").alias("star"), F.col("b").alias("star2"), "apart", alike))
+    together, went, homes = _merged_stars(reach, members, sets, rule)
+    inside = _links(_star_pairs(together, labels, rule), sets, rule).union(went.where("not border").select(F.col("node").alias("a"), F.col("star").alias("b")))
+    home, home2 = homes.withColumnRenamed("old", "star"), homes.withColumnsRenamed({"old": "star2", "home": "home2"})
+    apart = reach.drop("near").join(home, "star", "left").join(home2, "star2", "left").where(F.coalesce("home", "star") != F.coalesce("home2", "star2")).drop("home", "home2")
     rings = F.col("apart") - F.col("d") - F.col("d2") <= rule.slack * (F.col("most") + F.col("most2")) + 1e-6
     part2 = [f"{c}2" for c in part]
-    chosen = written(met.join(reach, ["star", "star2"]).where(rings).select(*key, *part, *part2, "apart"))
+    chosen = written(met.join(apart, ["star", "star2"]).where(rings).select(*key, *part, *part2, "apart"))
     fields = ["node", "n", "k", "cnt", "comp", "d"]
     left, right = known.select(*key, *part, *fields), known.select(*key, *part, *fields).withColumnsRenamed({c: f"{c}2" for c in part + fields})
     close = F.col("apart") - F.col("d") - F.col("d2") <= rule.slack * (F.col("n") + F.col("n2")) + 1e-6
@@ -413,9 +452,10 @@ def _cross_links(docs: DataFrame, postings: DataFrame, labels: DataFrame, member
     pairs = chosen.join(left, [*key, *part]).join(right, [*key, *part2]).where((F.col("comp") != F.col("comp2")) & close & (F.least("cnt", "cnt2") >= must))
     counted = pairs.groupBy("node", "node2").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("n", "n2", "k", "k2")])
     out = _links(direct.union(counted.where(F.col("c") >= must).select("node", "node2")), sets, rule)
-    for t in (known, groups, met, stars, direct, wide, wanted, more, reach, chosen):
+    inside = written(inside)
+    for t in (known, groups, met, stars, direct, wide, wanted, more, reach, chosen, together, went, homes):
         release(t)
-    return out
+    return inside.union(out)
 
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -440,7 +480,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     links = links.union(_links(second, sets, rule))
     release(labels)
     labels = components(links)
-    links = links.union(_links(_star_pairs(members, labels, rule), sets, rule)).union(_cross_links(docs, postings, labels, members, sets, rule))
+    links = links.union(_other_links(docs, postings, labels, members, sets, rule))
     release(labels), release(postings), release(sets), release(members)
     comps = components(links)
     first_of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
