@@ -158,17 +158,18 @@ def txt_signatures(spark, sf_dir):
 
 @query("txt_guess_language", rf"""WITH {R.TOKENS_SQL},
 d AS (SELECT t.*, documents.lang FROM tokens t JOIN documents USING (doc_id)),
-lex AS (SELECT lang AS model, word, -ln(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY lang)) AS cost FROM d WHERE lineno > 1 GROUP BY lang, word),
-q AS (SELECT doc_id, word, count(*) AS k FROM tokens WHERE lineno = 1 GROUP BY ALL),
+lex AS (SELECT lang AS model, word, -ln(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY lang)) AS cost FROM d GROUP BY lang, word),
+q AS (SELECT doc_id, word, count(*) AS k FROM tokens GROUP BY ALL),
 s AS (SELECT doc_id, model, sum(k * cost) AS cost, sum(k) AS hits FROM q JOIN lex USING (word) GROUP BY ALL),
 t AS (SELECT doc_id, sum(k) AS total FROM q GROUP BY ALL)
 SELECT t.doc_id, arg_min(model, (round(cost + (total - hits) * -ln(1e-20), 9), model)) AS model FROM t LEFT JOIN s USING (doc_id) GROUP BY t.doc_id""")
 def txt_guess_language(spark, sf_dir):
+    """Every whole document, by a lexicon of all documents (its own words are in it, so agreement with lang says nothing)."""
     langs = R.table(spark, sf_dir, "documents").select("doc_id", "lang")
     t = R.tokens(spark, sf_dir).join(langs, "doc_id")
-    rows = t.where("lineno > 1").groupBy(F.col("lang").alias("model"), "word").agg(F.count("*").alias("n"))
+    rows = t.groupBy(F.col("lang").alias("model"), "word").agg(F.count("*").alias("n"))
     lexicon = grammar.relative(rows.withColumnRenamed("model", "lhs")).select(F.col("lhs").alias("model"), "word", (-F.log("p")).alias("cost"))
-    return textsearch.guess_language(t.where("lineno = 1").select("doc_id", "word"), lexicon, key="doc_id")
+    return textsearch.guess_language(t.select("doc_id", "word"), lexicon, key="doc_id")
 
 
 @query("txt_lexicon_model", f"WITH {R.TOKENS_SQL} SELECT tag, count(*) AS n, count(DISTINCT lower(word)) AS words, count(DISTINCT lower(word)) >= 50 AS open FROM tokens GROUP BY tag")
