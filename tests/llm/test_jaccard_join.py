@@ -75,3 +75,17 @@ def test_rows_that_share_an_id(spark):
     rows = [(5, a), (3, a), (5, b), (5, c), (5, c), (None, c), (None, "five words that stand alone"), (None, None), (7, None), (7, "")]
     kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)), 2, 80)
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(3, a), (5, b), (5, c), (None, "five words that stand alone"), (None, None), (7, None), (7, "")])
+
+
+def test_stars_merge(spark):
+    """A star goes over to a near one with more members, if all of its own are near that middle; others stay."""
+    rule = jaccard_join.Rule(3, 80)
+    tokens = {1: range(100), 2: range(5, 105), 3: range(20, 120), 4: range(900, 1000), 5: range(30, 130), 6: range(60, 160)}  # 6 is near 5, not 1
+    sets = spark.createDataFrame([(k, list(v)) for k, v in tokens.items()], "node long, tokens array<long>")
+    own = [(a, b, 100, sorted({*tokens[b]} - {*tokens[a]}), sorted({*tokens[a]} - {*tokens[b]}), True) for a, b in ((2, 1), (6, 5))]
+    members = spark.createDataFrame([*own, (10, 1, 100, [1], [777], False)], "node long, star long, n int, lacks array<long>, has array<long>, border boolean")
+    reach = spark.createDataFrame([(1, 3, True), (1, 4, False), (1, 5, True)], "star long, star2 long, near boolean")
+    out, went, homes = jaccard_join._merged_stars(reach, members, sets, rule)
+    assert [tuple(r) for r in homes.collect()] == [(3, 1)]
+    assert [(r.node, r.star, r.n, sorted(r.lacks), sorted(r.has), r.border) for r in went.collect()] == [(3, 1, 100, list(range(20)), list(range(100, 120)), True)]
+    assert sorted((r.node, r.star) for r in out.collect()) == [(2, 1), (3, 1), (6, 5), (10, 1)]
