@@ -44,14 +44,17 @@ def written(df: DataFrame) -> DataFrame:
     return back
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark can write."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(df: DataFrame | None) -> None:
     """Deletes a table of written() that nothing reads any more."""
     path = getattr(df, "_dendrium_path", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        remove(df.sparkSession, path)
 
 
 def _give_back() -> None:
