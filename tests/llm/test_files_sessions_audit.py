@@ -86,6 +86,7 @@ def test_chunks_give_the_ids_of_whole_texts():
 def test_files(spark, docs, empty, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "SEGMENTS_A_FILE", 2)
     monkeypatch.setattr(token_files, "SEGMENT", 2000)
+    monkeypatch.setattr(token_files, "SLICE_CHARS", 1000)
     path = str(tmp_path / "files")
     token_files.write(docs, path)
     encode = token_files.Encoder(token_files.default_tokenizer()).tokenizer.encode
