@@ -30,17 +30,23 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dendrium.llm.common import lean, remove, shared_dir, table, written
+from dendrium.llm.common import SPACES, lean, remove, shared_dir, table, written
 from dendrium.llm.packing import slices
 from dendrium.llm.shingles import GAP
 
 END_ID = 0
 BLOCK, PERCENTILE = 256, 90
-#: Ids after which a segment ends, segments in a file, characters of text in a slice, chunks whose ids a worker keeps,
-#: and bytes beyond which a chunk's ids are not kept.
-SEGMENT, SEGMENTS_A_FILE, SLICE_CHARS, KEPT, LONG_CHUNK = 1 << 19, 16, 2_000_000, 400_000, 64
+#: Ids after which a segment ends, segments in a file, characters of text in a slice, chunks whose ids a task keeps, chunks
+#: that are encoded together, and characters beyond which a chunk's ids are not kept.
+SEGMENT, SEGMENTS_A_FILE, SLICE_CHARS, KEPT, TOGETHER, LONG_CHUNK = 1 << 19, 16, 3_000_000, 600_000, 2000, 64
 MAGIC, HEADER = b"PFORseg1", struct.Struct("<8sQIIIQII")
-_POWERS = np.uint64(1) << np.arange(32, dtype=np.uint64)
+_POWERS = np.uint64(1) << np.arange(33, dtype=np.uint64)
+
+
+def _kind(width: int) -> str:
+    """Unsigned integers that have so many bits."""
+    return "<u2" if width <= 16 else "<u4"
+
 
 
 def default_tokenizer() -> str:
@@ -55,25 +61,27 @@ def default_tokenizer() -> str:
 def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, ...]:
     """starts, minima, widths, exception counts, exception places, exception highs and bits of the blocks of ids."""
     n_blocks = -(-len(ids) // BLOCK)
-    x = np.empty(n_blocks * BLOCK, np.uint64)
+    x = np.empty(n_blocks * BLOCK, np.uint32)
     x[: len(ids)] = ids
     x[len(ids) :] = ids[-1] if len(ids) else 0
     x = x.reshape(n_blocks, BLOCK)
-    low = x.min(axis=1, initial=2**32 - 1) if n_blocks else np.zeros(0, np.uint64)
+    low = x.min(axis=1) if n_blocks else np.zeros(0, np.uint32)
     rest = x - low[:, None]
     rank = -(-BLOCK * PERCENTILE // 100) - 1
-    width = np.searchsorted(_POWERS, np.partition(rest, rank, axis=1)[:, rank], side="right").astype(np.uint8)
-    high = rest >> width[:, None].astype(np.uint64)
-    row, place = np.nonzero(high)
+    width = np.searchsorted(_POWERS[:32], np.partition(rest, rank, axis=1)[:, rank], side="right").astype(np.uint8)
+    large = rest > (_POWERS[width] - 1).astype(np.uint32)[:, None]
+    row, place = np.nonzero(large)
+    high = (rest[row, place].astype(np.uint64) >> width[row].astype(np.uint64)).astype("<u4")
     start = np.cumsum(width.astype(np.int64) * (BLOCK // 8)) - width.astype(np.int64) * (BLOCK // 8)
     bits = np.zeros(int(width.astype(np.int64).sum()) * (BLOCK // 8), np.uint8)
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
         if w:
-            each = ((rest[rows][:, :, None] >> np.arange(w, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+            kind = _kind(w)
+            each = np.unpackbits(rest[rows].astype(kind).view(np.uint8), bitorder="little").reshape(len(rows), BLOCK, -1)[:, :, :w]
             bits[start[rows][:, None] + np.arange(w * BLOCK // 8)] = np.packbits(each.reshape(len(rows), -1), axis=1, bitorder="little")
     counts = np.bincount(row, minlength=n_blocks).astype("<u2")
-    return start.astype("<u4"), low.astype("<u4"), width, counts, place.astype(np.uint8), high[row, place].astype("<u4"), bits
+    return start.astype("<u4"), low.astype("<u4"), width, counts, place.astype(np.uint8), high, bits
 
 
 def unpack_blocks(start, low, width, counts, places, highs, bits, n: int, first: int = 0, last: int | None = None) -> np.ndarray:
@@ -82,19 +90,20 @@ def unpack_blocks(start, low, width, counts, places, highs, bits, n: int, first:
     if first >= last:
         return np.zeros(0, np.uint32)
     a, b = first // BLOCK, -(-last // BLOCK)
-    out = np.zeros((b - a, BLOCK), np.uint64)
+    out = np.zeros((b - a, BLOCK), np.uint32)
     for w in np.unique(width[a:b]).tolist():
         rows = np.flatnonzero(width[a:b] == w)
         if w:
             packed = bits[start[a:b][rows].astype(np.int64)[:, None] + np.arange(w * BLOCK // 8)]
-            each = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            out[rows] = each @ _POWERS[:w]
+            each = np.zeros((len(rows), BLOCK, 8 * np.dtype(_kind(w)).itemsize), np.uint8)
+            each[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
+            out[rows] = np.packbits(each.reshape(-1), bitorder="little").view(_kind(w)).reshape(len(rows), BLOCK)
     upto = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
     row = np.repeat(np.arange(b - a), counts[a:b])
     wide = highs[upto[a] : upto[b]].astype(np.uint64) << width[a:b][row].astype(np.uint64)
-    out[row, places[upto[a] : upto[b]]] += wide
-    out += low[a:b].astype(np.uint64)[:, None]
-    return out.reshape(-1)[first - a * BLOCK : last - a * BLOCK].astype(np.uint32)
+    out[row, places[upto[a] : upto[b]]] += wide.astype(np.uint32)
+    out += low[a:b, None]
+    return out.reshape(-1)[first - a * BLOCK : last - a * BLOCK]
 
 
 # --- segments
@@ -170,13 +179,42 @@ def chunks_of(texts):
 
 
 class Encoder:
-    """Ids of many texts at once; each different chunk is encoded once while it is kept."""
+    """Ids of many texts at once; each different chunk is encoded once while it is kept.
+
+    Chunks that begin with ASCII white space and end as another may begin behind them are encoded together, as one text; the
+    bytes of its tokens tell where each chunk's ids end.
+    """
 
     def __init__(self, path: str, kept: int = KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte is one letter in a byte-level vocabulary
+        self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
+
+    def _each(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _together(self, chunks: list[str]) -> list[bytes]:
+        parts = ["".join(chunks[i : i + TOGETHER]) for i in range(0, len(chunks), TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+        upto, ends = np.cumsum(self.bytes[ids]), np.cumsum([len(c.encode()) for c in chunks])
+        at = np.searchsorted(upto, ends)
+        if at[-1] != len(ids) - 1 or (upto[at] != ends).any():  # not a byte-level vocabulary
+            return self._each(chunks)
+        raw, cuts = ids.tobytes(), (4 * (at + 1)).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _learned(self, chunks: list[str]) -> dict[str, bytes]:
+        plain, rest = [], []
+        for c in chunks:
+            (plain if c[0] in SPACES and ("!" <= c[-1] <= "~" or "\xc0" <= c[-1] <= "\xff") else rest).append(c)
+        out = dict(zip(rest, self._each(rest), strict=True))
+        if plain:
+            out.update(zip(plain, self._together(plain), strict=True))
+        return out
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """For an Arrow string array (null: empty): all ids, and where each text's ids end."""
@@ -191,8 +229,7 @@ class Encoder:
         codes, names = np.asarray(coded.indices), coded.dictionary.to_pylist()
         if len(self.known) + len(names) > self.kept:
             self.known = {}
-        new = [c for c in names if c not in self.known]
-        found = {c: array("I", e.ids).tobytes() for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        found = self._learned([c for c in names if c not in self.known])
         ids = [self.known[c] if c in self.known else found[c] for c in names]
         self.known.update((c, i) for c, i in found.items() if len(c) <= LONG_CHUNK)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
