@@ -36,9 +36,9 @@ from dendrium.llm.shingles import GAP
 
 END_ID = 0
 BLOCK, PERCENTILE = 256, 90
-#: Ids after which a segment ends, segments in a file, characters of text in a slice, chunks whose ids a task keeps, chunks
+#: Ids after which a segment ends, segments in a file, characters of text in a slice, chunks whose ids a worker keeps, chunks
 #: that are encoded together, and characters beyond which a chunk's ids are not kept.
-SEGMENT, SEGMENTS_A_FILE, SLICE_CHARS, KEPT, TOGETHER, LONG_CHUNK = 1 << 19, 16, 3_000_000, 600_000, 2000, 64
+SEGMENT, SEGMENTS_A_FILE, SLICE_CHARS, KEPT, TOGETHER, LONG_CHUNK = 1 << 19, 16, 2_000_000, 900_000, 2000, 64
 MAGIC, HEADER = b"PFORseg1", struct.Struct("<8sQIIIQII")
 _POWERS = np.uint64(1) << np.arange(33, dtype=np.uint64)
 
@@ -241,6 +241,17 @@ class Encoder:
         return every, np.concatenate(([0], upto))[np.cumsum(per_text)]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder for a tokenizer; later tasks of that worker go on with what it keeps."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 # --- files
 
 
@@ -260,7 +271,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, number, encoder = TaskContext.get().partitionId(), 0, Encoder(model)
+        part, number, encoder = TaskContext.get().partitionId(), 0, encoder_of(model)
         doc_ids, lengths, held = [], [], []
 
         def close():
