@@ -35,12 +35,12 @@ PLAIN = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)([.,!?;:|]*)")
 PLAIN_BEYOND = [c for c in range(0xDF, 0x100) if c != 0xF7]
 
 
-def byte_letters() -> dict[int, str]:
-    """For each Latin-1 letter beyond ASCII: its UTF-8 bytes in the letters that byte-level vocabularies use for them
+def byte_letters(first: int = 0xDF) -> dict[int, str]:
+    """For each Latin-1 letter from `first` on: its UTF-8 bytes in the letters that byte-level vocabularies use for them
     (a printable byte is itself, the others are numbered from U+0100)."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
-    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(first, 0x100)}
 
 
 def default_tokenizer() -> str:

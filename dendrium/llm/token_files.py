@@ -21,6 +21,7 @@ file and a row a range of documents. Positions over all files come from the segm
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -30,16 +31,20 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dendrium.llm.common import SPACES, lean, remove, shared_dir, table, written
-from dendrium.llm.packing import slices
+from dendrium.llm.common import lean, remove, shared_dir, table, written
+from dendrium.llm.packing import byte_letters, slices
 from dendrium.llm.shingles import GAP
 
 END_ID = 0
 BLOCK, PERCENTILE = 256, 90
-#: Ids after which a segment ends, segments in a file, characters of text in a slice, chunks whose ids a worker keeps, chunks
-#: that are encoded together, and characters beyond which a chunk's ids are not kept.
-SEGMENT, SEGMENTS_A_FILE, SLICE_CHARS, KEPT, TOGETHER, LONG_CHUNK = 1 << 19, 16, 2_000_000, 900_000, 2000, 64
+#: Ids after which a segment ends, segments in a file, characters of text in a slice, chunks whose ids a worker keeps and
+#: characters beyond which a chunk's ids are not kept.
+SEGMENT, SEGMENTS_A_FILE, SLICE_CHARS, KEPT, LONG_CHUNK = 1 << 19, 16, 6_000_000, 700_000, 64
 MAGIC, HEADER = b"PFORseg1", struct.Struct("<8sQIIIQII")
+#: Bytes of ASCII letters, and of marks that no token of the pattern joins to a letter before them.
+LETTER, MARK = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:!?"))
+#: Words that the pattern takes as one token: Latin letters behind a blank.
+PLAIN = re.compile(" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _POWERS = np.uint64(1) << np.arange(33, dtype=np.uint64)
 
 
@@ -156,8 +161,8 @@ def segments(raw):
 
 def chunks_of(texts):
     """All texts of a contiguous large_string array in chunks that can be encoded apart, and how many each has. A chunk ends
-    before ASCII white space that follows a printable ASCII character or a Latin-1 letter: the tokenizer's pattern always
-    ends a match there, and what it then matches does not depend on what stands before."""
+    before ASCII white space that follows a printable ASCII character or a Latin-1 letter, and before a mark that follows a
+    letter: the tokenizer's pattern always ends a match there, and what it then matches does not depend on what stands before."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -168,9 +173,13 @@ def chunks_of(texts):
         return pa.array([], pa.large_string()), np.zeros(len(size), np.int64)
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[:total]
     firm = (raw > 0x20) & (raw < 0x7F)
-    firm[1:] |= (raw[:-1] == 0xC3) & (raw[1:] >= 0x80)
+    latin = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80)
+    firm[1:] |= latin
+    letter = LETTER[raw]
+    letter[1:] |= latin & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
     begins = GAP[raw]
     begins[1:] &= firm[:-1]
+    begins[1:] |= MARK[raw[1:]] & letter[:-1]
     begins[(ends - size)[size > 0]] = True
     at = np.flatnonzero(begins)
     offsets = np.append(at, total).astype(np.int64)
@@ -179,41 +188,31 @@ def chunks_of(texts):
 
 
 class Encoder:
-    """Ids of many texts at once; each different chunk is encoded once while it is kept.
-
-    Chunks that begin with ASCII white space and end as another may begin behind them are encoded together, as one text; the
-    bytes of its tokens tell where each chunk's ids end.
-    """
+    """Ids of many texts at once; each different chunk is encoded once while it is kept. Plain words go to the model itself,
+    if that gives what the whole tokenizer gives."""
 
     def __init__(self, path: str, kept: int = KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte is one letter in a byte-level vocabulary
-        self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters(0xC0)
+        sample = [" a", " The", " zyxwvutsrq", " Internationalization", *(f" {a}{chr(c)}{b}" for c in self.letters if c not in (0xD7, 0xF7) for a, b in (("", ""), ("st", "rn")))]
+        self.direct = [self._model(w) for w in sample] == self._whole(sample)
+
+    def _model(self, word: str) -> bytes:
+        word = "\u0120" + (word[1:] if word.isascii() else word[1:].translate(self.letters))  # how the vocabulary writes a blank
+        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
 
-    def _each(self, chunks: list[str]) -> list[bytes]:
+    def _whole(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _together(self, chunks: list[str]) -> list[bytes]:
-        parts = ["".join(chunks[i : i + TOGETHER]) for i in range(0, len(chunks), TOGETHER)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
-        upto, ends = np.cumsum(self.bytes[ids]), np.cumsum([len(c.encode()) for c in chunks])
-        at = np.searchsorted(upto, ends)
-        if at[-1] != len(ids) - 1 or (upto[at] != ends).any():  # not a byte-level vocabulary
-            return self._each(chunks)
-        raw, cuts = ids.tobytes(), (4 * (at + 1)).tolist()
-        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-
-    def _learned(self, chunks: list[str]) -> dict[str, bytes]:
-        plain, rest = [], []
-        for c in chunks:
-            (plain if c[0] in SPACES and ("!" <= c[-1] <= "~" or "\xc0" <= c[-1] <= "\xff") else rest).append(c)
-        out = dict(zip(rest, self._each(rest), strict=True))
-        if plain:
-            out.update(zip(plain, self._together(plain), strict=True))
+    def _learned(self, chunks: list[str]) -> list[bytes]:
+        plain = PLAIN.fullmatch
+        out = [self._model(c) if self.direct and plain(c) else None for c in chunks]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self._whole([chunks[i] for i in rest]), strict=True):
+            out[i] = x
         return out
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
@@ -229,9 +228,12 @@ class Encoder:
         codes, names = np.asarray(coded.indices), coded.dictionary.to_pylist()
         if len(self.known) + len(names) > self.kept:
             self.known = {}
-        found = self._learned([c for c in names if c not in self.known])
-        ids = [self.known[c] if c in self.known else found[c] for c in names]
-        self.known.update((c, i) for c, i in found.items() if len(c) <= LONG_CHUNK)
+        ids = list(map(self.known.get, names))
+        new = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(new, self._learned([names[i] for i in new]), strict=True):
+            ids[i] = x
+            if len(names[i]) <= LONG_CHUNK:
+                self.known[names[i]] = x
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)
         begin = np.cumsum(lengths) - lengths
