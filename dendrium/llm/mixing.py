@@ -4,14 +4,17 @@ Every source gets a budget of words. Its documents have a fixed pseudo-random pl
 text); the mix takes each document floor(budget / size) times, and once more those whose place lies below a
 threshold at which the rest of the budget is spent. The threshold is found without sorting: words are summed by
 source and bucket of the place, the bucket in which the budget ends is the boundary, and only the documents of
-the boundary buckets are summed again by finer bits, until a boundary bucket is a single place. That place is
-taken if this brings the source nearer to its budget. The filter is then one comparison a row.
+the boundary buckets are summed again by finer bits, until a boundary bucket is a single place. Of the rows in that
+place (one row, or rows equal in id and text) as many are taken as bring the source nearest to its budget. The filter is
+then one comparison a row; only where a part of a place's rows is taken are those rows, and no others, numbered.
 
 What comes to the driver is a few numbers a source at each level; everything about documents stays distributed.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +55,8 @@ def targets(sizes: list[tuple[object, int]], weights=(1, 2, 3), most: float = 3.
 
 def plan(narrow: DataFrame, weights=(1, 2, 3), most: float = 3.0) -> list[tuple]:
     """For narrow (source, size, place): a row for each source with source, source_size, target, whole (times that
-    every document is taken) and threshold (documents placed below it are taken once more)."""
+    every document is taken), threshold (documents placed below it are taken once more) and some (how many of those in
+    that very place are taken once more)."""
     totals = narrow.groupBy("source").agg(F.sum("size").alias("n")).collect()
     totals = sorted(((r.source, r.n) for r in totals), key=lambda x: (x[0] is None, (x[0] or "").encode()))
     goal = targets(totals, weights, most)
@@ -61,7 +65,7 @@ def plan(narrow: DataFrame, weights=(1, 2, 3), most: float = 3.0) -> list[tuple]
     for i, ((source, n), t) in enumerate(zip(totals, goal, strict=True)):
         whole = int(t // n) if n else 0
         rest = t - whole * n if n else 0.0
-        found.append([source, n, t, whole, 0])
+        found.append([source, n, t, whole, 0, 0])
         if n and rest > 0:
             state[i] = [0, 0, rest]
     bits = PLACE_BITS
@@ -70,21 +74,21 @@ def plan(narrow: DataFrame, weights=(1, 2, 3), most: float = 3.0) -> list[tuple]
         bits -= LEVEL_BITS
         edges = spark.createDataFrame([(found[i][0], s[0] >> (bits + LEVEL_BITS), float(s[2] - s[1])) for i, s in state.items()], "e_source string, e_prefix long, e_left double")
         inside = narrow.join(_small(edges, len(state)), F.col("source").eqNullSafe(F.col("e_source")) & (F.shiftright("place", bits + LEVEL_BITS) == F.col("e_prefix")))
-        sums = inside.groupBy("source", F.shiftright("place", bits).alias("bucket")).agg(F.sum("size").alias("words"), F.max("e_left").alias("left"), F.min("place").alias("lo"), F.max("place").alias("hi"))
+        sums = inside.groupBy("source", F.shiftright("place", bits).alias("bucket")).agg(F.sum("size").alias("words"), F.max("e_left").alias("left"), F.min("place").alias("lo"), F.max("place").alias("hi"), F.count("*").alias("rows"))
         upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         cut = sums.withColumn("upto", F.sum("words").over(upto)).where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left")))
         number = {found[i][0]: i for i in state}
-        for r in cut.groupBy("source").agg(F.min(F.struct("bucket", "upto", "words", "lo", "hi")).alias("b")).collect():
+        for r in cut.groupBy("source").agg(F.min(F.struct("bucket", "upto", "words", "lo", "hi", "rows")).alias("b")).collect():
             i, b = number.pop(r.source), r.b
             s = state[i]
-            if b.lo == b.hi:  # one place is left: all of it or nothing, whichever is nearer
-                low, high = s[1] + b.upto - b.words, s[1] + b.upto
-                found[i][4] = b.lo + (1 if high - s[2] < s[2] - low else 0)
+            if b.lo == b.hi:  # one place is left
+                some = min(b.rows, math.ceil((s[2] - s[1] - b.upto + b.words) * b.rows / b.words - 0.5))
+                found[i][4:] = (b.lo + 1, 0) if some == b.rows else (b.lo, some)
                 del state[i]
             else:
                 state[i] = [b.bucket << bits, s[1] + b.upto - b.words, s[2]]
         for i in number.values():  # the budget is not reached in what is left: rounding of a whole copy
-            found[i][4] = 1 << PLACE_BITS
+            found[i][4:] = 1 << PLACE_BITS, 0
             del state[i]
     return [tuple(f) for f in found]
 
@@ -94,8 +98,8 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0) -> DataFrame:
     takes the document, at most `most` rounded up).
 
     A null text has size 0; documents of size 0 follow the same rule as others. A null source is a source, the last
-    in order. Rows equal in id and text share one place and are taken alike; no rows give no rows. Other columns are
-    carried in doc and cannot clash.
+    in order. Rows equal in id and text share one place, and each is taken for itself, so that a part of them may be. No rows
+    give no rows. Other columns are carried in doc and cannot clash.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     text, source = F.col("doc.text"), F.col("doc.source")
@@ -112,8 +116,25 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 
 
 def _with_copies(rows: DataFrame, made: list[tuple], source: Column) -> DataFrame:
-    per = rows.sparkSession.createDataFrame(made, "p_source string, source_size long, target double, whole long, threshold long")
-    return rows.join(_small(per, len(made)), source.eqNullSafe(F.col("p_source"))).withColumn("copies", F.col("whole") + (F.col("place") < F.col("threshold")).cast("long"))
+    per = rows.sparkSession.createDataFrame(made, "p_source string, source_size long, target double, whole long, threshold long, some long")
+    joined = rows.join(_small(per, len(made)), source.eqNullSafe(F.col("p_source")))
+    plain = joined.withColumn("copies", F.col("whole") + (F.col("place") < F.col("threshold")).cast("long"))
+    if not any(m[5] for m in made):
+        return plain
+    at = (F.col("place") == F.col("threshold")) & (F.col("some") > 0)
+    return plain.where(~at).unionByName(_some_of(joined.where(at)))
+
+
+def _some_of(rows: DataFrame) -> DataFrame:
+    """The rows of boundary places with copies; `some` of each source's are taken once more. They are written with a number, whose
+    high bits are the task's, and ranked by task, so that a place with very many rows is no single task."""
+    rows = written(rows.withColumn("own", F.monotonically_increasing_id()))
+    rows = rows.withColumn("task", F.shiftright("own", 33))
+    before = Window.partitionBy("p_source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = rows.groupBy("p_source", "task").count().select(F.col("p_source").alias("q_source"), F.col("task").alias("q_task"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("p_source", "task").orderBy("own")))
+    ranked = ranked.join(tasks, F.col("p_source").eqNullSafe(F.col("q_source")) & (F.col("task") == F.col("q_task")))
+    return ranked.withColumn("copies", F.col("whole") + (F.col("ahead") + F.col("rank") <= F.col("some")).cast("long")).drop("own", "task", "rank", "ahead", "q_source", "q_task")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,12 +164,13 @@ t AS (
 c AS (SELECT source, n, target, CASE WHEN n > 0 THEN floor(target / n)::BIGINT ELSE 0 END AS whole FROM t),
 p AS (
   SELECT d.source, d.place, c.target - c.whole * c.n AS rest,
-    sum(sum(d.size)) OVER (PARTITION BY d.source ORDER BY d.place ROWS UNBOUNDED PRECEDING) AS upto, sum(d.size) AS words
+    sum(sum(d.size)) OVER (PARTITION BY d.source ORDER BY d.place ROWS UNBOUNDED PRECEDING) AS upto, sum(d.size) AS words, count(*) AS n
   FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source GROUP BY d.source, d.place, c.target, c.whole, c.n),
 g AS (
-  SELECT source, place, CASE WHEN upto <= rest OR (upto - words <= rest AND upto - rest < rest - (upto - words)) THEN 1 ELSE 0 END AS more
-  FROM p)
-SELECT d.doc_id, d.size, c.n AS source_size, c.target, ((c.whole + CASE WHEN c.target > c.whole * c.n THEN g.more ELSE 0 END) * d.size)::BIGINT AS taken
-FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
-JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.place = g.place
+  SELECT source, place, CASE WHEN upto <= rest THEN n WHEN upto - words <= rest THEN least(n, ceil((rest - (upto - words)) * n / words - 0.5)::BIGINT) ELSE 0 END AS some
+  FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, place) AS r FROM d)
+SELECT r.doc_id, r.size, c.n AS source_size, c.target, ((c.whole + CASE WHEN c.target > c.whole * c.n AND r.r <= g.some THEN 1 ELSE 0 END) * r.size)::BIGINT AS taken
+FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source
+JOIN g ON r.source IS NOT DISTINCT FROM g.source AND r.place = g.place
 """

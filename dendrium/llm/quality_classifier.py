@@ -77,7 +77,8 @@ def statistics(texts) -> np.ndarray:
     n_words = np.bincount(owner, minlength=n).astype(float)
     again, top = _shares(owner, codes, n)
     doubled = np.bincount(owner[1:][(owner[1:] == owner[:-1]) & (codes[1:] == codes[:-1])], minlength=n)
-    tri, tri_owner = codes[:-2] * 1_000_003 + codes[1:-1] * 10_007 + codes[2:], owner[:-2]
+    _, pair = np.unique(codes[:-1] * (codes.max(initial=0) + 1) + codes[1:], return_inverse=True)  # numbered, so that three fit into 64 bits
+    tri, tri_owner = pair[:-1] * (codes.max(initial=0) + 1) + codes[2:], owner[:-2]
     whole = tri_owner == owner[2:]
     tri_again, _ = _shares(tri_owner[whole], tri[whole], n)
     lines = pc.split_pattern(texts, "\n")

@@ -431,6 +431,22 @@ def test_tree_arrays():
     whole = quality_classifier.statistics(pa.array(texts))
     alone = np.vstack([quality_classifier.statistics(pa.array([t], pa.string())) for t in texts])
     assert np.allclose(whole, alone)
+    before = " ".join(f"n{i}" for i in range(10_000))  # word codes of a long neighbour must not make other words alike
+    for text in ("n0 n100 n9400 x n1 n1 n90", "n0 n1 n2 n0 n1 n2 n3"):
+        both = quality_classifier.statistics(pa.array([before, text]))
+        assert np.allclose(both[1], quality_classifier.statistics(pa.array([text]))[0])
+
+
+def test_repeated_trigrams_against_counting():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["a", "b", "c"] + [f"w{i}" for i in range(k)], k=k)) for k in (1, 2, 3, 9, 40, 300) for _ in range(5)]
+    got = quality_classifier.statistics(pa.array(texts))[:, quality_classifier.STATISTICS.index("repeated_trigrams")]
+    for text, share in zip(texts, got, strict=True):
+        w = text.split()
+        seen = Counter(zip(w, w[1:], w[2:], strict=False))
+        assert abs(share - (sum(seen.values()) - len(seen)) / len(w)) < 1e-12
 
 
 # --- 10
@@ -463,3 +479,17 @@ def test_mix(docs, empty):
     again = Counter((r.doc.doc_id, r.size, r.copies) for r in mixing.mix(docs.repartition(5)).collect())
     assert again == Counter((r.doc.doc_id, r.size, r.copies) for r in rows)
     assert mixing.mix(empty).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_mix_of_repeated_rows(spark, monkeypatch, broadcast):
+    """Of rows equal in id and text as many are taken as the target asks for, whichever way the plan is joined."""
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", broadcast)
+    text = "one two three"
+    rows = [(7, text, "en", "a", i % 2) for i in range(400)] + [(i, "a b", "en", "b", 0) for i in range(100, 150)] + [(9, text, "en", None, 0)] * 30
+    got = mixing.mix(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
+    assert len(got) == len(rows) and Counter(r.doc.n_chars for r in got if r.doc.source == "a") == {0: 200, 1: 200}
+    for source in ("a", "b", None):
+        mine = [r for r in got if r.doc.source == source]
+        taken = sum(r.size * r.copies for r in mine)
+        assert abs(taken - mine[0].target) <= mine[0].size / 2 + 1e-9 and max(r.copies for r in mine) - min(r.copies for r in mine) <= 1
