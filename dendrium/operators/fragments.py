@@ -1,86 +1,304 @@
-"""Tree fragments: production index, fragment search, the tree kernel as a join, and depth-limited mining.
+"""Tree fragments: queries for fragments of any shape, and mining of what trees have in common.
 
-Binary nodes are rows (corpus, sentno, nid, label, left, right, prod); the right child of node k is node k + 1.
+A node row has corpus, sentno, nid, parent, side (which child it is, from 1), depth, label and prod; there is one for every
+node that has children or a word. prod is the label followed by the children's labels, or by "=" and the word. A
+fragment is a connected part of a tree, written as in "(S (NP ) (VP (V saw) (NP )))"; a node without children is open.
+
+Queries are twig joins: every closed node of a fragment asks for the nodes with its production in its slot, and levels are
+joined upwards on the parent, all fragments of a batch in one plan.
+
+Mining works on classes, not on nodes: nodes with equal subtrees are one class, made bottom-up, a level a join. What two nodes
+have in common from their tops on depends on their classes only, so pairs of classes are compared, once each, and
+occurrences are counted as sums over classes. The cost is that of different subtrees, however often they occur.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dendrium.operators.staging import dropped, staged
+
+NODE = ["corpus", "sentno", "nid"]
+_TOKEN = re.compile(r"\(|\)|[^\s()]+")
+
+
+def prod_of(label: Column, kids: Column, word: Column | None = None) -> Column:
+    """The production of a node: over labels (an array), or over a word where that is not null."""
+    over = F.concat_ws(" ", label, F.array_join(kids, " "))
+    return over if word is None else F.when(word.isNotNull(), F.concat(label, F.lit(" ="), word)).otherwise(over)
+
+
+# --- queries
+
+
+def parsed(text: str) -> tuple:
+    """(label, children) of a fragment; children are such pairs, or one word, or none for an open node."""
+    tokens, at = _TOKEN.findall(text), 0
+
+    def node():
+        nonlocal at
+        if at + 1 >= len(tokens) or tokens[at] != "(" or tokens[at + 1] in "()":
+            raise ValueError(f"a bracket and a label are expected at token {at} of {text!r}")
+        label, kids, at = tokens[at + 1], [], at + 2
+        while at < len(tokens) and tokens[at] != ")":
+            if tokens[at] == "(":
+                kids.append(node())
+            else:
+                kids.append(tokens[at])
+                at += 1
+        if at == len(tokens):
+            raise ValueError(f"a bracket is not closed in {text!r}")
+        at += 1
+        if any(isinstance(k, str) for k in kids) and len(kids) > 1:
+            raise ValueError(f"a word stands beside other children in {text!r}")
+        return label, tuple(kids)
+
+    out = node()
+    if at != len(tokens):
+        raise ValueError(f"{text!r} goes on after its end")
+    if not out[1]:
+        raise ValueError(f"the root of {text!r} is open")
+    return out
+
+
+def compiled(fragments: dict[str, str]) -> list[tuple]:
+    """A row for each closed node of named fragments: frag, q (its number), up (that of the node above, null at the root),
+    slot (which child it is), prod, need (closed children) and height above its lowest closed node."""
+    rows = []
+    for name, text in fragments.items():
+        count = 0
+
+        def walk(node, up, slot, name=name):
+            nonlocal count
+            label, kids = node
+            q, height, need, count = count, 0, 0, count + 1
+            for i, k in enumerate(kids, 1):
+                if not isinstance(k, str) and k[1]:
+                    height, need = max(height, 1 + walk(k, q, i)), need + 1
+            word = bool(kids) and isinstance(kids[0], str)
+            rows.append((name, q, up, slot, f"{label} ={kids[0]}" if word else " ".join([label, *(k[0] for k in kids)]), need, height))
+            return height
+
+        walk(parsed(text), None, None)
+    return rows
+
+
+def query_table(spark: SparkSession, fragments: dict[str, str]) -> DataFrame:
+    return spark.createDataFrame(compiled(fragments), "frag string, q int, up int, slot int, prod string, need int, height int")
+
 
-def production_index(bnodes: DataFrame) -> DataFrame:
+def production_index(nodes: DataFrame) -> DataFrame:
     """(prod, trees, n): how many trees have the production, and how often it occurs."""
-    return bnodes.groupBy("prod").agg(F.countDistinct("sentno").alias("trees"), F.count("*").alias("n"))
+    per = nodes.groupBy("prod", "corpus", "sentno").agg(F.count("*").alias("n"))
+    return per.groupBy("prod").agg(F.count("*").alias("trees"), F.sum("n").alias("n"))
+
+
+def postings(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """(frag, q, up, need, height, corpus, sentno, nid, parent): the nodes with a query node's production and in its slot."""
+    fits = F.col("slot").isNull() | (F.col("slot") == F.col("side"))
+    return nodes.select(*NODE, "parent", "side", "prod").join(F.broadcast(queries), "prod").where(fits).select("frag", "q", "up", "need", "height", *NODE, "parent")
+
+
+def candidates(nodes: DataFrame, fragments: dict[str, str]) -> DataFrame:
+    """(frag, corpus, sentno): trees that have all productions of a fragment, wherever."""
+    q = query_table(nodes.sparkSession, fragments).select("frag", "prod").distinct()
+    wanted = q.groupBy("frag").agg(F.count("*").alias("wanted"))
+    has = nodes.select("corpus", "sentno", "prod").join(F.broadcast(q), "prod").groupBy("frag", "corpus", "sentno").agg(F.countDistinct("prod").alias("k"))
+    return has.join(F.broadcast(wanted), "frag").where("k = wanted").select("frag", "corpus", "sentno")
+
+
+def search(nodes: DataFrame, fragments: dict[str, str]) -> DataFrame:
+    """(frag, corpus, sentno, nid): the roots of all occurrences of named fragments, the whole batch in one plan.
+
+    Query nodes are broadcast: they come from the caller's strings. What has their productions is read once and staged. A level of query nodes is kept where as many children
+    as it needs have been found one level below; a fragment of height h takes h joins, in any batch.
+    """
+    rows = compiled(fragments)
+    found = staged(postings(nodes, query_table(nodes.sparkSession, fragments)))
+    at = ["frag", "q", *NODE]
+    done = found.where("need = 0").drop("height", "need")
+    for height in range(1, max((r[6] for r in rows), default=0) + 1):
+        kids = done.where("up is not null").groupBy("frag", F.col("up").alias("q"), "corpus", "sentno", F.col("parent").alias("nid")).agg(F.count("*").alias("have"))
+        done = done.unionByName(found.where(F.col("height") == height).join(kids, at).where("have = need").drop("height", "need", "have"))
+    return done.where("up is null").select("frag", *NODE)
+
+
+def counts(found: DataFrame, fragments: dict[str, str], by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(frag, by, n) of all named fragments; without `by`, those that do not occur have n = 0."""
+    n = found.groupBy("frag", *by).agg(F.count("*").alias("n"))
+    if by:
+        return n
+    names = found.sparkSession.createDataFrame([(f,) for f in fragments], "frag string")
+    return names.join(n, "frag", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+# --- mining
+
+
+def classes(nodes: DataFrame) -> DataFrame:
+    """The nodes with cls (the same for equal subtrees), kids (classes by slot, null for a child without a row), height and up (the
+    production above), staged. A level of depth is a join of a node's children to it."""
+    deepest = nodes.agg(F.max("depth")).first()[0]
+    out, below = None, None
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        here = nodes.where(F.col("depth") == depth)
+        if below is None:
+            here = here.withColumns({"kids": F.expr("cast(map() as map<int, string>)"), "height": F.lit(0)})
+        else:
+            kid = below.groupBy("corpus", "sentno", F.col("parent").alias("nid")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("side", "cls")))).alias("kids"), (F.max("height") + 1).alias("height"))
+            here = here.join(kid, NODE, "left").withColumns({"kids": F.coalesce("kids", F.expr("cast(map() as map<int, string>)")), "height": F.coalesce("height", F.lit(0))})
+        key = F.concat_ws("|", "prod", F.array_join(F.transform(F.map_entries("kids"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"])), ","))
+        below = staged(here.withColumn("cls", F.md5(key)))
+        out = below if out is None else out.unionByName(below)
+    if out is None:
+        out = nodes.where("false").withColumns({"kids": F.expr("cast(map() as map<int, string>)"), "height": F.lit(0), "cls": F.lit("")})
+    above = nodes.select("corpus", "sentno", F.col("nid").alias("parent"), F.col("prod").alias("up"))
+    return staged(out.join(above, ["corpus", "sentno", "parent"], "left"))
+
+
+def dag(classed: DataFrame) -> DataFrame:
+    """(cls, label, prod, kids, height, n): every different subtree once, with its occurrences."""
+    first = [F.first(c).alias(c) for c in ("label", "prod", "kids", "height")]
+    return classed.groupBy("cls").agg(*first, F.count("*").alias("n"))
+
+
+def matching(classed: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    """(a, b): pairs of classes with equal productions, a <= b without other, that two nodes of different trees have whose
+    parents do not match in the same slot: where what they have in common begins. With other, a is of the first treebank
+    and b of the other.
+
+    Nodes are first summed up by class, production above and slot, with the least and the greatest tree.
+    """
+
+    def kinds(df, x):
+        tree = F.struct("corpus", "sentno")
+        k = df.groupBy("prod", "cls", "up", "side").agg(F.min(tree).alias("lo"), F.max(tree).alias("hi"))
+        return k.select("prod", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "up", "side", "lo", "hi")])
 
+    one, two = kinds(classed, "a"), kinds(classed if other is None else other, "b")
+    top = F.col("up_a").isNull() | F.col("up_b").isNull() | (F.col("up_a") != F.col("up_b")) | (F.col("side_a") != F.col("side_b"))
+    met = one.join(two, "prod").where(top)
+    if other is None:
+        same = (F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b"))
+        met = met.where((F.col("cls_a") <= F.col("cls_b")) & ~same)
+    return met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
 
-def candidates(bnodes: DataFrame, prods: list[str]) -> DataFrame:
-    """Sentences that have all productions of a fragment."""
-    wanted = list(dict.fromkeys(prods))
-    has = bnodes.where(F.col("prod").isin(*wanted)).groupBy("sentno").agg(F.countDistinct("prod").alias("k"))
-    return has.where(F.col("k") == len(wanted)).select("sentno")
 
+def common_parts(pairs: DataFrame, classed: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    """(a, b, frag, label, prod, kids, height) for the pairs and all pairs of children that match below them: frag is the largest
+    fragment that both have from their tops on, kids its closed children by slot, height its levels of them; staged.
 
-def search(bnodes: DataFrame, prods: list[str]) -> DataFrame:
-    """(corpus, sentno, nid): where the fragment prods[0] over prods[1] over ... occurs, each the right child of the one before."""
-    here = bnodes.join(candidates(bnodes, prods), "sentno", "left_semi")
-    out = here.where(F.col("prod") == prods[0]).select("corpus", "sentno", "nid")
-    for k, p in enumerate(prods[1:], 1):
-        below = here.where(F.col("prod") == p).select("sentno", (F.col("nid") - k).alias("nid"))
-        out = out.join(below, ["sentno", "nid"], "left_semi")
-    return out.select("corpus", "sentno", "nid")
+    Matching children are followed downwards until no new pair of classes comes up, and fragments put together upwards.
+    """
+    nodes = dag(classed if other is None else classed.unionByName(other))
+    known = staged(nodes.select("cls", "label", "prod", "kids", "height"))
+    side = lambda x: known.select(F.col("cls").alias(x), F.col("prod").alias(f"prod_{x}"), F.col("kids").alias(f"kids_{x}"), F.col("height").alias(f"height_{x}"))
+    every, new = None, pairs
+    while True:
+        slots = F.array_intersect(F.map_keys("kids_a"), F.map_keys("kids_b"))
+        full = new.join(side("a"), "a").join(side("b"), "b").where("prod_a = prod_b").select("a", "b", F.least("height_a", "height_b").alias("level"), F.transform(slots, lambda s: F.struct(F.col("kids_a")[s].alias("a"), F.col("kids_b")[s].alias("b"), s.alias("slot"))).alias("below"))
+        full = staged(full)
+        last, every = full.isEmpty(), full if every is None else every.unionByName(full)
+        if last:
+            break
+        new = full.select(F.inline("below")).select("a", "b").distinct().join(every.select("a", "b"), ["a", "b"], "left_anti")
+    name = known.select(F.col("cls").alias("a"), "label", "prod", F.filter(F.split("prod", " "), lambda x, i: i > 0).alias("over"))
+    every = every.join(name, "a")
+    done = None
+    for level in range((every.agg(F.max("level")).first()[0] or 0) + 1):
+        here = every.where(F.col("level") == level)
+        if done is None:
+            here = here.withColumns({"kids": F.expr("cast(map() as map<int, string>)"), "height": F.lit(0)})
+        else:
+            kid = here.select(F.col("a").alias("top_a"), F.col("b").alias("top_b"), F.inline("below")).join(done.select("a", "b", "frag", "height"), ["a", "b"])
+            kid = kid.groupBy(F.col("top_a").alias("a"), F.col("top_b").alias("b")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("slot", "frag")))).alias("kids"), (F.max("height") + 1).alias("height"))
+            here = here.join(kid, ["a", "b"], "left").withColumns({"kids": F.coalesce("kids", F.expr("cast(map() as map<int, string>)")), "height": F.coalesce("height", F.lit(0))})
+        parts = F.transform("over", lambda o, i: F.coalesce(F.col("kids")[i + 1], F.when(o.startswith("="), F.substring(o, 2, 1 << 20)).otherwise(F.concat(F.lit("("), o, F.lit(" )")))))
+        made = here.select("a", "b", F.concat(F.lit("("), "label", F.lit(" "), F.array_join(parts, " "), F.lit(")")).alias("frag"), "label", "prod", "kids", "height")
+        made = staged(made)
+        done = made if done is None else done.unionByName(made)
+    return done
 
 
-def kernel(bnodes: DataFrame, other: DataFrame | None = None) -> DataFrame:
-    """(a, b, n): for pairs of trees, the number of node pairs with equal productions. Without other, pairs a < b of one
-    treebank. Equal productions are counted in each tree first, so a frequent production costs trees, not nodes."""
-    one = bnodes.groupBy("prod", F.col("sentno").alias("a")).agg(F.count("*").alias("x"))
-    two = (bnodes if other is None else other).groupBy("prod", F.col("sentno").alias("b")).agg(F.count("*").alias("y"))
-    pairs = one.join(two, "prod")
-    return (pairs.where("a < b") if other is None else pairs).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("n"))
+def occurrences(parts: DataFrame, classed: DataFrame) -> DataFrame:
+    """(frag, cls) for all different fragments of parts: the classes from whose top on the fragment occurs; staged. A fragment is
+    put together upwards from its closed children, all fragments at once."""
+    known = staged(dag(classed).select("cls", "prod", F.col("kids").alias("of")))
+    frags = staged(parts.groupBy("frag").agg(*[F.first(c).alias(c) for c in ("prod", "kids", "height")]))
+    out = staged(frags.where("height = 0").join(known, "prod").select("frag", "cls"))
+    for height in range(1, (frags.agg(F.max("height")).first()[0] or 0) + 1):
+        slots = frags.where(F.col("height") == height).join(known, "prod").select("frag", "cls", F.size("kids").alias("k"), F.explode("kids").alias("slot", "kid"), "of")
+        hit = slots.select("frag", "cls", "k", "kid", F.col("of")[F.col("slot")].alias("kid_cls")).join(out.select(F.col("frag").alias("kid"), F.col("cls").alias("kid_cls")), ["kid", "kid_cls"])
+        out = out.unionByName(staged(hit.groupBy("frag", "cls").agg(F.count("*").alias("have"), F.first("k").alias("k")).where("have = k").select("frag", "cls")))
+    return out
 
 
-def matched_runs(bnodes: DataFrame) -> DataFrame:
-    """Largest common fragments of pairs of right-branching trees: (a, b, top_a, top_b, n): runs of n node pairs with equal
-    productions, each pair below the one before it."""
-    x = bnodes.select(F.col("sentno").alias("a"), F.col("nid").alias("i"), "prod")
-    y = bnodes.select(F.col("sentno").alias("b"), F.col("nid").alias("j"), "prod")
-    m = x.join(y, "prod").where("a < b").select("a", "b", "i", "j")
-    w = Window.partitionBy("a", "b", F.col("i") - F.col("j")).orderBy("i")
-    m = m.withColumn("run", F.col("i") - F.row_number().over(w)).withColumn("lag", F.col("i") - F.col("j"))
-    return m.groupBy("a", "b", "lag", "run").agg(F.min("i").alias("top_a"), F.min("j").alias("top_b"), F.count("*").alias("n")).drop("lag", "run")
+def recurring(nodes: DataFrame, other: DataFrame | None = None, count_in: DataFrame | None = None) -> DataFrame:
+    """(root, frag, n): all largest fragments that two trees of a treebank have in common, or a tree of it and one of another, with
+    their exact number of occurrences in count_in (by default in `nodes`)."""
+    classed = classes(nodes)
+    second = None if other is None else classes(other)
+    pairs = staged(matching(classed, second))
+    parts = common_parts(pairs, classed, second)
+    wanted = parts.join(pairs, ["a", "b"], "left_semi").select("frag", F.col("label").alias("root")).distinct()
+    within = classed if count_in is None else second if count_in is other else classes(count_in)
+    n = occurrences(parts, within).join(dag(within).select("cls", "n"), "cls").groupBy("frag").agg(F.sum("n").alias("n"))
+    out = staged(wanted.join(n, "frag").select("root", "frag", "n"))
+    dropped(pairs)
+    return out
 
 
-def chains(bnodes: DataFrame, depth: int) -> DataFrame:
-    """Right-branching fragments of that depth: (corpus, sentno, nid, root, frag)."""
-    w = Window.partitionBy("sentno").orderBy("nid")
-    parts = [F.lead("prod", k).over(w) for k in range(depth)]
-    x = bnodes.withColumns({f"p{k}": p for k, p in enumerate(parts)})
-    return x.where(F.col(f"p{depth - 1}").isNotNull()).select("corpus", "sentno", "nid", F.col("label").alias("root"), F.concat_ws(" / ", *[f"p{k}" for k in range(depth)]).alias("frag"))
+def relative(counted: DataFrame) -> DataFrame:
+    """Adds rel, the share among fragments with the same root; roots are summed up first."""
+    total = counted.groupBy("root").agg(F.sum("n").alias("total"))
+    return counted.join(total, "root").select(*counted.columns, (F.col("n") / F.col("total")).alias("rel"))
 
 
-def recurring(found: DataFrame, least: int = 2) -> DataFrame:
-    """(root, frag, n, trees): fragments that occur in at least so many trees, counted exactly."""
-    return found.groupBy("root", "frag").agg(F.count("*").alias("n"), F.countDistinct("sentno").alias("trees")).where(F.col("trees") >= least)
+def n_words(frag: Column) -> Column:
+    """The words of a written fragment: what stands behind a blank and before a bracket without being one."""
+    return F.regexp_count(frag, F.lit(r"(?<= )[^\s()]+(?=\))")).cast("long")
 
 
-def relative(counts: DataFrame) -> DataFrame:
-    """Adds rel, the share among fragments with the same root."""
-    return counts.withColumn("rel", F.col("n") / F.sum("n").over(Window.partitionBy("root")))
+def n_open(frag: Column) -> Column:
+    """The open nodes of a written fragment."""
+    return F.regexp_count(frag, F.lit(r" \)")).cast("long")
 
 
-def ranking(counts: DataFrame, words: str, most: int = 250) -> DataFrame:
+def ranking(counted: DataFrame, words: str, most: int = 250) -> DataFrame:
     """The first by words squared times the root of the frequency, ties by name."""
-    return counts.withColumn("score", F.round(F.pow(F.col(words), 2) * F.sqrt("n"), 6)).orderBy(F.desc("score"), "frag").limit(most)
+    return counted.withColumn("score", F.round(F.pow(F.col(words), 2) * F.sqrt("n"), 6)).orderBy(F.desc("score"), "frag").limit(most)
 
 
-def common(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(root, frag, n): fragments of a that are in b too, counted in b."""
-    return b.join(a.select("frag").distinct(), "frag", "left_semi").groupBy("root", "frag").agg(F.count("*").alias("n"))
+def ewe(nodes: DataFrame) -> DataFrame:
+    """(root, frag, w): equal-weight estimates of the recurring fragments: an occurrence counts one over all occurrences in its
+    tree; shares by root. Trees meet fragments by classes: a class weighs what its nodes' trees give it."""
+    classed = classes(nodes)
+    pairs = staged(matching(classed))
+    parts = common_parts(pairs, classed)
+    wanted = parts.join(pairs, ["a", "b"], "left_semi").select("frag", F.col("label").alias("root")).distinct()
+    at = staged(occurrences(parts, classed).join(wanted, "frag"))
+    held = at.groupBy("cls").agg(F.count("*").alias("held"))
+    held_nodes = classed.select("corpus", "sentno", "cls").join(held, "cls")
+    trees = held_nodes.groupBy("corpus", "sentno").agg(F.sum("held").alias("all"))
+    weight = classed.select("corpus", "sentno", "cls").join(trees, ["corpus", "sentno"]).groupBy("cls").agg(F.sum(1 / F.col("all")).alias("u"))
+    sums = at.join(weight, "cls").groupBy("root", "frag").agg(F.sum("u").alias("u"))
+    total = sums.groupBy("root").agg(F.sum("u").alias("total"))
+    return sums.join(total, "root").select("root", "frag", (F.col("u") / F.col("total")).alias("w"))
 
 
-def ewe_weights(found: DataFrame) -> DataFrame:
-    """(root, frag, w): equal-weight estimates: an occurrence counts one over the fragments of its tree; shares by root."""
-    per = found.withColumn("u", 1 / F.count("*").over(Window.partitionBy("sentno")))
-    sums = per.groupBy("root", "frag").agg(F.sum("u").alias("u"))
-    return sums.select("root", "frag", (F.col("u") / F.sum("u").over(Window.partitionBy("root"))).alias("w"))
+def kernel(nodes: DataFrame, least: int = 1) -> DataFrame:
+    """(a_corpus, a, b_corpus, b, n): for pairs of different trees, the number of node pairs with equal productions, if that is
+    `least` or more. Equal trees are one row and stand as the first of them; with itself a tree is paired if it occurs
+    twice. A tree's productions are counted before trees meet."""
+    classed = classes(nodes)
+    roots = classed.where("parent is null").select("corpus", "sentno", F.col("cls").alias("tree"))
+    one = roots.groupBy("tree").agg(F.count("*").alias("copies"), F.min(F.struct("corpus", "sentno")).alias("first")).select("copies", "first.*")
+    per = staged(classed.join(one, ["corpus", "sentno"]).groupBy("corpus", "sentno", "copies", "prod").agg(F.count("*").alias("x")))
+    tree = F.struct("corpus", "sentno")
+    a = per.select("prod", "copies", tree.alias("a"), "x")
+    b = per.select("prod", tree.alias("b"), F.col("x").alias("y"))
+    pairs = a.join(b, "prod").where("a < b or (a = b and copies > 1)").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("n")).where(F.col("n") >= least)
+    return pairs.select(F.col("a.corpus").alias("a_corpus"), F.col("a.sentno").alias("a"), F.col("b.corpus").alias("b_corpus"), F.col("b.sentno").alias("b"), "n")

@@ -444,70 +444,149 @@ def frag_index(spark, sf_dir):
     return fragments.production_index(R.binarized_nodes(spark, sf_dir))
 
 
-_FRAG = ["ORD-O|<NO> NO ORD-O|<NO>", "ORD-O|<NO> NO ORD-O|<RF>"]
-
-
-@query("frag_candidates", f"WITH {R.BINARIZED_SQL} SELECT sentno FROM prods WHERE prod IN ('{_FRAG[0]}', '{_FRAG[1]}') GROUP BY sentno HAVING count(DISTINCT prod) = 2")
-def frag_candidates(spark, sf_dir):
-    return fragments.candidates(R.binarized_nodes(spark, sf_dir), _FRAG)
-
-
-@query("frag_search", f"WITH {R.BINARIZED_SQL} SELECT a.corpus, a.sentno, a.nid FROM prods a JOIN prods b ON a.sentno = b.sentno AND b.nid = a.nid + 1 WHERE a.prod = '{_FRAG[0]}' AND b.prod = '{_FRAG[1]}'")
+# Fragments of each shape: a chain with a word, one that branches, a root with one child, one that does not occur.
+FRAGMENTS = {
+    "right": {
+        "chain": "(ORD-O (NO ) (ORD-O|<NO,NO> (NO w7) (ORD-O|<NO,NO> )))", "deep": "(ORD-F|<RF,RF> (RF ) (ORD-F|<RF,RF> (RF ) (ORD-F|<RF,RF> (RF ) (RF ))))",
+        "unary": "(ORD-F (AF ))", "word": "(NO w7)", "none": "(ORD-O (XX ) (NO ))",
+    },
+    "left": {
+        "chain": "(ORD-O (ORD-O|<NO,NO> (ORD-O|<NO,NO> ) (NO w7)) (NO ))", "deep": "(ORD-F|<RF,RF> (ORD-F|<RF,RF> (ORD-F|<RF,RF> (RF ) (RF )) (RF )) (RF ))",
+        "unary": "(ORD-F (AF w7))", "word": "(RO w49)", "none": "(ORD-O (XX ) (NO ))",
+    },
+    "balanced": {
+        "both": "(ORD-O (ORD-O|<NO,NO> (NO ) (NO )) (ORD-O|<NO,NO> (NO ) (NO )))", "words": "(ORD-O|<NO,NO> (NO w7) (NO ))", "mixed": "(ORD-O (ORD-O|<NO,NO> ) (ORD-O|<NO,NO> (NO ) (NO w7)))",
+        "deep": "(ORD-O (ORD-O|<NO,NO> (ORD-O|<NO,NO> (NO ) (NO )) (NO )) (ORD-O|<NO,NO> ))", "unary": "(ORD-P (NO ))", "none": "(ORD-O (XX ) (NO ))",
+    },
+}
+
+
+def _twig_sql(name: str, text: str, out: str = "n0.corpus, n0.sentno, n0.nid") -> str:
+    """One fragment as a chain of self-joins on parent and slot."""
+    tables, conditions = [], []
+
+    def walk(node, above, slot):
+        me = f"n{len(tables)}"
+        tables.append(f"fnodes {me}")
+        label, kids = node
+        over = f"={kids[0]}" if isinstance(kids[0], str) else " ".join(k[0] for k in kids)
+        conditions.append(f"{me}.prod = '{label} {over}'")
+        if above:
+            conditions.append(f"{me}.sentno = {above}.sentno AND {me}.parent = {above}.nid AND {me}.side = {slot}")
+        for i, k in enumerate(kids, 1):
+            if not isinstance(k, str) and k[1]:
+                walk(k, me, i)
+
+    walk(fragments.parsed(text), None, None)
+    return f"SELECT '{name}' AS frag, {out} FROM {', '.join(tables)} WHERE {' AND '.join(conditions)}"
+
+
+def _batch_sql(shape: str) -> str:
+    return "\nUNION ALL ".join(_twig_sql(n, t) for n, t in FRAGMENTS[shape].items())
+
+
+@query("frag_search_right", f"WITH RECURSIVE {R.factored_sql('right', True)} {_batch_sql('right')}")
+def frag_search_right(spark, sf_dir):
+    return fragments.search(R.factored_nodes(spark, sf_dir, "right", words=True), FRAGMENTS["right"])
+
+
+@query("frag_search_left", f"WITH RECURSIVE {R.factored_sql('left', True)} {_batch_sql('left')}")
+def frag_search_left(spark, sf_dir):
+    return fragments.search(R.factored_nodes(spark, sf_dir, "left", words=True), FRAGMENTS["left"])
+
+
+@query("frag_search", f"WITH RECURSIVE {R.factored_sql('balanced', True)} {_batch_sql('balanced')}")
 def frag_search(spark, sf_dir):
-    return fragments.search(R.binarized_nodes(spark, sf_dir), _FRAG)
+    return fragments.search(R.factored_nodes(spark, sf_dir, "balanced", words=True), FRAGMENTS["balanced"])
 
 
-@query("frag_kernel_long_orders", f"""WITH {R.BINARIZED_SQL}, x AS (SELECT p.* FROM prods p JOIN (SELECT sentno FROM prods GROUP BY sentno HAVING count(*) >= 8) USING (sentno))
-SELECT a.sentno AS a, b.sentno AS b, count(*) AS n FROM x a JOIN x b ON a.prod = b.prod AND a.sentno < b.sentno GROUP BY ALL""")
-def frag_kernel_long_orders(spark, sf_dir):
-    """Only trees of nine items and more: the kernel is for pairs of trees, and short trees have few productions to share."""
-    return fragments.kernel(_long(spark, sf_dir))
+@query("frag_batch_counts", f"""WITH RECURSIVE {R.factored_sql('balanced', True)}, m AS ({_batch_sql('balanced')}), f AS (SELECT unnest({list(FRAGMENTS['balanced'])}) AS frag)
+SELECT f.frag, count(m.nid) AS n FROM f LEFT JOIN m ON m.frag = f.frag GROUP BY f.frag""")
+def frag_batch_counts(spark, sf_dir):
+    return fragments.counts(frag_search(spark, sf_dir), FRAGMENTS["balanced"])
 
 
-def _long(spark, sf_dir):
-    x = R.binarized_nodes(spark, sf_dir)
-    return x.join(x.groupBy("sentno").agg(F.count("*").alias("k")).where("k >= 8").select("sentno"), "sentno", "left_semi")
+@query("frag_counts_by_corpus", f"WITH RECURSIVE {R.factored_sql('balanced', True)}, m AS ({_batch_sql('balanced')}) SELECT frag, corpus, count(*) AS n FROM m GROUP BY ALL")
+def frag_counts_by_corpus(spark, sf_dir):
+    return fragments.counts(frag_search(spark, sf_dir), FRAGMENTS["balanced"], ["corpus"])
 
 
-@query("frag_matched_runs_long_orders", f"""WITH {R.BINARIZED_SQL}, x AS (SELECT p.* FROM prods p JOIN (SELECT sentno FROM prods GROUP BY sentno HAVING count(*) >= 8) USING (sentno)),
-m AS (SELECT a.sentno AS a, b.sentno AS b, a.nid AS i, b.nid AS j, a.nid - row_number() OVER (PARTITION BY a.sentno, b.sentno, a.nid - b.nid ORDER BY a.nid) AS run FROM x a JOIN x b ON a.prod = b.prod AND a.sentno < b.sentno)
-SELECT a, b, min(i)::INT AS top_a, min(j)::INT AS top_b, count(*) AS n FROM m GROUP BY a, b, i - j, run""")
-def frag_matched_runs_long_orders(spark, sf_dir):
-    return fragments.matched_runs(_long(spark, sf_dir))
+@query("frag_candidates", f"""WITH RECURSIVE {R.factored_sql('balanced', True)}
+SELECT 'mixed' AS frag, corpus, sentno FROM fnodes WHERE prod IN ('ORD-O ORD-O|<NO,NO> ORD-O|<NO,NO>', 'ORD-O|<NO,NO> NO NO', 'NO =w7') GROUP BY ALL HAVING count(DISTINCT prod) = 3""")
+def frag_candidates(spark, sf_dir):
+    return fragments.candidates(R.factored_nodes(spark, sf_dir, words=True), {"mixed": FRAGMENTS["balanced"]["mixed"]})
 
 
-_CHAIN_SQL = R.BINARIZED_SQL + ", ch AS (SELECT corpus, sentno, nid, label AS root, prod || ' / ' || nx AS frag FROM (SELECT *, lead(prod) OVER (PARTITION BY sentno ORDER BY nid) AS nx FROM prods) WHERE nx IS NOT NULL)"
+# Right-factored trees are chains of productions (ch: prods from a node down), so what two nodes share is a common prefix.
+_CHAIN_SQL = R.factored_sql("right") + """,
+links AS (SELECT sentno, nid, parent, depth, prod, label, seq, root FROM fnodes),
+ch AS (
+  SELECT n.corpus, n.sentno, n.nid, n.label AS root, n.side, any_value(u.prod) AS up, list(d.prod ORDER BY d.depth) AS p, list('(' || d.label || CASE WHEN len(d.seq) > 1 THEN ' (' || d.seq[1] || ' ) ' ELSE ' ' END ORDER BY d.depth) AS opens,
+    list('(' || d.last || ' )' ORDER BY d.depth) AS ends
+  FROM fnodes n JOIN (SELECT *, CASE len(seq) WHEN 1 THEN seq[1] WHEN 2 THEN seq[2] ELSE root || '|<' || seq[2] || ',' || seq[len(seq)] || '>' END AS last FROM links) d ON d.sentno = n.sentno AND d.depth >= n.depth
+  LEFT JOIN links u ON u.sentno = n.sentno AND u.nid = n.parent GROUP BY n.corpus, n.sentno, n.nid, n.label, n.side),
+kinds AS (SELECT p, up, any_value(root) AS root, any_value(opens) AS opens, any_value(ends) AS ends, min(sentno) AS lo, max(sentno) AS hi FROM ch GROUP BY p, up),
+met AS (
+  SELECT DISTINCT a.root, a.opens, a.ends, a.p, coalesce(list_position(list_transform(list_zip(a.p, b.p), lambda z: coalesce(z[1] = z[2], false)), false) - 1, len(a.p)) AS k
+  FROM kinds a JOIN kinds b ON a.p[1] = b.p[1] AND a.p <= b.p AND (a.up IS NULL OR b.up IS NULL OR a.up <> b.up) AND NOT (a.lo = a.hi AND b.lo = b.hi AND a.lo = b.lo)),
+found AS (SELECT DISTINCT root, p[1:k] AS p, array_to_string(opens[1:k], '') || ends[k] || repeat(')', k::INT) AS frag FROM met),
+pre AS (SELECT p[1:k] AS p, corpus, sentno FROM (SELECT p, corpus, sentno, unnest(range(1, len(p) + 1)) AS k FROM ch)),
+rec AS (SELECT root, frag, count(*) AS n FROM found JOIN pre USING (p) GROUP BY ALL)"""
 
 
-def _chains(spark, sf_dir):
-    return fragments.chains(R.binarized_nodes(spark, sf_dir), 2)
+def _recurring(spark, sf_dir):
+    return fragments.recurring(R.factored_nodes(spark, sf_dir, "right"))
 
 
-@query("frag_recurring", f"WITH {_CHAIN_SQL} SELECT root, frag, count(*) AS n, count(DISTINCT sentno) AS trees FROM ch GROUP BY ALL HAVING count(DISTINCT sentno) >= 2")
+@query("frag_recurring", f"WITH RECURSIVE {_CHAIN_SQL} SELECT root, frag, n FROM rec")
 def frag_recurring(spark, sf_dir):
-    return fragments.recurring(_chains(spark, sf_dir))
+    return _recurring(spark, sf_dir)
 
 
-@query("frag_relative", f"WITH {_CHAIN_SQL}, r AS (SELECT root, frag, count(*) AS n FROM ch GROUP BY ALL HAVING count(DISTINCT sentno) >= 2) SELECT root, frag, n, n::DOUBLE / sum(n) OVER (PARTITION BY root) AS rel FROM r")
+@query("frag_relative", f"WITH RECURSIVE {_CHAIN_SQL} SELECT root, frag, n, n::DOUBLE / sum(n) OVER (PARTITION BY root) AS rel FROM rec")
 def frag_relative(spark, sf_dir):
-    return fragments.relative(fragments.recurring(_chains(spark, sf_dir))).drop("trees")
+    return fragments.relative(_recurring(spark, sf_dir))
 
 
-@query("frag_ranking", f"WITH {_CHAIN_SQL}, r AS (SELECT root, frag, count(*) AS n FROM ch GROUP BY ALL) SELECT *, round(pow(length(frag), 2) * sqrt(n), 6) AS score FROM r ORDER BY score DESC, frag LIMIT 250")
+@query("frag_ranking", rf"WITH RECURSIVE {_CHAIN_SQL}, w AS (SELECT *, len(regexp_extract_all(frag, ' \)')) AS open FROM rec) SELECT *, round(pow(open, 2) * sqrt(n), 6) AS score FROM w ORDER BY score DESC, frag LIMIT 250")
 def frag_ranking(spark, sf_dir):
-    r = fragments.recurring(_chains(spark, sf_dir), 1).drop("trees").withColumn("w", F.length("frag"))
-    return fragments.ranking(r, "w").drop("w")
+    """These trees have no words, so fragments count their open nodes."""
+    return fragments.ranking(_recurring(spark, sf_dir).withColumn("open", fragments.n_open(F.col("frag"))), "open")
 
 
-@query("frag_common", f"WITH {_CHAIN_SQL} SELECT root, frag, count(*) AS n FROM ch WHERE corpus = '2-HIGH' AND frag IN (SELECT frag FROM ch WHERE corpus = '1-URGENT') GROUP BY ALL")
+@query("frag_ewe", f"""WITH RECURSIVE {_CHAIN_SQL}, o AS (SELECT root, frag, sentno, 1.0::DOUBLE / count(*) OVER (PARTITION BY sentno) AS u FROM found JOIN pre USING (p)), s AS (SELECT root, frag, sum(u) AS u FROM o GROUP BY ALL)
+SELECT root, frag, round(u / sum(u) OVER (PARTITION BY root), 9) AS w FROM s""")
+def frag_ewe(spark, sf_dir):
+    return fragments.ewe(R.factored_nodes(spark, sf_dir, "right")).withColumn("w", F.round("w", 9))
+
+
+# Left-factored trees are chains downwards to the left.
+@query("frag_common", "WITH RECURSIVE " + R.factored_sql("left") + """,
+ch AS (
+  SELECT n.corpus, n.sentno, n.nid, n.label AS root, any_value(u.prod) AS up, list(d.prod ORDER BY d.depth) AS p, list('(' || d.label || ' ' ORDER BY d.depth) AS opens,
+    list(CASE WHEN len(d.seq) > 1 THEN ' (' || d.seq[len(d.seq)] || ' ))' ELSE ')' END ORDER BY d.depth) AS ends,
+    list('(' || CASE WHEN len(d.seq) <= 2 THEN d.seq[1] ELSE d.root || '|<' || d.seq[1] || ',' || d.seq[len(d.seq) - 1] || '>' END || ' )' ORDER BY d.depth) AS mids
+  FROM fnodes n JOIN fnodes d ON d.sentno = n.sentno AND d.depth >= n.depth LEFT JOIN fnodes u ON u.sentno = n.sentno AND u.nid = n.parent
+  WHERE n.corpus IN ('1-URGENT', '2-HIGH') GROUP BY n.corpus, n.sentno, n.nid, n.label),
+kinds AS (SELECT DISTINCT corpus, p, up, root, opens, ends, mids FROM ch),
+met AS (
+  SELECT DISTINCT a.root, a.opens, a.ends, a.mids, a.p, coalesce(list_position(list_transform(list_zip(a.p, b.p), lambda z: coalesce(z[1] = z[2], false)), false) - 1, len(a.p)) AS k
+  FROM kinds a JOIN kinds b ON a.corpus = '1-URGENT' AND b.corpus = '2-HIGH' AND a.p[1] = b.p[1] AND (a.up IS NULL OR b.up IS NULL OR a.up <> b.up)),
+found AS (SELECT DISTINCT root, p[1:k] AS p, array_to_string(opens[1:k], '') || mids[k] || array_to_string(list_reverse(ends[1:k]), '') AS frag FROM met),
+pre AS (SELECT p[1:k] AS p FROM (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM ch WHERE corpus = '2-HIGH'))
+SELECT root, frag, count(*) AS n FROM found JOIN pre USING (p) GROUP BY ALL""")
 def frag_common(spark, sf_dir):
-    x = _chains(spark, sf_dir)
-    return fragments.common(x.where("corpus = '1-URGENT'"), x.where("corpus = '2-HIGH'"))
+    x = R.factored_nodes(spark, sf_dir, "left")
+    high = x.where("corpus = '2-HIGH'")
+    return fragments.recurring(x.where("corpus = '1-URGENT'"), high, count_in=high)
 
 
-@query("frag_ewe", f"WITH {_CHAIN_SQL}, u AS (SELECT root, frag, 1.0::DOUBLE / count(*) OVER (PARTITION BY sentno) AS u FROM ch), s AS (SELECT root, frag, sum(u) AS u FROM u GROUP BY ALL) SELECT root, frag, round(u / sum(u) OVER (PARTITION BY root), 9) AS w FROM s")
-def frag_ewe(spark, sf_dir):
-    return fragments.ewe_weights(_chains(spark, sf_dir)).withColumn("w", F.round("w", 9))
+@query("frag_kernel", "WITH RECURSIVE " + R.factored_sql("balanced") + """,
+t AS (SELECT root, seq, count(*) AS copies, min({'c': corpus, 's': sentno}) AS t FROM fnodes WHERE top GROUP BY ALL),
+x AS (SELECT t.t, t.copies, prod, count(*) AS x FROM t JOIN fnodes f ON f.corpus = t.t.c AND f.sentno = t.t.s GROUP BY ALL)
+SELECT a.t.c AS a_corpus, a.t.s AS a, b.t.c AS b_corpus, b.t.s AS b, sum(a.x * b.x)::BIGINT AS n FROM x a JOIN x b ON a.prod = b.prod AND (a.t < b.t OR (a.t = b.t AND a.copies > 1)) GROUP BY ALL""")
+def frag_kernel(spark, sf_dir):
+    return fragments.kernel(R.factored_nodes(spark, sf_dir, "balanced"))
 
 
 # --- evaluation ---

@@ -58,6 +58,63 @@ def binarized_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("prod", F.concat_ws(" ", "label", "left", "right"))
 
 
+def factored_nodes(spark: SparkSession, sf_dir: str, shape: str = "balanced", words: bool = False) -> DataFrame:
+    """Order trees with at most two children a node, as rows for fragments: corpus, sentno, nid, parent, side, depth, label, prod.
+
+    A node covers items a to b and splits behind item m: the middle ("balanced"), the first ("right") or the last but one
+    ("left"). The root has the order's label, other nodes that and their first and last item's. Items have a row, over their
+    word, if words are asked for. nid is a * (n + 1) + b, 0 for the root.
+    """
+    items = order_items(spark, sf_dir)
+    sents = items.groupBy("corpus", "sentno", "root").agg(F.sort_array(F.collect_list(F.struct("ix", "label", "word"))).alias("items")).withColumn("n", F.size("items"))
+    node = lambda a, b, pa, pb, side, depth: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), pa.cast("int").alias("pa"), pb.cast("int").alias("pb"), F.lit(side).cast("int").alias("side"), depth.cast("int").alias("depth"))
+    n, one, null = F.col("n"), F.lit(1), F.lit(None)
+    if shape == "balanced":
+        # Paths from the root are numbers: 1, then a bit a step; a path is followed until its interval is one item.
+        last = F.pow(F.lit(2), F.ceil(F.log2("n")) + 1).cast("int") - 1
+
+        def follow(path):
+            bits = F.floor(F.log2(path) + 1e-9).cast("int")  # after the leading one
+            steps = F.when(bits > 0, F.sequence(bits - 1, F.lit(0), F.lit(-1))).otherwise(F.expr("cast(array() as array<int>)"))
+            first = F.struct(one.alias("a"), n.alias("b"), F.lit(None).cast("int").alias("pa"), F.lit(None).cast("int").alias("pb"), F.lit(None).cast("int").alias("side"), F.lit(0).alias("depth"))
+
+            def step(s, i):
+                right = F.floor(path / F.pow(F.lit(2), i)) % 2 == 1
+                mid = F.floor((s["a"] + s["b"]) / 2).cast("int")
+                over = s["a"] >= s["b"]
+                return F.struct(
+                    F.when(over, F.lit(0)).when(right, mid + 1).otherwise(s["a"]).alias("a"), F.when(over, F.lit(-1)).when(right, s["b"]).otherwise(mid).alias("b"),
+                    s["a"].alias("pa"), s["b"].alias("pb"), F.when(right, 2).otherwise(1).alias("side"), (s["depth"] + 1).alias("depth"),
+                )
+
+            return F.aggregate(steps, first, step)
+
+        spans = F.filter(F.transform(F.sequence(one, last), follow), lambda s: s["a"] <= s["b"])
+        spans = F.transform(spans, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), s["pa"].alias("pa"), s["pb"].alias("pb"), s["side"].alias("side"), s["depth"].alias("depth")))
+    else:
+        right = shape == "right"
+        inner = F.transform(F.sequence(one, n - 1), lambda k: node(k, n, F.when(k > 1, k - 1), F.when(k > 1, n), 2, k - 1) if right else node(one, n + 1 - k, F.when(k > 1, one), F.when(k > 1, n + 2 - k), 1, k - 1))
+        near, far = (1, 2) if right else (2, 1)
+        leaf = F.transform(F.sequence(one, n - 1), lambda k: node(k, k, k, n, near, k) if right else node(n + 1 - k, n + 1 - k, one, n + 1 - k, near, k))
+        end = node(n, n, n - 1, n, far, n - 1) if right else node(one, one, one, one + 1, far, n - 1)
+        spans = F.when(n > 1, F.concat(inner, leaf, F.array(end))).otherwise(F.array(node(one, one, null, null, None, F.lit(0))))
+    label = lambda i: F.col("items")[i - 1]["label"]
+    x = sents.withColumn("spans", spans).select("*", F.inline("spans")).withColumn("top", F.col("pa").isNull())
+    a, b = F.col("a"), F.col("b")
+    alone = x.where("n = 1").select("corpus", "sentno", "root", "items", "n", a, b, F.lit(1).alias("pa"), F.lit(1).alias("pb"), F.lit(1).alias("side"), F.lit(1).alias("depth"), F.lit(False).alias("top"))
+    x = x.select(*alone.columns).union(alone)
+    name = lambda a, b: F.when(a == b, label(a)).otherwise(F.concat("root", F.lit("|<"), label(a), F.lit(","), label(b), F.lit(">")))
+    mid = {"balanced": F.floor((a + b) / 2).cast("int"), "right": a, "left": b - 1}[shape]
+    kids = F.when(a == b, F.array(label(a))).otherwise(F.array(name(a, mid), name(mid + 1, b)))
+    code = lambda a, b: (a * (n + 1) + b).cast("long")
+    own = F.when(F.col("top"), F.col("root")).otherwise(name(a, b))
+    item = ~F.col("top") & (a == b)
+    whole = (F.col("pa") == 1) & (F.col("pb") == n)
+    prod = F.when(item, F.concat(own, F.lit(" ="), F.col("items")[a - 1]["word"])).otherwise(F.concat_ws(" ", own, F.array_join(kids, " ")))
+    out = x.select("corpus", "sentno", F.when(F.col("top"), 0).otherwise(code(a, b)).alias("nid"), F.when(F.col("top"), F.lit(None)).when(whole, F.lit(0)).otherwise(code(F.col("pa"), F.col("pb"))).cast("long").alias("parent"), F.when(~F.col("top"), F.col("side")).alias("side"), "depth", own.alias("label"), prod.alias("prod"), item.alias("item"))
+    return (out if words else out.where("not item")).drop("item")
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of documents that are not blank: corpus (source), doc_id, lineno (from 1, blank lines counted), line."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("corpus"), "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
@@ -133,3 +190,24 @@ gold AS (SELECT sentno, 'RF-' || flag AS label, list_sort(list((ix - 1)::INT)) A
 cand AS (
   SELECT sentno, 'RF-' || CASE WHEN l_partkey % 10 <> 0 THEN flag WHEN flag = 'A' THEN 'N' WHEN flag = 'N' THEN 'R' ELSE 'A' END AS label, list_sort(list((ix - 1)::INT)) AS leaves
   FROM items WHERE sentno % 97 <> 0 GROUP BY ALL)"""
+
+
+def factored_sql(shape: str, words: bool = False) -> str:
+    """fnodes, the rows of factored_nodes(), and for each the labels of its items (list), for DuckDB."""
+    mid = {"balanced": "(a + b) // 2", "right": "a", "left": "b - 1"}[shape]
+    name = lambda a, b: f"CASE WHEN {a} = {b} THEN labels[{a}] ELSE root || '|<' || labels[{a}] || ',' || labels[{b}] || '>' END"
+    items = """
+  UNION ALL SELECT corpus, sentno, labels, words, n, root, 1, 1, 1, 1, 1, 1, false FROM sents WHERE n = 1"""
+    return ITEMS_SQL + f""",
+sents AS (SELECT corpus, sentno, any_value(root) AS root, max(nsib) AS n, list(label ORDER BY ix) AS labels, list(word ORDER BY ix) AS words FROM items GROUP BY corpus, sentno),
+spans AS (
+  SELECT corpus, sentno, labels, words, n, root, 1 AS a, n AS b, NULL::INT AS pa, NULL::INT AS pb, NULL::INT AS side, 0 AS depth, true AS top FROM sents
+  UNION ALL SELECT corpus, sentno, labels, words, n, root, k.a, k.b, a, b, k.side, depth + 1, false FROM (
+    SELECT *, unnest([{{'a': a, 'b': {mid}, 'side': 1}}, {{'a': {mid} + 1, 'b': b, 'side': 2}}]) AS k FROM spans WHERE a < b)),
+every AS (SELECT * FROM spans{items if words else ""}),
+fnodes AS (
+  SELECT corpus, sentno, CASE WHEN top THEN 0 ELSE a * (n + 1) + b END::BIGINT AS nid, CASE WHEN top THEN NULL WHEN pa = 1 AND pb = n THEN 0 ELSE pa * (n + 1) + pb END::BIGINT AS parent, side, depth,
+    CASE WHEN top THEN root ELSE {name("a", "b")} END AS label,
+    CASE WHEN NOT top AND a = b THEN labels[a] || ' =' || words[a] ELSE CASE WHEN top THEN root ELSE {name("a", "b")} END || ' ' || CASE WHEN a = b THEN labels[a] ELSE ({name("a", f"({mid})")}) || ' ' || ({name(f"({mid} + 1)", "b")}) END END AS prod,
+    labels[a:b] AS seq, root, top
+  FROM every{"" if words else " WHERE top OR a < b"})"""
