@@ -119,7 +119,7 @@ def markov_threshold(labels: DataFrame, least: int, shorter) -> DataFrame:
     return seen.select("label", F.when(F.col("n") < least, shorter(F.col("label"))).otherwise(F.col("label")).alias("new"))
 
 
-def lexicon_model(tokens: DataFrame, rare: int = 4, open_tag: int = 50) -> DataFrame:
+def lexicon_model(tokens: DataFrame, open_tag: int = 50) -> DataFrame:
     """For (word, tag): (tag, n, words, open): tag counts, different lower-cased words, and whether the class is open."""
     return tokens.groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct(F.lower("word")).alias("words")).withColumn("open", F.col("words") >= open_tag)
 
@@ -137,6 +137,15 @@ def replace_rare(tokens: DataFrame, known: DataFrame, signature) -> DataFrame:
     return x.withColumn("unk", F.when(year, "1970").when(number, "000").when(F.col("k_word").isNotNull(), F.col("word")).otherwise(signature(F.col("word")))).drop("k_word")
 
 
+def replaced_counts(counts: DataFrame, signature, rare: int = 4) -> DataFrame:
+    """(tag, unk, n) for counted words (tag, word, n): replace_rare() on counts, in one pass. A word's counts by tag meet in a window
+    of as many rows as it has tags, and a signature is made once a word and tag, not once a token."""
+    seen = counts.withColumn("seen", F.sum("n").over(Window.partitionBy("word")))
+    year, number = F.col("word").rlike("^(19|20)[0-9][0-9]$"), F.col("word").rlike("^[0-9]+(?:[.,][0-9]+)*$")
+    unk = F.when(year, "1970").when(number, "000").when(F.col("seen") > rare, F.col("word")).otherwise(signature(F.col("word")))
+    return seen.groupBy("tag", unk.alias("unk")).agg(F.sum("n").alias("n"))
+
+
 def replace_unseen(tokens: DataFrame, lexicon: DataFrame, signature) -> DataFrame:
     """Adds unk for words of new text: the word if it is in the lexicon (word), else its lower case, else its signature if that
     is, else _UNK."""

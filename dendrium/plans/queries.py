@@ -119,8 +119,8 @@ def _tokenize_sql(c: str) -> str:
     t = f"regexp_replace({c}, '([,;:@#$%&?!\\[\\](){{}}<>\"])', ' \\1 ', 'g')"
     t = f"regexp_replace({t}, '([^.])(\\.)([\\])}}>\"'']*)\\s*$', '\\1 \\2 \\3 ', 'g')"
     t = f"regexp_replace({t}, '--', ' -- ', 'g')"
-    for p, new in textsearch.CONTRACTIONS:
-        t = f"regexp_replace({t}, '{p.replace(chr(39), chr(39) * 2)}', '{new.replace('$', chr(92))}', 'g')"
+    for p in textsearch.CONTRACTIONS:
+        t = f"regexp_replace({t}, '(?i){p.replace(chr(39), chr(39) * 2)}\\b', '\\1 \\2', 'g')"
     return f"list_filter(string_split_regex({t}, '\\s+'), lambda x: x <> '')"
 
 
@@ -143,12 +143,34 @@ def txt_edit_distance(spark, sf_dir):
     return R.table(spark, sf_dir, "part").select("p_partkey", F.levenshtein("p_brand", "p_type").alias("d"))
 
 
-_SIGNATURE_SQL = (
-    "'_UNK' || CASE WHEN regexp_matches(word, '^[A-Z].*[a-z]') THEN '-Cap' WHEN regexp_matches(word, '^[A-Z]+$') THEN '-CAPS' WHEN regexp_matches(word, '[a-z]') THEN '-low' ELSE '' END"
-    " || CASE WHEN regexp_matches(word, '^[0-9]+$') THEN '-NUM' WHEN regexp_matches(word, '[0-9]') THEN '-num' ELSE '' END || CASE WHEN contains(word, '-') THEN '-dash' ELSE '' END || CASE "
-    + " ".join(f"WHEN ends_with(lower(word), '{s}') AND length(word) > {len(s) + 2} THEN '-{s}'" for s in ("s", "ing", "ed", "est", "ion", "ity", "ly", "er", "al", "y"))
-    + " ELSE '' END"
-)
+def _signature_sql(first: str = "false") -> str:
+    """Model 6 of the published unknown-word models."""
+    capitals = f"len(regexp_extract_all(word, '[{textsearch.UPPER}]'))"
+    endings = " ".join(f"WHEN ends_with(lower(word), '{e}') THEN '-{e}'" for e in textsearch.ENDINGS)
+    return f"""'_UNK' || CASE WHEN {capitals} > 1 THEN '-CAPS' WHEN {capitals} = 1 AND {first} THEN '-INITC' WHEN {capitals} = 1 THEN '-CAP' WHEN regexp_matches(word, '[{textsearch.LOWER}]') THEN '-LC' ELSE '' END
+  || CASE WHEN regexp_matches(word, '[0-9]') THEN '-NUM' ELSE '' END || CASE WHEN contains(word, '-') THEN '-DASH' ELSE '' END
+  || CASE WHEN ends_with(lower(word), 's') AND length(word) >= 3 THEN CASE WHEN lower(word)[-2] IN ('s', 'i', 'u') THEN '' ELSE '-s' END
+    WHEN length(word) >= 5 AND NOT contains(word, '-') AND NOT (regexp_matches(word, '[0-9]') AND {capitals} > 0) THEN CASE {endings} ELSE '' END ELSE '' END"""
+
+
+_SIGNATURE_SQL = _signature_sql()
+_SIGNATURE_4_SQL = f"""'_UNK' || CASE WHEN regexp_matches(word, '^[{textsearch.UPPER}]') THEN CASE WHEN NOT regexp_matches(word, '[{textsearch.LOWER}]') THEN '-AC' WHEN pos = 0 THEN '-SC' ELSE '-C' END
+  WHEN regexp_matches(word, '[{textsearch.LOWER}]') THEN '-L' WHEN regexp_matches(word, '[{textsearch.UPPER}]') THEN '-U' ELSE '-S' END
+  || CASE WHEN regexp_matches(word, '[0-9]') THEN CASE WHEN regexp_matches(word, '[^0-9]') THEN '-n' ELSE '-N' END ELSE '' END
+  || CASE WHEN contains(word, '-') THEN '-H' ELSE '' END || CASE WHEN contains(word, '.') THEN '-P' ELSE '' END || CASE WHEN contains(word, ',') THEN '-C' ELSE '' END
+  || CASE WHEN length(word) > 3 AND regexp_matches(word, '[{textsearch.LOWER}{textsearch.UPPER}]$') THEN '-' || lower(right(word, 2)) ELSE '' END"""
+
+
+@query("txt_signatures_4", f"WITH {R.TOKENS_SQL} SELECT {_SIGNATURE_4_SQL} AS sig, count(*) AS n FROM tokens GROUP BY ALL")
+def txt_signatures_4(spark, sf_dir):
+    words = R.tokens(spark, sf_dir).groupBy("word", (F.col("pos") == 0).alias("first")).agg(F.count("*").alias("n"))
+    return words.groupBy(textsearch.signature(F.col("word"), "4", F.col("first")).alias("sig")).agg(F.sum("n").alias("n"))
+
+
+@query("txt_signatures_initial", f"WITH {R.TOKENS_SQL} SELECT {_signature_sql('pos = 0')} AS sig, count(*) AS n FROM tokens GROUP BY ALL")
+def txt_signatures_initial(spark, sf_dir):
+    words = R.tokens(spark, sf_dir).groupBy("word", (F.col("pos") == 0).alias("first")).agg(F.count("*").alias("n"))
+    return words.groupBy(textsearch.signature(F.col("word"), first=F.col("first")).alias("sig")).agg(F.sum("n").alias("n"))
 
 
 @query("txt_signatures", f"WITH {R.TOKENS_SQL} SELECT {_SIGNATURE_SQL} AS sig, count(*) AS n FROM tokens GROUP BY ALL")
@@ -182,16 +204,18 @@ _UNK_SQL = f"CASE WHEN regexp_matches(word, '^(19|20)[0-9][0-9]$') THEN '1970' W
 
 @query("txt_replace_rare", f"WITH {R.TOKENS_SQL}, known AS (SELECT word AS k FROM tokens GROUP BY word HAVING count(*) > 4) SELECT tag, unk, count(*) AS n FROM (SELECT tag, {_UNK_SQL} AS unk FROM tokens LEFT JOIN known ON word = k) GROUP BY ALL")
 def txt_replace_rare(spark, sf_dir):
-    t = R.tokens(spark, sf_dir)
-    return grammar.replace_rare(t, grammar.known_words(t), textsearch.signature).groupBy("tag", "unk").agg(F.count("*").alias("n"))
+    counted = R.tokens(spark, sf_dir).groupBy("tag", "word").agg(F.count("*").alias("n"))
+    return grammar.replaced_counts(counted, textsearch.signature)
 
 
-@query("txt_replace_unseen", f"""WITH {R.TOKENS_SQL}, lex AS (SELECT DISTINCT word AS w FROM tokens WHERE lineno > 2)
-SELECT coalesce(a.w, b.w, c.w, '_UNK') AS unk, count(*) AS n FROM (SELECT word, {_SIGNATURE_SQL} AS sig FROM tokens WHERE lineno <= 2) t
+@query("txt_replace_unseen", f"""WITH {R.TOKENS_SQL}, lex AS (SELECT DISTINCT unnest(string_split_regex(text, '[ \\n\\t\\r\\f\\x0b]+')) AS w FROM benchmark)
+SELECT coalesce(a.w, b.w, c.w, '_UNK') AS unk, count(*) AS n FROM (SELECT word, {_SIGNATURE_SQL} AS sig FROM tokens) t
 LEFT JOIN lex a ON a.w = word LEFT JOIN lex b ON b.w = lower(word) LEFT JOIN lex c ON c.w = sig GROUP BY ALL""")
 def txt_replace_unseen(spark, sf_dir):
-    t = R.tokens(spark, sf_dir)
-    return grammar.replace_unseen(t.where("lineno <= 2"), t.where("lineno > 2"), textsearch.signature).groupBy("unk").agg(F.count("*").alias("n"))
+    """All words of the documents, against the lexicon of another corpus."""
+    words = R.tokens(spark, sf_dir).groupBy("word").agg(F.count("*").alias("n"))
+    lexicon = R.table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[ \n\t\r\f\x0b]+")).alias("word"))
+    return grammar.replace_unseen(words, lexicon, textsearch.signature).groupBy("unk").agg(F.sum("n").alias("n"))
 
 
 @query("txt_smooth_lexicon", f"""WITH {R.TOKENS_SQL}, f AS (SELECT word, count(*) AS c FROM tokens GROUP BY word),
@@ -339,7 +363,10 @@ def tg_sentences(spark, sf_dir):
     return treequery.first_sentences(R.order_nodes(spark, sf_dir), "w7")
 
 
-@query("tg_subtrees", f"WITH {R.NODES_SQL} SELECT b.corpus, b.sentno, a.nid AS top, b.nid, b.label, b.is_word FROM nodes a JOIN nodes b ON a.sentno = b.sentno AND a.nid <= b.nid AND b.nid <= a.last WHERE a.label = 'AF'")
+_STORED_NODES_SQL = R.NODES_SQL.replace("items AS (", "items AS MATERIALIZED (", 1).replace("nodes AS (", "nodes AS MATERIALIZED (", 1)
+
+
+@query("tg_subtrees", f"WITH {_STORED_NODES_SQL} SELECT b.corpus, b.sentno, a.nid AS top, b.nid, b.label, b.is_word FROM nodes a JOIN nodes b ON a.sentno = b.sentno AND a.nid <= b.nid AND b.nid <= a.last WHERE a.label = 'AF'")
 def tg_subtrees(spark, sf_dir):
     return treequery.subtrees(R.order_nodes(spark, sf_dir), "AF")
 
