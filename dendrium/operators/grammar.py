@@ -113,6 +113,65 @@ def dop_reduction(bnodes: DataFrame) -> DataFrame:
     return x.groupBy("lhs", F.concat_ws(" ", "left", "right").alias("rhs")).agg(F.count("*").alias("n"))
 
 
+def log_subtrees(nodes: DataFrame) -> DataFrame:
+    """For node rows as fragments have them (corpus, sentno, nid, parent, side, depth, label, prod): the same with la, the logarithm of the
+    number of fragments that start at the node, and kids, those of its closed children by slot; staged.
+
+    A node has the product over closed children of (theirs + 1); logs do not overflow on large trees. A level of depth is one
+    join of children, summed by parent, to their parents.
+    """
+    from dendrium.operators.staging import staged
+
+    here = ["corpus", "sentno", "nid"]
+    none = F.expr("cast(map() as map<int, double>)")
+    deepest = nodes.agg(F.max("depth")).first()[0]
+    out = below = None
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
+        level = nodes.where(F.col("depth") == depth)
+        if below is None:
+            level = level.withColumns({"kids": none, "la": F.lit(0.0)})
+        else:
+            kid = below.groupBy("corpus", "sentno", F.col("parent").alias("nid")).agg(
+                F.map_from_entries(F.sort_array(F.collect_list(F.struct("side", "la")))).alias("kids"), F.sum(F.col("la") + F.log1p(F.exp(-F.col("la")))).alias("la")
+            )
+            level = level.join(kid, here, "left").withColumns({"kids": F.coalesce("kids", none), "la": F.coalesce("la", F.lit(0.0))})
+        below = staged(level)
+        out = below if out is None else out.unionByName(below)
+    return out if out is not None else nodes.withColumns({"kids": none, "la": F.lit(0.0)})
+
+
+def dop_weights(nodes: DataFrame, estimate: str = "relative") -> DataFrame:
+    """(lhs, rhs, n, w): the reduction of all fragments of a treebank to rules. Every node gives its production with its own label,
+    plain or addressed (label@sentno-nid; sentno must be unique), over its children, each closed one plain or addressed.
+
+    Weights, summed over equal rules: with an addressed lhs, the fragments below the addressed children over those at the node.
+    With a plain one, "relative": over those at all nodes with that label; "equal": nodes with the label share evenly, then as
+    before; both sum to one for every lhs. "shortest": 0.5 with a plain lhs and 1 with an addressed one, so that a derivation of fewer
+    fragments has more weight. Labels are summed up before nodes are joined to them.
+    """
+    counted = log_subtrees(nodes)
+    most = F.max("la")
+    total = counted.groupBy("label").agg(most.alias("most"), F.count("*").alias("nodes"))
+    mass = counted.join(total, "label").groupBy("label").agg((F.first("most") + F.log(F.sum(F.exp(F.col("la") - F.col("most"))))).alias("mass"), F.first("nodes").alias("nodes"))
+    address = lambda label, nid: F.concat(label, F.lit("@"), F.col("sentno").cast("string"), F.lit("-"), nid.cast("string"))
+    below = counted.where("parent is not null").groupBy("corpus", "sentno", F.col("parent").alias("nid")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("side", "nid")))).alias("ids"))
+    x = counted.join(mass, "label").join(below, ["corpus", "sentno", "nid"], "left").withColumn("over", F.filter(F.split("prod", " "), lambda _, i: i > 0))
+    one = F.struct(F.lit("").alias("rhs"), F.lit(0.0).alias("u"))
+
+    def add(so_far, slot):
+        label, kid = F.col("over")[slot - 1], F.col("kids")[slot]
+        plain = F.transform(so_far, lambda s: F.struct(F.concat_ws(" ", F.nullif(s["rhs"], F.lit("")), label).alias("rhs"), s["u"].alias("u")))
+        own = F.transform(so_far, lambda s: F.struct(F.concat_ws(" ", F.nullif(s["rhs"], F.lit("")), address(label, F.col("ids")[slot])).alias("rhs"), (s["u"] + kid).alias("u")))
+        return F.when(kid.isNull(), plain).otherwise(F.concat(plain, own))
+
+    x = x.withColumn("sides", F.aggregate(F.sequence(F.lit(1), F.size("over")), F.array(one), add)).select("label", "sentno", "nid", "la", "mass", "nodes", F.inline("sides"))
+    inner = F.exp(F.col("u") - F.col("la"))
+    plain = {"relative": F.exp(F.col("u") - F.col("mass")), "equal": inner / F.col("nodes"), "shortest": F.lit(0.5)}[estimate]
+    both = F.array(F.struct(F.col("label").alias("lhs"), plain.alias("w")), F.struct(address(F.col("label"), F.col("nid")).alias("lhs"), (F.lit(1.0) if estimate == "shortest" else inner).alias("w")))
+    rules = x.select("rhs", F.inline(both)).groupBy("lhs", "rhs").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    return rules.withColumn("w", F.when(F.col("lhs").contains("@"), 1.0).otherwise(0.5)) if estimate == "shortest" else rules
+
+
 def markov_threshold(labels: DataFrame, least: int, shorter) -> DataFrame:
     """(label, new): labels seen fewer than `least` times become shorter(label)."""
     seen = labels.groupBy("label").agg(F.count("*").alias("n"))

@@ -463,6 +463,39 @@ def gram_coarse(spark, sf_dir):
     return grammar.coarse(R.binarized_nodes(spark, sf_dir).withColumnRenamed("label", "lhs"), r"\|<.*")
 
 
+# In right-factored trees a node over one closed child has one fragment more than that child.
+_DOP_SQL = "WITH RECURSIVE " + R.factored_sql("right") + """,
+c AS (SELECT n.*, (max(depth) OVER (PARTITION BY sentno) - depth + 1)::DOUBLE AS a FROM fnodes n),
+m AS (SELECT label, sum(a) AS mass, count(*) AS nodes FROM c GROUP BY label),
+j AS (
+  SELECT c.label, c.label || '@' || c.sentno || '-' || c.nid AS own, c.prod[len(c.label) + 2:] AS rhs, c.a, m.mass, m.nodes, k.a AS ka, k.label || '@' || k.sentno || '-' || k.nid AS kid, k.label AS klabel
+  FROM c JOIN m ON m.label = c.label LEFT JOIN c k ON k.sentno = c.sentno AND k.parent = c.nid),
+e AS (
+  SELECT label, own, a, mass, nodes, rhs, 1.0::DOUBLE AS u FROM j UNION ALL SELECT label, own, a, mass, nodes, rhs[:len(rhs) - len(klabel)] || kid, ka FROM j WHERE ka IS NOT NULL),
+r AS (
+  SELECT label AS lhs, rhs, u / mass AS relative, u / a / nodes AS equal, 0.5 AS shortest FROM e UNION ALL SELECT own, rhs, u / a, u / a, 1.0 FROM e)
+"""
+
+
+def _dop(spark, sf_dir, estimate):
+    return grammar.dop_weights(R.factored_nodes(spark, sf_dir, "right"), estimate).withColumn("w", F.round("w", 9))
+
+
+@query("gram_dop_relative", _DOP_SQL + "SELECT lhs, rhs, count(*) AS n, round(sum(relative), 9) AS w FROM r GROUP BY ALL")
+def gram_dop_relative(spark, sf_dir):
+    return _dop(spark, sf_dir, "relative")
+
+
+@query("gram_dop_equal", _DOP_SQL + "SELECT lhs, rhs, count(*) AS n, round(sum(equal), 9) AS w FROM r GROUP BY ALL")
+def gram_dop_equal(spark, sf_dir):
+    return _dop(spark, sf_dir, "equal")
+
+
+@query("gram_dop_shortest", _DOP_SQL + "SELECT lhs, rhs, count(*) AS n, any_value(shortest)::DOUBLE AS w FROM r GROUP BY ALL")
+def gram_dop_shortest(spark, sf_dir):
+    return _dop(spark, sf_dir, "shortest")
+
+
 # --- fragments ---
 
 

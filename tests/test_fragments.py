@@ -1,5 +1,6 @@
 """Fragment queries and mining against brute force on trees of any shape."""
 
+import math
 import random
 from collections import Counter
 from itertools import combinations, product
@@ -7,7 +8,7 @@ from itertools import combinations, product
 import pytest
 from pyspark.sql import functions as F
 
-from dendrium.operators import fragments
+from dendrium.operators import fragments, grammar
 
 NODES = "corpus string, sentno long, nid long, parent long, side int, depth int, label string, prod string"
 
@@ -191,3 +192,38 @@ def test_kernel(spark):
 def test_written_fragments(spark):
     df = spark.createDataFrame([("(S (NP (DT The) (NN )) (VP ))",), ("(A x)",), ("(A )",)], "f string")
     assert [tuple(r) for r in df.select(fragments.n_words(F.col("f")), fragments.n_open(F.col("f"))).collect()] == [(1, 2), (1, 0), (0, 1)]
+
+
+def all_fragments(node):
+    """How many fragments start at a node."""
+    out = 1
+    for k in node[1]:
+        if not isinstance(k, str):
+            out *= all_fragments(k) + 1
+    return out
+
+
+def test_reduction_weights(spark):
+    trees = random_trees(10, 11)
+    nodes = table(spark, trees)
+    count = {(s, i): all_fragments(node) for s, t in enumerate(trees) for i, node in enumerate(below(t))}
+    got = grammar.log_subtrees(nodes).collect()
+    assert {(r.sentno, r.nid) for r in got} == set(count) and all(abs(math.exp(r.la) / count[r.sentno, r.nid] - 1) < 1e-9 for r in got)
+    for estimate in ("relative", "equal"):
+        rules = grammar.dop_weights(nodes, estimate).collect()
+        sums = Counter()
+        for r in rules:
+            sums[r.lhs] += r.w
+        assert len(sums) == len(count) + len({n[0] for t in trees for n in below(t)}) and all(abs(x - 1) < 1e-9 for x in sums.values())
+    mass = Counter()
+    for s, t in enumerate(trees):
+        for i, node in enumerate(below(t)):
+            mass[node[0]] += count[s, i]
+    plain = {(r.lhs, r.rhs): r.w for r in grammar.dop_weights(nodes).collect() if "@" not in r.lhs + r.rhs}
+    want = Counter()
+    for t in trees:
+        for node in below(t):
+            want[node[0], f"={node[1][0]}" if isinstance(node[1][0], str) else " ".join(k[0] for k in node[1])] += 1 / mass[node[0]]
+    assert set(plain) == set(want) and all(abs(plain[k] - want[k]) < 1e-12 for k in want)
+    assert {r.w for r in grammar.dop_weights(nodes, "shortest").collect()} == {0.5, 1.0}
+    assert grammar.dop_weights(table(spark, [])).count() == 0
