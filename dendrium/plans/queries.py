@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrium.operators import evaluate, fragments, grammar, ranking, textsearch, transforms, treequery
+from dendrium.operators import dop, evaluate, fragments, grammar, ranking, textsearch, transforms, treequery
 from dendrium.sources import relations as R
 
 QUERIES: dict = {}
@@ -649,6 +649,77 @@ def frag_kernel(spark, sf_dir):
     return fragments.kernel(R.factored_nodes(spark, sf_dir, "balanced"))
 
 
+# --- grammars of whole fragments ---
+
+# Fragments fr (root, frag, n, u), of nodes `counted_nodes` by label, as rules.
+_FLAT_SQL = r"""
+lv AS (SELECT *, regexp_extract_all(frag, '\(([^\s()]+) ([^\s()]*)\)', 1) AS l, regexp_extract_all(frag, '\(([^\s()]+) ([^\s()]*)\)', 2) AS w, substr(md5(frag), 1, 16) AS id, regexp_full_match(frag, '\([^\s()]+ [^\s()]+\)') AS lexical FROM fr),
+wt AS (
+  SELECT lv.*, list_transform(list_zip(l, w), lambda z: CASE WHEN z[2] = '' THEN z[1] ELSE z[1] || '@' || z[2] END) AS t, len(l) AS k, n::DOUBLE / sum(n) OVER (PARTITION BY root) AS rel, u / sum(u) OVER (PARTITION BY root) AS ewe,
+    pow(2.0, 1 - len(regexp_extract_all(frag, '\('))) * n / c.seen AS bon FROM lv JOIN (SELECT label, count(*) AS seen FROM fnodes GROUP BY label) c ON c.label = root),
+rl AS (
+  SELECT root AS lhs, CASE WHEN k <= 2 THEN root || '}<' || id || ':' || k || '>' ELSE root || '}<' || id || ':' || (k - 1) || '> ' || t[k] END AS rhs, NULL AS word, n, rel, ewe, bon, 0.5::DOUBLE AS shortest FROM wt WHERE NOT lexical
+  UNION ALL SELECT root, 'Epsilon', w[1], n, rel, ewe, bon, 0.5 FROM wt WHERE lexical
+  UNION ALL SELECT root || '}<' || id || ':' || j || '>', CASE WHEN j <= 2 THEN array_to_string(t[1:j], ' ') ELSE root || '}<' || id || ':' || (j - 1) || '> ' || t[j] END, NULL, 1, 1, 1, 1, 1
+  FROM (SELECT *, unnest(CASE WHEN k <= 2 THEN [k] ELSE range(2, k) END) AS j FROM wt WHERE NOT lexical)
+  UNION ALL SELECT DISTINCT x.a || '@' || x.b, 'Epsilon', x.b, 1, 1, 1, 1, 1 FROM (SELECT unnest(list_transform(list_zip(l, w), lambda z: {'a': z[1], 'b': z[2]})) AS x FROM wt WHERE NOT lexical) WHERE x.b <> ''),
+rounded AS (SELECT lhs, rhs, word, n, round(rel, 9) AS rel, round(ewe, 9) AS ewe, round(bon, 9) AS bon, shortest FROM rl)"""
+
+# Fragments that recur, and every production.
+_DOUBLE_SQL = _CHAIN_SQL + """,
+af AS (SELECT root, p, frag FROM found UNION SELECT root, p[1:1], opens[1] || ends[1] || ')' FROM ch),
+oc AS (SELECT root, frag, 1.0::DOUBLE / count(*) OVER (PARTITION BY sentno) AS u FROM af JOIN pre USING (p)),
+fr AS (SELECT root, frag, count(*) AS n, sum(u) AS u FROM oc GROUP BY ALL)"""
+
+# All fragments of one and two levels of trees with words: a node's children are open or stand with their production.
+_DOP1_SQL = R.factored_sql("balanced", True) + """,
+one AS (
+  SELECT sentno, nid, parent, side, label, CASE WHEN contains(prod, '=') THEN NULL ELSE string_split(prod, ' ')[2:] END AS over,
+    '(' || label || ' ' || CASE WHEN contains(prod, '=') THEN split_part(prod, ' =', 2) ELSE array_to_string(list_transform(string_split(prod, ' ')[2:], lambda x: '(' || x || ' )'), ' ') END || ')' AS frag FROM fnodes),
+two AS (
+  SELECT a.sentno, a.label AS root, a.frag AS low, a.over, ['(' || a.over[1] || ' )'] || CASE WHEN b.frag IS NULL THEN [] ELSE [b.frag] END AS x, ['(' || a.over[2] || ' )'] || CASE WHEN c.frag IS NULL THEN [] ELSE [c.frag] END AS y
+  FROM one a LEFT JOIN one b ON b.sentno = a.sentno AND b.parent = a.nid AND b.side = 1 LEFT JOIN one c ON c.sentno = a.sentno AND c.parent = a.nid AND c.side = 2),
+occ AS (
+  SELECT sentno, root, low AS frag FROM two WHERE over IS NULL
+  UNION ALL SELECT sentno, root, '(' || root || ' ' || unnest(x) || ')' FROM two WHERE len(over) = 1
+  UNION ALL SELECT sentno, root, '(' || root || ' ' || x1 || ' ' || unnest(y) || ')' FROM (SELECT *, unnest(x) AS x1 FROM two WHERE len(over) = 2)),
+fr AS (SELECT root, frag, count(*) AS n, sum(u) AS u FROM (SELECT root, frag, 1.0::DOUBLE / count(*) OVER (PARTITION BY sentno) AS u FROM occ) GROUP BY ALL)"""
+
+
+def _dop_rules(nodes, counted):
+    out = dop.rules(dop.flattened(counted), nodes).withColumn("rhs", F.array_join("rhs", " "))
+    return out.withColumns({c: F.round(c, 9) for c in ("rel", "ewe", "bon")})
+
+
+def _dop_back(nodes, counted):
+    flat = dop.flattened(counted)
+    return dop.restored(dop.rules(flat, nodes), dop.dictionary(flat))
+
+
+@query("dop_double", f"WITH RECURSIVE {_DOUBLE_SQL}, {_FLAT_SQL} SELECT * FROM rounded")
+def dop_double(spark, sf_dir):
+    nodes = R.factored_nodes(spark, sf_dir, "right")
+    return _dop_rules(nodes, dop.double_dop(nodes))
+
+
+@query("dop_double_back", f"WITH RECURSIVE {_DOUBLE_SQL} SELECT frag, n FROM fr")
+def dop_double_back(spark, sf_dir):
+    nodes = R.factored_nodes(spark, sf_dir, "right")
+    return _dop_back(nodes, dop.double_dop(nodes))
+
+
+@query("dop_one", f"WITH RECURSIVE {_DOP1_SQL}, {_FLAT_SQL} SELECT * FROM rounded")
+def dop_one(spark, sf_dir):
+    nodes = R.factored_nodes(spark, sf_dir, "balanced", words=True)
+    return _dop_rules(nodes, dop.dop1(nodes, 2))
+
+
+@query("dop_one_back", f"WITH RECURSIVE {_DOP1_SQL} SELECT frag, n FROM fr")
+def dop_one_back(spark, sf_dir):
+    nodes = R.factored_nodes(spark, sf_dir, "balanced", words=True)
+    return _dop_back(nodes, dop.dop1(nodes, 2))
+
+
 # --- evaluation ---
 
 _PAIRS_SQL = R.BRACKETS_SQL + ", pr AS (SELECT sentno, label, leaves, coalesce(g, 0) AS g, coalesce(c, 0) AS c FROM (SELECT *, 1 AS g FROM gold) FULL JOIN (SELECT *, 1 AS c FROM cand) USING (sentno, label, leaves))"
