@@ -1,12 +1,13 @@
 """The registered queries, each with DuckDB SQL that gives the same rows. Prefixes: txt_ text search, tree_ trees and
-their encoding, tg_ tree patterns, gram_ grammars, frag_ fragments, eval_ evaluation, rank_ derivations, xf_ transforms."""
+their encoding, tg_ tree patterns, gram_ grammars, frag_ fragments, eval_ evaluation, rank_ derivations, xf_ transforms, dop_ grammars of fragments,
+head_ heads, dep_ dependencies."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrium.operators import dop, evaluate, fragments, grammar, ranking, textsearch, transforms, treequery
+from dendrium.operators import dop, evaluate, fragments, grammar, heads, ranking, textsearch, transforms, treequery
 from dendrium.sources import relations as R
 
 QUERIES: dict = {}
@@ -866,3 +867,128 @@ def xf_heads(spark, sf_dir):
 def xf_dlevel(spark, sf_dir):
     has = lambda x: F.max((F.col("label") == x).cast("int")) == 1
     return transforms.levels(R.order_nodes(spark, sf_dir), [(~has("NO"), 0), (has("AF"), 2)], 1).groupBy("corpus", "level").agg(F.count("*").alias("n"))
+
+
+# --- heads and dependencies ---
+
+HEAD_RULES = """
+% label direction heads
+ORD-O right-to-left NO ORD-O
+ORD-F left-to-right RF AF
+ORD-F rightdis ORD-F NF
+ORD-P like ORD-F
+"""
+FLAT_RULES = """
+ORD-O right-to-left NO
+ORD-F left-to-right RF AF
+ORD-P rightdis RF NO
+"""
+MODIFIERS = """
+ORD NF
+* RF-SB AF-*
+"""
+_CUT = r"\|<.*"
+
+_HEADS_SQL = "WITH RECURSIVE " + R.factored_sql("balanced", True) + r""",
+hn AS (
+  SELECT corpus, sentno, nid, parent, side, depth, label, CASE WHEN label = 'AF' AND side = 2 THEN 'MO-HD' WHEN side = 1 THEN 'SB' ELSE '--' END AS func,
+    CASE WHEN contains(prod, ' =') THEN sum(contains(prod, ' =')::INT) OVER (PARTITION BY sentno ORDER BY nid) END::INT AS pos, regexp_replace(label, '\|<.*', '') AS cl, split_part(prod, ' =', 2) AS word FROM fnodes),
+sc AS (
+  SELECT k.corpus, k.sentno, k.parent, k.nid, CASE WHEN k.func = 'MO-HD' THEN [0, k.side, 0, 0] ELSE [2, 0, k.side, 0] END AS c, CASE WHEN k.func = 'MO-HD' THEN [0, k.side, 0, 0]
+    WHEN p.cl = 'ORD-O' AND k.cl = 'NO' THEN [1, 0, 0, -k.side] WHEN p.cl = 'ORD-O' AND k.cl = 'ORD-O' THEN [1, 0, 1, -k.side]
+    WHEN p.cl <> 'ORD-O' AND k.cl = 'RF' THEN [1, 0, 0, k.side] WHEN p.cl <> 'ORD-O' AND k.cl = 'AF' THEN [1, 0, 1, k.side]
+    WHEN p.cl <> 'ORD-O' AND k.cl = 'ORD-F' THEN [1, 1, -k.side, 0] WHEN p.cl <> 'ORD-O' AND k.cl = 'NF' THEN [1, 1, -k.side, 1] ELSE [2, (k.label = 'NF')::INT, -k.side, 0] END AS s
+  FROM hn k JOIN hn p ON p.sentno = k.sentno AND p.nid = k.parent),
+hd AS (SELECT corpus, sentno, parent AS nid, arg_min(nid, s) AS head, arg_min(nid, c) AS other FROM sc GROUP BY ALL),
+lx AS (SELECT corpus, sentno, nid, pos AS word FROM hn WHERE pos IS NOT NULL UNION ALL SELECT hd.corpus, hd.sentno, hd.nid, lx.word FROM lx JOIN hd ON hd.sentno = lx.sentno AND hd.head = lx.nid),
+lo AS (SELECT corpus, sentno, nid, pos AS word FROM hn WHERE pos IS NOT NULL UNION ALL SELECT hd.corpus, hd.sentno, hd.nid, lo.word FROM lo JOIN hd ON hd.sentno = lo.sentno AND hd.other = lo.nid),
+ar AS (
+  SELECT n.corpus, n.sentno, c.word AS dep, CASE WHEN n.parent IS NULL THEN 0 ELSE p.word END AS head, CASE WHEN n.parent IS NULL THEN 'root' WHEN n.func = '--' THEN '-' ELSE n.func END AS rel
+  FROM hn n JOIN lx c ON c.sentno = n.sentno AND c.nid = n.nid LEFT JOIN lx p ON p.sentno = n.sentno AND p.nid = n.parent LEFT JOIN hd h ON h.sentno = n.sentno AND h.nid = n.parent WHERE n.parent IS NULL OR h.head <> n.nid),
+br AS (
+  SELECT n.corpus, n.sentno, c.word AS dep, CASE WHEN n.parent IS NULL THEN 0 ELSE p.word END AS head, CASE WHEN n.parent IS NULL THEN 'root' WHEN n.func = '--' THEN '-' ELSE n.func END AS rel
+  FROM hn n JOIN lo c ON c.sentno = n.sentno AND c.nid = n.nid LEFT JOIN lo p ON p.sentno = n.sentno AND p.nid = n.parent LEFT JOIN hd h ON h.sentno = n.sentno AND h.nid = n.parent WHERE n.parent IS NULL OR h.other <> n.nid)
+"""
+
+
+def _head_children(nodes):
+    return heads.head_children(nodes, HEAD_RULES, punct=("NF",), cut=_CUT)
+
+
+def _arcs(spark, sf_dir):
+    nodes = R.headed_nodes(spark, sf_dir)
+    return heads.arcs(nodes, _head_children(nodes), virtual_root=False)
+
+
+def _words(spark, sf_dir):
+    return R.order_items(spark, sf_dir).select("corpus", "sentno", F.col("ix").alias("pos"), "word", F.col("label").alias("tag"))
+
+
+@query("head_children", _HEADS_SQL + "SELECT corpus, sentno, nid, head FROM hd")
+def head_children(spark, sf_dir):
+    return _head_children(R.headed_nodes(spark, sf_dir))
+
+
+@query("head_lexical", _HEADS_SQL + "SELECT corpus, sentno, nid, word FROM lx")
+def head_lexical(spark, sf_dir):
+    nodes = R.headed_nodes(spark, sf_dir)
+    return heads.lexical_heads(nodes, _head_children(nodes))
+
+
+_FLAT_HEADS_SQL = f"WITH {R.NODES_SQL}" + """,
+fk AS (SELECT k.corpus, k.sentno, k.nid, k.ix AS side, k.nsib, k.label, p.label AS lhs FROM nodes k JOIN nodes p ON p.sentno = k.sentno AND p.depth = 0 WHERE k.depth = 1),
+fs AS (
+  SELECT *, CASE WHEN lhs = 'ORD-O' AND label = 'NO' THEN [1, 0, 0, -side] WHEN lhs = 'ORD-F' AND label = 'RF' THEN [1, 0, 0, side] WHEN lhs = 'ORD-F' AND label = 'AF' THEN [1, 0, 1, side]
+    WHEN lhs = 'ORD-P' AND label = 'RF' THEN [1, 0, -side, 0] WHEN lhs = 'ORD-P' AND label = 'NO' THEN [1, 0, -side, 1] ELSE [2, (label = 'NF')::INT, CASE WHEN lhs = 'ORD-F' THEN side ELSE -side END, 0] END AS s FROM fk),
+fb AS (SELECT corpus, sentno, arg_min(side, s) AS place, min(s)[1] AS kind FROM fs GROUP BY ALL),
+fh AS (
+  SELECT corpus, sentno, CASE WHEN kind = 1 AND (SELECT any_value(label) FROM fk WHERE fk.sentno = fb.sentno AND side = place - 1) = 'AF' THEN coalesce((SELECT max(side) FROM fk WHERE fk.sentno = fb.sentno AND side <= place - 2 AND label <> 'NF'), place) ELSE place END AS place FROM fb)
+"""
+
+
+def _flat_heads(nodes):
+    return heads.head_children(nodes, FLAT_RULES, punct=("NF",), conj=("AF",))
+
+
+@query("head_coordinated", _FLAT_HEADS_SQL + "SELECT corpus, sentno, 0 AS nid, 2 * place - 1 AS head FROM fh")
+def head_coordinated(spark, sf_dir):
+    return _flat_heads(R.flat_nodes(spark, sf_dir))
+
+
+@query("head_kinds", _FLAT_HEADS_SQL + """, kd AS (
+  SELECT fk.*, fk.side = fh.place AS is_head, lag(label) OVER (PARTITION BY fk.sentno, fk.side = fh.place ORDER BY fk.side) AS before FROM fk JOIN fh USING (corpus, sentno))
+SELECT corpus, sentno, nid, CASE WHEN is_head THEN 'head' WHEN coalesce(before = label, false) OR label IN ('NF', 'AF') OR (label = 'RF' AND side = 1) THEN 'modifier' ELSE 'complement' END AS kind FROM kd""")
+def head_kinds(spark, sf_dir):
+    nodes = R.flat_nodes(spark, sf_dir)
+    return heads.kinds(nodes, _flat_heads(nodes), MODIFIERS).select("corpus", "sentno", "nid", "kind")
+
+
+@query("dep_arcs", _HEADS_SQL + "SELECT * FROM ar")
+def dep_arcs(spark, sf_dir):
+    return _arcs(spark, sf_dir)
+
+
+@query("dep_length", _HEADS_SQL + "SELECT corpus, sum(abs(dep - head))::BIGINT AS length, count(*) AS arcs FROM ar WHERE head <> 0 GROUP BY corpus")
+def dep_length(spark, sf_dir):
+    return heads.dependency_length(_arcs(spark, sf_dir), ["corpus"])
+
+
+@query("dep_scores", _HEADS_SQL + """SELECT corpus, count(*) AS gold, count(*) AS candidate, count(*) FILTER (a.head = b.head) AS heads, count(*) FILTER (a.head = b.head AND a.rel = b.rel) AS arcs,
+  count(*) FILTER (a.head = b.head) / count(*) AS unlabelled, count(*) FILTER (a.head = b.head AND a.rel = b.rel) / count(*) AS labelled FROM ar a JOIN br b USING (corpus, sentno, dep) GROUP BY corpus""")
+def dep_scores(spark, sf_dir):
+    """Arcs by the rules against arcs by the first child."""
+    nodes = R.headed_nodes(spark, sf_dir)
+    first = heads.arcs(nodes, heads.head_children(nodes, "", cut=_CUT), virtual_root=False)
+    return heads.arc_scores(_arcs(spark, sf_dir), first, ["corpus"])
+
+
+@query("dep_conll", _HEADS_SQL + """SELECT corpus, sentno, string_agg(concat_ws(chr(9), dep, i.word, '_', i.label, i.label, '_', head, rel, '_', '_'), chr(10) ORDER BY dep) || chr(10) || chr(10) AS text
+FROM ar JOIN items i USING (corpus, sentno) WHERE i.ix = dep GROUP BY corpus, sentno""")
+def dep_conll(spark, sf_dir):
+    return heads.conll(_arcs(spark, sf_dir), _words(spark, sf_dir))
+
+
+@query("dep_mst", _HEADS_SQL + """SELECT corpus, sentno, string_agg(i.word, chr(9) ORDER BY dep) || chr(10) || string_agg(i.label, chr(9) ORDER BY dep) || chr(10) || string_agg(rel, chr(9) ORDER BY dep) || chr(10) || string_agg(head::VARCHAR, chr(9) ORDER BY dep) || chr(10) || chr(10) AS text
+FROM ar JOIN items i USING (corpus, sentno) WHERE i.ix = dep GROUP BY corpus, sentno""")
+def dep_mst(spark, sf_dir):
+    return heads.mst(_arcs(spark, sf_dir), _words(spark, sf_dir))

@@ -115,6 +115,21 @@ def factored_nodes(spark: SparkSession, sf_dir: str, shape: str = "balanced", wo
     return (out if words else out.where("not item")).drop("item")
 
 
+def headed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order trees halved, as rows for heads: corpus, sentno, nid, parent, side, depth, label, func, pos."""
+    x = factored_nodes(spark, sf_dir, "balanced", words=True).withColumn("over", F.col("prod").contains(" ="))
+    before = F.sum(F.col("over").cast("int")).over(Window.partitionBy("corpus", "sentno").orderBy("nid"))
+    func = F.when((F.col("label") == "AF") & (F.col("side") == 2), "MO-HD").when(F.col("side") == 1, "SB").otherwise("--")
+    return x.select("corpus", "sentno", "nid", "parent", "side", "depth", "label", func.alias("func"), F.when(F.col("over"), before.cast("int")).alias("pos"))
+
+
+def flat_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order trees as they are, as rows for heads: corpus, sentno, nid, parent, side, depth, label, func, pos."""
+    x = order_nodes(spark, sf_dir).where("not is_word")
+    func = F.when(F.col("depth") == 0, None).when(F.col("ix") == 1, "SB").when(F.col("ix") == F.col("nsib"), "MO")
+    return x.select("corpus", "sentno", "nid", "parent", F.when(F.col("depth") > 0, F.col("ix")).alias("side"), "depth", "label", func.alias("func"), F.when(F.col("depth") == 1, F.col("ix")).alias("pos"))
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of documents that are not blank: corpus (source), doc_id, lineno (from 1, blank lines counted), line."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("corpus"), "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
