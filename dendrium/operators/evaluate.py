@@ -3,17 +3,23 @@ score is null."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dendrium.operators.staging import staged
+
+SENTENCE = ["corpus", "sentno"]
+NODE = [*SENTENCE, "nid"]
+
 
 def fanout(leaves: Column) -> Column:
-    return F.size(F.filter(leaves, lambda x: ~F.array_contains(leaves, x - 1)))
+    """The number of gapless runs of leaves (in ascending order)."""
+    return F.size(F.filter(F.transform(leaves, lambda x, i: F.when(i == 0, True).otherwise(x - leaves[i - 1] > 1)), lambda starts: starts))
 
 
-def paired(gold: DataFrame, candidate: DataFrame) -> DataFrame:
-    """(sentno, label, leaves, g, c): how often each bracket is in gold and candidate."""
-    key = ["sentno", "label", "leaves"]
+def paired(gold: DataFrame, candidate: DataFrame, sentence: tuple[str, ...] = ("sentno",)) -> DataFrame:
+    """(sentence, label, leaves, g, c): how often each bracket is in gold and candidate."""
+    key = [*sentence, "label", "leaves"]
     g, c = gold.groupBy(*key).agg(F.count("*").alias("g")), candidate.groupBy(*key).agg(F.count("*").alias("c"))
     return g.join(c, key, "full").select(*key, F.coalesce("g", F.lit(0)).alias("g"), F.coalesce("c", F.lit(0)).alias("c"))
 
@@ -56,6 +62,113 @@ def confusions(gold: DataFrame, candidate: DataFrame, most: int = 10) -> DataFra
 
 
 def tag_accuracy(gold: DataFrame, candidate: DataFrame) -> DataFrame:
-    """(n, right, accuracy) for (sentno, pos, tag)."""
-    x = gold.join(candidate.select("sentno", "pos", F.col("tag").alias("other")), ["sentno", "pos"])
-    return x.agg(F.count("*").alias("n"), F.sum((F.col("tag") == F.col("other")).cast("long")).alias("right")).withColumn("accuracy", F.round(F.col("right") / F.col("n"), 9))
+    """(n, right, accuracy) for (sentno, pos, tag). A position that only one side has is wrong."""
+    x = gold.join(candidate.select("sentno", "pos", F.col("tag").alias("other")), ["sentno", "pos"], "full")
+    return x.agg(F.count("*").alias("n"), F.sum(F.coalesce((F.col("tag") == F.col("other")).cast("long"), F.lit(0))).alias("right")).withColumn("accuracy", F.round(F.col("right") / F.col("n"), 9))
+
+
+# --- evaluation with parameters, on node rows: corpus, sentno, nid, parent, depth, label, pos (the number of its word, for a node
+# over one word, else null), word
+
+
+def parameters(text: str) -> dict:
+    """A parameter file: a key and its value a line, "#" starts a remark. Labels or words that are declared equal, directly or
+    over others, are mapped to the least of them."""
+    out: dict = {"CUTOFF_LEN": 40, "LABELED": 1, "DISC_ONLY": 0, "DELETE_ROOT_PRETERMS": 0, "DEBUG": 0, "MAX_ERROR": 10, "LA": 0, "TED": 0, "DEP": 0}
+    sets: dict = {"DELETE_LABEL": set(), "DELETE_WORD": set(), "DELETE_LABEL_FOR_LENGTH": set()}
+    equal: dict = {"EQ_LABEL": {}, "EQ_WORD": {}}
+    seen = set()
+    for line in text.splitlines():
+        if not line.strip() or line.startswith("#"):
+            continue
+        key, _, value = line.strip().partition(" ")
+        value = value.strip()
+        if key in out:
+            if key in seen:
+                raise ValueError(f"{key} is declared twice")
+            seen.add(key)
+            out[key] = int(value)
+        elif key in sets:
+            sets[key].add(value)
+        elif key in equal:
+            if len(value.split()) != 2:
+                raise ValueError(f"{key} needs two values: {line!r}")
+            groups = equal[key]
+            both = set().union(*(groups.get(v, {v}) for v in value.split()))
+            groups.update(dict.fromkeys(both, both))
+        else:
+            raise ValueError(f"no such parameter: {key}")
+    return out | sets | {k: {x: min(g) for x, g in groups.items()} for k, groups in equal.items()}
+
+
+def _mapped(c: Column, to: dict[str, str]) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in to.items() for x in pair])[c], c) if to else c
+
+
+def _is_in(c: Column, values: set[str]) -> Column:
+    return c.isin(*values) if values else F.lit(False)
+
+
+def kept_words(gold: DataFrame, params: dict) -> DataFrame:
+    """(corpus, sentno, pos, tag, word, new, counts): the words of the gold trees with their number among those that stay (null if the
+    tag, the word, or standing right below the root removes it), and whether they count for the length."""
+    tag = F.col("label")
+    gone = _is_in(tag, params["DELETE_LABEL"]) | _is_in(F.col("word"), params["DELETE_WORD"])
+    if params["DELETE_ROOT_PRETERMS"]:
+        gone = gone | (F.col("depth") == 1)
+    x = gold.where("pos is not null").select(*SENTENCE, "pos", tag.alias("tag"), "word", gone.alias("gone"), (~_is_in(tag, params["DELETE_LABEL_FOR_LENGTH"])).alias("counts"))
+    before = F.sum((~F.col("gone")).cast("int")).over(Window.partitionBy(*SENTENCE).orderBy("pos")) - 1
+    return x.select(*SENTENCE, "pos", "tag", "word", F.when(~F.col("gone"), before.cast("int")).alias("new"), "counts")
+
+
+def brackets(nodes: DataFrame, kept: DataFrame, params: dict) -> DataFrame:
+    """(corpus, sentno, label, leaves) of the phrases that are left: nodes without words that stay are gone, as are those with labels to
+    remove, whose children are their parent's then. Leaves are gathered upwards, a level of depth a join."""
+    stay = kept.where("new is not null").select(*SENTENCE, "pos", "new")
+    deepest = nodes.agg(F.max("depth")).first()[0]
+    out = below = None
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
+        here = nodes.where(F.col("depth") == depth).select(*NODE, "parent", "label", "pos")
+        level = here.join(stay, [*SENTENCE, "pos"]).select(*NODE, "parent", "label", F.array("new").alias("leaves"), F.lit(False).alias("phrase"))
+        if below is not None:
+            up = below.groupBy(*SENTENCE, F.col("parent").alias("nid")).agg(F.sort_array(F.flatten(F.collect_list("leaves"))).alias("leaves"))
+            level = level.unionByName(here.where("pos is null").join(up, NODE).select(*NODE, "parent", "label", "leaves", F.lit(True).alias("phrase")))
+        below = staged(level)
+        out = below if out is None else out.unionByName(below)
+    if out is None:
+        return nodes.select(*SENTENCE, "label", F.array("pos").alias("leaves"))
+    label = F.when(F.col("parent").isNull(), F.col("label")).otherwise(_mapped(F.col("label"), params["EQ_LABEL"]))
+    x = out.where("phrase").withColumn("label", label).where(~_is_in(F.col("label"), params["DELETE_LABEL"]))
+    if params["DISC_ONLY"]:
+        x = x.where(fanout(F.col("leaves")) > 1)
+    return x.select(*SENTENCE, "label" if params["LABELED"] else F.lit("").alias("label"), "leaves")
+
+
+def by_sentence(gold: DataFrame, candidate: DataFrame, params: dict) -> DataFrame:
+    """(corpus, sentno, length, words, parsed, same_words, matching, gold, candidate, precision, recall, f, exact, tags_right) for every
+    sentence of gold; words, tags and brackets after removals, length by the words that count for it. A sentence without candidate matches nothing.
+    same_words tells whether both have the same words (equal ones count as the same); words that only one has are never right."""
+    kept = staged(kept_words(gold, params))
+    pairs = paired(brackets(gold, kept, params), brackets(candidate, kept, params), tuple(SENTENCE))
+    m, g, c = _sums()
+    scores = pairs.groupBy(*SENTENCE).agg(m.alias("m"), g.alias("gg"), c.alias("cc"), F.bool_and(F.col("g") == F.col("c")).alias("same"))
+    other = candidate.where("pos is not null").select(*SENTENCE, "pos", F.col("label").alias("c_tag"), F.col("word").alias("c_word"))
+    same = F.coalesce(_mapped(F.col("word"), params["EQ_WORD"]) == _mapped(F.col("c_word"), params["EQ_WORD"]), F.lit(False))
+    right = F.col("new").isNotNull() & F.coalesce(F.col("tag") == F.col("c_tag"), F.lit(False))
+    words = kept.join(other, [*SENTENCE, "pos"], "full").groupBy(*SENTENCE).agg(
+        F.count_if("counts").alias("length"), F.count("new").alias("words"), (F.count("c_tag") > 0).alias("parsed"), F.bool_and(same).alias("same_words"), F.count_if(right).alias("tags_right"), F.count("tag").alias("all")
+    )
+    x = words.where(F.col("all") > 0).join(scores, SENTENCE, "left").withColumns({k: F.coalesce(k, F.lit(0).cast("long")) for k in ("m", "gg", "cc")})
+    exact_match = F.col("parsed") & F.coalesce("same", F.lit(True))
+    return x.select(*SENTENCE, "length", "words", "parsed", "same_words", *_scores(F.col("m"), F.col("gg"), F.col("cc")), exact_match.alias("exact"), "tags_right")
+
+
+def totals(sentences: DataFrame, params: dict) -> DataFrame:
+    """(scope, sentences, parsed, exact, matching, gold, candidate, precision, recall, f, mean_f, tag_accuracy) over all sentences, and
+    over those of at most CUTOFF_LEN words. mean_f is the mean of the sentences that have an F."""
+    scope = F.when(F.col("length") <= params["CUTOFF_LEN"], F.array(F.lit("all"), F.lit("cutoff"))).otherwise(F.array(F.lit("all")))
+    x = sentences.withColumn("scope", F.explode(scope)).groupBy("scope").agg(
+        F.count("*").alias("sentences"), F.count_if("parsed").alias("parsed"), F.count_if("exact").alias("exact"), *[F.sum(k).alias(f"n_{k}") for k in ("matching", "gold", "candidate")],
+        F.round(F.avg("f"), 9).alias("mean_f"), F.sum("tags_right").alias("t"), F.sum("words").alias("w"),
+    )
+    return x.select("scope", "sentences", "parsed", "exact", *_scores(F.col("n_matching"), F.col("n_gold"), F.col("n_candidate")), "mean_f", F.when(F.col("w") > 0, F.round(F.col("t") / F.col("w"), 9)).alias("tag_accuracy"))

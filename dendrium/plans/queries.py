@@ -766,6 +766,58 @@ def eval_tag_accuracy(spark, sf_dir):
     return evaluate.tag_accuracy(t.select("sentno", "pos", "tag"), other)
 
 
+# Trees halved against trees factored to the right, some words tagged otherwise, some sentences left out.
+PARAMS = """
+# what to remove and what is equal
+DELETE_LABEL NF
+DELETE_LABEL ORD-F|<RF,RF>
+DELETE_WORD w7
+DELETE_LABEL_FOR_LENGTH NF
+EQ_LABEL ORD-F|<RF,AF> ORD-F|<AF,RF>
+EQ_LABEL ORD-F|<AF,RF> ORD-F|<AF,AF>
+CUTOFF_LEN 4
+"""
+_RIGHT_SQL = R.factored_sql("right", True)[len(R.ITEMS_SQL):].replace("fnodes", "gnodes").replace("every", "gevery").replace("spans", "gspans").replace("sents", "gsents")
+_PARAM_SQL = "WITH RECURSIVE " + R.factored_sql("balanced", True) + _RIGHT_SQL + """,
+tk AS (
+  SELECT *, CASE WHEN stay THEN sum(stay::INT) OVER (PARTITION BY sentno ORDER BY ix) - 1 END AS new
+  FROM (SELECT corpus, sentno, ix, label, word, label <> 'NF' AND word <> 'w7' AS stay, CASE WHEN word IN ('w8', 'w9') THEN 'XX' ELSE label END AS other FROM items)),
+ph AS (
+  SELECT 'g' AS kind, corpus, sentno, a, b, top, root, labels FROM every UNION ALL SELECT 'c', corpus, sentno, a, b, top, root, labels FROM gevery WHERE sentno % 97 <> 0),
+pl AS (
+  SELECT kind, corpus, sentno, a, b, CASE WHEN top THEN root WHEN root = 'ORD-F' AND labels[a] || labels[b] IN ('RFAF', 'AFRF', 'AFAF') THEN 'ORD-F|<AF,AF>' ELSE root || '|<' || labels[a] || ',' || labels[b] || '>' END AS label FROM ph WHERE top OR a < b),
+pb AS (
+  SELECT kind, pl.corpus, pl.sentno, pl.label, list(new ORDER BY new) AS leaves FROM pl JOIN tk ON tk.sentno = pl.sentno AND tk.ix BETWEEN a AND b AND tk.stay WHERE pl.label <> 'ORD-F|<RF,RF>' GROUP BY kind, pl.corpus, pl.sentno, pl.label, a, b),
+pp AS (SELECT corpus, sentno, label, leaves, count(*) FILTER (kind = 'g') AS g, count(*) FILTER (kind = 'c') AS c FROM pb GROUP BY ALL),
+ps AS (SELECT sentno, sum(least(g, c))::BIGINT AS matching, sum(g)::BIGINT AS gold, sum(c)::BIGINT AS candidate, bool_and(g = c) AS same FROM pp GROUP BY sentno),
+pw AS (
+  SELECT corpus, sentno, count(*) FILTER (label <> 'NF') AS length, count(new) AS words, sentno % 97 <> 0 AS parsed, sentno % 97 <> 0 AS same_words, CASE WHEN sentno % 97 <> 0 THEN count(*) FILTER (stay AND label = other) ELSE 0 END AS tags_right FROM tk GROUP BY corpus, sentno),
+pf AS (
+  SELECT corpus, sentno, length, words, parsed, same_words, coalesce(matching, 0) AS matching, coalesce(gold, 0) AS gold, coalesce(candidate, 0) AS candidate, parsed AND coalesce(same, true) AS exact, tags_right FROM pw LEFT JOIN ps USING (sentno)),
+pr2 AS (SELECT *, CASE WHEN candidate > 0 THEN matching / candidate END AS p, CASE WHEN gold > 0 THEN matching / gold END AS r FROM pf),
+pe AS (
+  SELECT corpus, sentno, length, words, parsed, same_words, matching, gold, candidate, round(p, 9) AS precision, round(r, 9) AS recall, CASE WHEN p > 0 AND r > 0 THEN round(2 * p * r / (p + r), 9) END AS f, exact, tags_right FROM pr2)
+"""
+
+
+def _param_sentences(spark, sf_dir):
+    gold, other = R.spelled_nodes(spark, sf_dir), R.spelled_nodes(spark, sf_dir, "right").where("sentno % 97 != 0")
+    other = other.withColumn("label", F.when(F.col("word").isin("w8", "w9"), "XX").otherwise(F.col("label")))
+    return evaluate.by_sentence(gold, other, evaluate.parameters(PARAMS))
+
+
+@query("eval_by_sentence", _PARAM_SQL + "SELECT * FROM pe")
+def eval_by_sentence(spark, sf_dir):
+    return _param_sentences(spark, sf_dir)
+
+
+@query("eval_parameters", _PARAM_SQL + """, sc AS (SELECT *, unnest(CASE WHEN length <= 4 THEN ['all', 'cutoff'] ELSE ['all'] END) AS scope FROM pe),
+su AS (SELECT scope, count(*) AS sentences, count(*) FILTER (parsed) AS parsed, count(*) FILTER (exact) AS exact, sum(matching)::BIGINT AS matching, sum(gold)::BIGINT AS gold, sum(candidate)::BIGINT AS candidate, round(avg(f), 9) AS mean_f, round(sum(tags_right) / sum(words), 9) AS tag_accuracy FROM sc GROUP BY scope)
+SELECT scope, sentences, parsed, exact, matching, gold, candidate, round(matching / candidate, 9) AS precision, round(matching / gold, 9) AS recall, round(2.0 * (matching / candidate) * (matching / gold) / (matching / candidate + matching / gold), 9) AS f, mean_f, tag_accuracy FROM su""")
+def eval_parameters(spark, sf_dir):
+    return evaluate.totals(_param_sentences(spark, sf_dir), evaluate.parameters(PARAMS))
+
+
 # --- derivations ---
 
 _DERIV_SQL = "d AS (SELECT l_orderkey AS sent, l_returnflag || l_linestatus AS tree, l_quantity AS nfrags, l_extendedprice / 10000 AS cost FROM lineitem)"

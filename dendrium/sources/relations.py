@@ -115,12 +115,19 @@ def factored_nodes(spark: SparkSession, sf_dir: str, shape: str = "balanced", wo
     return (out if words else out.where("not item")).drop("item")
 
 
+def spelled_nodes(spark: SparkSession, sf_dir: str, shape: str = "balanced") -> DataFrame:
+    """The factored order trees with pos (the number of its word, for a node over one) and word: corpus, sentno, nid, parent, side,
+    depth, label, pos, word."""
+    x = factored_nodes(spark, sf_dir, shape, words=True).withColumn("over", F.col("prod").contains(" ="))
+    before = F.sum(F.col("over").cast("int")).over(Window.partitionBy("corpus", "sentno").orderBy("nid"))
+    word = F.when(F.col("over"), F.regexp_extract("prod", " =(.*)$", 1))
+    return x.select("corpus", "sentno", "nid", "parent", "side", "depth", "label", F.when(F.col("over"), before.cast("int")).alias("pos"), word.alias("word"))
+
+
 def headed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order trees halved, as rows for heads: corpus, sentno, nid, parent, side, depth, label, func, pos."""
-    x = factored_nodes(spark, sf_dir, "balanced", words=True).withColumn("over", F.col("prod").contains(" ="))
-    before = F.sum(F.col("over").cast("int")).over(Window.partitionBy("corpus", "sentno").orderBy("nid"))
     func = F.when((F.col("label") == "AF") & (F.col("side") == 2), "MO-HD").when(F.col("side") == 1, "SB").otherwise("--")
-    return x.select("corpus", "sentno", "nid", "parent", "side", "depth", "label", func.alias("func"), F.when(F.col("over"), before.cast("int")).alias("pos"))
+    return spelled_nodes(spark, sf_dir).select("corpus", "sentno", "nid", "parent", "side", "depth", "label", func.alias("func"), "pos")
 
 
 def flat_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
