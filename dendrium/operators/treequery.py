@@ -267,11 +267,11 @@ def indices(nodes: DataFrame, pattern: str) -> DataFrame:
 
 def breakdown(nodes: DataFrame, pattern: str) -> DataFrame:
     """(corpus, match, n): by the words of the matching node."""
-    found = matches(nodes, pattern).withColumn("m", F.monotonically_increasing_id())
+    found = matches(nodes, pattern).groupBy(*KEY, "nid", "last").agg(F.count("*").alias("times"))
     words = nodes.where("is_word").select(*[F.col(k).alias(f"w_{k}") for k in KEY], F.col("nid").alias("w_nid"), "word")
     inside = found.join(words, (F.col("corpus") == F.col("w_corpus")) & (F.col("sentno") == F.col("w_sentno")) & (F.col("w_nid") >= F.col("nid")) & (F.col("w_nid") <= F.col("last")))
-    text = inside.groupBy("m", "corpus").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("w_nid", "word"))), lambda e: e["word"]), " ").alias("match"))
-    return text.groupBy("corpus", "match").agg(F.count("*").alias("n"))
+    text = inside.groupBy(*KEY, "nid", "times").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("w_nid", "word"))), lambda e: e["word"]), " ").alias("match"))
+    return text.groupBy("corpus", "match").agg(F.sum("times").alias("n"))
 
 
 def batch_counts(nodes: DataFrame, corpora: DataFrame, patterns: dict[str, str]) -> DataFrame:
