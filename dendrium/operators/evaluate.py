@@ -124,6 +124,7 @@ def kept_words(gold: DataFrame, params: dict) -> DataFrame:
 def brackets(nodes: DataFrame, kept: DataFrame, params: dict) -> DataFrame:
     """(corpus, sentno, label, leaves) of the phrases that are left: nodes without words that stay are gone, as are those with labels to
     remove, whose children are their parent's then. Leaves are gathered upwards, a level of depth a join."""
+    nodes = staged(nodes.select(*NODE, "parent", "depth", "label", "pos"))  # read again on each level
     stay = kept.where("new is not null").select(*SENTENCE, "pos", "new")
     deepest = nodes.agg(F.max("depth")).first()[0]
     out = below = None
