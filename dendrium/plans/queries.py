@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrium.operators import dop, evaluate, fragments, grammar, heads, ranking, textsearch, transforms, treequery
+from dendrium.operators import dop, evaluate, fragments, grammar, heads, ranking, rewrite, textsearch, transforms, treequery
 from dendrium.sources import relations as R
 
 QUERIES: dict = {}
@@ -921,6 +921,73 @@ def xf_dlevel(spark, sf_dir):
     return transforms.levels(R.order_nodes(spark, sf_dir), [(~has("NO"), 0), (has("AF"), 2)], 1).groupBy("corpus", "level").agg(F.count("*").alias("n"))
 
 
+# --- trees rewritten ---
+
+HUNG_RULES = """
+A left-to-right AO AF
+N left-to-right NO NF
+R left-to-right RO RF
+AF right-to-left I
+AO like AF
+NF like AF
+NO like AF
+RF like AF
+RO like AF
+"""
+#: Trees t (corpus, sentno, nid, parent, label, pos, word) with side, depth and pos made anew.
+_NUMBERED_SQL = """,
+up AS (SELECT sentno, nid, parent AS a, 1 AS far FROM t WHERE parent IS NOT NULL UNION ALL SELECT up.sentno, up.nid, t.parent, far + 1 FROM up JOIN t ON t.sentno = up.sentno AND t.nid = up.a WHERE t.parent IS NOT NULL),
+fi AS (SELECT sentno, nid, min(pos) AS first FROM (SELECT sentno, nid, pos FROM t UNION ALL SELECT up.sentno, up.a, t.pos FROM up JOIN t ON t.sentno = up.sentno AND t.nid = up.nid) WHERE pos IS NOT NULL GROUP BY ALL),
+de AS (SELECT sentno, nid, max(far) AS depth FROM up GROUP BY ALL)
+SELECT t.corpus, t.sentno, t.nid, t.parent, CASE WHEN t.parent IS NOT NULL THEN row_number() OVER (PARTITION BY t.sentno, t.parent ORDER BY fi.first, t.nid) END::INT AS side, coalesce(de.depth, 0)::INT AS depth, t.label,
+  CASE WHEN t.pos IS NOT NULL THEN count(t.pos) OVER (PARTITION BY t.sentno ORDER BY t.pos) END::INT AS pos, t.word
+FROM t JOIN fi ON fi.sentno = t.sentno AND fi.nid = t.nid LEFT JOIN de ON de.sentno = t.sentno AND de.nid = t.nid"""
+_HUNG = f"WITH RECURSIVE {R.HUNG_SQL}"
+_T = "SELECT corpus, sentno, nid, parent, label, pos, word FROM hw"
+
+
+@query("xf_raise", _HUNG + """,
+wb AS (SELECT sentno, 0 AS nid, ix AS pos FROM hi UNION ALL SELECT sentno, f, ix FROM hi WHERE NOT off UNION ALL SELECT sentno, l, ix FROM hi WHERE NOT off UNION ALL SELECT sentno, ix + 100, ix FROM hi),
+he AS (
+  SELECT sentno, 0 AS nid, 1 AS word FROM hi WHERE ix = 1 UNION ALL SELECT sentno, f, coalesce(max(ix) FILTER (label LIKE '%O'), max(ix)) FROM hi WHERE NOT off GROUP BY sentno, f
+  UNION ALL SELECT sentno, l, max(ix) FROM hi WHERE NOT off GROUP BY sentno, l UNION ALL SELECT sentno, ix + 100, ix FROM hi),
+ru AS (SELECT sentno, nid, min(pos) AS lo, max(pos) AS hi FROM (SELECT *, pos - row_number() OVER (PARTITION BY sentno, nid ORDER BY pos) AS run FROM wb) GROUP BY sentno, nid, run),
+ow AS (SELECT ru.sentno, ru.nid, lo, hi FROM ru JOIN he ON he.sentno = ru.sentno AND he.nid = ru.nid AND word BETWEEN lo AND hi),
+t AS (
+  SELECT n.corpus, n.sentno, n.nid, CASE WHEN n.nid = 0 THEN NULL WHEN b.lo <= a.lo AND a.hi <= b.hi THEN n.parent WHEN c.lo <= a.lo AND a.hi <= c.hi THEN p.parent ELSE 0 END AS parent, n.label, n.pos, n.word
+  FROM hw n JOIN ow a ON a.sentno = n.sentno AND a.nid = n.nid LEFT JOIN ow b ON b.sentno = n.sentno AND b.nid = n.parent
+  LEFT JOIN hw p ON p.sentno = n.sentno AND p.nid = n.parent LEFT JOIN ow c ON c.sentno = n.sentno AND c.nid = p.parent)""" + _NUMBERED_SQL)
+def xf_raise(spark, sf_dir):
+    nodes = R.hung_nodes(spark, sf_dir)
+    return rewrite.raised(nodes, heads.head_children(nodes, HUNG_RULES))
+
+
+@query("xf_punct_move", _HUNG + f""",
+nx AS (SELECT a.sentno, a.ix, min(b.ix) AS w FROM hi a JOIN hi b ON b.sentno = a.sentno AND b.ix > a.ix AND NOT b.off WHERE a.off GROUP BY ALL),
+be AS (SELECT sentno, ix, f, l, min(ix) OVER (PARTITION BY sentno, f) AS f0, min(ix) OVER (PARTITION BY sentno, l) AS l0 FROM hi WHERE NOT off),
+mv AS (SELECT nx.sentno, nx.ix + 100 AS nid, CASE WHEN f0 = w THEN 0 WHEN l0 = w THEN f ELSE l END AS dest FROM nx JOIN be ON be.sentno = nx.sentno AND be.ix = nx.w),
+t AS (SELECT hw.corpus, hw.sentno, hw.nid, coalesce(dest, parent) AS parent, label, pos, word FROM hw LEFT JOIN mv ON mv.sentno = hw.sentno AND mv.nid = hw.nid)""" + _NUMBERED_SQL)
+def xf_punct_move(spark, sf_dir):
+    return rewrite.punct_moved(R.hung_nodes(spark, sf_dir))
+
+
+@query("xf_punct_root", f"{_HUNG}, t AS ({_T})" + _NUMBERED_SQL)
+def xf_punct_root(spark, sf_dir):
+    """Moved and moved back: the trees as they were."""
+    return rewrite.punct_to_root(rewrite.punct_moved(R.hung_nodes(spark, sf_dir)))
+
+
+@query("xf_punct_remove", f"{_HUNG}, t AS ({_T} WHERE label <> '$,')" + _NUMBERED_SQL)
+def xf_punct_remove(spark, sf_dir):
+    return rewrite.punct_removed(R.hung_nodes(spark, sf_dir))
+
+
+@query("xf_punct_prune", f"""{_HUNG}, en AS (SELECT sentno, min(ix) AS a, max(ix) AS b FROM hi WHERE NOT off GROUP BY sentno),
+t AS (SELECT corpus, hw.sentno, nid, parent, label, pos, word FROM hw JOIN en ON en.sentno = hw.sentno WHERE pos IS NULL OR pos BETWEEN a AND b)""" + _NUMBERED_SQL)
+def xf_punct_prune(spark, sf_dir):
+    return rewrite.punct_pruned(R.hung_nodes(spark, sf_dir), R.HUNG)
+
+
 # --- heads and dependencies ---
 
 HEAD_RULES = """

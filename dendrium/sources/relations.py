@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 #: Order of the lines of an order; no shorter key is unique.
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax")
 
+#: Labels in hung_nodes(), and words that stand for punctuation there.
+HUNG_LABELS = ("AF", "AO", "NF", "NO", "RF", "RO")
+HUNG = tuple(f"w{k}" for k in range(7, 50, 7))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -137,6 +141,24 @@ def flat_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("corpus", "sentno", "nid", "parent", F.when(F.col("depth") > 0, F.col("ix")).alias("side"), "depth", "label", func.alias("func"), F.when(F.col("depth") == 1, F.col("ix")).alias("pos"))
 
 
+def hung_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order trees with discontinuous phrases: an order over its flags, a flag over its labels, a label over its items, items where
+    they stand among the others. Items with w7, w14, ..., w49 hang below the root and have the label "$,". corpus, sentno, nid, parent, side,
+    depth, label, pos, word. nid: 0, 1 to 3 for flags, 11 to 16 for labels, 100 and more for items."""
+    items = order_items(spark, sf_dir).withColumn("off", F.col("word").isin(*HUNG))
+    flag = F.substring("label", 1, 1)
+    number = lambda c, names: F.array_position(F.array(*[F.lit(n) for n in names]), c)
+    rows = [
+        items.groupBy("corpus", "sentno").agg(F.first("root").alias("label")).select("corpus", "sentno", F.lit(0).alias("nid"), F.lit(None).alias("parent"), F.lit(None).alias("side"), F.lit(0).alias("depth"), "label", F.lit(None).alias("pos"), F.lit(None).alias("word"), F.lit(0).alias("first")),
+        items.where("not off").groupBy("corpus", "sentno", flag.alias("label")).agg(F.min("ix").alias("first")).select("corpus", "sentno", number(F.col("label"), "ANR").alias("nid"), F.lit(0).alias("parent"), F.lit(None).alias("side"), F.lit(1).alias("depth"), "label", F.lit(None).alias("pos"), F.lit(None).alias("word"), "first"),
+        items.where("not off").groupBy("corpus", "sentno", "label").agg(F.min("ix").alias("first")).select("corpus", "sentno", (number(F.col("label"), HUNG_LABELS) + 10).alias("nid"), number(flag, "ANR").alias("parent"), F.lit(None).alias("side"), F.lit(2).alias("depth"), "label", F.lit(None).alias("pos"), F.lit(None).alias("word"), "first"),
+        items.select("corpus", "sentno", (F.col("ix") + 100).alias("nid"), F.when(F.col("off"), 0).otherwise(number(F.col("label"), HUNG_LABELS) + 10).alias("parent"), F.lit(None).alias("side"), F.when(F.col("off"), 1).otherwise(3).alias("depth"), F.when(F.col("off"), "$,").otherwise("I").alias("label"), F.col("ix").alias("pos"), "word", F.col("ix").alias("first")),
+    ]
+    x = rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+    side = F.when(F.col("parent").isNotNull(), F.row_number().over(Window.partitionBy("corpus", "sentno", "parent").orderBy("first")))
+    return x.select("corpus", "sentno", *[F.col(c).cast("int").alias(c) for c in ("nid", "parent")], side.alias("side"), "depth", "label", F.col("pos").cast("int").alias("pos"), F.col("word").cast("string").alias("word"))
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of documents that are not blank: corpus (source), doc_id, lineno (from 1, blank lines counted), line."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("corpus"), "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
@@ -194,6 +216,11 @@ bnodes AS (
   SELECT corpus, sentno, ix AS nid, CASE WHEN ix = 1 THEN root ELSE root || '|<' || label || '>' END AS label, label AS "left",
     CASE WHEN ix + 1 = nsib THEN nxt WHEN ix < nsib THEN root || '|<' || nxt || '>' ELSE '' END AS "right" FROM nx WHERE ix < nsib OR nsib = 1),
 prods AS (SELECT *, concat_ws(' ', label, "left", "right") AS prod FROM bnodes)"""
+HUNG_SQL = ITEMS_SQL + f""",
+hi AS (SELECT *, word IN {HUNG} AS off, list_position({list(HUNG_LABELS)}, label) + 10 AS l, list_position(['A', 'N', 'R'], flag) AS f FROM items),
+hw AS (SELECT corpus, sentno, 0 AS nid, NULL::INT AS parent, 0 AS depth, any_value(root) AS label, NULL::INT AS pos, NULL::VARCHAR AS word FROM hi GROUP BY corpus, sentno
+  UNION ALL SELECT DISTINCT corpus, sentno, f, 0, 1, flag, NULL::INT, NULL::VARCHAR FROM hi WHERE NOT off UNION ALL SELECT DISTINCT corpus, sentno, l, f, 2, label, NULL::INT, NULL::VARCHAR FROM hi WHERE NOT off
+  UNION ALL SELECT corpus, sentno, ix + 100, CASE WHEN off THEN 0 ELSE l END, CASE WHEN off THEN 1 ELSE 3 END, CASE WHEN off THEN '$,' ELSE 'I' END, ix, word FROM hi)"""
 LINES_SQL = r"""
 lines AS (
   SELECT corpus, doc_id, i AS lineno, line FROM (
