@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dendrium.operators.staging import dropped, staged
+
 
 def log_sum(cost: Column) -> Column:
     """Aggregate: -ln of the summed probabilities (shifted by the least cost, so that nothing underflows)."""
@@ -53,3 +55,40 @@ def rerank(d: DataFrame, second: DataFrame, k: int) -> DataFrame:
     """The k cheapest trees of each sentence in the order of a second model (sent, tree, cost2)."""
     x = k_best(d, k).select("sent", "tree").distinct().join(second, ["sent", "tree"])
     return x.groupBy("sent").agg(F.min_by("tree", F.struct("cost2", "tree")).alias("tree"))
+
+
+def span_marginals(brackets: DataFrame) -> DataFrame:
+    """(sent, s, e, label, q): for each span of the derivations' brackets (sent, derivation, cost, label, s, e) the label that most of the
+    probability has there, and how much of the sentence's it is. Of equal ones the last label by name is taken; a derivation's repeated brackets count once."""
+    x = brackets.select("sent", "derivation", "cost", "label", "s", "e").distinct()
+    each = x.groupBy("sent", "derivation").agg(F.min("cost").alias("cost"))
+    low = each.groupBy("sent").agg(F.min("cost").alias("low"))
+    weight = each.join(low, "sent").select("sent", "derivation", F.exp(F.col("low") - F.col("cost")).alias("w"))
+    all_of = weight.groupBy("sent").agg(F.sum("w").alias("total"))
+    q = x.join(weight, ["sent", "derivation"]).groupBy("sent", "s", "e", "label").agg(F.sum("w").alias("w")).join(all_of, "sent").withColumn("q", F.round(F.col("w") / F.col("total"), 12))
+    return q.groupBy("sent", "s", "e").agg(F.max(F.struct("q", "label")).alias("b")).select("sent", "s", "e", "b.label", "b.q")
+
+
+def max_constituents(brackets: DataFrame) -> DataFrame:
+    """(sent, score, label, s, e): the binary tree, over spans that some derivation has, whose constituents have the most probability in
+    sum; of equal splits the last. Brackets as for span_marginals(), one-word spans among them; a sentence whose longest span from 0
+    cannot be built of two others has no rows. One join a span length: the tables hold the best tree of each span so far."""
+    spans = staged(span_marginals(brackets))
+    longest = spans.agg(F.max(F.col("e") - F.col("s"))).first()[0] or 0
+    own = F.struct("label", "s", "e")
+    done = staged(spans.where("e - s = 1").select("sent", "s", "e", F.col("q").alias("score"), F.array(own).alias("tree")))
+    for length in range(2, longest + 1):
+        here = spans.where(F.col("e") - F.col("s") == length)
+        left = done.select("sent", "s", F.col("e").alias("mid"), F.col("score").alias("ls"), F.col("tree").alias("lt"))
+        right = done.select("sent", F.col("s").alias("mid"), "e", F.col("score").alias("rs"), F.col("tree").alias("rt"))
+        both = here.join(left, ["sent", "s"]).join(right, ["sent", "mid", "e"])
+        score = F.round(F.col("ls") + F.col("rs"), 9)
+        best = both.groupBy("sent", "s", "e", "label", "q").agg(F.max(F.struct(score.alias("sum"), "mid", "lt", "rt")).alias("b"))
+        new = best.select("sent", "s", "e", (F.col("q") + F.col("b.sum")).alias("score"), F.concat(F.array(own), "b.lt", "b.rt").alias("tree"))
+        grown = staged(done.unionByName(new))
+        dropped(done)
+        done = grown
+    whole = spans.groupBy("sent").agg(F.max("e").alias("e")).withColumn("s", F.lit(0))
+    out = staged(done.join(whole, ["sent", "s", "e"]).select("sent", F.round("score", 9).alias("score"), F.inline("tree")))
+    dropped(spans, done)
+    return out
