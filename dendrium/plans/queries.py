@@ -855,6 +855,32 @@ def rank_sl_dop(spark, sf_dir):
     return ranking.sl_dop(_derivations(spark, sf_dir), 2)
 
 
+def _constituents_sql(longest: int = 24) -> str:
+    """A table for each span length up to the longest that the orders may have."""
+    levels = ["""d1 AS MATERIALIZED (SELECT sent, s, e, q AS score, [{'label': label, 's': s, 'e': e}] AS tree FROM sp WHERE e - s = 1)"""]
+    for n in range(2, longest + 1):
+        levels.append(f"""b{n} AS MATERIALIZED (
+  SELECT p.sent, p.s, p.e, p.label, p.q, max({{'sum': round(l.score + r.score, 9), 'mid': l.e}}) AS b FROM sp p JOIN d{n - 1} l ON l.sent = p.sent AND l.s = p.s JOIN d{n - 1} r ON r.sent = p.sent AND r.s = l.e AND r.e = p.e WHERE p.e - p.s = {n} GROUP BY ALL),
+d{n} AS MATERIALIZED (SELECT * FROM d{n - 1} UNION ALL SELECT b.sent, b.s, b.e, q + b.b.sum, list_concat([{{'label': label, 's': b.s, 'e': b.e}}], list_concat(l.tree, r.tree)) FROM b{n} b JOIN d{n - 1} l ON l.sent = b.sent AND l.s = b.s AND l.e = b.b.mid JOIN d{n - 1} r ON r.sent = b.sent AND r.s = b.b.mid AND r.e = b.e)""")
+    return f"""WITH {R.ITEMS_SQL},
+k AS (SELECT sentno AS sent, root, label AS item, ix AS k, nsib AS n, (nsib + 1) // 2 AS h FROM items),
+an AS (
+  SELECT sent, root, item, unnest([1, 2, 3]) AS d, k - 1 AS s, k AS e FROM k UNION ALL SELECT sent, root, item, 1, k - 1, n FROM k WHERE k < n UNION ALL SELECT sent, root, item, 2, 0, k FROM k WHERE k > 1
+  UNION ALL SELECT sent, root, item, 3, k - 1, h FROM k WHERE k < h UNION ALL SELECT sent, root, item, 3, k - 1, n FROM k WHERE k > h AND k < n UNION ALL SELECT sent, root, item, 3, 0, n FROM k WHERE k = 1 AND n > h),
+br AS (SELECT sent, d, s, e, CASE WHEN e - s = 1 THEN item WHEN d = 2 THEN root || 'L' ELSE root || ((e - s) % 3)::VARCHAR END AS label, 1 + CASE d WHEN 1 THEN sent % 3 / 2 WHEN 2 THEN sent % 5 / 4 ELSE sent % 7 / 6 END AS cost FROM an),
+w AS (SELECT sent, d, exp(min(min(cost)) OVER (PARTITION BY sent) - min(cost)) AS w FROM br GROUP BY sent, d),
+tt AS (SELECT sent, sum(w) AS total FROM w GROUP BY sent),
+q AS (SELECT br.sent, s, e, label, round(sum(w) / any_value(total), 12) AS q FROM br JOIN w ON w.sent = br.sent AND w.d = br.d JOIN tt ON tt.sent = br.sent GROUP BY ALL),
+sp AS MATERIALIZED (SELECT sent, s, e, arg_max(label, (q, label)) AS label, max(q) AS q FROM q GROUP BY sent, s, e),
+{",".join(levels)}
+SELECT sent, score, t.label, t.s::INT AS s, t.e::INT AS e FROM (SELECT sent, round(score, 9) AS score, unnest(tree) AS t FROM d{longest} JOIN (SELECT sent, 0 AS s, max(e) AS e FROM sp GROUP BY sent) USING (sent, s, e))"""
+
+
+@query("rank_max_constituents", _constituents_sql())
+def rank_max_constituents(spark, sf_dir):
+    return ranking.max_constituents(R.analyses(spark, sf_dir))
+
+
 @query("rank_beam", f"WITH {_DERIV_SQL} SELECT sent, tree, nfrags, cost FROM (SELECT *, min(cost) OVER (PARTITION BY sent) AS low FROM d) WHERE cost <= low + 1.5")
 def rank_beam(spark, sf_dir):
     return ranking.beam(_derivations(spark, sf_dir), ["sent"], 1.5)

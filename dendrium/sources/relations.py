@@ -128,6 +128,22 @@ def spelled_nodes(spark: SparkSession, sf_dir: str, shape: str = "balanced") ->
     return x.select("corpus", "sentno", "nid", "parent", "side", "depth", "label", F.when(F.col("over"), before.cast("int")).alias("pos"), word.alias("word"))
 
 
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brackets of three binary trees over each order's items, with costs: sent, derivation (1 factored to the right, 2 to the left, 3 two
+    halves factored to the right), cost, label, s, e."""
+    x = order_items(spark, sf_dir).withColumn("h", F.floor((F.col("nsib") + 1) / 2).cast("int"))
+    k, n, h = F.col("ix"), F.col("nsib"), F.col("h")
+    span = lambda d, s, e: F.struct(F.lit(d).alias("derivation"), s.cast("int").alias("s"), e.cast("int").alias("e"))
+    zero = F.lit(0)
+    spans = [span(d, k - 1, k) for d in (1, 2, 3)]
+    spans += [F.when(k < n, span(1, k - 1, n)), F.when(k > 1, span(2, zero, k)), F.when(k < h, span(3, k - 1, h)), F.when((k > h) & (k < n), span(3, k - 1, n)), F.when((k == 1) & (n > h), span(3, zero, n))]
+    x = x.select("sentno", "root", F.col("label").alias("item"), F.inline(F.array_compact(F.array(*spans))))
+    d, size = F.col("derivation"), F.col("e") - F.col("s")
+    cost = 1 + F.when(d == 1, F.col("sentno") % 3 / 2).when(d == 2, F.col("sentno") % 5 / 4).otherwise(F.col("sentno") % 7 / 6)
+    label = F.when(size == 1, F.col("item")).when(d == 2, F.concat("root", F.lit("L"))).otherwise(F.concat("root", (size % 3).cast("string")))
+    return x.select(F.col("sentno").alias("sent"), "derivation", cost.alias("cost"), label.alias("label"), "s", "e")
+
+
 def headed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order trees halved, as rows for heads: corpus, sentno, nid, parent, side, depth, label, func, pos."""
     func = F.when((F.col("label") == "AF") & (F.col("side") == 2), "MO-HD").when(F.col("side") == 1, "SB").otherwise("--")
