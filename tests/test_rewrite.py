@@ -227,8 +227,8 @@ def test_defined_results(spark):
 
 
 def test_heads_by_rules_raise(spark):
-    t = ("S", [("V", [("U", [("P", [("T", 1, "x"), ("T", 2, "y")]), ("C", 4, "u"), ("H", 5, "v")]), ("A", 6, "w")]), ("F", 3, "z")])
+    t = ("S", [("N", [("D", 1, "p"), ("R", [("K", 4, "q"), ("G", 6, "r"), ("G", 7, "o")])]), ("B", 2, "s"), ("M", [("J", 3, "t"), ("E", 5, "x")])])
     nodes = spark.createDataFrame(rows(t, 1)[0], SCHEMA)
-    rules = "S left-to-right F\nV left-to-right U\nU right-to-left H"
+    rules = "S left-to-right B\nN left-to-right D\nR right-to-left G\nM left-to-right J"
     out = rewrite.raised(nodes, heads.head_children(nodes, rules))
-    assert shown(out, 1) == "(S (P (T 1=x) (T 2=y)) (F 3=z) (V (U (C 4=u) (H 5=v)) (A 6=w)))"
+    assert shown(out, 1) == "(S (N (D 1=p)) (B 2=s) (M (J 3=t)) (K 4=q) (E 5=x) (R (G 6=r) (G 7=o)))"
