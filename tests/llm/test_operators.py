@@ -79,6 +79,16 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.url_filter(pages, url_filter.rules_frame(spark).limit(0)).collect()} == {"allow"}
 
 
+def test_url_rules_are_the_contracts(spark):
+    """Each rule alone, where no longer one fits, has the contract's word."""
+    want = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    pages = spark.createDataFrame([(i, f"http://www.{r}x") for i, r in enumerate(want)], "page_id long, url string")
+    # Of the default no verdict may come: every url has a rule.
+    got = url_filter.url_filter(pages, url_filter.rules_frame(spark), default="none").collect()
+    assert {r.rule: r.verdict for r in got} == want
+    assert all(f"('{r.split('/')[0]}', '/{r.split('/', 1)[1]}', '{v}')" in url_filter.OP1_SQL for r, v in want.items())
+
+
 # --- 2
 
 
