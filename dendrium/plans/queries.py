@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendrium.operators import dop, evaluate, fragments, grammar, heads, ranking, rewrite, textsearch, transforms, treequery
+from dendrium.operators.staging import staged
 from dendrium.sources import relations as R
 
 QUERIES: dict = {}
@@ -1060,9 +1061,13 @@ def _head_children(nodes):
     return heads.head_children(nodes, HEAD_RULES, punct=("NF",), cut=_CUT)
 
 
-def _arcs(spark, sf_dir):
-    nodes = R.headed_nodes(spark, sf_dir)
-    return heads.arcs(nodes, _head_children(nodes), virtual_root=False)
+def _arcs(nodes):
+    return heads.arcs(nodes, staged(_head_children(nodes)), virtual_root=False)
+
+
+def _headed(spark, sf_dir):
+    """Written once: heads, pointers and arcs read them again and again."""
+    return staged(R.headed_nodes(spark, sf_dir))
 
 
 def _words(spark, sf_dir):
@@ -1071,12 +1076,12 @@ def _words(spark, sf_dir):
 
 @query("head_children", _HEADS_SQL + "SELECT corpus, sentno, nid, head FROM hd")
 def head_children(spark, sf_dir):
-    return _head_children(R.headed_nodes(spark, sf_dir))
+    return _head_children(_headed(spark, sf_dir))
 
 
 @query("head_lexical", _HEADS_SQL + "SELECT corpus, sentno, nid, word FROM lx")
 def head_lexical(spark, sf_dir):
-    nodes = R.headed_nodes(spark, sf_dir)
+    nodes = _headed(spark, sf_dir)
     return heads.lexical_heads(nodes, _head_children(nodes))
 
 
@@ -1110,30 +1115,30 @@ def head_kinds(spark, sf_dir):
 
 @query("dep_arcs", _HEADS_SQL + "SELECT * FROM ar")
 def dep_arcs(spark, sf_dir):
-    return _arcs(spark, sf_dir)
+    return _arcs(_headed(spark, sf_dir))
 
 
 @query("dep_length", _HEADS_SQL + "SELECT corpus, sum(abs(dep - head))::BIGINT AS length, count(*) AS arcs FROM ar WHERE head <> 0 GROUP BY corpus")
 def dep_length(spark, sf_dir):
-    return heads.dependency_length(_arcs(spark, sf_dir), ["corpus"])
+    return heads.dependency_length(_arcs(_headed(spark, sf_dir)), ["corpus"])
 
 
 @query("dep_scores", _HEADS_SQL + """SELECT corpus, count(*) AS gold, count(*) AS candidate, count(*) FILTER (a.head = b.head) AS heads, count(*) FILTER (a.head = b.head AND a.rel = b.rel) AS arcs,
   count(*) FILTER (a.head = b.head) / count(*) AS unlabelled, count(*) FILTER (a.head = b.head AND a.rel = b.rel) / count(*) AS labelled FROM ar a JOIN br b USING (corpus, sentno, dep) GROUP BY corpus""")
 def dep_scores(spark, sf_dir):
     """Arcs by the rules against arcs by the first child."""
-    nodes = R.headed_nodes(spark, sf_dir)
-    first = heads.arcs(nodes, heads.head_children(nodes, "", cut=_CUT), virtual_root=False)
-    return heads.arc_scores(_arcs(spark, sf_dir), first, ["corpus"])
+    nodes = _headed(spark, sf_dir)
+    first = heads.arcs(nodes, staged(heads.head_children(nodes, "", cut=_CUT)), virtual_root=False)
+    return heads.arc_scores(_arcs(nodes), first, ["corpus"])
 
 
 @query("dep_conll", _HEADS_SQL + """SELECT corpus, sentno, string_agg(concat_ws(chr(9), dep, i.word, '_', i.label, i.label, '_', head, rel, '_', '_'), chr(10) ORDER BY dep) || chr(10) || chr(10) AS text
 FROM ar JOIN items i USING (corpus, sentno) WHERE i.ix = dep GROUP BY corpus, sentno""")
 def dep_conll(spark, sf_dir):
-    return heads.conll(_arcs(spark, sf_dir), _words(spark, sf_dir))
+    return heads.conll(_arcs(_headed(spark, sf_dir)), _words(spark, sf_dir))
 
 
 @query("dep_mst", _HEADS_SQL + """SELECT corpus, sentno, string_agg(i.word, chr(9) ORDER BY dep) || chr(10) || string_agg(i.label, chr(9) ORDER BY dep) || chr(10) || string_agg(rel, chr(9) ORDER BY dep) || chr(10) || string_agg(head::VARCHAR, chr(9) ORDER BY dep) || chr(10) || chr(10) AS text
 FROM ar JOIN items i USING (corpus, sentno) WHERE i.ix = dep GROUP BY corpus, sentno""")
 def dep_mst(spark, sf_dir):
-    return heads.mst(_arcs(spark, sf_dir), _words(spark, sf_dir))
+    return heads.mst(_arcs(_headed(spark, sf_dir)), _words(spark, sf_dir))
