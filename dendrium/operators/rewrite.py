@@ -29,22 +29,22 @@ def is_punct() -> Column:
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """(corpus, sentno, nid, up, far): every node with each node above it and the number of steps between them; staged. As many rows as the
-    depths of all nodes add up to. Parents in a circle raise ValueError."""
-    out = staged(nodes.where("parent is not null").select(*NODE, F.col("parent").alias("up"), F.lit(1).alias("far")))
-    reach = 1
+    """(corpus, sentno, nid, up, far): every node with each node above it and the number of steps between them; staged, each row
+    once. As many rows as the depths of all nodes add up to. Parents in a circle raise ValueError."""
+    out = new = staged(nodes.where("parent is not null").select(*NODE, F.col("parent").alias("up"), F.lit(1).alias("far")))
+    parts, reach = [new], 1
     while True:
-        ends, circles = out.where(F.col("far") == reach).agg(F.count("*"), F.count_if(F.col("nid") == F.col("up"))).first()
+        ends, circles = new.where(F.col("far") == reach).agg(F.count("*"), F.count_if(F.col("nid") == F.col("up"))).first()
         if circles:
-            dropped(out)
+            dropped(*parts)
             raise ValueError("a node is above itself")
         if not ends:
+            out._parts = parts
             return out
         onward = out.select(*SENTENCE, F.col("nid").alias("up"), F.col("up").alias("next"), F.col("far").alias("more"))
-        further = out.where(F.col("far") == reach).join(onward, [*SENTENCE, "up"]).select(*NODE, F.col("next").alias("up"), (F.col("far") + F.col("more")).alias("far"))
-        new = staged(out.unionByName(further))
-        dropped(out)
-        out, reach = new, 2 * reach
+        new = staged(new.where(F.col("far") == reach).join(onward, [*SENTENCE, "up"]).select(*NODE, F.col("next").alias("up"), (F.col("far") + F.col("more")).alias("far")))
+        out, reach = out.unionByName(new), 2 * reach
+        parts.append(new)
 
 
 def _words_below(nodes: DataFrame, above: DataFrame) -> DataFrame:

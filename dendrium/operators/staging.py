@@ -30,9 +30,15 @@ def staged(df: DataFrame) -> DataFrame:
     return out
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df as a written table, or df itself if it is one; for tables that whoever made them drops."""
+    return df if getattr(df, "_stage", None) else staged(df)
+
+
 def dropped(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more; what is not staged is passed over."""
-    for t in tables:
+    """Deletes staged tables that nothing reads any more; what is not staged is passed over. A union of
+    staged tables names them in _parts."""
+    for t in [part for t in tables for part in getattr(t, "_parts", [t])]:
         if path := getattr(t, "_stage", None):
             sc = t.sparkSession.sparkContext
             where = sc._jvm.org.apache.hadoop.fs.Path(path)

@@ -700,25 +700,25 @@ def _dop_back(nodes, counted):
 
 @query("dop_double", f"WITH RECURSIVE {_DOUBLE_SQL}, {_FLAT_SQL} SELECT * FROM rounded")
 def dop_double(spark, sf_dir):
-    nodes = R.factored_nodes(spark, sf_dir, "right")
+    nodes = staged(R.factored_nodes(spark, sf_dir, "right"))
     return _dop_rules(nodes, dop.double_dop(nodes))
 
 
 @query("dop_double_back", f"WITH RECURSIVE {_DOUBLE_SQL} SELECT frag, n FROM fr")
 def dop_double_back(spark, sf_dir):
-    nodes = R.factored_nodes(spark, sf_dir, "right")
+    nodes = staged(R.factored_nodes(spark, sf_dir, "right"))
     return _dop_back(nodes, dop.double_dop(nodes))
 
 
 @query("dop_one", f"WITH RECURSIVE {_DOP1_SQL}, {_FLAT_SQL} SELECT * FROM rounded")
 def dop_one(spark, sf_dir):
-    nodes = R.factored_nodes(spark, sf_dir, "balanced", words=True)
+    nodes = staged(R.factored_nodes(spark, sf_dir, "balanced", words=True))
     return _dop_rules(nodes, dop.dop1(nodes, 2))
 
 
 @query("dop_one_back", f"WITH RECURSIVE {_DOP1_SQL} SELECT frag, n FROM fr")
 def dop_one_back(spark, sf_dir):
-    nodes = R.factored_nodes(spark, sf_dir, "balanced", words=True)
+    nodes = staged(R.factored_nodes(spark, sf_dir, "balanced", words=True))
     return _dop_back(nodes, dop.dop1(nodes, 2))
 
 
@@ -985,7 +985,7 @@ t AS (
   FROM hw n JOIN ow a ON a.sentno = n.sentno AND a.nid = n.nid LEFT JOIN ow b ON b.sentno = n.sentno AND b.nid = n.parent
   LEFT JOIN hw p ON p.sentno = n.sentno AND p.nid = n.parent LEFT JOIN ow c ON c.sentno = n.sentno AND c.nid = p.parent)""" + _NUMBERED_SQL)
 def xf_raise(spark, sf_dir):
-    nodes = R.hung_nodes(spark, sf_dir)
+    nodes = staged(R.hung_nodes(spark, sf_dir))
     return rewrite.raised(nodes, heads.head_children(nodes, HUNG_RULES))
 
 
@@ -995,24 +995,24 @@ be AS (SELECT sentno, ix, f, l, min(ix) OVER (PARTITION BY sentno, f) AS f0, min
 mv AS (SELECT nx.sentno, nx.ix + 100 AS nid, CASE WHEN f0 = w THEN 0 WHEN l0 = w THEN f ELSE l END AS dest FROM nx JOIN be ON be.sentno = nx.sentno AND be.ix = nx.w),
 t AS (SELECT hw.corpus, hw.sentno, hw.nid, coalesce(dest, parent) AS parent, label, pos, word FROM hw LEFT JOIN mv ON mv.sentno = hw.sentno AND mv.nid = hw.nid)""" + _NUMBERED_SQL)
 def xf_punct_move(spark, sf_dir):
-    return rewrite.punct_moved(R.hung_nodes(spark, sf_dir))
+    return rewrite.punct_moved(staged(R.hung_nodes(spark, sf_dir)))
 
 
 @query("xf_punct_root", f"{_HUNG}, t AS ({_T})" + _NUMBERED_SQL)
 def xf_punct_root(spark, sf_dir):
     """Moved and moved back: the trees as they were."""
-    return rewrite.punct_to_root(rewrite.punct_moved(R.hung_nodes(spark, sf_dir)))
+    return rewrite.punct_to_root(rewrite.punct_moved(staged(R.hung_nodes(spark, sf_dir))))
 
 
 @query("xf_punct_remove", f"{_HUNG}, t AS ({_T} WHERE label <> '$,')" + _NUMBERED_SQL)
 def xf_punct_remove(spark, sf_dir):
-    return rewrite.punct_removed(R.hung_nodes(spark, sf_dir))
+    return rewrite.punct_removed(staged(R.hung_nodes(spark, sf_dir)))
 
 
 @query("xf_punct_prune", f"""{_HUNG}, en AS (SELECT sentno, min(ix) AS a, max(ix) AS b FROM hi WHERE NOT off GROUP BY sentno),
 t AS (SELECT corpus, hw.sentno, nid, parent, label, pos, word FROM hw JOIN en ON en.sentno = hw.sentno WHERE pos IS NULL OR pos BETWEEN a AND b)""" + _NUMBERED_SQL)
 def xf_punct_prune(spark, sf_dir):
-    return rewrite.punct_pruned(R.hung_nodes(spark, sf_dir), R.HUNG)
+    return rewrite.punct_pruned(staged(R.hung_nodes(spark, sf_dir)), R.HUNG)
 
 
 # --- heads and dependencies ---
