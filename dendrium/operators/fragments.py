@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrium.operators.staging import dropped, staged
+from dendrium.operators.staging import dropped, once, staged
 
 NODE = ["corpus", "sentno", "nid"]
 _TOKEN = re.compile(r"\(|\)|[^\s()]+")
@@ -141,6 +141,7 @@ def counts(found: DataFrame, fragments: dict[str, str], by: list[str] = []) -> D
 def classes(nodes: DataFrame) -> DataFrame:
     """The nodes with cls (the same for equal subtrees), kids (classes by slot, null for a child without a row), height and up (the
     production above), staged. A level of depth is a join of a node's children to it."""
+    nodes = once(nodes)  # read again on each level
     deepest = nodes.agg(F.max("depth")).first()[0]
     out, below = None, None
     for depth in range(deepest if deepest is not None else -1, -1, -1):

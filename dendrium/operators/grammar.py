@@ -120,8 +120,9 @@ def log_subtrees(nodes: DataFrame) -> DataFrame:
     A node has the product over closed children of (theirs + 1); logs do not overflow on large trees. A level of depth is one
     join of children, summed by parent, to their parents.
     """
-    from dendrium.operators.staging import staged
+    from dendrium.operators.staging import once, staged
 
+    nodes = once(nodes)  # read again on each level
     here = ["corpus", "sentno", "nid"]
     none = F.expr("cast(map() as map<int, double>)")
     deepest = nodes.agg(F.max("depth")).first()[0]
