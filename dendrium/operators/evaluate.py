@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendrium.operators.staging import staged
+from dendrium.operators.staging import once, staged
 
 SENTENCE = ["corpus", "sentno"]
 NODE = [*SENTENCE, "nid"]
@@ -124,7 +124,7 @@ def kept_words(gold: DataFrame, params: dict) -> DataFrame:
 def brackets(nodes: DataFrame, kept: DataFrame, params: dict) -> DataFrame:
     """(corpus, sentno, label, leaves) of the phrases that are left: nodes without words that stay are gone, as are those with labels to
     remove, whose children are their parent's then. Leaves are gathered upwards, a level of depth a join."""
-    nodes = staged(nodes.select(*NODE, "parent", "depth", "label", "pos"))  # read again on each level
+    nodes = once(nodes).select(*NODE, "parent", "depth", "label", "pos")  # read again on each level
     stay = kept.where("new is not null").select(*SENTENCE, "pos", "new")
     deepest = nodes.agg(F.max("depth")).first()[0]
     out = below = None
@@ -149,6 +149,7 @@ def by_sentence(gold: DataFrame, candidate: DataFrame, params: dict) -> DataFram
     """(corpus, sentno, length, words, parsed, same_words, matching, gold, candidate, precision, recall, f, exact, tags_right) for every
     sentence of gold; words, tags and brackets after removals, length by the words that count for it. A sentence without candidate matches nothing.
     same_words tells whether both have the same words (equal ones count as the same); words that only one has are never right."""
+    gold, candidate = once(gold), once(candidate)
     kept = staged(kept_words(gold, params))
     pairs = paired(brackets(gold, kept, params), brackets(candidate, kept, params), tuple(SENTENCE))
     m, g, c = _sums()
