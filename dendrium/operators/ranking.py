@@ -60,35 +60,42 @@ def rerank(d: DataFrame, second: DataFrame, k: int) -> DataFrame:
 def span_marginals(brackets: DataFrame) -> DataFrame:
     """(sent, s, e, label, q): for each span of the derivations' brackets (sent, derivation, cost, label, s, e) the label that most of the
     probability has there, and how much of the sentence's it is. Of equal ones the last label by name is taken; a derivation's repeated brackets count once."""
-    x = brackets.select("sent", "derivation", "cost", "label", "s", "e").distinct()
-    each = x.groupBy("sent", "derivation").agg(F.min("cost").alias("cost"))
-    low = each.groupBy("sent").agg(F.min("cost").alias("low"))
-    weight = each.join(low, "sent").select("sent", "derivation", F.exp(F.col("low") - F.col("cost")).alias("w"))
-    all_of = weight.groupBy("sent").agg(F.sum("w").alias("total"))
-    q = x.join(weight, ["sent", "derivation"]).groupBy("sent", "s", "e", "label").agg(F.sum("w").alias("w")).join(all_of, "sent").withColumn("q", F.round(F.col("w") / F.col("total"), 12))
+    x = brackets.select("sent", "derivation", "cost", "label", "s", "e").repartition("sent").distinct()  # moved once: all below is within sentences
+    one, sentence = Window.partitionBy("sent", "derivation"), Window.partitionBy("sent")
+    x = x.withColumns({"cost": F.min("cost").over(one), "nth": F.row_number().over(one.orderBy("s", "e", "label"))})
+    x = x.withColumn("w", F.exp(F.min("cost").over(sentence) - F.col("cost"))).withColumn("total", F.sum(F.when(F.col("nth") == 1, F.col("w"))).over(sentence))
+    q = x.groupBy("sent", "s", "e", "label").agg(F.sum("w").alias("w"), F.first("total").alias("total")).withColumn("q", F.round(F.col("w") / F.col("total"), 12))
     return q.groupBy("sent", "s", "e").agg(F.max(F.struct("q", "label")).alias("b")).select("sent", "s", "e", "b.label", "b.q")
 
 
 def max_constituents(brackets: DataFrame) -> DataFrame:
     """(sent, score, label, s, e): the binary tree, over spans that some derivation has, whose constituents have the most probability in
     sum; of equal splits the last. Brackets as for span_marginals(), one-word spans among them; a sentence whose longest span from 0
-    cannot be built of two others has no rows. One join a span length: the tables hold the best tree of each span so far."""
-    spans = staged(span_marginals(brackets))
-    longest = spans.agg(F.max(F.col("e") - F.col("s"))).first()[0] or 0
-    own = F.struct("label", "s", "e")
-    done = staged(spans.where("e - s = 1").select("sent", "s", "e", F.col("q").alias("score"), F.array(own).alias("tree")))
+    cannot be built of two others has no rows. One join a span length, over the sentences that have spans so long; a span's row has its best split
+    only, and trees are followed downwards at the end, one join a level, over the sentences so deep."""
+    spans = staged(span_marginals(brackets).withColumn("most", F.max(F.col("e") - F.col("s")).over(Window.partitionBy("sent"))))
+    longest = spans.agg(F.max("most")).first()[0] or 0
+    row = ["sent", "most", "s", "e", "label", "score", "mid"]
+    parts = [staged(spans.where("e - s = 1").select(*row[:5], F.col("q").alias("score"), F.lit(None).cast("int").alias("mid")))]
+    done = parts[0]
     for length in range(2, longest + 1):
         here = spans.where(F.col("e") - F.col("s") == length)
-        left = done.select("sent", "s", F.col("e").alias("mid"), F.col("score").alias("ls"), F.col("tree").alias("lt"))
-        right = done.select("sent", F.col("s").alias("mid"), "e", F.col("score").alias("rs"), F.col("tree").alias("rt"))
+        shorter = done.where((F.col("most") >= length) & (F.col("e") - F.col("s") < length))
+        left = shorter.select("sent", "s", F.col("e").alias("mid"), F.col("score").alias("ls"))
+        right = shorter.select("sent", F.col("s").alias("mid"), "e", F.col("score").alias("rs"))
         both = here.join(left, ["sent", "s"]).join(right, ["sent", "mid", "e"])
         score = F.round(F.col("ls") + F.col("rs"), 9)
-        best = both.groupBy("sent", "s", "e", "label", "q").agg(F.max(F.struct(score.alias("sum"), "mid", "lt", "rt")).alias("b"))
-        new = best.select("sent", "s", "e", (F.col("q") + F.col("b.sum")).alias("score"), F.concat(F.array(own), "b.lt", "b.rt").alias("tree"))
-        grown = staged(done.unionByName(new))
-        dropped(done)
-        done = grown
+        best = both.groupBy("sent", "most", "s", "e", "label", "q").agg(F.max(F.struct(score.alias("sum"), "mid")).alias("b"))
+        new = staged(best.select(*row[:5], (F.col("q") + F.col("b.sum")).alias("score"), F.col("b.mid").alias("mid")))
+        parts.append(new)
+        done = done.unionByName(new)
     whole = spans.groupBy("sent").agg(F.max("e").alias("e")).withColumn("s", F.lit(0))
-    out = staged(done.join(whole, ["sent", "s", "e"]).select("sent", F.round("score", 9).alias("score"), F.inline("tree")))
-    dropped(spans, done)
-    return out
+    new = staged(done.join(whole, ["sent", "s", "e"]).select("sent", F.round("score", 9).alias("score"), "label", "s", "e", "mid"))
+    out, level = new, 0
+    while not new.where("mid is not null").isEmpty():
+        level += 1
+        below = new.where("mid is not null").select("sent", "score", F.inline(F.array(F.struct("s", F.col("mid").alias("e")), F.struct(F.col("mid").alias("s"), "e"))))
+        new = staged(below.join(done.where(F.col("e") - F.col("s") <= F.col("most") - level).drop("most", "score"), ["sent", "s", "e"]).select("sent", "score", "label", "s", "e", "mid"))
+        out = out.unionByName(new)
+    dropped(spans, *parts)
+    return out.drop("mid")
