@@ -33,18 +33,12 @@ def double_dop(nodes: DataFrame) -> DataFrame:
     """(root, frag, n, u) of all largest fragments that two trees have in common, and of every single production, so that each
     tree can be derived; staged."""
     classed = fragments.classes(nodes)
-    pairs = staged(fragments.matching(classed))
-    parts = fragments.common_parts(pairs, classed)
     name = F.filter(F.split("prod", " "), lambda x, i: i > 0)
     over = F.transform(name, lambda o: F.when(o.startswith("="), F.substring(o, 2, 1 << 20)).otherwise(F.concat(F.lit("("), o, F.lit(" )"))))
-    single = fragments.dag(classed).select("label", "prod").distinct().select(
-        F.concat(F.lit("("), "label", F.lit(" "), F.array_join(over, " "), F.lit(")")).alias("frag"), "label", "prod", F.expr("cast(map() as map<int, string>)").alias("kids"), F.lit(0).alias("height")
-    )
-    shared = parts.join(pairs, ["a", "b"], "left_semi").select("frag", "label")
-    wanted = shared.union(single.select("frag", "label")).distinct().withColumnRenamed("label", "root")
-    at = staged(fragments.occurrences(parts.select(*single.columns).union(single), classed).join(wanted, "frag"))
+    single = classed.select(F.col("label").alias("root"), F.concat(F.lit("("), "label", F.lit(" "), F.array_join(over, " "), F.lit(")")).alias("frag"), "cls")
+    at = staged(fragments.shared(classed).unionByName(single).distinct())
     out = staged(weighed(at, classed))
-    dropped(pairs, at)
+    dropped(at)
     return out
 
 

@@ -8,8 +8,9 @@ Queries are twig joins: every closed node of a fragment asks for the nodes with
 joined upwards on the parent, all fragments of a batch in one plan.
 
 Mining works on classes, not on nodes: nodes with equal subtrees are one class, made bottom-up, a level a join. What two nodes
-have in common from their tops on depends on their classes only, so pairs of classes are compared, once each, and
-occurrences are counted as sums over classes. The cost is that of different subtrees, however often they occur.
+have in common from their tops on depends on their classes only, and occurrences are counted as sums over classes. Chains, subtrees in
+which no node has two children with rows, are followed downwards by what they begin with; pairs of classes of which one branches are
+compared, once each. The cost is that of different subtrees, however often they occur.
 """
 
 from __future__ import annotations
@@ -139,53 +140,122 @@ def counts(found: DataFrame, fragments: dict[str, str], by: list[str] = []) -> D
 
 
 def classes(nodes: DataFrame) -> DataFrame:
-    """The nodes with cls (the same for equal subtrees), kids (classes by slot, null for a child without a row), height and up (the
-    production above), staged. A level of depth is a join of a node's children to it."""
+    """The nodes with cls (the same for equal subtrees), kids (classes by slot, null for a child without a row), height, chain (no node
+    of the subtree has two children with rows) and up (the production above), staged. A level of depth is a join of a node's children to it."""
     nodes = once(nodes)  # read again on each level
     deepest = nodes.agg(F.max("depth")).first()[0]
     out, below = None, None
     for depth in range(deepest if deepest is not None else -1, -1, -1):
         here = nodes.where(F.col("depth") == depth)
         if below is None:
-            here = here.withColumns({"kids": F.expr("cast(map() as map<int, string>)"), "height": F.lit(0)})
+            here = here.withColumns({"kids": F.expr("cast(map() as map<int, string>)"), "height": F.lit(0), "chain": F.lit(True)})
         else:
-            kid = below.groupBy("corpus", "sentno", F.col("parent").alias("nid")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("side", "cls")))).alias("kids"), (F.max("height") + 1).alias("height"))
-            here = here.join(kid, NODE, "left").withColumns({"kids": F.coalesce("kids", F.expr("cast(map() as map<int, string>)")), "height": F.coalesce("height", F.lit(0))})
+            kid = below.groupBy("corpus", "sentno", F.col("parent").alias("nid")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("side", "cls")))).alias("kids"), (F.max("height") + 1).alias("height"), ((F.count("*") < 2) & F.min("chain")).alias("chain"))
+            here = here.join(kid, NODE, "left").withColumns({"kids": F.coalesce("kids", F.expr("cast(map() as map<int, string>)")), "height": F.coalesce("height", F.lit(0)), "chain": F.coalesce("chain", F.lit(True))})
         key = F.concat_ws("|", "prod", F.array_join(F.transform(F.map_entries("kids"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"])), ","))
         below = staged(here.withColumn("cls", F.md5(key)))
         out = below if out is None else out.unionByName(below)
     if out is None:
-        out = nodes.where("false").withColumns({"kids": F.expr("cast(map() as map<int, string>)"), "height": F.lit(0), "cls": F.lit("")})
+        out = nodes.where("false").withColumns({"kids": F.expr("cast(map() as map<int, string>)"), "height": F.lit(0), "chain": F.lit(True), "cls": F.lit("")})
     above = nodes.select("corpus", "sentno", F.col("nid").alias("parent"), F.col("prod").alias("up"))
     return staged(out.join(above, ["corpus", "sentno", "parent"], "left"))
 
 
 def dag(classed: DataFrame) -> DataFrame:
-    """(cls, label, prod, kids, height, n): every different subtree once, with its occurrences."""
-    first = [F.first(c).alias(c) for c in ("label", "prod", "kids", "height")]
+    """(cls, label, prod, kids, height, chain, n): every different subtree once, with its occurrences."""
+    first = [F.first(c).alias(c) for c in ("label", "prod", "kids", "height", "chain")]
     return classed.groupBy("cls").agg(*first, F.count("*").alias("n"))
 
 
+def _kinds(classed: DataFrame) -> DataFrame:
+    """(prod, cls, chain, up, side, lo, hi): nodes summed up by class, production above and slot, with the least and the greatest tree."""
+    tree = F.struct("corpus", "sentno")
+    return classed.groupBy("prod", "cls", "chain", "up", "side").agg(F.min(tree).alias("lo"), F.max(tree).alias("hi"))
+
+
+def _meet() -> Column:
+    """Whether nodes a and b begin what they have in common: their parents do not match in the same slot."""
+    return F.col("up_a").isNull() | F.col("up_b").isNull() | (F.col("up_a") != F.col("up_b")) | (F.col("side_a") != F.col("side_b"))
+
+
+def _one_tree() -> Column:
+    """Whether all nodes of a and b are in one tree."""
+    return (F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b"))
+
+
+def _with_suffix(df: DataFrame, x: str, keep: tuple[str, ...]) -> DataFrame:
+    return df.select(*[F.col(c).alias(c if c in keep else f"{c}_{x}") for c in df.columns])
+
+
 def matching(classed: DataFrame, other: DataFrame | None = None) -> DataFrame:
     """(a, b): pairs of classes with equal productions, a <= b without other, that two nodes of different trees have whose
     parents do not match in the same slot: where what they have in common begins. With other, a is of the first treebank
-    and b of the other.
+    and b of the other. Pairs of two chains are left out: chains() has what they share."""
+    one, two = _with_suffix(_kinds(classed), "a", ("prod",)), _with_suffix(_kinds(classed if other is None else other), "b", ("prod",))
+    met = one.where("not chain_a").join(two, "prod").unionByName(one.where("chain_a").join(two.where("not chain_b"), "prod")).where(_meet())
+    if other is None:
+        met = met.where((F.col("cls_a") <= F.col("cls_b")) & ~_one_tree())
+    return met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
 
-    Nodes are first summed up by class, production above and slot, with the least and the greatest tree.
-    """
 
-    def kinds(df, x):
-        tree = F.struct("corpus", "sentno")
-        k = df.groupBy("prod", "cls", "up", "side").agg(F.min(tree).alias("lo"), F.max(tree).alias("hi"))
-        return k.select("prod", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "up", "side", "lo", "hi")])
+def chains(classed: DataFrame, other: DataFrame | None = None, count_in: DataFrame | None = None) -> DataFrame:
+    """(root, frag, cls): the largest fragments that pairs of chains share, as for matching(), each with all classes, chains or not, of
+    count_in (by default of `classed`) from whose top on it occurs; staged.
 
-    one, two = kinds(classed, "a"), kinds(classed if other is None else other, "b")
-    top = F.col("up_a").isNull() | F.col("up_b").isNull() | (F.col("up_a") != F.col("up_b")) | (F.col("side_a") != F.col("side_b"))
-    met = one.join(two, "prod").where(top)
-    if other is None:
-        same = (F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b"))
-        met = met.where((F.col("cls_a") <= F.col("cls_b")) & ~same)
-    return met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    What two chains share is a beginning of both, so no classes are paired. Beginnings grow by a node a level, and are followed while
+    they are in two trees (or in both treebanks); one is shared as a whole if two nodes that have it differ in what comes next and above.
+    Only the different (next, above) of one beginning meet, which are productions, not subtrees. The cost is the depths of the different subtrees, added up.
+    """
+    banks = {"a": classed} | ({} if other is None else {"b": other})
+    within = "a" if count_in is None or count_in is classed else "b" if count_in is other else "c"
+    if within == "c":
+        banks["c"] = count_in
+    kinds = None
+    for bank, df in banks.items():
+        k = _kinds(df).select("cls", "chain", "up", "side", "lo", "hi", F.lit(bank).alias("bank"))
+        kinds = k if kinds is None else kinds.unionByName(k)
+    every = None
+    for df in banks.values():
+        d = df.select("cls", "label", "prod", "kids")
+        every = d if every is None else every.unionByName(d)
+    name = F.transform(F.filter(F.split("prod", " "), lambda x, i: i > 0), lambda o: F.when(o.startswith("="), F.substring(o, 2, 1 << 20)).otherwise(F.concat(F.lit("("), o, F.lit(" )"))))
+    known = every.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("label", "prod", "kids")]).withColumn("over", name)
+    # What comes next below the top of a chain; of other classes it is not looked at.
+    first = known.select(F.col("cls").alias("kid"), F.col("prod").alias("below"))
+    known = known.withColumns({"slot": F.try_element_at(F.map_keys("kids"), F.lit(1)), "kid": F.try_element_at(F.map_values("kids"), F.lit(1))}).join(first, "kid", "left")
+    known = staged(known.select(F.col("cls").alias("at"), "label", "over", "kids", F.concat_ws(":", F.col("slot").cast("string"), "below").alias("next")).withColumn("next", F.when(F.size("kids") > 0, F.col("next"))))
+    row = ["cls", "chain", "up", "side", "lo", "hi", "bank"]
+    new = kinds.withColumns({"at": F.col("cls"), "open": F.lit(""), "close": F.lit(""), "root": F.lit(None).cast("string")})
+    levels = []
+    while True:
+        text = F.concat("open", F.lit("("), "label", F.lit(" "), F.array_join("over", " "), F.lit(")"), "close")
+        here = new.join(known, "at").withColumns({"frag": text, "root": F.coalesce("root", "label")})
+        here = staged(here.select(*row, "root", "frag", "next", "open", "close", "label", "over", "kids"))
+        two = here.where("chain and bank != 'c'").groupBy("frag")
+        live = two.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi") if other is None else two.agg(F.countDistinct("bank").alias("n")).where("n = 2")
+        kept = staged(here.join(live.select("frag"), "frag", "left_semi"))
+        dropped(here)
+        levels.append(kept)
+        if kept.isEmpty():
+            break
+        before, after = F.expr("slice(over, 1, i - 1)"), F.expr("slice(over, i + 1, size(over))")
+        new = kept.where("size(kids) > 0").select(*row, "root", "open", "close", "label", "over", F.explode("kids").alias("i", "at"))
+        left = F.concat("open", F.lit("("), "label", F.lit(" "), F.array_join(before, " "), F.when(F.col("i") > 1, " ").otherwise(""))
+        right = F.concat(F.when(F.col("i") < F.size("over"), " ").otherwise(""), F.array_join(after, " "), F.lit(")"), "close")
+        new = new.select(*row, "root", "at", left.alias("open"), right.alias("close"))
+    rows = None
+    for kept in levels:
+        part = kept.select(*row, "root", "frag", "next")
+        rows = part if rows is None else rows.unionByName(part)
+    ends = staged(rows.where("chain and bank != 'c'").groupBy("root", "frag", "next", "up", "side", "bank").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    one, two = _with_suffix(ends, "a", ("root", "frag")), _with_suffix(ends, "b", ("root", "frag"))
+    parts = F.col("next_a").isNull() & F.col("next_b").isNull() | ~F.col("next_a").eqNullSafe(F.col("next_b"))
+    met = one.join(two, ["root", "frag"]).where(parts & _meet())
+    met = met.where(~_one_tree()) if other is None else met.where("bank_a = 'a' and bank_b = 'b'")
+    wanted = met.select("root", "frag").distinct()
+    out = staged(rows.where(F.col("bank") == within).select("root", "frag", "cls").distinct().join(wanted, ["root", "frag"], "left_semi"))
+    dropped(known, ends, *levels)
+    return out
 
 
 def common_parts(pairs: DataFrame, classed: DataFrame, other: DataFrame | None = None) -> DataFrame:
@@ -226,29 +296,41 @@ def common_parts(pairs: DataFrame, classed: DataFrame, other: DataFrame | None =
 
 def occurrences(parts: DataFrame, classed: DataFrame) -> DataFrame:
     """(frag, cls) for all different fragments of parts: the classes from whose top on the fragment occurs; staged. A fragment is
-    put together upwards from its closed children, all fragments at once."""
+    put together upwards from its closed children, all fragments at once: what a class's children have is looked up by the fragments."""
     known = staged(dag(classed).select("cls", "prod", F.col("kids").alias("of")))
     frags = staged(parts.groupBy("frag").agg(*[F.first(c).alias(c) for c in ("prod", "kids", "height")]))
     out = staged(frags.where("height = 0").join(known, "prod").select("frag", "cls"))
+    kid_at = staged(known.select("cls", "prod", F.explode("of").alias("slot", "kid_cls")))
     for height in range(1, (frags.agg(F.max("height")).first()[0] or 0) + 1):
-        slots = frags.where(F.col("height") == height).join(known, "prod").select("frag", "cls", F.size("kids").alias("k"), F.explode("kids").alias("slot", "kid"), "of")
-        hit = slots.select("frag", "cls", "k", "kid", F.col("of")[F.col("slot")].alias("kid_cls")).join(out.select(F.col("frag").alias("kid"), F.col("cls").alias("kid_cls")), ["kid", "kid_cls"])
+        slots = frags.where(F.col("height") == height).select("frag", "prod", F.size("kids").alias("k"), F.explode("kids").alias("slot", "kid"))
+        hit = kid_at.join(out.select(F.col("frag").alias("kid"), F.col("cls").alias("kid_cls")), "kid_cls").join(slots, ["prod", "slot", "kid"])
         out = out.unionByName(staged(hit.groupBy("frag", "cls").agg(F.count("*").alias("have"), F.first("k").alias("k")).where("have = k").select("frag", "cls")))
     return out
 
 
+def shared(classed: DataFrame, other: DataFrame | None = None, count_in: DataFrame | None = None) -> DataFrame:
+    """(root, frag, cls): all largest fragments that two trees of a treebank have in common, or a tree of it and one of another, with the
+    classes of count_in (by default of `classed`) from whose top on they occur; staged. Chains are not paired, all else is."""
+    out = chains(classed, other, count_in)
+    pairs = staged(matching(classed, other))
+    if not pairs.isEmpty():
+        parts = common_parts(pairs, classed, other)
+        wanted = parts.join(pairs, ["a", "b"], "left_semi").select("frag", F.col("label").alias("root")).distinct()
+        at = occurrences(parts, classed if count_in is None else count_in).join(wanted, "frag")
+        out = staged(out.unionByName(at.select(*out.columns)).distinct())
+    dropped(pairs)
+    return out
+
+
 def recurring(nodes: DataFrame, other: DataFrame | None = None, count_in: DataFrame | None = None) -> DataFrame:
     """(root, frag, n): all largest fragments that two trees of a treebank have in common, or a tree of it and one of another, with
     their exact number of occurrences in count_in (by default in `nodes`)."""
     classed = classes(nodes)
     second = None if other is None else classes(other)
-    pairs = staged(matching(classed, second))
-    parts = common_parts(pairs, classed, second)
-    wanted = parts.join(pairs, ["a", "b"], "left_semi").select("frag", F.col("label").alias("root")).distinct()
     within = classed if count_in is None else second if count_in is other else classes(count_in)
-    n = occurrences(parts, within).join(dag(within).select("cls", "n"), "cls").groupBy("frag").agg(F.sum("n").alias("n"))
-    out = staged(wanted.join(n, "frag").select("root", "frag", "n"))
-    dropped(pairs)
+    at = shared(classed, second, within)
+    out = staged(at.join(within.groupBy("cls").agg(F.count("*").alias("n")), "cls").groupBy("root", "frag").agg(F.sum("n").alias("n")))
+    dropped(at)
     return out
 
 
@@ -277,10 +359,7 @@ def ewe(nodes: DataFrame) -> DataFrame:
     """(root, frag, w): equal-weight estimates of the recurring fragments: an occurrence counts one over all occurrences in its
     tree; shares by root. Trees meet fragments by classes: a class weighs what its nodes' trees give it."""
     classed = classes(nodes)
-    pairs = staged(matching(classed))
-    parts = common_parts(pairs, classed)
-    wanted = parts.join(pairs, ["a", "b"], "left_semi").select("frag", F.col("label").alias("root")).distinct()
-    at = staged(occurrences(parts, classed).join(wanted, "frag"))
+    at = shared(classed)
     held = at.groupBy("cls").agg(F.count("*").alias("held"))
     held_nodes = classed.select("corpus", "sentno", "cls").join(held, "cls")
     trees = held_nodes.groupBy("corpus", "sentno").agg(F.sum("held").alias("all"))
