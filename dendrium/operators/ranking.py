@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendrium.operators.staging import dropped, staged
+from dendrium.operators.staging import dropped, spread, staged
 
 
 def log_sum(cost: Column) -> Column:
@@ -20,9 +20,9 @@ def most_probable_derivation(d: DataFrame) -> DataFrame:
 
 
 def most_probable_parse(d: DataFrame) -> DataFrame:
-    """The tree whose derivations together are most probable."""
+    """The tree whose derivations together are most probable. All of it is within sentences, which are moved once."""
     low = Window.partitionBy("sent")
-    x = d.withColumn("low", F.min("cost").over(low)).groupBy("sent", "tree").agg(F.sum(F.exp(F.col("low") - F.col("cost"))).alias("mass"), F.first("low").alias("low"))
+    x = spread(d.select("sent", "tree", "cost"), "sent").withColumn("low", F.min("cost").over(low)).groupBy("sent", "tree").agg(F.sum(F.exp(F.col("low") - F.col("cost"))).alias("mass"), F.first("low").alias("low"))
     best = x.groupBy("sent").agg(F.max_by(F.struct("tree", "mass", "low"), F.struct(F.round("mass", 12), F.col("tree"))).alias("b"))
     return best.select("sent", F.col("b.tree").alias("tree"), (F.col("b.low") - F.log("b.mass")).alias("cost"))
 
@@ -38,9 +38,9 @@ def k_best(d: DataFrame, k: int) -> DataFrame:
 
 
 def sl_dop(d: DataFrame, n: int) -> DataFrame:
-    """Among the n most probable trees, the one with the shortest derivation."""
+    """Among the n most probable trees, the one with the shortest derivation. All of it is within sentences, which are moved once."""
     low = F.min("cost").over(Window.partitionBy("sent"))
-    x = d.withColumn("low", low).groupBy("sent", "tree").agg(F.sum(F.exp(F.col("low") - F.col("cost"))).alias("mass"), F.min(F.struct("nfrags", "cost")).alias("b"))
+    x = spread(d.select("sent", "tree", "nfrags", "cost"), "sent").withColumn("low", low).groupBy("sent", "tree").agg(F.sum(F.exp(F.col("low") - F.col("cost"))).alias("mass"), F.min(F.struct("nfrags", "cost")).alias("b"))
     r = F.row_number().over(Window.partitionBy("sent").orderBy(F.desc(F.round("mass", 12)), "tree"))
     top = x.withColumn("r", r).where(F.col("r") <= n)
     return top.groupBy("sent").agg(F.min(F.struct("b", "tree")).alias("m")).select("sent", "m.tree", F.col("m.b.nfrags").alias("nfrags"))

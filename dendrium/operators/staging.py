@@ -30,6 +30,17 @@ def staged(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows that a partition of spread() has on average, at most.
+PART_ROWS = 500_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """df by keys, in as many partitions as its rows ask for, the session's number at least: a task that sorts its part does not
+    grow with the table. rows is their number, if it is known; a table's footers tell it without a scan."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, -(-(df.count() if rows is None else rows) // PART_ROWS)), *keys)
+
+
 def once(df: DataFrame) -> DataFrame:
     """df as a written table, or df itself if it is one; for tables that whoever made them drops."""
     return df if getattr(df, "_stage", None) else staged(df)
