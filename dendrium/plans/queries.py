@@ -190,10 +190,11 @@ SELECT t.doc_id, arg_min(model, (round(cost + (total - hits) * -ln(1e-20), 9), m
 def txt_guess_language(spark, sf_dir):
     """Every whole document, by a lexicon of all documents (its own words are in it, so agreement with lang says nothing)."""
     langs = R.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    t = R.tokens(spark, sf_dir).join(langs, "doc_id")
-    rows = t.groupBy(F.col("lang").alias("model"), "word").agg(F.count("*").alias("n"))
-    lexicon = grammar.relative(rows.withColumnRenamed("model", "lhs")).select(F.col("lhs").alias("model"), "word", (-F.log("p")).alias("cost"))
-    return textsearch.guess_language(t.select("doc_id", "word"), lexicon, key="doc_id")
+    words = staged(R.tokens(spark, sf_dir).groupBy("doc_id", "word").agg(F.count("*").alias("k")))  # texts are gone through once
+    rows = staged(words.join(langs, "doc_id").groupBy(F.col("lang").alias("model"), "word").agg(F.sum("k").alias("n")))
+    total = rows.groupBy(F.col("model").alias("of")).agg(F.sum("n").alias("all"))
+    lexicon = rows.join(F.broadcast(total), F.col("model").eqNullSafe(F.col("of"))).select("model", "word", (-F.log(F.col("n") / F.col("all"))).alias("cost"))
+    return textsearch.guess_language(words, lexicon, key="doc_id")
 
 
 @query("txt_lexicon_model", f"WITH {R.TOKENS_SQL} SELECT tag, count(*) AS n, count(DISTINCT lower(word)) AS words, count(DISTINCT lower(word)) >= 50 AS open FROM tokens GROUP BY tag")
