@@ -41,8 +41,12 @@ def summary(pairs: DataFrame, *by: str) -> DataFrame:
     return x.select(*by, *_scores(F.col("m"), F.col("gg"), F.col("cc")))
 
 
-def exact(pairs: DataFrame, gold: DataFrame, candidate: DataFrame) -> DataFrame:
-    """(sentences, parsed, exact): sentences of gold, those with a candidate, and those with equal brackets."""
+def exact(pairs: DataFrame, gold: DataFrame | None = None, candidate: DataFrame | None = None) -> DataFrame:
+    """(sentences, parsed, exact): sentences of gold, those with a candidate, and those with equal brackets. Without gold and candidate
+    they are the sentences with brackets in pairs, which are gone through once."""
+    if gold is None or candidate is None:
+        per = pairs.groupBy("sentno").agg(F.bool_and(F.col("g") == F.col("c")).alias("same"), F.max(F.col("g") > 0).alias("in_gold"), F.max(F.col("c") > 0).alias("parsed"))
+        return per.where("in_gold").agg(F.count("*").alias("sentences"), F.sum(F.col("parsed").cast("int")).alias("parsed"), F.sum(F.col("same").cast("int")).alias("exact"))
     same = pairs.groupBy("sentno").agg(F.bool_and(F.col("g") == F.col("c")).alias("same"))
     parsed = candidate.select("sentno").distinct().withColumn("parsed", F.lit(1))
     return gold.select("sentno").distinct().join(same, "sentno", "left").join(parsed, "sentno", "left").agg(

@@ -753,7 +753,7 @@ def eval_discontinuous(spark, sf_dir):
 FROM (SELECT sentno, bool_and(g = c) AS same FROM pr WHERE sentno IN (SELECT sentno FROM gold) GROUP BY sentno)""")
 def eval_exact(spark, sf_dir):
     g, c = R.gold_and_candidate(spark, sf_dir)
-    return evaluate.exact(evaluate.paired(g, c), g, c)
+    return evaluate.exact(evaluate.paired(g, c))
 
 
 @query("eval_confusions", f"WITH {_PAIRS_SQL} SELECT g.label AS gold, c.label AS candidate, count(*) AS n FROM gold g JOIN cand c ON g.sentno = c.sentno AND g.leaves = c.leaves AND g.label <> c.label GROUP BY ALL ORDER BY n DESC, gold, candidate LIMIT 10")
