@@ -1110,7 +1110,7 @@ def head_coordinated(spark, sf_dir):
   SELECT fk.*, fk.side = fh.place AS is_head, lag(label) OVER (PARTITION BY fk.sentno, fk.side = fh.place ORDER BY fk.side) AS before FROM fk JOIN fh USING (corpus, sentno))
 SELECT corpus, sentno, nid, CASE WHEN is_head THEN 'head' WHEN coalesce(before = label, false) OR label IN ('NF', 'AF') OR (label = 'RF' AND side = 1) THEN 'modifier' ELSE 'complement' END AS kind FROM kd""")
 def head_kinds(spark, sf_dir):
-    nodes = R.flat_nodes(spark, sf_dir)
+    nodes = staged(R.flat_nodes(spark, sf_dir))  # read three times
     return heads.kinds(nodes, _flat_heads(nodes), MODIFIERS).select("corpus", "sentno", "nid", "kind")
 
 
