@@ -16,7 +16,8 @@
    b others. X and Y link if their differences share at least (a + b + a' + b' - h (n + m)) / 2, h = (1 - t) / (1 + t).
    Members that link with R are one component. For another member Y, let X and Y share none of the shingles that R
    lacks; then 2 min(a, a') >= a + b + a' + b' - h (n + m) > a (1 + h) + b (1 - h), hence a > b. So pairs meet on shingles
-   that R lacks, which are few and rare, and only members with a > b meet on shingles that they lack as well.
+   that R lacks, which are few and rare, and only members with a > b meet on shingles that they lack as well. Of the former
+   only so many are looked at, those of fewest members first, that linked ones must share one of them.
 5. Nodes of different stars meet on prefix shingles: first the rings of stars (members about as far from their middle),
    members only of rings whose middles are near enough (by the triangle inequality of set differences). The postings of a shingle with many stars are dealt out by
    classes of set sizes first. A pair is verified if it shares as many prefix shingles as similar sets must: with c
@@ -154,7 +155,7 @@ def _postings(prefixes: DataFrame) -> DataFrame:
             row = pa.array(np.asarray(pc.list_parent_indices(tokens))[ok])
             yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), *(batch.column(c).take(row) for c in ("node", "n", "k"))], names=["token", "node", "n", "k"])
 
-    plain = written(prefixes.mapInArrow(lean(run), "token long, node long, n int, k int").distinct().join(shared, "token"))
+    plain = written(prefixes.mapInArrow(lean(run), "token long, node long, n int, k int").join(shared, "token").distinct())
     out = written(plain.join(plain.groupBy("node").agg(F.count("*").alias("cnt")), "node").select("token", "node", "n", "k", "cnt"))
     release(plain), release(shared)
     return out
@@ -203,11 +204,12 @@ def _compared(pairs: DataFrame, sets: DataFrame, with_a: DataFrame | None = None
     FAN of them, so that it is no hot key. with_a: the pairs with a_set, if they are at hand."""
     copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / FAN).cast("int").alias("copies"))
     many = copies.where("copies > 1")
+    many = F.broadcast(many) if many.count() < MANY else many
     if with_a is None:
         left = _only(sets, pairs.select(F.col("a").alias("node")).distinct()).select(F.col("node").alias("a"), F.col("tokens").alias("a_set"))
         with_a = pairs.join(left, "a")
-    right = _only(sets, copies.select(F.col("b").alias("node"))).withColumnRenamed("node", "b").join(copies, "b").select("b", F.col("tokens").alias("b_set"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    dealt = with_a.join(F.broadcast(many) if many.count() < MANY else many, "b", "left").withColumn("copy", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    right = _only(sets, copies.select(F.col("b").alias("node"))).withColumnRenamed("node", "b").join(many, "b", "left").select("b", F.col("tokens").alias("b_set"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    dealt = with_a.join(many, "b", "left").withColumn("copy", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
     return dealt.join(right, ["b", "copy"]).drop("copy")
 
 
@@ -261,6 +263,12 @@ def _may_link(rule: Rule) -> Column:
     return _sizes_fit(rule) & (F.least("cnt", "cnt2") >= must)
 
 
+def _likely(rule: Rule) -> Column:
+    """For a pair with n, k and m, l that met on c shingles: whether these are half as many as linked nodes share. Of what meets by
+    chance no set is fetched; whoever is left out here is a star of its own and meets all others later."""
+    return 2 * F.col("c") >= _must(rule, F.col("n"), F.col("m"), F.col("k"), F.col("l"))
+
+
 def _first_pairs(postings: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): each node and the one that stands for most of its shingles. A shingle's node is the one with most shared
     shingles (cnt, then node), as those in the middle of a group have; so b is above a in that order."""
@@ -268,8 +276,8 @@ def _first_pairs(postings: DataFrame, rule: Rule) -> DataFrame:
     met = postings.join(low, "token").where(F.col("node") != F.col("low.node")).select(
         F.col("node").alias("a"), "n", "k", "cnt", F.col("low.node").alias("b"), F.col("low.n").alias("m"), F.col("low.k").alias("l"), F.col("low.cnt").alias("cnt2")
     )
-    counted = met.where(_may_link(rule)).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("cnt2").alias("cnt2"))
-    return counted.groupBy("a").agg(F.max(F.struct("c", "cnt2", "b")).alias("best")).select("a", "best.b")
+    counted = met.where(_may_link(rule)).groupBy("a", "b").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("cnt2", "n", "m", "k", "l")])
+    return counted.where(_likely(rule)).groupBy("a").agg(F.max(F.struct("c", "cnt2", "b")).alias("best")).select("a", "best.b")
 
 
 def _stars(near: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -341,19 +349,33 @@ def _may_link_in_star(rule: Rule, shared_has: Column | None = None) -> Column:
     return 2 * most >= a + b + a2 + b2 - rule.slack * (n + n2) - 1e-6
 
 
+def _first_of_has(rows: DataFrame, rule: Rule) -> DataFrame:
+    """For rows (star, token, node, comp, border, n, a, b) of the shingles that members have and their middle has not, with f, how
+    many members have it, and low, the least n of those: the rows that members have to meet on, and rest, how many of a member's are left out.
+
+    Sets of n and m that link have n - t / (1 + t) (n + m) shingles at most that are not in the other. With m the least size of a partner,
+    as many of a member's b as that may differ; all others are shared. Rarest first, that many and one more are enough, so what
+    many members have in common is not what they meet on."""
+    t = rule.percent / 100
+    per = rows.groupBy("star", "node", "comp", "border", "n", "a", "b").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("all"), F.min("low").alias("low"))
+    differ = F.floor(F.col("n") - t / (1 + t) * (F.col("n") + F.greatest("low", F.col("n") * t)) + 1e-6)
+    per = per.withColumn("rest", F.greatest(F.lit(0), F.col("b") - differ - 1).cast("int")).where(F.size("all") > F.col("rest"))
+    return per.withColumn("token", F.explode(F.slice("all", F.lit(1), F.size("all") - F.col("rest")))).withColumn("token", F.col("token.token")).drop("all", "low")
+
+
 def _star_pairs(members: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) of members of one star that may link and are in different components."""
     sized = members.select("node", "star", "n", "border", F.size("lacks").alias("a"), F.size("has").alias("b"), "lacks", "has")
     known = written(sized.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     narrow = ["star", "token", "node", "comp", "border", "n", "a", "b"]
     has = known.select(F.explode("has").alias("token"), *[c for c in narrow if c != "token"])
-    mixed = has.groupBy("star", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("border").alias("edge")).where("lo != hi and edge").select("star", "token")
-    has = written(has.join(mixed, ["star", "token"]))
-    renamed = {c: f"{c}2" for c in narrow if c not in ("star", "token")}
+    mixed = has.groupBy("star", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("border").alias("edge"), F.count("*").alias("f"), F.min("n").alias("low")).where("lo != hi and edge").select("star", "token", "f", "low")
+    has = written(_first_of_has(has.join(mixed, ["star", "token"]), rule))
+    renamed = {c: f"{c}2" for c in [*narrow, "rest"] if c not in ("star", "token")}
     other = F.col("comp") != F.col("comp2")
     one = has.join(has.withColumnsRenamed(renamed), ["star", "token"]).where(other & (F.col("node") < F.col("node2")) & (F.col("border") | F.col("border2")) & _may_link_in_star(rule))
-    one = one.groupBy("node", "node2").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("a", "b", "n", "a2", "b2", "n2")])
-    pairs = one.where(_may_link_in_star(rule, F.col("c"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    one = one.groupBy("node", "node2").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("a", "b", "n", "rest", "a2", "b2", "n2", "rest2")])
+    pairs = one.where(_may_link_in_star(rule, F.col("c") + F.greatest("rest", "rest2"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
     h = rule.slack
     least = F.floor((F.col("a") * (1 + h) + F.col("b") * (1 - h)) / 2 - 1e-6) + 1
     lossy = known.where("a > b").select(F.explode(F.slice("lacks", F.lit(1), (F.col("a") - least + 1).cast("int"))).alias("token"), *[c for c in narrow if c != "token"])
@@ -377,8 +399,8 @@ def _second_pairs(postings: DataFrame, rule: Rule, labels: DataFrame, members: D
     met = known.join(low, "token").withColumn("x", one).where("x is not null").drop("hi", "lo")
     met = met.withColumns({"m": F.col("x.n"), "l": F.col("x.k"), "cnt2": F.col("x.cnt"), "n2": F.col("x.n"), "a2": F.col("x.a"), "b2": F.col("x.b")})
     met = met.where(_may_link(rule) & ((F.col("star") != F.col("x.star")) | _may_link_in_star(rule)))
-    counted = met.groupBy("node", F.col("x.node").alias("y")).agg(F.count("*").alias("c"))
-    return counted.groupBy("node").agg(F.max(F.struct("c", "y")).alias("best")).select(F.col("node").alias("a"), F.col("best.y").alias("b"))
+    counted = met.groupBy("node", F.col("x.node").alias("y")).agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("n", "m", "k", "l")])
+    return counted.where(_likely(rule)).groupBy("node").agg(F.max(F.struct("c", "y")).alias("best")).select(F.col("node").alias("a"), F.col("best.y").alias("b"))
 
 
 def _by_class(rows: DataFrame, rule: Rule) -> DataFrame:

@@ -89,3 +89,18 @@ def test_stars_merge(spark):
     assert [tuple(r) for r in homes.collect()] == [(3, 1)]
     assert [(r.node, r.star, r.n, sorted(r.lacks), sorted(r.has), r.border) for r in went.collect()] == [(3, 1, 100, list(range(20)), list(range(100, 120)), True)]
     assert sorted((r.node, r.star) for r in out.collect()) == [(2, 1), (3, 1), (6, 5), (10, 1)]
+
+
+def test_a_star_does_not_meet_on_what_all_have(spark):
+    """Members with a passage in common that do not link, and two that do: these meet, on few rows."""
+    rule, passage = jaccard_join.Rule(3, 90), list(range(1000, 1030))
+    has = {x: [*passage, *(5000 + 20 * (x // 2 if x < 2 else x) + i for i in range(15))] for x in range(60)}  # 0 and 1 are alike
+    rows = [(x, x, True, 190, 5, 45, t) for x, ts in has.items() for t in ts]
+    rows = spark.createDataFrame(rows, "node long, comp long, border boolean, n int, a int, b int, token long").withColumn("star", F.lit(1).cast("long"))
+    mixed = rows.groupBy("star", "token").agg(F.count("*").alias("f"), F.min("n").alias("low")).where("f > 1")
+    first = jaccard_join._first_of_has(rows.join(mixed, ["star", "token"]), rule).collect()
+    met = {}
+    for r in first:
+        met.setdefault(r.token, set()).add(r.node)
+    assert any({0, 1} <= nodes for nodes in met.values())
+    assert sum(len(nodes) ** 2 for nodes in met.values()) < 100  # 30 * 60 * 60 on the whole passage
