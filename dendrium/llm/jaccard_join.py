@@ -47,8 +47,9 @@ LONGEST = 8
 #: Cost of a verification in postings, for choosing k.
 VERIFY_COST = 30.0
 SLICE_BYTES = 1_000_000
-#: Stars beyond which a shingle's postings are dealt out by size, and the ratio of those classes.
-CROWDED, CLASS_RATIO = 32, 1.03
+#: Stars beyond which a shingle's postings are dealt out by size, classes that lie between sizes that may just link, and the
+#: ratio of sizes in a group of such postings.
+CROWDED, CLASSES, RATIO = 32, 2, 1.03
 #: Similarity with its middle, in percent, that makes a node a member of a star, and comparisons with one set in a task.
 NEAR, FAN = 50, 400
 #: Rows of a table of hot nodes that are broadcast.
@@ -405,10 +406,12 @@ def _second_pairs(postings: DataFrame, rule: Rule, labels: DataFrame, members: D
 
 def _by_class(rows: DataFrame, rule: Rule) -> DataFrame:
     """Deals the postings of a crowded shingle out by classes of sizes: one row for each class that a partner may have, but
-    not if the node has fewer shared shingles than any partner of that class asks for. A pair meets in one (lo, hi)."""
-    t, step = rule.percent / 100, float(np.log(CLASS_RATIO))
-    own = F.floor(F.log(F.col("n")) / step).cast("int")
-    reach = int(np.ceil(-np.log(t) / step)) + 1
+    not if the node has fewer shared shingles than any partner of that class asks for. A pair meets in one (lo, hi). A posting is
+    in 2 * CLASSES + 1 rows at most, whatever the sizes of groups."""
+    t, least = rule.percent / 100, float(np.log(RATIO))
+    step = max(least, float(-np.log(t)) / CLASSES * (1 + 1e-6))  # no whole number of steps, so that rounding does not matter
+    own, fine = (F.floor(F.log(F.col("n")) / x).cast("int") for x in (step, least))
+    reach = int(np.ceil(-np.log(t) / step))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
 
     def least_must(j: Column) -> Column:
@@ -417,7 +420,7 @@ def _by_class(rows: DataFrame, rule: Rule) -> DataFrame:
         return F.when(small > large + 1e-6, F.lit(1e18)).otherwise(F.least(first, second) - 1)  # 1 for what ceil() adds
 
     fits = F.filter(F.sequence(own - reach, own + reach), lambda j: F.col("cnt") >= least_must(j))
-    return rows.withColumn("own", own).withColumn("j", F.explode(fits)).withColumns({"lo": F.least("own", "j"), "hi": F.greatest("own", "j")}).drop("j")
+    return rows.withColumns({"own": own, "fine": fine}).withColumn("j", F.explode(fits)).withColumns({"lo": F.least("own", "j"), "hi": F.greatest("own", "j")}).drop("j")
 
 
 def _other_links(docs: DataFrame, postings: DataFrame, labels: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -433,10 +436,10 @@ def _other_links(docs: DataFrame, postings: DataFrame, labels: DataFrame, member
     known, old = written(known.join(known.groupBy("node").agg(F.count("*").alias("cnt")), "node")), known
     release(old)
     crowded = F.col("stars") > CROWDED
-    plain = known.where(~crowded).withColumns({"own": F.lit(-1), "lo": F.lit(-1), "hi": F.lit(-1)})
+    plain = known.where(~crowded).withColumns({"own": F.lit(-1), "fine": F.lit(-1), "lo": F.lit(-1), "hi": F.lit(-1)})
     known, old = written(plain.unionByName(_by_class(known.where(crowded), rule)).drop("stars").withColumn("ring", F.floor(2 * F.sqrt("d")).cast("int"))), known
     release(old)
-    key, part = ["token", "lo", "hi"], ["own", "star", "ring"]
+    key, part = ["token", "lo", "hi"], ["own", "fine", "star", "ring"]
     groups = written(known.groupBy(*key, *part).agg(
         F.max("cnt").alias("cnt"), F.min("n").alias("n"), F.max("n").alias("most"), F.min("k").alias("k"), F.max("d").alias("d"),
         F.count("*").alias("members"), F.min("comp").alias("comp"), F.max("comp").alias("last"),

@@ -104,3 +104,16 @@ def test_a_star_does_not_meet_on_what_all_have(spark):
         met.setdefault(r.token, set()).add(r.node)
     assert any({0, 1} <= nodes for nodes in met.values())
     assert sum(len(nodes) ** 2 for nodes in met.values()) < 100  # 30 * 60 * 60 on the whole passage
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90, 100])
+def test_classes_of_sizes(spark, percent):
+    """A posting is in few rows, and sizes that may link meet in exactly one class."""
+    rule = jaccard_join.Rule(3, percent)
+    rows = spark.range(1, 400).select(F.col("id").alias("node"), F.col("id").cast("int").alias("n"), F.lit(1).alias("k"), F.lit(10**6).alias("cnt"))
+    got = jaccard_join._by_class(rows, rule)
+    assert got.groupBy("node").count().agg(F.max("count")).first()[0] <= 5
+    x, y = got.select("n", "own", "lo", "hi"), got.select(F.col("n").alias("m"), F.col("own").alias("own2"), "lo", "hi")
+    met = x.join(y, ["lo", "hi"]).where((F.col("lo") == F.col("hi")) | (F.col("own") != F.col("own2"))).where(f"100 * n >= {percent} * m and 100 * m >= {percent} * n").groupBy("n", "m").count()
+    assert met.where("count != 1").isEmpty()
+    assert met.count() == sum(100 * n >= percent * m and 100 * m >= percent * n for n in range(1, 400) for m in range(1, 400))
