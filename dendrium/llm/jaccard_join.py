@@ -265,9 +265,9 @@ def _may_link(rule: Rule) -> Column:
 
 
 def _likely(rule: Rule) -> Column:
-    """For a pair with n, k and m, l that met on c shingles: whether these are half as many as linked nodes share. Of what meets by
-    chance no set is fetched; whoever is left out here is a star of its own and meets all others later."""
-    return 2 * F.col("c") >= _must(rule, F.col("n"), F.col("m"), F.col("k"), F.col("l"))
+    """For a pair with n, k and m, l that met on c shingles: whether that is not just one, where linked nodes share more than two. Of what
+    meets by chance no set is fetched; whoever is left out here is a star of its own and meets all others later."""
+    return (F.col("c") > 1) | (_must(rule, F.col("n"), F.col("m"), F.col("k"), F.col("l")) <= 2)
 
 
 def _first_pairs(postings: DataFrame, rule: Rule) -> DataFrame:
