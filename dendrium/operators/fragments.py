@@ -15,9 +15,10 @@ compared, once each. The cost is that of different subtrees, however often they
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dendrium.operators.staging import dropped, once, staged
@@ -25,6 +26,9 @@ from dendrium.operators.staging import dropped, once, staged
 NODE = ["corpus", "sentno", "nid"]
 _TOKEN = re.compile(r"\(|\)|[^\s()]+")
 
+#: Meetings of two trees on a production that a task of kernel() sums up on average, at most.
+CELL = 4_000_000
+
 
 def prod_of(label: Column, kids: Column, word: Column | None = None) -> Column:
     """The production of a node: over labels (an array), or over a word where that is not null."""
@@ -369,16 +373,51 @@ def ewe(nodes: DataFrame) -> DataFrame:
     return sums.join(total, "root").select("root", "frag", (F.col("u") / F.col("total")).alias("w"))
 
 
+def different(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every different tree once, as the first (corpus, sentno) that has it: (corpus, sentno, copies), and the nodes of these trees.
+
+    Trees whose rows are the same but for corpus and sentno are made one before classes are, so that copies take no joins; trees that are
+    numbered otherwise are made one by the classes of their roots. A tree without corpus or sentno is a copy, but none stands as it."""
+    tree = ["corpus", "sentno"]
+    first = F.min(F.when(F.col("corpus").isNotNull() & F.col("sentno").isNotNull(), F.struct(*tree))).alias("first")
+    rows = nodes.groupBy(*tree).agg(F.sort_array(F.collect_list(F.struct("nid", "parent", "side", "depth", "label", "prod"))).alias("rows"))
+    forms = staged(rows.groupBy("rows").agg(F.count("*").alias("copies"), first).where("first is not null").select("first.*", "copies", "rows"))
+    classed = classes(forms.select(*tree, F.inline("rows")))
+    roots = classed.where("parent is null").select(*tree, "cls").join(forms.select(*tree, "copies"), tree)
+    one = staged(roots.groupBy("cls").agg(F.sum("copies").alias("copies"), first).select("first.*", "copies"))
+    kept = forms.drop("copies").join(one.select(*tree), tree, "left_semi")
+    return one, kept.select(*tree, F.inline("rows"))
+
+
 def kernel(nodes: DataFrame, least: int = 1) -> DataFrame:
     """(a_corpus, a, b_corpus, b, n): for pairs of different trees, the number of node pairs with equal productions, if that is
     `least` or more. Equal trees are one row and stand as the first of them; with itself a tree is paired if it occurs
-    twice. A tree's productions are counted before trees meet."""
-    classed = classes(nodes)
-    roots = classed.where("parent is null").select("corpus", "sentno", F.col("cls").alias("tree"))
-    one = roots.groupBy("tree").agg(F.count("*").alias("copies"), F.min(F.struct("corpus", "sentno")).alias("first")).select("copies", "first.*")
-    per = staged(classed.join(one, ["corpus", "sentno"]).groupBy("corpus", "sentno", "copies", "prod").agg(F.count("*").alias("x")))
-    tree = F.struct("corpus", "sentno")
-    a = per.select("prod", "copies", tree.alias("a"), "x")
-    b = per.select("prod", tree.alias("b"), F.col("x").alias("y"))
-    pairs = a.join(b, "prod").where("a < b or (a = b and copies > 1)").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("n")).where(F.col("n") >= least)
-    return pairs.select(F.col("a.corpus").alias("a_corpus"), F.col("a.sentno").alias("a"), F.col("b.corpus").alias("b_corpus"), F.col("b.sentno").alias("b"), "n")
+    twice. A tree's productions are counted before trees meet.
+
+    Trees are dealt to groups, and every two groups meet in a task of their own: trees are moved, once for each group, but no pairs. There are
+    as many groups as keep the meetings of a task at CELL on average, also those of a production that all trees have. A tree has a bit for each
+    of its productions (bits); a pair that shares one bit, where the tree has no other production (alone), shares one production
+    and is done, others are summed up. The result has a row for each pair, so that it grows with the square of the different trees."""
+    one, kept = different(nodes)
+    names = staged(one.select("corpus").distinct().orderBy("corpus").select("corpus", F.monotonically_increasing_id().alias("c")))  # numbers in the order of names
+    tree = ["corpus", "sentno"]
+    per = kept.groupBy(*tree, "prod").agg(F.count("*").alias("x")).join(one, tree).withColumn("bit", F.pmod(F.xxhash64("prod"), F.lit(64)).cast("int"))
+    per = per.withColumns({"bits": F.bit_or(F.expr("shiftleft(1L, bit)")).over(Window.partitionBy(*tree)), "alone": F.count("*").over(Window.partitionBy(*tree, "bit")) == 1})
+    per = staged(per.join(F.broadcast(names), "corpus").select("prod", F.struct("c", "sentno", "x", "bits", "alone", (F.col("copies") > 1).alias("twice")).alias("t")))
+    meet = per.groupBy("prod").agg(F.count("*").cast("double").alias("d")).agg(F.sum(F.col("d") * F.col("d"))).first()[0] or 0
+    groups = max(1, math.ceil(math.sqrt(meet / CELL)))
+    dealt = per.withColumn("g", F.pmod(F.xxhash64("t.c", "t.sentno"), F.lit(groups)).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    lo, hi = F.least("g", "h"), F.greatest("g", "h")
+    dealt = dealt.select("prod", "t", "g", "h", (lo < hi).alias("apart"), (F.shiftright(hi * (hi + 1), 1) + lo).alias("cell")).repartitionById(groups * (groups + 1) // 2, "cell")
+    met = dealt.groupBy("cell", "apart", "prod").agg(F.collect_list(F.when(F.col("g") <= F.col("h"), F.col("t"))).alias("p"), F.collect_list(F.when(F.col("g") >= F.col("h"), F.col("t"))).alias("q"))
+    met = met.select("cell", "apart", F.explode("p").alias("p"), "q").select("cell", "apart", "p", F.explode("q").alias("q"))
+    before = (F.col("p.c") < F.col("q.c")) | ((F.col("p.c") == F.col("q.c")) & (F.col("p.sentno") < F.col("q.sentno")))
+    itself = (F.col("p.c") == F.col("q.c")) & (F.col("p.sentno") == F.col("q.sentno")) & F.col("p.twice")
+    done = F.col("p.alone") & (F.bit_count(F.col("p.bits").bitwiseAND(F.col("q.bits"))) == 1)
+    end = lambda x, y, c: F.when(before, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}"))
+    row = [end("p", "q", "c").alias("ca"), end("p", "q", "sentno").alias("a"), end("q", "p", "c").alias("cb"), end("q", "p", "sentno").alias("b"), (F.col("p.x") * F.col("q.x")).alias("n")]
+    met = met.where(F.col("apart") | before | itself)
+    more = met.where(~done).select("cell", *row).groupBy("cell", "ca", "a", "cb", "b").agg(F.sum("n").alias("n")).drop("cell")
+    pairs = met.where(done).select(*row).unionByName(more).where(F.col("n") >= least)
+    named = lambda x: F.broadcast(names.select(F.col("c").alias(f"c{x}"), F.col("corpus").alias(f"{x}_corpus")))
+    return pairs.join(named("a"), "ca").join(named("b"), "cb").select("a_corpus", "a", "b_corpus", "b", "n")

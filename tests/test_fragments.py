@@ -189,6 +189,30 @@ def test_kernel(spark):
     assert got == sorted(n for x, y in pairs if (n := same(x, y)))
 
 
+def test_kernel_moves_no_pairs(spark, monkeypatch):
+    """Pairs are summed up where they meet, in as many tasks as the meetings ask for; productions share bits, numbers of nodes say nothing."""
+    monkeypatch.setattr(fragments, "CELL", 500)
+    rng = random.Random(5)
+    trees = [("S", tuple((f"L{rng.randrange(200)}", ("x",)) for _ in range(rng.randrange(1, 30)))) for _ in range(40)]
+    trees += [trees[3], trees[7]]
+    rows = [(("b", "a", "c")[s % 3], *r[1:]) for s, t in enumerate(trees) for r in ((x[0], s, *x[2:]) for x in rows_of([t]))]
+    rows = [(c, s, nid + 100 * (s > 39), None if parent is None else parent + 100 * (s > 39), *rest) for c, s, nid, parent, *rest in rows]
+    rows += [(None, 99, *r[2:]) for r in rows_of([trees[5]])]
+    first, copies = {}, Counter([*trees, trees[5]])
+    for s, t in enumerate(trees):
+        first[t] = min(first.get(t, ("d", 0)), (("b", "a", "c")[s % 3], s))
+    found = fragments.kernel(spark.createDataFrame(rows, NODES))
+    bags = {first[t]: Counter(prod(x) for x in below(t)) for t in first}
+    same = {(*x, *y): sum(n * bags[y][p] for p, n in bags[x].items()) for x in bags for y in bags if x < y}
+    same |= {(*first[t], *first[t]): sum(n * n for n in bags[first[t]].values()) for t, k in copies.items() if k > 1}
+    assert {(r.a_corpus, r.a, r.b_corpus, r.b): r.n for r in found.collect()} == {k: n for k, n in same.items() if n}
+    assert found.count() == sum(n > 0 for n in same.values())
+    assert found.rdd.getNumPartitions() > 2 and "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    few = fragments.kernel(spark.createDataFrame(rows, NODES), least=3)
+    assert few.count() == sum(n > 2 for n in same.values())
+    assert fragments.kernel(table(spark, [])).count() == 0
+
+
 def test_written_fragments(spark):
     df = spark.createDataFrame([("(S (NP (DT The) (NN )) (VP ))",), ("(A x)",), ("(A )",)], "f string")
     assert [tuple(r) for r in df.select(fragments.n_words(F.col("f")), fragments.n_open(F.col("f"))).collect()] == [(1, 2), (1, 0), (0, 1)]
