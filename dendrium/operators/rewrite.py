@@ -1,17 +1,24 @@
 """Trees rewritten as tables: nodes get new parents or lose their words, then what is left is numbered anew.
 
 A node row has corpus, sentno, nid, parent (null for the root), side, depth, label, pos (the number of its word, from 1, for a node over
-one word, else null) and word. Every rewriting keeps other columns and the nids of the nodes that stay. Nodes reach their ancestors by doubled
-pointers: log2(depth) joins on (corpus, sentno, node), never a level at a time and never a tree in one row. A sentence without words left has no
-rows. Repeated rows of a node are an error of the caller's.
+one word, else null) and word. Every rewriting keeps other columns and the nids of the nodes that stay. Sentences meet in one shuffle, or in none where
+their rows are dealt by sentence as they come, and are rewritten in Arrow batches of whole sentences, several steps in one pass; nodes reach their ancestors by doubled pointers.
+A sentence without words left has no rows. Rows without sentno or nid are left out. Repeated rows of a node are an error of the caller's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from dendrium.operators.heads import NODE, SENTENCE, lexical_heads
+from dendrium.operators import batches
+from dendrium.operators.batches import Trees
+from dendrium.operators.heads import NODE, SENTENCE, Rules
 from dendrium.operators.staging import dropped, staged
 
 #: Tags and words that are punctuation, and words that are cut off at the ends of a sentence.
@@ -47,26 +54,37 @@ def ancestors(nodes: DataFrame) -> DataFrame:
         parts.append(new)
 
 
-def _words_below(nodes: DataFrame, above: DataFrame) -> DataFrame:
-    """(corpus, sentno, nid, pos): every node with each of its words."""
-    w = nodes.where("pos is not null").select(*NODE, "pos")
-    return w.unionByName(w.join(above, NODE).select(*SENTENCE, F.col("up").alias("nid"), "pos"))
+def rewritten(nodes: DataFrame, *steps: Callable[[Trees], Trees], heads: DataFrame | None = None, **marks: Column) -> DataFrame:
+    """The trees after the steps, which run one after the other on whole sentences in a task; staged. `marks` become columns for the steps, with "_" before
+    their names; `heads` (corpus, sentno, nid, head) are t.told, a sentence, node and head each. Errors of the steps are raised."""
+    x = nodes.where("sentno is not null and nid is not null")
+    schema = StructType([StructField(f.name, IntegerType() if f.name in ("side", "depth", "pos") else f.dataType) for f in nodes.schema])
+    x = x.withColumns({f"_{name}": c for name, c in marks.items()})
+    if with_heads := heads is not None:
+        x = x.withColumns({"_head": F.lit(None).cast(heads.schema["head"].dataType), "_told": F.lit(False)})
+        x = x.unionByName(heads.where("sentno is not null and nid is not null and head is not null").select(*NODE, F.col("head").alias("_head"), F.lit(True).alias("_told")), allowMissingColumns=True)
+    names = nodes.columns
+
+    def run(table: pa.Table, sent: np.ndarray) -> pa.Table:
+        told = None
+        if with_heads:
+            rows = batches.flags(table["_told"])
+            about = table.filter(pa.array(rows))
+            told = (sent[rows], *(batches.ints(about[c])[0] for c in ("nid", "_head")))
+            table, sent = table.filter(pa.array(~rows)), sent[~rows]
+        trees = Trees(table, sent)
+        trees.told = told
+        for step in steps:
+            trees = step(trees)
+        return trees.table.select(names)
+
+    return batches.made(batches.by_sentence(x, run, schema))
 
 
 def numbered(nodes: DataFrame) -> DataFrame:
     """The same trees with side, depth and pos made anew: nodes over no word are gone, children stand in the order of their first words, and
     the words that are left are counted from 1. A node whose parent is not there is a root. Staged."""
-    nodes = staged(nodes)
-    above = ancestors(nodes.join(nodes.select(*SENTENCE, F.col("nid").alias("parent")), [*SENTENCE, "parent"], "left_semi"))
-    first = _words_below(nodes, above).groupBy(*NODE).agg(F.min("pos").alias("first"))
-    depth = above.groupBy(*NODE).agg(F.max("far").alias("steps"))
-    x = nodes.join(first, NODE).join(depth, NODE, "left")
-    side = F.when(F.col("steps").isNotNull(), F.row_number().over(Window.partitionBy(*SENTENCE, "parent").orderBy("first", "nid")))
-    pos = F.when(F.col("pos").isNotNull(), F.count("pos").over(Window.partitionBy(*SENTENCE).orderBy("pos")).cast("int"))
-    new = {"side": side, "parent": F.when(F.col("steps").isNotNull(), F.col("parent")), "depth": F.coalesce("steps", F.lit(0)), "pos": pos}
-    out = staged(x.withColumns(new).select(*nodes.columns))
-    dropped(nodes, above)
-    return out
+    return rewritten(nodes, lambda t: batches.numbered(t, t.up))
 
 
 def reattached(nodes: DataFrame, moves: DataFrame) -> DataFrame:
@@ -80,28 +98,61 @@ def without(nodes: DataFrame, goes: Column) -> DataFrame:
     return numbered(nodes.where(F.col("pos").isNull() | ~F.coalesce(goes, F.lit(False))))
 
 
+def _told_heads(t: Trees) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each node's head (-1 where it is not there), and whether one is told."""
+    sent, nid, head = t.told
+    row, to = t.places.at(sent, nid), t.places.at(sent, head)
+    out, has = np.full(len(t.nid), -1), np.zeros(len(t.nid), bool)
+    out[row[row >= 0]], has[row[row >= 0]] = to[row >= 0], True
+    return out, has
+
+
+def _raise(t: Trees, head: np.ndarray, has: np.ndarray) -> Trees:
+    word, there = batches.head_words(t, head, has)
+    batches.ends(t.up)  # parents in a circle are found before they are followed
+    # Every node with each of its words, a level upwards at a time.
+    at, place, nodes, places = np.flatnonzero(t.over_word), t.pos[t.over_word], [], []
+    while len(at):
+        nodes.append(at)
+        places.append(place)
+        above = t.up[at]
+        at, place = above[above >= 0], place[above >= 0]
+    nodes, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (nodes, places))
+    if not there[nodes].all():
+        raise ValueError("a node has no lexical head")
+    order = np.lexsort((places, nodes))
+    nodes, places = nodes[order], places[order]
+    first = np.flatnonzero(np.r_[np.ones(min(1, len(nodes)), bool), (nodes[1:] != nodes[:-1]) | (places[1:] != places[:-1] + 1)])
+    of, lo, hi = nodes[first], places[first], places[np.r_[first[1:], len(places)] - 1] if len(first) else places
+    own = (lo <= word[of]) & (word[of] <= hi)
+    low, high, has_own = np.zeros(len(t.nid), np.int64), np.zeros(len(t.nid), np.int64), np.zeros(len(t.nid), bool)
+    low[of[own]], high[of[own]], has_own[of[own]] = lo[own], hi[own], True
+    up = t.up.copy()
+    at = np.flatnonzero(has_own & (t.up >= 0))
+    above, farthest = t.up[at], np.full(len(at), -1)
+    while len(at):
+        fits = has_own[above] & (low[above] <= low[at]) & (high[at] <= high[above])
+        up[at[fits]] = above[fits]
+        farthest = np.where(has_own[above], above, farthest)
+        further = t.up[above]
+        top = ~fits & (further < 0)
+        up[at[top]] = np.where(farthest[top] >= 0, farthest[top], up[at[top]])
+        on = ~fits & (further >= 0)
+        at, above, farthest = at[on], further[on], farthest[on]
+    return batches.numbered(t, up)
+
+
 def raised(nodes: DataFrame, heads: DataFrame) -> DataFrame:
     """Trees without discontinuous nodes. Of a node's runs of adjacent words the one with its lexical head is its own from then on; what
     stands in another is raised to the nearest node above whose own run covers it, the root if none does. `heads` is as made by heads.head_children();
     a node whose chain of heads ends above no word raises ValueError."""
-    nodes = staged(nodes)
-    words = lexical_heads(nodes, heads)
-    above = ancestors(nodes)
-    below = staged(_words_below(nodes, above))
-    lost = below.select(*NODE).distinct().join(words.where("word is not null"), NODE, "left_anti").limit(1).count()
-    if lost:
-        dropped(nodes, words, above, below)
-        raise ValueError("a node has no lexical head")
-    run = F.col("pos") - F.row_number().over(Window.partitionBy(*NODE).orderBy("pos"))
-    runs = below.withColumn("run", run).groupBy(*NODE, "run").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    own = staged(runs.join(words, NODE).where(F.col("word").between(F.col("lo"), F.col("hi"))).select(*NODE, "lo", "hi"))
-    over = own.select(*SENTENCE, F.col("nid").alias("up"), F.col("lo").alias("from"), F.col("hi").alias("upto"))
-    pairs = above.join(own, NODE).join(over, [*SENTENCE, "up"])
-    holds = (F.col("from") <= F.col("lo")) & (F.col("hi") <= F.col("upto"))
-    to = F.coalesce(F.min_by("up", F.when(holds, F.col("far"))), F.max_by("up", "far"))
-    out = reattached(nodes, pairs.groupBy(*NODE).agg(to.alias("to")))
-    dropped(nodes, words, above, below, own)
-    return out
+    return rewritten(nodes, lambda t: _raise(t, *_told_heads(t)), heads=heads)
+
+
+def raised_by(nodes: DataFrame, rules: str) -> DataFrame:
+    """raised() with the heads that head_children() finds by these rules: found where trees are rewritten, they are not moved."""
+    found = Rules(rules)
+    return rewritten(nodes, lambda t: _raise(t, *found.head_rows(t)), **found.columns(nodes))
 
 
 def punct_removed(nodes: DataFrame, punct: Column | None = None) -> DataFrame:
@@ -114,33 +165,64 @@ def root_words_removed(nodes: DataFrame) -> DataFrame:
     return without(nodes, (F.col("depth") == 1) & F.col("pos").isNotNull())
 
 
+def _prune(t: Trees) -> Trees:
+    inside = t.over_word & ~batches.flags(t.table["_mark"])
+    n = int(t.sent[-1]) + 1 if len(t.sent) else 0
+    lo, hi = np.full(n, batches.FAR), np.full(n, -batches.FAR)
+    np.minimum.at(lo, t.sent[inside], t.pos[inside])
+    np.maximum.at(hi, t.sent[inside], t.pos[inside])
+    t = t.kept(~t.over_word | ((lo[t.sent] <= t.pos) & (t.pos <= hi[t.sent])))
+    return batches.numbered(t, t.up)
+
+
 def punct_pruned(nodes: DataFrame, cut: tuple[str, ...] = PRUNED) -> DataFrame:
     """Trees without the words of `cut` that stand at the beginning or the end of a sentence, up to the first and behind the last other word."""
-    inside = F.when(F.col("pos").isNotNull() & ~F.coalesce(F.col("word").isin(*cut), F.lit(False)), F.col("pos"))
-    ends = nodes.groupBy(*SENTENCE).agg(F.min(inside).alias("_from"), F.max(inside).alias("_upto")).where("_from is not null")
-    x = nodes.join(ends, SENTENCE)
-    return numbered(x.where("pos is null or pos between _from and _upto").select(*nodes.columns))
+    return rewritten(nodes, _prune, mark=F.col("word").isin(*cut))
+
+
+def to_root(t: Trees) -> Trees:
+    """A step of rewritten(): what is marked is hung below its root, a root itself is not."""
+    roots = np.flatnonzero(~t.table["parent"].is_valid().to_numpy())
+    n = int(t.sent[-1]) + 1 if len(t.sent) else 0
+    root = np.full(n, -1)
+    root[t.sent[roots][::-1]] = roots[::-1]  # of several, the first
+    moves = batches.flags(t.table["_mark"]) & t.table["parent"].is_valid().to_numpy() & (root[t.sent] >= 0)
+    return batches.numbered(t, np.where(moves, root[t.sent], t.up))
 
 
 def punct_to_root(nodes: DataFrame, punct: Column | None = None) -> DataFrame:
     """Trees whose punctuation stands right below the root. A root over a word itself stays as it is."""
-    root = nodes.where("parent is null").select(*SENTENCE, F.col("nid").alias("to"))
-    marks = nodes.where("parent is not null").where(is_punct() if punct is None else punct)
-    return reattached(nodes, marks.select(*NODE).join(root, SENTENCE))
+    return rewritten(nodes, to_root, mark=is_punct() if punct is None else punct)
+
+
+def move(t: Trees) -> Trees:
+    """A step of rewritten(): what is marked and stands right below the root is hung beside the highest node that begins behind it."""
+    depth, _ = batches.ints(t.table["depth"])
+    mark = batches.flags(t.table["_mark"]) & t.over_word & (depth == 1)
+    words = np.flatnonzero(t.over_word)
+    words = words[np.lexsort((t.pos[words], t.sent[words]))]
+    # The next word that is no mark, from behind; another sentence's is none.
+    other = np.where(mark[words], len(words), np.arange(len(words)))
+    ahead = np.r_[np.minimum.accumulate(other[::-1])[::-1], len(words)][1:]
+    has = ahead < len(words)
+    has[has] = t.sent[words[ahead[has]]] == t.sent[words[has]]
+    has &= mark[words]
+    marks, after = words[has], t.pos[words[ahead[has]]]
+    _, first = batches.ends(t.up, np.where(t.over_word, t.pos, batches.FAR))
+    nodes = np.flatnonzero((depth > 0) & (first < batches.FAR))
+    nodes = nodes[np.lexsort((nodes, depth[nodes], first[nodes], t.sent[nodes]))]
+    nodes = nodes[batches.places_in(batches.dense(t.sent[nodes], first[nodes])) == 0]  # the highest for each place
+    starts = batches.Places(t.sent[nodes], first[nodes])
+    found = starts.at(t.sent[marks], after)
+    up = t.up.copy()
+    to = t.up[nodes[found]]
+    moves = (found >= 0) & (to >= 0)
+    up[marks[moves]] = to[moves]
+    return batches.numbered(t, up)
 
 
 def punct_moved(nodes: DataFrame, punct: Column | None = None) -> DataFrame:
     """Trees whose punctuation below the root stands beside the highest node that begins behind it: marks in a row go along; where nothing but
     marks follows, or what follows is a child of the root, they stay. `punct` may name other words to move, as
     F.col("pos").isNotNull() for all below the root. Other punctuation is not moved, and paired marks are not brought together."""
-    nodes = staged(nodes)
-    marks = staged(nodes.where("depth = 1 and pos is not null").where(is_punct() if punct is None else punct).select(*NODE, "pos"))
-    word = nodes.where("pos is not null").join(marks.select(*NODE, F.lit(True).alias("mark")), NODE, "left")
-    ahead = Window.partitionBy(*SENTENCE).orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    follows = word.withColumn("next", F.min(F.when(F.col("mark").isNull(), F.col("pos"))).over(ahead)).where("mark").select(*NODE, "next")
-    above = ancestors(nodes)
-    begins = _words_below(nodes, above).groupBy(*NODE).agg(F.min("pos").alias("next"))
-    high = nodes.where("depth > 0").join(begins, NODE).groupBy(*SENTENCE, "next").agg(F.min_by("parent", F.struct("depth", "nid")).alias("to"))
-    out = reattached(nodes, follows.join(high, [*SENTENCE, "next"]).select(*NODE, "to"))
-    dropped(nodes, marks, above)
-    return out
+    return rewritten(nodes, move, mark=is_punct() if punct is None else punct)

@@ -1002,7 +1002,7 @@ def xf_punct_move(spark, sf_dir):
 @query("xf_punct_root", f"{_HUNG}, t AS ({_T})" + _NUMBERED_SQL)
 def xf_punct_root(spark, sf_dir):
     """Moved and moved back: the trees as they were."""
-    return rewrite.punct_to_root(rewrite.punct_moved(staged(R.hung_nodes(spark, sf_dir))))
+    return rewrite.rewritten(R.hung_nodes(spark, sf_dir), rewrite.move, rewrite.to_root, mark=rewrite.is_punct())
 
 
 @query("xf_punct_remove", f"{_HUNG}, t AS ({_T} WHERE label <> '$,')" + _NUMBERED_SQL)

@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
 from dendrium.operators import heads, rewrite
+from dendrium.plans import queries
 
 SCHEMA = "corpus string, sentno long, nid int, parent int, side int, depth int, label string, pos int, word string"
 
@@ -232,3 +235,34 @@ def test_heads_by_rules_raise(spark):
     rules = "S left-to-right B\nN left-to-right D\nR right-to-left G\nM left-to-right J"
     out = rewrite.raised(nodes, heads.head_children(nodes, rules))
     assert shown(out, 1) == "(S (N (D 1=p)) (B 2=s) (M (J 3=t)) (K 4=q) (E 5=x) (R (G 6=r) (G 7=o)))"
+
+
+def test_heads_found_on_the_way(spark):
+    """raised_by() is raised() with the heads of head_children()."""
+    rng = random.Random(4)
+    trees = {i: grown(rng, list(range(1, rng.randint(2, 9) + 1))) for i in range(40)}
+    nodes = spark.createDataFrame([r for i, t in trees.items() for r in rows(t if len(t) == 2 else ("S", [t]), i)[0]], SCHEMA)
+    rules = "S left-to-right Y T\nS rightdis X Y\nX right-to-left S T\nY leftdis T X\nY left-to-right S"
+    one, two = rewrite.raised_by(nodes, rules), rewrite.raised(nodes, heads.head_children(nodes, rules))
+    assert one.count() > 0 and one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["xf_punct_root"])
+def test_trees_are_written_once(spark, monkeypatch, name):
+    """Sentences meet once and are rewritten there: no table is written but the result, and nothing is joined by nodes."""
+    written, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: written.append(self._df._jdf.queryExecution().executedPlan().toString()) or write(self, path, *a, **b))
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(written) == 1
+    (plan,) = written
+    assert "nid" not in "".join(x for x in plan.splitlines() if "Exchange" in x or "Join" in x)
+
+
+def test_trees_without_corpus(spark):
+    """As in SQL, a sentence is what has one number: without a corpus too. Sentences that span batches stay whole."""
+    t = ("S", [("T", 1, ","), ("X", [("T", 2, "a"), ("T", 3, "b")])])
+    nodes = spark.createDataFrame(rows(t, 1, None)[0] + rows(t, 1)[0], SCHEMA)
+    assert {(r.corpus, r.nid, r.pos) for r in rewrite.punct_removed(nodes).collect()} == {(c, n, p) for c in (None, "c") for n, p in ((0, None), (2, None), (3, 1), (4, 2))}
+    many = [r for i, n in enumerate((30_000, 3, 60_000, 1)) for r in [("c", i, 0, None, None, 0, "S", None, None), *(("c", i, k, 0, k, 1, "T", k, "," if k % 2 else "a") for k in range(1, n + 1))]]
+    left = rewrite.punct_removed(spark.createDataFrame(many, SCHEMA))
+    assert {r.sentno: (r.n, r.top) for r in left.groupBy("sentno").agg(F.count("pos").alias("n"), F.max("side").alias("top")).collect()} == {0: (15_000, 15_000), 1: (1, 1), 2: (30_000, 30_000)}
