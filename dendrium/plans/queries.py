@@ -986,8 +986,7 @@ t AS (
   FROM hw n JOIN ow a ON a.sentno = n.sentno AND a.nid = n.nid LEFT JOIN ow b ON b.sentno = n.sentno AND b.nid = n.parent
   LEFT JOIN hw p ON p.sentno = n.sentno AND p.nid = n.parent LEFT JOIN ow c ON c.sentno = n.sentno AND c.nid = p.parent)""" + _NUMBERED_SQL)
 def xf_raise(spark, sf_dir):
-    nodes = staged(R.hung_nodes(spark, sf_dir))
-    return rewrite.raised(nodes, heads.head_children(nodes, HUNG_RULES))
+    return rewrite.raised_by(R.hung_nodes(spark, sf_dir), HUNG_RULES)
 
 
 @query("xf_punct_move", _HUNG + f""",
