@@ -247,7 +247,7 @@ def test_heads_found_on_the_way(spark):
     assert one.count() > 0 and one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["xf_punct_root", "xf_raise", "xf_punct_prune", "xf_punct_move"])
+@pytest.mark.parametrize("name", ["xf_punct_root", "xf_raise", "xf_punct_prune", "xf_punct_move", "xf_punct_remove"])
 def test_trees_are_written_once(spark, monkeypatch, name):
     """Sentences meet once and are rewritten there: no table is written but the result, and nothing is joined by nodes."""
     written, write = [], DataFrameWriter.parquet
