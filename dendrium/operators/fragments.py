@@ -17,17 +17,21 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dendrium.operators import batches
 from dendrium.operators.staging import dropped, once, staged
 
 NODE = ["corpus", "sentno", "nid"]
 _TOKEN = re.compile(r"\(|\)|[^\s()]+")
 
-#: Meetings of two trees on a production that a task of kernel() sums up on average, at most.
-CELL = 4_000_000
+#: Meetings of two trees on a production in a task of kernel() on average, at most; productions of the trees of one group there; meetings at a time.
+CELL, POSTINGS, MEET = 16_000_000, 1_000_000, 1_000_000
 
 
 def prod_of(label: Column, kids: Column, word: Column | None = None) -> Column:
@@ -389,35 +393,75 @@ def different(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return one, kept.select(*tree, F.inline("rows"))
 
 
+def _summed(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ca, a, cb, b, n) for the pairs of trees of a task, which has the trees (c, sentno, twice, left, right, prods, xs) of one cell: those of the one
+    group are left, those of the other right, and both if a group meets itself. Some MEET meetings are summed up at a time."""
+    parts = [b for b in batch_rows if b.num_rows]
+    if not parts:
+        return
+    t = pa.Table.from_batches(parts).combine_chunks()
+    c, sentno, twice, left, right = (t[x].to_numpy() for x in ("c", "sentno", "twice", "left", "right"))
+    rank = np.empty(len(c), np.int64)
+    rank[np.lexsort((sentno, c))] = np.arange(len(c))
+    prods, xs = t["prods"].combine_chunks(), t["xs"].combine_chunks()
+    of = np.repeat(np.arange(len(c)), np.diff(prods.offsets.to_numpy()))
+    code, x = batches.codes(pa.chunked_array([prods.flatten()])) + 1, xs.flatten().to_numpy()
+    there = np.flatnonzero(right[of])
+    there = there[np.argsort(code[there], kind="stable")]
+    many = np.bincount(code[there], minlength=code.max() + 1)
+    begin = np.cumsum(many) - many
+    here = np.flatnonzero(left[of])
+    meetings = np.cumsum(many[code[here]])
+    at, width = 0, len(c)
+    while at < len(here):
+        done = meetings[at - 1] if at else 0
+        upto = np.searchsorted(meetings, done + MEET, "right")
+        upto = max(np.searchsorted(of[here], of[here[min(upto, len(here) - 1)]]) if upto < len(here) else upto, np.searchsorted(of[here], of[here[at]], "right"))
+        p = here[at:upto]
+        n = many[code[p]]
+        q = there[np.repeat(begin[code[p]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        low, p = of[p[0]], np.repeat(p, n)
+        fits = (rank[of[p]] < rank[of[q]]) | ((of[p] == of[q]) & twice[of[p]]) | ~right[of[p]]
+        p, q = p[fits], q[fits]
+        pair, weight = (of[p] - low) * width + of[q], x[p] * x[q]
+        if len(pair) and (pair.max() + 1) <= 8 * len(pair):
+            total = np.bincount(pair, weights=weight)
+            pair = np.flatnonzero(total)
+            total = total[pair]
+        else:
+            pair, which = np.unique(pair, return_inverse=True)
+            total = np.bincount(which, weights=weight, minlength=len(pair))
+        p, q = pair // width + low, pair % width
+        swap = rank[p] > rank[q]
+        p, q = np.where(swap, q, p), np.where(swap, p, q)
+        for k in range(0, len(p), batches.BACK):
+            u, v = p[k : k + batches.BACK], q[k : k + batches.BACK]
+            yield pa.record_batch({"ca": c[u], "a": sentno[u], "cb": c[v], "b": sentno[v], "n": total[k : k + batches.BACK].astype(np.int64)})
+        at = upto
+
+
 def kernel(nodes: DataFrame, least: int = 1) -> DataFrame:
     """(a_corpus, a, b_corpus, b, n): for pairs of different trees, the number of node pairs with equal productions, if that is
     `least` or more. Equal trees are one row and stand as the first of them; with itself a tree is paired if it occurs
     twice. A tree's productions are counted before trees meet.
 
-    Trees are dealt to groups, and every two groups meet in a task of their own: trees are moved, once for each group, but no pairs. There are
-    as many groups as keep the meetings of a task at CELL on average, also those of a production that all trees have. A tree has a bit for each
-    of its productions (bits); a pair that shares one bit, where the tree has no other production (alone), shares one production
-    and is done, others are summed up. The result has a row for each pair, so that it grows with the square of the different trees."""
+    Trees are dealt to groups, and every two groups meet in a task of their own: trees are moved, a row each, once for each group, but no pairs. There
+    are as many groups as keep the meetings of a task at CELL on average and its productions at POSTINGS. In a task trees meet
+    in batches. The result has a row for each pair, so that it grows with the square of the different trees."""
     one, kept = different(nodes)
     names = staged(one.select("corpus").distinct().orderBy("corpus").select("corpus", F.monotonically_increasing_id().alias("c")))  # numbers in the order of names
     tree = ["corpus", "sentno"]
-    per = kept.groupBy(*tree, "prod").agg(F.count("*").alias("x")).join(one, tree).withColumn("bit", F.pmod(F.xxhash64("prod"), F.lit(64)).cast("int"))
-    per = per.withColumns({"bits": F.bit_or(F.expr("shiftleft(1L, bit)")).over(Window.partitionBy(*tree)), "alone": F.count("*").over(Window.partitionBy(*tree, "bit")) == 1})
-    per = staged(per.join(F.broadcast(names), "corpus").select("prod", F.struct("c", "sentno", "x", "bits", "alone", (F.col("copies") > 1).alias("twice")).alias("t")))
-    meet = per.groupBy("prod").agg(F.count("*").cast("double").alias("d")).agg(F.sum(F.col("d") * F.col("d"))).first()[0] or 0
-    groups = max(1, math.ceil(math.sqrt(meet / CELL)))
-    dealt = per.withColumn("g", F.pmod(F.xxhash64("t.c", "t.sentno"), F.lit(groups)).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    per = kept.groupBy(*tree, "prod").agg(F.count("*").alias("x"))
+    bags = per.groupBy(*tree).agg(F.collect_list(F.struct(F.coalesce("prod", F.lit("")).alias("prod"), "x")).alias("bag")).join(one, tree).join(F.broadcast(names), "corpus")
+    bags = staged(bags.select("c", F.col("sentno").cast("long").alias("sentno"), (F.col("copies") > 1).alias("twice"), F.col("bag.prod").alias("prods"), F.col("bag.x").alias("xs")))
+    often = bags.select(F.explode("prods").alias("prod")).groupBy("prod").agg(F.count("*").cast("double").alias("d"))
+    meet, postings = (x or 0 for x in often.agg(F.sum(F.col("d") * F.col("d")), F.sum("d")).first())
+    groups = max(1, math.ceil(math.sqrt(meet / CELL)), min(6, math.ceil(math.sqrt(meet / MEET))), math.ceil(postings / POSTINGS))
+    dealt = bags.withColumn("g", F.pmod(F.xxhash64("c", "sentno"), F.lit(groups)).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     lo, hi = F.least("g", "h"), F.greatest("g", "h")
-    dealt = dealt.select("prod", "t", "g", "h", (lo < hi).alias("apart"), (F.shiftright(hi * (hi + 1), 1) + lo).alias("cell")).repartitionById(groups * (groups + 1) // 2, "cell")
-    met = dealt.groupBy("cell", "apart", "prod").agg(F.collect_list(F.when(F.col("g") <= F.col("h"), F.col("t"))).alias("p"), F.collect_list(F.when(F.col("g") >= F.col("h"), F.col("t"))).alias("q"))
-    met = met.select("cell", "apart", F.explode("p").alias("p"), "q").select("cell", "apart", "p", F.explode("q").alias("q"))
-    before = (F.col("p.c") < F.col("q.c")) | ((F.col("p.c") == F.col("q.c")) & (F.col("p.sentno") < F.col("q.sentno")))
-    itself = (F.col("p.c") == F.col("q.c")) & (F.col("p.sentno") == F.col("q.sentno")) & F.col("p.twice")
-    done = F.col("p.alone") & (F.bit_count(F.col("p.bits").bitwiseAND(F.col("q.bits"))) == 1)
-    end = lambda x, y, c: F.when(before, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}"))
-    row = [end("p", "q", "c").alias("ca"), end("p", "q", "sentno").alias("a"), end("q", "p", "c").alias("cb"), end("q", "p", "sentno").alias("b"), (F.col("p.x") * F.col("q.x")).alias("n")]
-    met = met.where(F.col("apart") | before | itself)
-    more = met.where(~done).select("cell", *row).groupBy("cell", "ca", "a", "cb", "b").agg(F.sum("n").alias("n")).drop("cell")
-    pairs = met.where(done).select(*row).unionByName(more).where(F.col("n") >= least)
+    cell = (F.shiftright(hi * (hi + 1), 1) + lo).alias("cell")
+    dealt = dealt.select("c", "sentno", "twice", (F.col("g") <= F.col("h")).alias("left"), (F.col("g") >= F.col("h")).alias("right"), "prods", "xs", cell).repartitionById(groups * (groups + 1) // 2, "cell")
+    pairs = dealt.drop("cell").mapInArrow(_summed, "ca long, a long, cb long, b long, n long").where(F.col("n") >= least)
     named = lambda x: F.broadcast(names.select(F.col("c").alias(f"c{x}"), F.col("corpus").alias(f"{x}_corpus")))
-    return pairs.join(named("a"), "ca").join(named("b"), "cb").select("a_corpus", "a", "b_corpus", "b", "n")
+    back = lambda x: F.col(x).cast(nodes.schema["sentno"].dataType).alias(x)
+    return pairs.join(named("a"), "ca").join(named("b"), "cb").select("a_corpus", back("a"), "b_corpus", back("b"), "n")

@@ -213,6 +213,25 @@ def test_kernel_moves_no_pairs(spark, monkeypatch):
     assert fragments.kernel(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("meet", [1, 40, 100_000])
+def test_kernel_in_batches(spark, monkeypatch, meet):
+    """A tree is one row where trees meet; pairs are summed up in batches of any size, none in a table of pairs."""
+    monkeypatch.setattr(fragments, "MEET", meet)
+    monkeypatch.setattr(fragments, "POSTINGS", 90)
+    rng = random.Random(meet)
+    trees = [("S", tuple((f"L{rng.randrange(9)}", ("x",)) for _ in range(rng.randrange(1, 12)))) for _ in range(25)]
+    trees += trees[:3]
+    found = fragments.kernel(table(spark, trees))
+    first = {}
+    for s, t in enumerate(trees):
+        first.setdefault(t, s)
+    bags, copies = {s: Counter(prod(x) for x in below(t)) for t, s in first.items()}, Counter(trees)
+    want = {(a, b): sum(n * bags[b][p] for p, n in bags[a].items()) for a in bags for b in bags if a < b}
+    want |= {(s, s): sum(n * n for n in bags[s].values()) for t, s in first.items() if copies[t] > 1}
+    assert {(r.a, r.b): r.n for r in found.collect()} == {k: n for k, n in want.items() if n}
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_written_fragments(spark):
     df = spark.createDataFrame([("(S (NP (DT The) (NN )) (VP ))",), ("(A x)",), ("(A )",)], "f string")
     assert [tuple(r) for r in df.select(fragments.n_words(F.col("f")), fragments.n_open(F.col("f"))).collect()] == [(1, 2), (1, 0), (0, 1)]
