@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from dendrium.operators.staging import dropped, spread, staged
+from dendrium.operators import batches
+from dendrium.operators.staging import spread
 
 
 def log_sum(cost: Column) -> Column:
@@ -68,34 +72,90 @@ def span_marginals(brackets: DataFrame) -> DataFrame:
     return q.groupBy("sent", "s", "e").agg(F.max(F.struct("q", "label")).alias("b")).select("sent", "s", "e", "b.label", "b.q")
 
 
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    return np.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
+def _spans(table: pa.Table, sent: np.ndarray) -> tuple[np.ndarray, ...]:
+    """span_marginals() of whole sentences: (row, sent, s, e, q) by sent, s and e; row is one of the table with the span's label."""
+    s, e = (batches.ints(table[c])[0] for c in ("s", "e"))
+    cost = table["cost"].to_numpy().astype(float)
+    one = np.unique(batches.codes(table["derivation"]) + 1 + sent * (table.num_rows + 1), return_inverse=True)[1]
+    names = table["label"].combine_chunks().dictionary_encode()
+    rank = np.zeros(len(names.dictionary) + 1, np.int64)
+    rank[sorted(range(len(names.dictionary)), key=[x.encode() for x in names.dictionary.to_pylist()].__getitem__)] = np.arange(1, len(rank))
+    label = rank[names.indices.fill_null(len(rank) - 1).to_numpy()]  # nulls come first
+    order = np.lexsort((cost, one, label, e, s, sent))
+    sent, s, e, label, one, cost = (x[order] for x in (sent, s, e, label, one, cost))
+    new = np.zeros(len(order), bool)  # another span or label
+    for x in (sent, s, e, label):
+        new |= np.r_[True, x[1:] != x[:-1]][: len(order)]
+    same = ~new & ~np.r_[True, (one[1:] != one[:-1]) | (cost[1:] != cost[:-1])][: len(order)]
+    order, sent, s, e, label, one, cost, new = (x[~same] for x in (order, sent, s, e, label, one, cost, new))
+    least = np.full(one.max(initial=-1) + 1, np.inf)
+    np.fmin.at(least, one, cost)
+    of = np.zeros(len(least), np.int64)
+    of[one] = sent
+    low, total = np.full(sent.max(initial=-1) + 1, np.inf), np.zeros(sent.max(initial=-1) + 1)
+    np.fmin.at(low, of, least)
+    w = np.exp(low[of] - least)
+    np.add.at(total, of, w)
+    first = np.flatnonzero(new)
+    q = _rounded(np.add.reduceat(w[one], first) / total[sent[first]], 12) if len(first) else np.zeros(0)
+    order, sent, s, e, label = (x[first] for x in (order, sent, s, e, label))
+    by = np.lexsort((label, q, e, s, sent))
+    order, sent, s, e, q = (x[by] for x in (order, sent, s, e, q))
+    last = np.ones(len(order), bool)
+    last[:-1] = (sent[1:] != sent[:-1]) | (s[1:] != s[:-1]) | (e[1:] != e[:-1])
+    return tuple(x[last] for x in (order, sent, s, e, q))
+
+
+def _best_trees(table: pa.Table, sent: np.ndarray) -> pa.Table:
+    row, sent, s, e, q = _spans(table, sent)
+    size = e - s
+    wide = e.max(initial=0) + 1
+    places = batches.Places(sent, s * wide + e)
+    # All splits of all spans: a shorter span from the same place, and what is from its end to the span's.
+    shorter = batches.places_in(batches.dense(sent, s)) if len(s) else size
+    span = np.repeat(np.arange(len(s)), shorter)
+    left = span - np.repeat(np.cumsum(shorter), shorter) + np.arange(len(span))
+    right = places.at(sent[span], e[left] * wide + e[span], s[span] < e[left])
+    span, left, right = (x[right >= 0] for x in (span, left, right))
+    by = np.argsort(size[span], kind="stable")
+    span, left, right = span[by], left[by], right[by]
+    score, lower = np.where(size == 1, q, np.nan), np.full((len(s), 2), -1)
+    sizes, begin = np.unique(size[span], return_index=True)
+    for a, b in zip(begin, [*begin[1:], len(span)][: len(begin)], strict=True):
+        x, y, z = span[a:b], left[a:b], right[a:b]
+        total = _rounded(score[y] + score[z], 9)
+        built = ~np.isnan(total)
+        x, y, z, total = x[built], y[built], z[built], total[built]
+        by = np.lexsort((e[y], total, x))
+        best = by[np.r_[x[by][1:] != x[by][:-1], np.ones(min(1, len(by)), bool)]]
+        score[x[best]] = q[x[best]] + total[best]
+        lower[x[best], 0], lower[x[best], 1] = y[best], z[best]
+    end = np.zeros(sent.max(initial=-1) + 1, np.int64)
+    np.maximum.at(end, sent, e)
+    whole = places.at(np.arange(len(end)), end)
+    here = whole[whole >= 0]
+    here = here[~np.isnan(score[here])]
+    top, found, tops = here, [], []
+    while len(here):
+        found.append(here)
+        tops.append(top)
+        split = lower[here, 0] >= 0
+        top, here = np.tile(top[split], 2), np.r_[lower[here[split], 0], lower[here[split], 1]]
+    at, top = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, tops))
+    out = table.select(["sent", "label", "s", "e"]).take(pa.array(row[at]))
+    return out.add_column(1, "score", pa.array(_rounded(score[top], 9)))
+
+
 def max_constituents(brackets: DataFrame) -> DataFrame:
     """(sent, score, label, s, e): the binary tree, over spans that some derivation has, whose constituents have the most probability in
     sum; of equal splits the last. Brackets as for span_marginals(), one-word spans among them; a sentence whose longest span from 0
-    cannot be built of two others has no rows. One join a span length, over the sentences that have spans so long; a span's row has its best split
-    only, and trees are followed downwards at the end, one join a level, over the sentences so deep."""
-    spans = staged(span_marginals(brackets).withColumn("most", F.max(F.col("e") - F.col("s")).over(Window.partitionBy("sent"))))
-    longest = spans.agg(F.max("most")).first()[0] or 0
-    row = ["sent", "most", "s", "e", "label", "score", "mid"]
-    parts = [staged(spans.where("e - s = 1").select(*row[:5], F.col("q").alias("score"), F.lit(None).cast("int").alias("mid")))]
-    done = parts[0]
-    for length in range(2, longest + 1):
-        here = spans.where(F.col("e") - F.col("s") == length)
-        shorter = done.where((F.col("most") >= length) & (F.col("e") - F.col("s") < length))
-        left = shorter.select("sent", "s", F.col("e").alias("mid"), F.col("score").alias("ls"))
-        right = shorter.select("sent", F.col("s").alias("mid"), "e", F.col("score").alias("rs"))
-        both = here.join(left, ["sent", "s"]).join(right, ["sent", "mid", "e"])
-        score = F.round(F.col("ls") + F.col("rs"), 9)
-        best = both.groupBy("sent", "most", "s", "e", "label", "q").agg(F.max(F.struct(score.alias("sum"), "mid")).alias("b"))
-        new = staged(best.select(*row[:5], (F.col("q") + F.col("b.sum")).alias("score"), F.col("b.mid").alias("mid")))
-        parts.append(new)
-        done = done.unionByName(new)
-    whole = spans.groupBy("sent").agg(F.max("e").alias("e")).withColumn("s", F.lit(0))
-    new = staged(done.join(whole, ["sent", "s", "e"]).select("sent", F.round("score", 9).alias("score"), "label", "s", "e", "mid"))
-    out, level = new, 0
-    while not new.where("mid is not null").isEmpty():
-        level += 1
-        below = new.where("mid is not null").select("sent", "score", F.inline(F.array(F.struct("s", F.col("mid").alias("e")), F.struct(F.col("mid").alias("s"), "e"))))
-        new = staged(below.join(done.where(F.col("e") - F.col("s") <= F.col("most") - level).drop("most", "score"), ["sent", "s", "e"]).select("sent", "score", "label", "s", "e", "mid"))
-        out = out.unionByName(new)
-    dropped(spans, *parts)
-    return out.drop("mid")
+    cannot be built of two others has no rows. A sentence's brackets meet once; spans are built a length at a time, over many sentences at once, and
+    trees are followed downwards at the end."""
+    x = brackets.where("sent is not null and s is not null and e is not null").select("sent", "derivation", "cost", "label", "s", "e")
+    kind = {f.name: f for f in x.schema}
+    schema = StructType([kind["sent"], StructField("score", DoubleType()), kind["label"], kind["s"], kind["e"]])
+    return batches.by_sentence(x, _best_trees, schema, ("s", "e"), ("sent",))

@@ -55,3 +55,16 @@ def test_nothing_and_no_tree(spark):
     assert ranking.max_constituents(spark.createDataFrame([], SCHEMA)).count() == 0
     lost = [(1, 0, 1.0, "X", 0, 2), (1, 0, 1.0, "a", 0, 1)]
     assert ranking.max_constituents(spark.createDataFrame(lost, SCHEMA)).count() == 0
+
+
+def test_brackets_meet_once(spark):
+    """No join a span length and no table of spans; equal splits, repeated brackets, labels of equal weight."""
+    rows = [(1, d, 1.0, "X", 0, 3) for d in (1, 1, 2)] + [(1, 1, 1.0, "Y", 0, 2), (1, 2, 1.0, "Y", 1, 3), (1, 1, 1.0, "Z", 0, 3)]
+    rows += [(s, 1, 2.0, label, k, k + 1) for s in (1, 2) for k, label in enumerate("abc"[: 4 - s])] + [(2, 1, 2.0, "V", 0, 2), (2, 1, 2.0, "W", 0, 2)]
+    found = ranking.max_constituents(spark.createDataFrame(rows, SCHEMA))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Scan parquet" not in plan
+    got = {(r.sent, r.s, r.e): (r.label, r.score) for r in found.collect()}
+    # The last split of the sentence is taken; derivation 1 also has the costs of the words.
+    assert {k for k in got if k[0] == 1} == {(1, 0, 3), (1, 0, 2), (1, 0, 1), (1, 1, 2), (1, 2, 3)} and got[1, 0, 3][0] == "X"
+    assert {k: v[0] for k, v in got.items() if k[0] == 2} == {(2, 0, 2): "W", (2, 0, 1): "a", (2, 1, 2): "b"}
