@@ -1127,9 +1127,7 @@ def dep_length(spark, sf_dir):
   count(*) FILTER (a.head = b.head) / count(*) AS unlabelled, count(*) FILTER (a.head = b.head AND a.rel = b.rel) / count(*) AS labelled FROM ar a JOIN br b USING (corpus, sentno, dep) GROUP BY corpus""")
 def dep_scores(spark, sf_dir):
     """Arcs by the rules against arcs by the first child."""
-    nodes = _headed(spark, sf_dir)
-    first = heads.arcs(nodes, staged(heads.head_children(nodes, "", cut=_CUT)), virtual_root=False)
-    return heads.arc_scores(_arcs(nodes), first, ["corpus"])
+    return heads.scored(R.headed_nodes(spark, sf_dir), heads.Rules(HEAD_RULES, punct=("NF",), cut=_CUT), heads.Rules("", cut=_CUT), ["corpus"])
 
 
 @query("dep_conll", _HEADS_SQL + """SELECT corpus, sentno, string_agg(concat_ws(chr(9), dep, i.word, '_', i.label, i.label, '_', head, rel, '_', '_'), chr(10) ORDER BY dep) || chr(10) || chr(10) AS text
