@@ -3,10 +3,15 @@ score is null."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from dendrium.operators.staging import once, staged
+from dendrium.operators import batches
 
 SENTENCE = ["corpus", "sentno"]
 NODE = [*SENTENCE, "nid"]
@@ -113,60 +118,121 @@ def _is_in(c: Column, values: set[str]) -> Column:
     return c.isin(*values) if values else F.lit(False)
 
 
-def kept_words(gold: DataFrame, params: dict) -> DataFrame:
-    """(corpus, sentno, pos, tag, word, new, counts): the words of the gold trees with their number among those that stay (null if the
-    tag, the word, or standing right below the root removes it), and whether they count for the length."""
-    tag = F.col("label")
-    gone = _is_in(tag, params["DELETE_LABEL"]) | _is_in(F.col("word"), params["DELETE_WORD"])
+def _both(gold: DataFrame, candidate: DataFrame, params: dict) -> DataFrame:
+    """The nodes of both, with what the parameters say of each: _gone (a word, or a phrase, that is removed), _counts (for the length), _label and _word (as compared)."""
+    tag, word = F.col("label"), F.col("word")
+    gone = _is_in(tag, params["DELETE_LABEL"]) | _is_in(word, params["DELETE_WORD"])
     if params["DELETE_ROOT_PRETERMS"]:
         gone = gone | (F.col("depth") == 1)
-    x = gold.where("pos is not null").select(*SENTENCE, "pos", tag.alias("tag"), "word", gone.alias("gone"), (~_is_in(tag, params["DELETE_LABEL_FOR_LENGTH"])).alias("counts"))
-    before = F.sum((~F.col("gone")).cast("int")).over(Window.partitionBy(*SENTENCE).orderBy("pos")) - 1
-    return x.select(*SENTENCE, "pos", "tag", "word", F.when(~F.col("gone"), before.cast("int")).alias("new"), "counts")
-
-
-def brackets(nodes: DataFrame, kept: DataFrame, params: dict) -> DataFrame:
-    """(corpus, sentno, label, leaves) of the phrases that are left: nodes without words that stay are gone, as are those with labels to
-    remove, whose children are their parent's then. Leaves are gathered upwards, a level of depth a join."""
-    nodes = once(nodes).select(*NODE, "parent", "depth", "label", "pos")  # read again on each level
-    stay = kept.where("new is not null").select(*SENTENCE, "pos", "new")
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    out = below = None
-    for depth in range(-1 if deepest is None else deepest, -1, -1):
-        here = nodes.where(F.col("depth") == depth).select(*NODE, "parent", "label", "pos")
-        level = here.join(stay, [*SENTENCE, "pos"]).select(*NODE, "parent", "label", F.array("new").alias("leaves"), F.lit(False).alias("phrase"))
-        if below is not None:
-            up = below.groupBy(*SENTENCE, F.col("parent").alias("nid")).agg(F.sort_array(F.flatten(F.collect_list("leaves"))).alias("leaves"))
-            level = level.unionByName(here.where("pos is null").join(up, NODE).select(*NODE, "parent", "label", "leaves", F.lit(True).alias("phrase")))
-        below = staged(level)
-        out = below if out is None else out.unionByName(below)
-    if out is None:
-        return nodes.select(*SENTENCE, "label", F.array("pos").alias("leaves"))
-    label = F.when(F.col("parent").isNull(), F.col("label")).otherwise(_mapped(F.col("label"), params["EQ_LABEL"]))
-    x = out.where("phrase").withColumn("label", label).where(~_is_in(F.col("label"), params["DELETE_LABEL"]))
-    if params["DISC_ONLY"]:
-        x = x.where(fanout(F.col("leaves")) > 1)
-    return x.select(*SENTENCE, "label" if params["LABELED"] else F.lit("").alias("label"), "leaves")
+    label = F.when(F.col("parent").isNull(), tag).otherwise(_mapped(tag, params["EQ_LABEL"]))
+    is_word = F.col("pos").isNotNull()
+    new = {
+        "_gone": F.coalesce(F.when(is_word, gone).otherwise(_is_in(label, params["DELETE_LABEL"])), F.lit(True)), "_counts": F.coalesce(~_is_in(tag, params["DELETE_LABEL_FOR_LENGTH"]), F.lit(False)),
+        "_label": F.when(is_word, tag).otherwise(label if params["LABELED"] else F.lit("")), "_word": _mapped(word, params["EQ_WORD"]),
+    }
+    side = lambda df, is_gold: df.where("sentno is not null and nid is not null").select(*NODE, "parent", "pos", *[c.alias(k) for k, c in new.items()], F.lit(is_gold).alias("_gold"))
+    return side(gold, True).unionByName(side(candidate, False))
+
+
+def _leaves(t: batches.Trees, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of every node over phrases with the numbers of its words, ascending by row; words without one (-1) are left out."""
+    batches.ends(t.up)  # parents in a circle are found before they are followed
+    at = np.flatnonzero(t.over_word & (number >= 0))
+    n, rows, numbers = number[at], [], []
+    while len(at):
+        above = t.up[at]
+        at, n = above[above >= 0], n[above >= 0]
+        on = ~t.over_word[at]
+        at, n = at[on], n[on]
+        rows.append(at)
+        numbers.append(n)
+    rows, numbers = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, numbers))
+    order = np.lexsort((numbers, rows))
+    return rows[order], numbers[order]
+
+
+def _matches(sent: np.ndarray, label: np.ndarray, is_gold: np.ndarray, rows: np.ndarray, numbers: np.ndarray, kept: Callable) -> tuple[np.ndarray, ...]:
+    """(sent, gold, candidate) for the different brackets: how often each is there. Brackets of the same size are compared number by number."""
+    first = np.flatnonzero(np.r_[np.ones(min(1, len(rows)), bool), rows[1:] != rows[:-1]])
+    size = np.diff(np.r_[first, len(rows)])
+    out = []
+    for k in np.unique(size):
+        begin = first[size == k]
+        leaves = numbers[begin[:, None] + np.arange(k)]
+        begin, leaves = (x[kept(rows[begin], leaves)] for x in (begin, leaves))
+        if not len(begin):
+            continue
+        of = rows[begin]
+        keys = [*leaves.T, label[of], sent[of]]
+        order = np.lexsort(keys)
+        new = np.zeros(len(order), bool)
+        for key in keys:
+            new |= np.r_[True, key[order][1:] != key[order][:-1]]
+        which = np.cumsum(new) - 1
+        g = np.bincount(which, weights=is_gold[of][order]).astype(np.int64)
+        out.append((sent[of][order][new], g, np.bincount(which) - g))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def by_sentence(gold: DataFrame, candidate: DataFrame, params: dict) -> DataFrame:
     """(corpus, sentno, length, words, parsed, same_words, matching, gold, candidate, precision, recall, f, exact, tags_right) for every
     sentence of gold; words, tags and brackets after removals, length by the words that count for it. A sentence without candidate matches nothing.
-    same_words tells whether both have the same words (equal ones count as the same); words that only one has are never right."""
-    gold, candidate = once(gold), once(candidate)
-    kept = staged(kept_words(gold, params))
-    pairs = paired(brackets(gold, kept, params), brackets(candidate, kept, params), tuple(SENTENCE))
-    m, g, c = _sums()
-    scores = pairs.groupBy(*SENTENCE).agg(m.alias("m"), g.alias("gg"), c.alias("cc"), F.bool_and(F.col("g") == F.col("c")).alias("same"))
-    other = candidate.where("pos is not null").select(*SENTENCE, "pos", F.col("label").alias("c_tag"), F.col("word").alias("c_word"))
-    same = F.coalesce(_mapped(F.col("word"), params["EQ_WORD"]) == _mapped(F.col("c_word"), params["EQ_WORD"]), F.lit(False))
-    right = F.col("new").isNotNull() & F.coalesce(F.col("tag") == F.col("c_tag"), F.lit(False))
-    words = kept.join(other, [*SENTENCE, "pos"], "full").groupBy(*SENTENCE).agg(
-        F.count_if("counts").alias("length"), F.count("new").alias("words"), (F.count("c_tag") > 0).alias("parsed"), F.bool_and(same).alias("same_words"), F.count_if(right).alias("tags_right"), F.count("tag").alias("all")
-    )
-    x = words.where(F.col("all") > 0).join(scores, SENTENCE, "left").withColumns({k: F.coalesce(k, F.lit(0).cast("long")) for k in ("m", "gg", "cc")})
-    exact_match = F.col("parsed") & F.coalesce("same", F.lit(True))
-    return x.select(*SENTENCE, "length", "words", "parsed", "same_words", *_scores(F.col("m"), F.col("gg"), F.col("cc")), exact_match.alias("exact"), "tags_right")
+    same_words tells whether both have the same words (equal ones count as the same); words that only one has are never right.
+
+    Both trees of a sentence meet once; brackets are gathered and compared there, exactly, for many sentences at once."""
+    disc = bool(params["DISC_ONLY"])
+    counts = ["length", "words", "parsed", "same_words", "m", "gg", "cc", "same", "tags_right"]
+    truths = ("parsed", "same_words", "same")
+
+    def run(table: pa.Table, sent: np.ndarray) -> pa.Table:
+        n = int(sent[-1]) + 1 if len(sent) else 0
+        label, word, is_gold = batches.codes(table["_label"]), batches.codes(table["_word"]), batches.flags(table["_gold"])
+        gone, counted = batches.flags(table["_gone"]), batches.flags(table["_counts"])
+        trees = {side: batches.Trees(table.select(["nid", "parent", "pos"]).filter(pa.array(is_gold == side)), sent[is_gold == side]) for side in (True, False)}
+        rows_of = {side: np.flatnonzero(is_gold == side) for side in trees}
+        g, c = trees[True], trees[False]
+        words = np.flatnonzero(g.over_word)
+        words = words[np.lexsort((g.pos[words], g.sent[words]))]
+        places = batches.Places(g.sent[words], g.pos[words])
+        stay = ~gone[rows_of[True][words]]
+        # The words that stay are counted from 0 in their sentence.
+        before = np.cumsum(stay) - stay
+        new = np.where(stay, before - before[np.searchsorted(g.sent[words], g.sent[words])], -1) if len(words) else words
+        number = {True: np.full(len(g.sent), -1)}
+        number[True][words] = new
+        at = places.at(c.sent, c.pos, c.over_word)
+        number[False] = np.where(at >= 0, new[at], -1) if len(words) else np.full(len(c.sent), -1)
+        rows, numbers = [], []
+        for side, t in trees.items():
+            r, x = _leaves(t, number[side])
+            rows.append(rows_of[side][r])
+            numbers.append(x)
+        kept = lambda row, leaves: ~gone[row] & (leaves[:, -1] - leaves[:, 0] >= leaves.shape[1] if disc else True)
+        of, in_gold, in_other = _matches(sent, label, is_gold, np.concatenate(rows), np.concatenate(numbers), kept)
+        sums = lambda where, by: np.bincount(where, weights=by, minlength=n).astype(np.int64)
+        here, other = words[at[at >= 0]], np.flatnonzero(at >= 0)
+        grow, crow = rows_of[True][here], rows_of[False][other]
+        alike = (word[grow] == word[crow]) & (word[grow] >= 0)
+        right = (new[at[other]] >= 0 if len(words) else np.zeros(0, bool)) & (label[grow] == label[crow]) & (label[grow] >= 0)
+        both_words = np.bincount(c.sent[other][alike], minlength=n)
+        all_words = np.bincount(g.sent[words], minlength=n) + np.bincount(c.sent[c.over_word], minlength=n) - np.bincount(c.sent[other], minlength=n)
+        tagged = label[rows_of[False]] >= 0
+        found = {
+            "length": sums(g.sent[words], counted[rows_of[True][words]]), "words": sums(g.sent[words], stay), "parsed": np.bincount(c.sent[c.over_word & tagged], minlength=n) > 0, "same_words": both_words == all_words,
+            "m": sums(of, np.minimum(in_gold, in_other)), "gg": sums(of, in_gold), "cc": sums(of, in_other), "same": np.bincount(of[in_gold != in_other], minlength=n) == 0, "tags_right": np.bincount(c.sent[other][right], minlength=n),
+        }
+        some = np.flatnonzero(np.bincount(g.sent[words], weights=label[rows_of[True][words]] >= 0, minlength=n) > 0)
+        first = np.flatnonzero(np.r_[np.ones(min(1, len(sent)), bool), sent[1:] != sent[:-1]])
+        out = table.select(SENTENCE).take(pa.array(first[some]))
+        for k in counts:
+            out = out.append_column(k, pa.array(found[k][some]))
+        return out
+
+    both = _both(gold, candidate, params)
+    kinds = {f.name: f for f in both.schema}
+    schema = StructType([*[kinds[k] for k in SENTENCE], *[StructField(k, BooleanType() if k in truths else LongType()) for k in counts]])
+    x = batches.by_sentence(both, run, schema, ("_gold", "nid"))
+    return x.select(*SENTENCE, "length", "words", "parsed", "same_words", *_scores(F.col("m"), F.col("gg"), F.col("cc")), (F.col("parsed") & F.col("same")).alias("exact"), "tags_right")
 
 
 def totals(sentences: DataFrame, params: dict) -> DataFrame:

@@ -127,3 +127,15 @@ def test_words_of_one_side(spark):
 def test_no_trees(spark):
     none = spark.createDataFrame([], NODES)
     assert evaluate.by_sentence(none, none, evaluate.parameters("")).count() == 0
+
+
+def test_sentences_meet_once(spark, monkeypatch):
+    """Gold and candidate meet in one shuffle, by sentence; nothing is joined or written on the way. Labels that are not known are removed."""
+    monkeypatch.setattr("dendrium.operators.staging.staged", None)
+    trees = [("ROOT", (("S", (("N", 1), ("V", 3))), ("V", 2))), ("ROOT", (("N", 1), (None, (("V", 2),))))]
+    nodes = spark.createDataFrame([r for s, t in enumerate(trees) for r in rows_of(s, t, "abc")], NODES)
+    found = evaluate.by_sentence(nodes, nodes.where("sentno = 0 or label != 'N' or label is null"), evaluate.parameters(PARAMS))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    got = {r.sentno: (r.matching, r.gold, r.candidate, r.exact, r.same_words, r.tags_right) for r in found.collect()}
+    assert got == {0: (2, 2, 2, True, True, 3), 1: (0, 1, 1, False, False, 1)}
