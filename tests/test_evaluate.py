@@ -4,8 +4,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from dendrium.operators import evaluate
+from dendrium.plans import queries
 
 NODES = "corpus string, sentno long, nid long, parent long, depth int, label string, pos int, word string"
 PARAMS = """
@@ -139,3 +141,10 @@ def test_sentences_meet_once(spark, monkeypatch):
     assert "Join" not in plan and plan.count("Exchange") == 1
     got = {r.sentno: (r.matching, r.gold, r.candidate, r.exact, r.same_words, r.tags_right) for r in found.collect()}
     assert got == {0: (2, 2, 2, True, True, 3), 1: (0, 1, 1, False, False, 1)}
+
+
+def test_totals_write_nothing(spark, monkeypatch):
+    """eval_parameters goes through the trees once: no table is written before its totals."""
+    monkeypatch.setattr(DataFrameWriter, "parquet", None)
+    (everything, cutoff) = queries.QUERIES["eval_parameters"](spark, "/root/testdata/sf0.001").orderBy("scope").collect()
+    assert everything.sentences == 1473 > cutoff.sentences > 0
