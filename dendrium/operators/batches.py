@@ -22,8 +22,8 @@ ROWS, BACK = 50_000, 20_000
 FAR = np.iinfo(np.int64).max
 
 
-def by_sentence(rows: DataFrame, run: Callable, schema, order: tuple[str, ...] = ("nid",), keys: tuple[str, ...] = ("corpus", "sentno")) -> DataFrame:
-    """run(table, sent) over all rows: tables of whole sentences, sorted by `order` within each; sent numbers them from 0. Sentences are what
+def by_sentence(rows: DataFrame, run: Callable, schema, order: tuple[str, ...] = ("nid",), keys: tuple[str, ...] = ("corpus", "sentno"), least: int = ROWS) -> DataFrame:
+    """run(table, sent) over all rows: tables of whole sentences, of `least` rows if there are so many, sorted by `order` within each; sent numbers them from 0. Sentences are what
     has the same keys, nulls too. run gives a table with the columns of schema; its ValueErrors are raised by made()."""
     starts = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
 
@@ -36,7 +36,7 @@ def by_sentence(rows: DataFrame, run: Callable, schema, order: tuple[str, ...] =
         held, n = [], 0
         for batch in batches:
             at = np.flatnonzero(batch.column("_starts").to_numpy(zero_copy_only=False))
-            if len(at) and n + at[-1] >= ROWS:
+            if len(at) and n + at[-1] >= least:
                 yield from done([*held, batch.slice(0, at[-1])])
                 held, n, batch = [], 0, batch.slice(at[-1])
             held.append(batch)

@@ -10,10 +10,16 @@ share one and no table is sorted as a whole.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendrium.operators import fragments
+from dendrium.operators import batches, fragments
 from dendrium.operators.staging import dropped, staged
 
 LEAF = r"\(([^\s()]+) ([^\s()]*)\)"
@@ -42,29 +48,85 @@ def double_dop(nodes: DataFrame) -> DataFrame:
     return out
 
 
+def _levels(t: batches.Trees, depth: int) -> tuple[np.ndarray, list[str]]:
+    """What each node's subtree looks like down to `depth` levels of productions: a number for each node, and what the numbers stand for: the
+    label and the production as JSON, then the slot and the same for each child with a row."""
+    table = t.table
+    label, prod = table["label"].combine_chunks(), table["prod"].combine_chunks()
+    of = batches.codes(table["label"]) + 1
+    one, first, code = np.unique(of * (table.num_rows + 1) + batches.codes(table["prod"]) + 1, return_index=True, return_inverse=True)
+    at = pa.array(first)
+    base = [json.dumps(x, ensure_ascii=False) for x in zip(label.take(at).to_pylist(), prod.take(at).to_pylist(), strict=True)]
+    kid = np.flatnonzero(t.up >= 0)
+    side = batches.ints(table["side"])[0]
+    kid = kid[np.lexsort((side[kid], t.up[kid]))]
+    many = np.bincount(t.up[kid], minlength=len(t.up))
+    begin = np.cumsum(many) - many
+    now, names = code, base
+    for _ in range(depth - 1):
+        new, new_names = np.zeros(len(now), np.int64), []
+        for k in np.unique(many):
+            rows = np.flatnonzero(many == k)
+            below = kid[begin[rows][:, None] + np.arange(k)]
+            which = code[rows]
+            for j in range(k):
+                slot = np.unique(side[below[:, j]] * len(names) + now[below[:, j]], return_inverse=True)[1]
+                which = np.unique(which * (slot.max() + 1) + slot, return_inverse=True)[1]
+            some, which = np.unique(which, return_index=True, return_inverse=True)[1:]
+            new[rows] = which + len(new_names)
+            parts = zip(code[rows[some]].tolist(), side[below[some]].tolist(), now[below[some]].tolist(), strict=True)
+            new_names += [base[c][:-1] + "".join(f", {i}, {names[x]}" for i, x in zip(sides, kids, strict=True)) + "]" for c, sides, kids in parts]
+        now, names = new, new_names
+    return now, names
+
+
+def _fragments(name: list) -> list[str | None]:
+    """All fragments of what _levels() names; of a node without a production, none that has a text."""
+    label, prod, *rest = name
+    if label is None or prod is None:
+        return [None]
+    closed = {slot: [f for f in _fragments(below) if f is not None] for slot, below in zip(rest[::2], rest[1::2], strict=True)}
+    over = [[x[1:] if x.startswith("=") else f"({x} )", *closed.get(slot, [])] for slot, x in enumerate(prod.split(" ")[1:], 1)]
+    return [f"({label} {' '.join(choice)})" for choice in product(*over)]
+
+
+def _each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        found = [_fragments(json.loads(name)) for name in batch.column("name").to_pylist()]
+        at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        yield pa.record_batch({"root": batch.column("label").take(pa.array(at)), "frag": pa.array([f for each in found for f in each], pa.string()), **{c: batch.column(c).take(pa.array(at)) for c in ("n", "u")}})
+
+
+def dop1_seen(nodes: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """dop1(), and (label, seen), how many nodes have each label. A sentence's nodes meet once; what is moved on are the different subtrees, as far
+    down as fragments go, with their counts."""
+
+    def run(table: pa.Table, sent: np.ndarray) -> pa.Table:
+        t = batches.Trees(table.append_column("pos", pa.nulls(table.num_rows, pa.int32())), sent)
+        now, names = _levels(t, depth)
+        held, kid = np.ones(len(now)), np.flatnonzero(t.up >= 0)
+        for _ in range(depth - 1):
+            more = np.ones(len(now))
+            np.multiply.at(more, t.up[kid], 1 + held[kid])
+            held = more
+        share = 1 / np.bincount(sent, weights=held)[sent]
+        first = np.unique(now, return_index=True)[1]
+        label = table["label"].combine_chunks().take(pa.array(first))
+        return pa.table({"label": label, "name": pa.array(names, pa.string()), "n": np.bincount(now).astype(np.int64), "u": np.bincount(now, weights=share)})
+
+    x = nodes.where("sentno is not null and nid is not null").select(*fragments.NODE, "parent", "side", "label", "prod")
+    kinds = staged(batches.by_sentence(x, run, "label string, name string, n long, u double", least=200_000).groupBy("label", "name").agg(F.sum("n").alias("n"), F.sum("u").alias("u")))
+    counted = staged(kinds.mapInArrow(_each, "root string, frag string, n long, u double").groupBy("root", "frag").agg(F.sum("n").alias("n"), F.sum("u").alias("u")))
+    seen = staged(kinds.groupBy("label").agg(F.sum("n").alias("seen")))
+    dropped(kinds)
+    return counted, seen
+
+
 def dop1(nodes: DataFrame, depth: int) -> DataFrame:
     """(root, frag, n, u) of all fragments of up to `depth` levels of productions; staged. They are made once for each different
-    subtree, slot by slot: a child is open, or stands with each of its own fragments of one level less."""
-    classed = fragments.classes(nodes)
-    known = staged(fragments.dag(classed).select("cls", F.col("label").alias("root"), F.filter(F.split("prod", " "), lambda x, i: i > 0).alias("over"), "kids"))
-    most = known.agg(F.max(F.size("over"))).first()[0] or 0
-    out = None
-    for level in range(1, depth + 1):
-        made = known.withColumn("frag", F.concat(F.lit("("), "root"))
-        for slot in range(1, most + 1):
-            here = F.col("over")[slot - 1]
-            plain = F.when(here.startswith("="), F.substring(here, 2, 1 << 20)).otherwise(F.concat(F.lit("("), here, F.lit(" )")))
-            is_open = made.withColumn("frag", F.when(F.size("over") >= slot, F.concat("frag", F.lit(" "), plain)).otherwise(F.col("frag")))
-            if level > 1:
-                below = out.select(F.col("cls").alias("kid"), F.col("frag").alias("part"))
-                closed = made.withColumn("kid", F.col("kids")[slot]).join(below, "kid").select(*known.columns, F.concat("frag", F.lit(" "), "part").alias("frag"))
-                is_open = is_open.unionByName(closed)
-            made = is_open
-        new = staged(made.select("root", F.concat("frag", F.lit(")")).alias("frag"), "cls"))
-        dropped(*[] if out is None else [out])
-        out = new
-    counted = staged(weighed(out, classed))
-    dropped(out, known)
+    subtree of so many levels: a child is open, or stands with each of its own fragments of one level less."""
+    counted, seen = dop1_seen(nodes, depth)
+    dropped(seen)
     return counted
 
 
@@ -88,12 +150,13 @@ def dictionary(flat: DataFrame) -> DataFrame:
     return flat.where("not lexical").select("id", "template")
 
 
-def rules(flat: DataFrame, nodes: DataFrame) -> DataFrame:
+def rules(flat: DataFrame, nodes: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """(lhs, rhs, word, n, rel, ewe, bon, shortest): the grammar of flattened fragments. A fragment's first rule has its count, its
     share of the counts and of the equal-weight sums u of its root, 2 to the power of minus its other nodes, times its count over
-    the nodes with the root's label, and 0.5; all other rules have 1."""
+    the nodes with the root's label, and 0.5; all other rules have 1. `seen` (label, seen) has the numbers of nodes if they are known."""
     total = flat.groupBy("root").agg(F.sum("n").alias("sum_n"), F.sum("u").alias("sum_u"))
-    seen = nodes.groupBy(F.col("label").alias("root")).agg(F.count("*").alias("seen"))
+    seen = nodes.groupBy("label").agg(F.count("*").alias("seen")) if seen is None else seen
+    seen = seen.withColumnRenamed("label", "root")
     inner = (F.regexp_count("frag", F.lit(r"\(")) - 1).cast("double")
     x = flat.join(total, "root").join(seen, "root").withColumns(
         {"rel": F.col("n") / F.col("sum_n"), "ewe": F.col("u") / F.col("sum_u"), "bon": F.pow(F.lit(2.0), -inner) * F.col("n") / F.col("seen"), "shortest": F.lit(0.5)}

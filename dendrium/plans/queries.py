@@ -689,14 +689,14 @@ occ AS (
 fr AS (SELECT root, frag, count(*) AS n, sum(u) AS u FROM (SELECT root, frag, 1.0::DOUBLE / count(*) OVER (PARTITION BY sentno) AS u FROM occ) GROUP BY ALL)"""
 
 
-def _dop_rules(nodes, counted):
-    out = dop.rules(dop.flattened(counted), nodes).withColumn("rhs", F.array_join("rhs", " "))
+def _dop_rules(nodes, counted, seen=None):
+    out = dop.rules(dop.flattened(counted), nodes, seen).withColumn("rhs", F.array_join("rhs", " "))
     return out.withColumns({c: F.round(c, 9) for c in ("rel", "ewe", "bon")})
 
 
-def _dop_back(nodes, counted):
+def _dop_back(nodes, counted, seen=None):
     flat = dop.flattened(counted)
-    return dop.restored(dop.rules(flat, nodes), dop.dictionary(flat))
+    return dop.restored(dop.rules(flat, nodes, seen), dop.dictionary(flat))
 
 
 @query("dop_double", f"WITH RECURSIVE {_DOUBLE_SQL}, {_FLAT_SQL} SELECT * FROM rounded")
@@ -719,8 +719,8 @@ def dop_one(spark, sf_dir):
 
 @query("dop_one_back", f"WITH RECURSIVE {_DOP1_SQL} SELECT frag, n FROM fr")
 def dop_one_back(spark, sf_dir):
-    nodes = staged(R.factored_nodes(spark, sf_dir, "balanced", words=True))
-    return _dop_back(nodes, dop.dop1(nodes, 2))
+    nodes = R.factored_nodes(spark, sf_dir, "balanced", words=True)
+    return _dop_back(nodes, *dop.dop1_seen(nodes, 2))
 
 
 # --- evaluation ---

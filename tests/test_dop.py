@@ -87,3 +87,15 @@ def test_no_trees(spark):
     for counted in (dop.double_dop(nodes), dop.dop1(nodes, 2)):
         flat = dop.flattened(counted)
         assert dop.restored(dop.rules(flat, nodes), dop.dictionary(flat)).count() == 0
+
+
+def test_subtrees_are_cut_at_the_depth(spark):
+    """What is written for fragments of a depth are the different subtrees down to it, not the nodes: trees that differ below it only are the same."""
+    deep = lambda k: ("S", (("A", (("B", (("C", (f"w{k}",)), ("C", ("x",)))), ("D", ("y",)))), ("E", ("z",))))
+    trees = [deep(k) for k in range(50)]
+    nodes = table(spark, trees)
+    counted, seen = dop.dop1_seen(nodes, 2)
+    check(nodes, trees, counted, wanted(trees, [[f for node in below(t) for f in up_to(node, 2)] for t in trees]))
+    assert {r.label: r.seen for r in seen.collect()} == Counter(n[0] for t in trees for n in below(t))
+    plan = dop.rules(dop.flattened(counted), nodes, seen)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sentno" not in plan
