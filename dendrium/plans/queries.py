@@ -713,8 +713,8 @@ def dop_double_back(spark, sf_dir):
 
 @query("dop_one", f"WITH RECURSIVE {_DOP1_SQL}, {_FLAT_SQL} SELECT * FROM rounded")
 def dop_one(spark, sf_dir):
-    nodes = staged(R.factored_nodes(spark, sf_dir, "balanced", words=True))
-    return _dop_rules(nodes, dop.dop1(nodes, 2))
+    nodes = R.factored_nodes(spark, sf_dir, "balanced", words=True)
+    return _dop_rules(nodes, *dop.dop1_seen(nodes, 2))
 
 
 @query("dop_one_back", f"WITH RECURSIVE {_DOP1_SQL} SELECT frag, n FROM fr")

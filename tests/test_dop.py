@@ -4,9 +4,11 @@ from collections import Counter, defaultdict
 from itertools import product
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from test_fragments import below, brute_recurring, occurs, random_trees, table, tree
 
 from dendrium.operators import dop
+from dendrium.plans import queries
 
 
 def up_to(node, depth):
@@ -99,3 +101,11 @@ def test_subtrees_are_cut_at_the_depth(spark):
     assert {r.label: r.seen for r in seen.collect()} == Counter(n[0] for t in trees for n in below(t))
     plan = dop.rules(dop.flattened(counted), nodes, seen)._jdf.queryExecution().optimizedPlan().toString()
     assert "sentno" not in plan
+
+
+def test_rules_write_no_nodes(spark, monkeypatch):
+    """dop_one: what is written has no node of a sentence, and less rows than there are nodes."""
+    written, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: written.append(self._df.columns) or write(self, path, *a, **b))
+    assert queries.QUERIES["dop_one"](spark, "/root/testdata/sf0.001").count() > 0
+    assert written and not any({"sentno", "nid"} & {*columns} for columns in written)
